@@ -12,6 +12,7 @@ fingerprints are alike (1.0), an empty and a non-empty one are not (0.0). Extra
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.base import dropped, new_path, table, text_of
+from jobloom.llm.base import table, text_of
 
 K = 12
 WINDOW = 32
@@ -109,9 +110,7 @@ FIELDS = [
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()), ("positions", pa.list_(pa.int32())), ("next_doc_id", pa.int64()),
 ]
-_EDGE = [("edge", pa.string()), ("part", pa.int64()), ("edge_text", pa.string())]
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, positions array<int>, next_doc_id long"
-_SCHEMA_EDGE = f"{SCHEMA}, edge string, part long, edge_text string"
 
 
 def compared(doc_id, text: str, own: tuple[np.ndarray, np.ndarray], next_id, next_text: str, of_next: np.ndarray) -> dict:
@@ -124,69 +123,61 @@ def compared(doc_id, text: str, own: tuple[np.ndarray, np.ndarray], next_id, nex
 
 
 def _batch(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], type=t) for n, t in FIELDS + _EDGE], names=[n for n, _ in FIELDS + _EDGE])
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=t) for n, t in FIELDS], names=[n for n, _ in FIELDS])
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range of ids, ascending: each is compared with the one after it; both ends are passed on."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
+    """Rows by block and id, each block followed by the first row of the next: each row meets the one after it."""
     last, rows, size = None, [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for block, tail, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            if tail and last is None:
+                continue
             text = text.as_py()
             own = winnow(text)
-            if last is None:
-                rows.append({"edge": "first", "part": part, "doc_id": doc_id, "edge_text": text})
-            else:
-                rows.append(compared(*last, doc_id, text, own[0]))
+            if last is not None and last[0] == block:
+                rows.append(compared(*last[1:], doc_id, text, own[0]))
                 size += len(text)
-            last = doc_id, text, own
-            if len(rows) >= 512 or size > 4_000_000:
+            last = None if tail else (block, doc_id, text, own)
+            if len(rows) >= 512 or size > 2_000_000:
                 yield _batch(rows)
                 rows, size = [], 0
-    if last is not None:
-        rows.append({"edge": "last", "part": part, "doc_id": last[0], "edge_text": last[1]})
     if rows:
         yield _batch(rows)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last row of a range with the first row of the next range."""
-    names = [n for n, _ in FIELDS]
-    for batch in batches:
-        for r in batch.to_pylist():
-            own = winnow(r["text"])
-            row = compared(r["doc_id"], r["text"], own, r["next_id"], r["next_text"], winnow(r["next_text"])[0])
-            yield pa.RecordBatch.from_arrays([pa.array([row[n]], type=t) for n, t in FIELDS], names=names)
+def _place(bounds: list[int], col):
+    """Number of bounds at or below ``col``, less one; about two square roots of their number are looked at."""
+    step = max(1, math.isqrt(len(bounds)))
+    at_most = lambda values: F.size(F.filter(values, lambda x: x <= col))
+    coarse = at_most(F.lit(bounds[::step])) - 1
+    return coarse * step + at_most(F.slice(F.lit(bounds), coarse * step + 1, F.lit(step))) - 1
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprint of each document, of its edited text, and the likeness to both neighbours in id order.
 
-    Documents are dealt once, by ranges of ``doc_id`` (ties by text; null ids come first). Within a range each
-    document meets the next while streaming; the two ends of each range (as many rows as partitions) are joined
-    afterwards. The result is written to the shared folder, without texts but for those ends.
+    Documents are dealt once, into blocks of ascending ``doc_id`` (ties by text; null ids come first), as many as
+    there are shuffle partitions. A block starts at an id that occurs, so the row after a block's last is known
+    beforehand: it goes to that block as well, and each document meets the next one while its block streams by.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    path = new_path(spark, "winnowing")
-    texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_in_order, _SCHEMA_EDGE).write.parquet(path)
-    all_rows = spark.read.schema(_SCHEMA_EDGE).parquet(path)
-    names = [n for n, _ in FIELDS]
-    ends = all_rows.filter("edge is not null").select("edge", "part", "doc_id")
-    # Ids of at most one row for each partition: the next range that is not empty, or the very first.
-    parts = sorted(r.part for r in ends.filter("edge = 'first'").select("part").collect())
-    if not parts:
-        dropped(spark, path)
+    least = -(1 << 63)
+    order = F.coalesce(F.col("doc_id"), F.lit(least))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).select(order.alias("sid"))
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = ids.agg(F.min("sid").alias("first"), F.percentile_approx("sid", [i / parts for i in range(1, parts)], 20 * parts).alias("cuts")).first()
+    if found.first is None:
         return spark.createDataFrame([], SCHEMA)
-    follows = spark.createDataFrame([(a, b) for a, b in zip(parts, [*parts[1:], parts[0]], strict=True)], "part long, next_part long")
-    edge = all_rows.filter("edge is not null")
-    last = edge.filter("edge = 'last'").select("part", "doc_id", F.col("edge_text").alias("text"))
-    first = edge.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("doc_id").alias("next_id"), F.col("edge_text").alias("next_text"))
-    pairs = last.join(follows, "part").join(first, "next_part").select("doc_id", "text", "next_id", "next_text")
-    return all_rows.filter("edge is null").select(*names).unionByName(pairs.mapInArrow(_across, SCHEMA))
+    bounds = sorted({found.first, *found.cuts})
+    block = _place(bounds, F.col("sid"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("sid", order).withColumn("block", block)
+    opens = F.element_at(F.lit(bounds), F.col("block") + 1) == F.col("sid")
+    before = F.pmod(F.col("block") - 1, F.lit(len(bounds)))
+    own, ahead = F.struct(F.col("block").alias("block"), F.lit(False).alias("tail")), F.struct(before.alias("block"), F.lit(True).alias("tail"))
+    dealt = rows.select("sid", "doc_id", "text", F.explode(F.when(opens, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select("to.block", "to.tail", "sid", "doc_id", "text").repartitionById(len(bounds), F.col("block").cast("int")).sortWithinPartitions("block", "tail", "sid", "text")
+    return dealt.select("block", "tail", "doc_id", "text").mapInArrow(_in_order, SCHEMA)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
