@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import simhash, winnowing
+from jobloom.llm import secrets, simhash, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": winnowing.query,
         "op2_simhash_near_dedup": simhash.query,
+        "op3_secret_scan": secrets.query,
     }
 
 
