@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import secrets, simhash, winnowing
+from jobloom.llm import pii, secrets, simhash, toxicity, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_winnowing": winnowing.query,
         "op2_simhash_near_dedup": simhash.query,
         "op3_secret_scan": secrets.query,
+        "op4_personal_data": pii.query,
+        "op5_toxicity": toxicity.query,
     }
 
 
