@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import pii, secrets, simhash, toxicity, winnowing
+from jobloom.llm import decontamination, linededup, packing, pii, secrets, simhash, tokens, toxicity, warc, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,8 +16,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secret_scan": secrets.query,
         "op4_personal_data": pii.query,
         "op5_toxicity": toxicity.query,
+        "op6_curve_packing": packing.query,
+        "op7_line_dedup": linededup.query,
+        "op8_length_histogram": tokens.histogram_query,
+        "op9_decontamination": decontamination.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_line_dedup": linededup.ORACLE,
+        "op9_decontamination": decontamination.ORACLE,
+        "op10_warc": warc.ORACLE,
+    }
