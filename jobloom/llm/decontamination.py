@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sets = blocks(benchmark)
 
     @F.pandas_udf(BooleanType())
-    def untouched(batches: Iterator) -> Iterator:
+    def untouched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automata = [Automaton(s) for s in sets]
         for texts in batches:
             yield texts.map(lambda t: not any(a.scan(words(t))[0] for a in automata)).astype(bool)

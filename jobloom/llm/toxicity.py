@@ -23,9 +23,11 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from jobloom.llm.base import slices, table, text_of
 
@@ -169,10 +171,8 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model | None) -> DataFrame:
     """The documents that the model doesn't reject, all columns kept."""
-    from pyspark.sql.types import BooleanType
-
     @F.pandas_udf(BooleanType())
-    def clean(texts):
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: model is None or model.score(t) < 0.5).astype(bool)
 
     return docs.filter(clean(text_of(docs)))
