@@ -33,6 +33,17 @@ LEAST_VALUE = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]"
 MIN_CHARS = 16
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
+#: Words of ordinary identifiers, for corpora whose own words don't show them.
+ORDINARY = (
+    "account action active address amount application array attribute average balance batch buffer builder button cache callback category change channel character children client collection column command "
+    "component config configuration connection constant container content context controller convert counter create current customer database default delete description device dictionary directory document "
+    "element enabled environment error event exception expected factory feature field filter format function generator global group handler header height history identifier image index information initial "
+    "instance integer interface internal international invoice iterator language layout length library license listener local location manager maximum memory message method minimum module network notification "
+    "number object offset operation option order organization package parameter parent parser pattern payment permission platform pointer position previous priority process product profile project property "
+    "protocol provider quantity query queue random range record reference register repository request resource response result return schedule schema section selected sequence server service session setting "
+    "shipping source standard status storage string structure subscription summary support system table target template temporary test timeout timestamp transaction transform update upload user utility "
+    "validate value variable version view virtual visible warning width window worker"
+).split()
 #: Mean log-likelihood ratio per step from which a candidate counts as random.
 THRESHOLD = 0.5
 #: Documents that the labelled tokens are taken from: those whose hashed id comes first.
@@ -66,8 +77,8 @@ def _steps(token: Column) -> Column:
 
 def training_tokens(docs: DataFrame, most_docs: int = TRAINING_DOCS, random_strings: int = RANDOM_STRINGS) -> DataFrame:
     """Labelled tokens (token, secret): seeded random strings and the values that fixed patterns found are secrets;
-    other words of six and more characters of a bounded number of documents, alone and in pairs joined by ``_`` or
-    by a capital, are ordinary identifiers."""
+    other words of six and more characters of a bounded number of documents, alone and joined as identifiers are, and
+    pairs of ``ORDINARY`` words are ordinary identifiers."""
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     ids = keyed.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(most_docs)
@@ -80,6 +91,8 @@ def training_tokens(docs: DataFrame, most_docs: int = TRAINING_DOCS, random_stri
     base64 = F.regexp_replace(F.substring(F.base64(F.unhex("hex")), 1, 40), "=", "")
     base36 = F.concat(*[F.conv(F.substring("hex", 1 + 12 * i, 12), 16, 36) for i in range(4)])
     made = seeds.select(F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, base36).otherwise(F.substring("hex", 1, 40)).alias("token"))
+    fixed = [t for k in (1, 7, 31, 53) for a, b in zip(ORDINARY, ORDINARY[k:] + ORDINARY[:k], strict=True) for t in (f"{a}_{b}", a + b.title(), a.title() + b.title() + "2", f"{a}-{b}-v1", f"{a}/{b}")]
+    ordinary = ordinary.unionByName(spark.range(1).select(F.explode(F.lit(fixed)).alias("token"), F.lit(0).alias("secret")))
     return ordinary.unionByName(hits.filter(F.length("token") >= MIN_CHARS).unionByName(made).withColumn("secret", F.lit(1)))
 
 

@@ -1,9 +1,10 @@
-"""Toxicity: a counterfactual-regularised linear classifier over the words of a text.
+"""Toxicity: a counterfactual-regularised linear classifier over the words of a text and how they begin.
 
 Training rows are the labelled documents whose crc32 of the id (as text) modulo 5 is not 0, of which at most
-``TRAINING_ROWS`` (those whose hashed id comes first), texts counted once. Features are words that occur in at least
-``LEAST_DOCS`` of them and whose log-likelihood ratio against the label reaches ``LEAST_G2``, ``MOST_FEATURES`` at
-most, strongest first. Weights minimise logistic loss plus a ridge, plus ``SWAP_PENALTY`` times the squared change
+``TRAINING_ROWS`` (those whose hashed id comes first), texts counted once. Features are words, and for the first
+``STEMS`` letters of words how often (``COUNTS``) and with what share (``SHARES``) of the words they occur. Those are
+taken that occur in at least ``LEAST_DOCS`` texts, more often with the label, and whose log-likelihood ratio against
+it reaches ``LEAST_G2``, ``MOST_FEATURES`` at most, strongest first. Identity terms have no stem features. Weights minimise logistic loss plus a ridge, plus ``SWAP_PENALTY`` times the squared change
 of the score when the identity terms of a sentence are swapped for others of their group: labelled texts that have
 such terms, and the labelled words of a bounded number of training texts with each pair of terms put in. An identity
 term thus can't carry the score, whatever its company in the labels, and neutral mentions stay clean.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,8 +36,11 @@ from jobloom.llm.base import slices, table, text_of
 TRAINING_ROWS = 6000
 LEAST_DOCS = 3
 LEAST_G2 = 12.0
-MOST_FEATURES = 2000
+MOST_FEATURES = 1000
 RIDGE = 1.0
+STEMS = (4, 5, 6)
+COUNTS = (1, 2, 4)
+SHARES = (0.01, 0.02, 0.04)
 SWAP_PENALTY = 10.0
 SWAP_TEXTS = 200
 #: Groups of identity terms that may be swapped for each other.
@@ -50,8 +55,24 @@ IDENTITY = (
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> set[str]:
-    return set(_WORD.findall(text.lower()))
+_TERMS = frozenset(t for g in IDENTITY for t in g)
+
+
+def features(text: str, stems: frozenset[str] | None = None) -> set[str]:
+    """Words of a text and the levels that its stems reach (of ``stems`` only, if given)."""
+    seen = Counter(_WORD.findall(text.lower()))
+    out, often = set(seen), Counter()
+    for word, n in seen.items():
+        if word not in _TERMS:
+            for size in STEMS:
+                if len(word) >= size and (stems is None or word[:size] in stems):
+                    often[word[:size]] += n
+    if often:
+        total = sum(seen.values())
+        for stem, n in often.items():
+            out.update(f"{stem}*{k}" for k in COUNTS if n >= k)
+            out.update(f"{stem}%{k}" for k in SHARES if n >= k * total)
+    return out
 
 
 def held_out(doc_id):
@@ -70,7 +91,7 @@ def _training(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
         for batch in slices(batches):
             found = [t.as_py() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(t.encode()) << 32 | zlib.adler32(t.encode()) for t in found], type=pa.uint64()).cast(pa.int64(), safe=False), batch.column(0), pa.array([sorted(words(t)) for t in found], type=pa.list_(pa.string()))],
+                [pa.array([zlib.crc32(t.encode()) << 32 | zlib.adler32(t.encode()) for t in found], type=pa.uint64()).cast(pa.int64(), safe=False), batch.column(0), pa.array([sorted(features(t)) for t in found], type=pa.list_(pa.string()))],
                 names=["text_id", "toxic", "words"],
             )
 
@@ -80,18 +101,17 @@ def _training(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
 class Model:
     def __init__(self, weights: dict[str, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
+        self.stems = frozenset(re.split("[*%]", w)[0] for w in weights if "*" in w or "%" in w)
 
     def score(self, text: str) -> float:
         get = self.weights.get
-        z = self.bias
-        for w in set(_WORD.findall(text.lower())):
-            z += get(w, 0.0)
+        z = self.bias + sum(get(w, 0.0) for w in sorted(features(text, self.stems) & self.weights.keys()))
         return float(1 / (1 + np.exp(-min(max(z, -60), 60))))
 
 
 def fit(rows: list[tuple[int, list[str]]], features: list[str], penalty: float = SWAP_PENALTY) -> Model:
     """Newton steps on the penalised loss; rows are (label, features present)."""
-    terms = sorted({t for g in IDENTITY for t in g})
+    terms = sorted(_TERMS)
     names = [*features, *[t for t in terms if t not in set(features)]]
     place = {w: i for i, w in enumerate(names)}
     n, d = len(rows), len(names)
@@ -146,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
         a, b, m = F.col("a").cast("double"), F.col("b").cast("double"), F.col("a").cast("double") + F.col("b")
         n = pos + neg
         g2 = 2 * (part(a, m * pos / n) + part(b, m * neg / n) + part(pos - a, (n - m) * pos / n) + part(neg - b, (n - m) * neg / n))
-        chosen = [r.word for r in seen.filter((F.col("a") + F.col("b")) >= LEAST_DOCS).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(MOST_FEATURES).select("word").collect()]
-        kept = F.array_intersect("words", F.lit(chosen + sorted({t for g in IDENTITY for t in g})))
+        chosen = [r.word for r in seen.filter(((F.col("a") + F.col("b")) >= LEAST_DOCS) & (F.col("a") * neg > F.col("b") * pos)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(MOST_FEATURES).select("word").collect()]
+        kept = F.array_intersect("words", F.lit(chosen + sorted(_TERMS - set(chosen))))
         data = [(int(r.toxic > 0), list(r.kept)) for r in rows.orderBy("text_id").select("toxic", kept.alias("kept")).collect()]
     finally:
         rows.unpersist()
