@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.plans import reads
+from jobloom.plans import changes, reads
 from jobloom.plans.registry import O, Q
 
-__all__ = ["reads"]
+__all__ = ["changes", "reads"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

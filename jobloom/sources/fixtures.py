@@ -97,7 +97,7 @@ class Tables:
         """A query over base and derived tables; frames are passed in, no view is registered."""
         whole = with_tables(text)
         used = _used(whole, BASE)
-        spaced = re.sub(r"[{}]", lambda m: m[0] * 2, whole)
+        spaced = re.sub(r"[{}]", lambda m: m[0] * 2, whole) if used else whole  # names are filled in only if there are any
         for n in used:
             spaced = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", spaced)
         return self.spark.sql(spaced.replace("varchar(9)", "string").replace("varchar(19)", "string").replace("varchar(99)", "string"), **{n: self.base(n) for n in used})
