@@ -48,10 +48,10 @@ def gcra(state: float | None, now: float, limit: int, window: float) -> tuple[fl
     """Theoretical arrival time; a denial leaves it as it was."""
     step = window / limit
     tat = max(now, state if state is not None else now)
-    new = tat + step
-    if now < new - window:
-        return state, False, 0.0, new - window - now
-    return new, True, float(max(0, int((window - (new - now)) // step))), 0.0
+    opens = tat + (step - window)  # in this order a window of one step is exact
+    if now < opens:
+        return state, False, 0.0, opens - now
+    return tat + step, True, float(max(0, int((now - opens) // step))), 0.0
 
 
 def gcra_refund(state: float | None, before: float, after: float) -> float | None:
