@@ -88,7 +88,7 @@ def _encoded(text: str, name: str) -> np.ndarray:
 
 
 def _sampled(docs: DataFrame, name: str) -> np.ndarray:
-    """Vectors of a bounded sample: DIMS numbers for each of at most SAMPLE documents reach the driver."""
+    """Vectors and lengths of a bounded sample: DIMS + 1 numbers for each of at most 2 * SAMPLE rows reach the driver."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     few = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(few), "doc_id", "left_semi").select("text").limit(2 * SAMPLE)
@@ -96,11 +96,20 @@ def _sampled(docs: DataFrame, name: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             if batch.num_rows:
-                v = vectors([_encoded(t.as_py(), name) for t in batch.column(0)])
-                yield pa.RecordBatch.from_arrays([pa.array(v[:, i]) for i in range(DIMS)], names=[f"v{i}" for i in range(DIMS)])
+                ids = [_encoded(t.as_py(), name) for t in batch.column(0)]
+                v = vectors(ids)
+                yield pa.RecordBatch.from_arrays([*[pa.array(v[:, i]) for i in range(DIMS)], pa.array([float(len(x)) for x in ids])], names=[*[f"v{i}" for i in range(DIMS)], "n"])
 
-    rows = texts.mapInArrow(run, ", ".join(f"v{i} double" for i in range(DIMS))).collect()
-    return np.array(sorted(tuple(r) for r in rows)).reshape(-1, DIMS)
+    rows = texts.mapInArrow(run, ", ".join(f"v{i} double" for i in range(DIMS)) + ", n double").collect()
+    return np.array(sorted(tuple(r) for r in rows)).reshape(-1, DIMS + 1)
+
+
+def range_bounds(key: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
+    """Keys that cut the sample into parts of as many tokens."""
+    order = np.argsort(key, kind="stable")
+    reached = np.cumsum(tokens[order])
+    at = np.searchsorted(reached, np.arange(1, parts) / parts * reached[-1])
+    return key[order][at]
 
 
 def cut_lengths(n: int, length: int = LENGTH) -> list[int]:
@@ -163,10 +172,11 @@ def packed(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """One row of ``SCHEMA`` for each piece. A sequence's length is the sum of its pieces; none is padded."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sample = _sampled(docs, name)
+    found = _sampled(docs, name)
+    sample, tokens = found[:, :DIMS], found[:, DIMS]
     cells = np.arange(1, 1 << BITS) / (1 << BITS)
     edges = np.quantile(sample, cells, axis=0).T if len(sample) else np.zeros((DIMS, len(cells)))
-    bounds = np.quantile(keys(sample, edges), np.arange(1, parts) / parts, method="lower").astype(np.int64) if len(sample) else np.zeros(0, dtype=np.int64)
+    bounds = range_bounds(keys(sample, edges), tokens, parts) if len(sample) else np.zeros(0, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
