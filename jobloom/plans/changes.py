@@ -327,6 +327,20 @@ def rl2(t: Tables) -> DataFrame:
     return dealt.mapInPandas(run, "bucket string, refunded double, tokens double, exhausted boolean")
 
 
+_LAST = """with recursive r as (select bucket, epoch_us(ts) as us, row_number() over (partition by bucket order by ts, request_id) as n, count(*) over (partition by bucket) as c from requests),
+  s as (select bucket, n, c, us, cast(9.0 as double) as level from r where n = 1
+    union all select r.bucket, r.n, r.c, r.us, cast(case when least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) >= 1.0 then least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) - 1.0 else least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) end as double)
+    from s join r on r.bucket = s.bucket and r.n = s.n + 1)"""
+query("rl3_peek", _LAST + " select bucket, round(least(10.0, level + 600 * 0.0005), 4) as tokens, least(10.0, level + 600 * 0.0005) <= 0 as exhausted from s where n = c")(lambda t: rl2(t).select("bucket", F.round("tokens", 4).alias("tokens"), "exhausted"))
+query("rl2_refund", _LAST + " select bucket, round(least(10.0, level + 1), 4) as refunded from s where n = c")(lambda t: rl2(t).select("bucket", F.round("refunded", 4).alias("refunded")))
+
+
+@query("rl6_gcra_refund", "select k, case when k = 'same' then 4.0 else 6.0 end as tat from (values ('same'), ('moved')) as v(k)")
+def rl6(t: Tables) -> DataFrame:
+    rows = [("same", ratelimit.gcra_refund(5.0, 4.0, 5.0)), ("moved", ratelimit.gcra_refund(6.0, 4.0, 5.0))]
+    return t.spark.createDataFrame(rows, "k string, tat double")
+
+
 @query("rl7_all_or_nothing")
 def rl7(t: Tables) -> DataFrame:
     jobs = t.requests.select(F.col("request_id").alias("job_id"), C.micros(F.col("ts")).alias("us"), F.col("bucket").alias("reservation"), F.lit("api").alias("rate"), F.lit(40_000_000_000).alias("hold_us"))

@@ -46,11 +46,15 @@ def candidates(jobs: DataFrame, cap: DataFrame, queues: list[str], limit: int, n
 
 
 def without_busy_identities(rows: DataFrame, jobs: DataFrame) -> DataFrame:
-    """One row for each (actor, identity) that isn't running already; rows without identity stay."""
+    """One row for each (actor, identity) that isn't running already; rows without identity stay.
+
+    Rows without identity never match the anti join, and each is a group of its own in the window, so that one pass
+    does for both kinds.
+    """
     busy = jobs.filter("status = 'running' and identity_key is not null").select("actor", "identity_key").distinct()
-    named = rows.filter("identity_key is not null").join(busy, ["actor", "identity_key"], "left_anti")
-    first = named.withColumn("nth", F.row_number().over(Window.partitionBy("actor", "identity_key").orderBy(*_order()))).filter("nth = 1").drop("nth")
-    return first.unionByName(rows.filter("identity_key is null").select(*first.columns))
+    own = F.when(F.col("identity_key").isNull(), F.col("id"))
+    ranked = rows.join(busy, ["actor", "identity_key"], "left_anti").withColumn("nth", F.row_number().over(Window.partitionBy("actor", "identity_key", own).orderBy(*_order())))
+    return ranked.filter("nth = 1").drop("nth")
 
 
 def dispatch(jobs: DataFrame, actor_config: DataFrame, queues: list[str], limit: int, now, oversample: int = 2, round_robin: bool = False) -> DataFrame:

@@ -88,7 +88,7 @@ class Tables:
     """The derived tables of one folder as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
 
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -105,4 +105,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in DERIVED:
             raise AttributeError(name)
-        return self.sql(f"select * from {name}")
+        made = self.__dict__["_made"]
+        if name not in made:
+            made[name] = self.sql(f"select * from {name}")
+        return made[name]
