@@ -5,9 +5,9 @@ consecutive words of an item, or the whole item if it has fewer. Each word of th
 window a string of symbols; a text becomes a string too, with one symbol for all foreign words, and is scanned once.
 Positions in that string are word numbers, and these lead back to code points of the text.
 
-The benchmark is read one partition at a time into blocks of at most ``BLOCK_WORDS`` words (or one longer item),
-and each block has an automaton of its own. With more than one block, a task holds one automaton at a
-time and takes each batch of texts through all of them. Documents are never shuffled.
+The benchmark's size is summed before any of it is fetched. Up to ``BLOCK_BYTES`` it is one automaton in each task and
+documents are never shuffled. A larger one is cut into blocks of about that size; the driver and a task hold one block
+at a time, documents are scanned once for each, and the few hits of all blocks are joined with the documents.
 
 Cases: null texts have no words, and items without words have no window; items without an id mark words but are not
 counted; repeated items count once by id; repeated rows are answered each; an empty benchmark leaves all clean.
@@ -16,7 +16,10 @@ Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,10 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from jobloom.llm.base import SLICE_ROWS, slices, table, text_of
+from jobloom.llm.base import slices, table, text_of, written
 
 WINDOW = 10
-BLOCK_WORDS = 500_000
+BLOCK_BYTES = 4_000_000
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOREIGN = "\x00"
 
@@ -83,19 +86,15 @@ class Automaton:
         return runs, items
 
 
-def blocks(benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> list[list[tuple]]:
-    """The benchmark's items in blocks of a bounded size, read one partition at a time."""
+def blocks(benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
+    """The benchmark's items in blocks, one at a time. Sizes are summed on the executors before anything is fetched;
+    with more than one block, items are dealt by hash and each block fetched for itself."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), text_of(benchmark).alias("text"))
-    out: list[list[tuple]] = [[]]
-    room = most_words
-    for r in items.toLocalIterator():
-        n = len(words(r.text))
-        if n > room and out[-1]:
-            out.append([])
-            room = most_words
-        out[-1].append((r.item_id, r.text))
-        room -= n
-    return [b for b in out if b]
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    n = 1 if total <= most_bytes else math.ceil(1.5 * total / most_bytes)
+    for b in range(n):
+        own = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        yield [tuple(r) for r in own.collect()]
 
 
 def _line(ids: set) -> str:
@@ -111,50 +110,97 @@ def spans_of(text: str, runs: list[tuple[int, int]]) -> list[list[int]]:
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<array<int>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, most_words: int = BLOCK_WORDS) -> DataFrame:
+def _answer(doc_id, text: str, found: list[str], hit: list, ids: set) -> tuple:
+    runs: list[tuple[int, int]] = []
+    for a, b in sorted(map(tuple, hit)):
+        if runs and a <= runs[-1][1]:
+            runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
+        else:
+            runs.append((a, b))
+    n = sum(b - a for a, b in runs)
+    return doc_id, len(found), n, len(ids - {None}), _line(ids), n > 0, spans_of(text, runs) if runs else []
+
+
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
+
+
+def _answers(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, _TYPES, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+
+def _hits(rows: DataFrame, items: list[tuple]) -> DataFrame:
+    """(doc_id, text_md5, runs, items) of the rows that one block hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(items)
+        for batch in slices(batches):
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                runs, ids = automaton.scan(words(text.as_py()))
+                if runs:
+                    out.append((doc_id, hashlib.md5(text.as_py().encode(), usedforsecurity=False).hexdigest(), runs, [i for i in ids if i is not None]))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            types = [pa.int64(), pa.string(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["hit_id", "hit_md5", "runs", "items"])
+
+    return rows.mapInArrow(run, "hit_id long, hit_md5 string, runs array<array<int>>, items array<string>")
+
+
+def _met(rows: DataFrame, sets: Iterator[list[tuple]]) -> DataFrame:
+    """``rows`` (doc_id, text, ...) with runs and items of all blocks. Equal rows have equal hits, so that id and digest
+    of the text are key enough; hits are few, and each block's are written before the next block is fetched."""
+    parts = [written(_hits(rows.select("doc_id", "text"), s).distinct(), "hits") for s in sets]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    merged = every.groupBy("hit_id", "hit_md5").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("items")).alias("items"))
+    return rows.join(merged, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.md5("text") == F.col("hit_md5")), "left")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row of ``SCHEMA`` for each document; ``spans`` are the hit passages in code points of the text."""
-    sets = blocks(benchmark, most_words) or [[]]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    sets = blocks(benchmark, most_bytes)
+    first, second = next(sets), next(sets, None)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only = Automaton(sets[0]) if len(sets) == 1 else None
-        for batch in slices(batches, SLICE_ROWS if only else 100_000):
-            texts = [t.as_py() for t in batch.column(1)]
-            found = [words(t) for t in texts]
-            hits = [(set(), set()) for _ in texts]
-            for automaton in [only] if only else map(Automaton, sets):  # one block's automaton at a time
-                for (at, items), own in zip(hits, found, strict=True):
-                    runs, ids = automaton.scan(own)
-                    items.update(ids)
-                    at.update(runs)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(first)
+        for batch in slices(batches):
             out = []
-            for doc_id, text, own, (at, items) in zip(batch.column(0).to_pylist(), texts, found, hits, strict=True):
-                runs: list[tuple[int, int]] = []
-                for a, b in sorted(at):
-                    if runs and a <= runs[-1][1]:
-                        runs[-1] = (runs[-1][0], max(b, runs[-1][1]))
-                    else:
-                        runs.append((a, b))
-                n = sum(b - a for a, b in runs)
-                out.append((doc_id, len(own), n, len(items - {None}), _line(items), n > 0, spans_of(text, runs) if runs else []))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.list_(pa.int32()))]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-    return rows.mapInArrow(run, SCHEMA)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any hit, all columns kept."""
-    sets = blocks(benchmark)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                found = words(text)
+                out.append(_answer(doc_id, text, found, *automaton.scan(found)))
+            yield _answers(out)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            yield _answers([_answer(i, t, words(t), r or [], set(x or ())) for i, t, r, x in zip(*columns, strict=True)])
 
-    @F.pandas_udf(BooleanType())
-    def untouched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automata = [Automaton(s) for s in sets]
-        for texts in batches:
-            yield texts.map(lambda t: not any(a.scan(words(t))[0] for a in automata)).astype(bool)
+    if second is None:
+        return rows.mapInArrow(scan, SCHEMA)
+    return _met(rows, itertools.chain([first, second], sets)).select("doc_id", "text", "runs", "items").mapInArrow(fold, SCHEMA)
 
-    return docs.filter(untouched(text_of(docs)))
+
+def clean(docs: DataFrame, benchmark: DataFrame, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any hit, all columns kept."""
+    sets = blocks(benchmark, most_bytes)
+    first, second = next(sets), next(sets, None)
+    if second is None:
+
+        @F.pandas_udf(BooleanType())
+        def untouched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            automaton = Automaton(first)
+            for texts in batches:
+                yield texts.map(lambda t: not automaton.scan(words(t))[0]).astype(bool)
+
+        return docs.filter(untouched(text_of(docs)))
+    left = docs
+    for items in itertools.chain([first, second], sets):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text"))
+        gone = written(_hits(rows, items).select("hit_id", "hit_md5").distinct(), "hits")
+        left = left.join(gone, left["doc_id"].cast("long").eqNullSafe(gone["hit_id"]) & (F.md5(text_of(left)) == gone["hit_md5"]), "left_anti")
+    return left
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

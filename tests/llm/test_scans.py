@@ -173,7 +173,7 @@ def slow_hits(text, items):
     return len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("most", [decontamination.BLOCK_WORDS, 30])
+@pytest.mark.parametrize("most", [decontamination.BLOCK_BYTES, 300])
 def test_decontamination_against_scan(spark, most):
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "B", "cé", "d1", "e", "É"])
@@ -187,7 +187,7 @@ def test_decontamination_against_scan(spark, most):
     assert seen == sorted((i if i is not None else -1, *slow_hits(t, items)) for i, t in [*enumerate(texts), (0, texts[3]), (None, "zz yy")])
     one = next(r for r in got if r.doc_id == len(texts) - 2)
     assert one.spans == [[0, 6]] or [texts[-2][a:b] for a, b in one.spans] == ["zz, YY"]
-    left = decontamination.clean(docs, bench)
+    left = decontamination.clean(docs, bench, most)
     assert left.columns == docs.columns and left.count() == sum(not r.contaminated for r in got)
 
 
