@@ -1,6 +1,6 @@
 """WARC archives as a chunked record table.
 
-``write_archives`` lays records into gzip-compressed WARC/1.1 files, one member per record; ``read_chunks`` streams
+``chunked`` cuts payloads into rows of at most ``CHUNK`` bytes, ``write_archives`` streams these into gzip-compressed WARC/1.1 files, one member per record; ``read_chunks`` streams
 files back as rows (page_id, chunk_no, payload, ...) of at most ``CHUNK`` bytes. A digest and a byte count run along
 with the chunks and stand complete on the last one, so no record is ever held whole by the reader. Files live in the
 folder that driver and executors share and are reached through Arrow's file systems (local folders, object stores,
@@ -66,39 +66,47 @@ def _head(page_id, url: str | None, kind: str, digest: str, refers_to, block: in
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Manifest (file, records, bytes) of the files written below ``folder``."""
+def chunked(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Decided rows as chunk rows: chunk_no from 0, ``chunks`` of them, payload cut to ``chunk`` bytes; a revisit has
+    one without payload. The chunks of a record follow each other."""
+    size = F.octet_length("payload")
+    n = F.when(F.col("record_type") == "revisit", 1).otherwise(F.greatest(F.lit(1), F.ceil(size / chunk))).cast("int")
+    out = rows.withColumn("payload_bytes", size.cast("long")).withColumn("chunks", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    part = F.when(F.col("record_type") == "response", F.substring("payload", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
+    return out.select("page_id", "url", "payload_digest", "record_type", "refers_to", "payload_bytes", "chunks", "chunk_no", part.alias("payload"))
+
+
+def write_archives(rows: DataFrame, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """Manifest (file, records, bytes) of the files written below ``folder``. A task holds chunks, never a record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, name, records, size = None, None, 0, 0
+        out, name, records, size, gz = None, None, 0, 0, None
         for batch in batches:
             for at in range(batch.num_rows):
-                page_id, url, payload, digest, kind, refers_to = (batch.column(i)[at] for i in range(6))
+                page_id, url, digest, kind, refers_to, total, chunks, no = (batch.column(i)[at].as_py() for i in range(8))
+                data = memoryview(batch.column(8)[at].as_buffer() or b"")
                 if out is None:
                     store, path = fs.FileSystem.from_uri(folder)
                     store.create_dir(path, recursive=True)
                     name = f"{path}/{uuid.uuid4().hex}.warc.gz"
                     out = store.open_output_stream(name, compression=None)
-                page_id, kind, refers_to = page_id.as_py(), kind.as_py(), refers_to.as_py()
-                view = memoryview(payload.as_buffer() or b"")
-                http = _HTTP % len(view)
-                body = view if kind == "response" else view[:0]
-                gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                parts = [gz.compress(_head(page_id, url.as_py(), kind, digest.as_py(), refers_to, len(http) + len(body), len(view)) + http)]
-                for start in range(0, len(body), CHUNK):
-                    parts.append(gz.compress(body[start : start + CHUNK]))
-                    out.write(b"".join(parts))
-                    size += sum(map(len, parts))
-                    parts = []
-                parts.append(gz.compress(b"\r\n\r\n") + gz.flush())
-                out.write(b"".join(parts))
-                size += sum(map(len, parts))
-                records += 1
+                parts = []
+                if no == 0:
+                    gz, http = zlib.compressobj(1, zlib.DEFLATED, 31), _HTTP % total
+                    block = len(http) + (total if kind == "response" else 0)
+                    parts.append(gz.compress(_head(page_id, url, kind, digest, refers_to, block, total) + http))
+                parts.append(gz.compress(data))
+                if no == chunks - 1:
+                    parts += [gz.compress(b"\r\n\r\n"), gz.flush()]
+                    records += 1
+                for x in parts:
+                    out.write(x)
+                    size += len(x)
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([records], type=pa.int64()), pa.array([size], type=pa.int64())], names=["file", "records", "bytes"])
 
-    return rows.select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").mapInArrow(run, "file string, records long, bytes long")
+    return chunked(rows, chunk).mapInArrow(run, "file string, records long, bytes long")
 
 
 class Reader:
