@@ -63,3 +63,8 @@ def text_of(df: DataFrame, name: str = "text"):
 def ascii_lower(col):
     """A-Z lower-cased and nothing else, unlike ``lower``."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def numbers(values, kind: str = "double"):
+    """A constant array in one literal, which Spark folds: an array of literals would take a call for each value."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")

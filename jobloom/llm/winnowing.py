@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.base import table, text_of
+from jobloom.llm.base import numbers, table, text_of
 
 K = 12
 WINDOW = 32
+STEP = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
@@ -67,15 +68,11 @@ def kgram_hashes(codes: np.ndarray, k: int = K) -> np.ndarray:
     return h
 
 
-def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen hashes and their positions in code points, both ascending by position."""
-    h = kgram_hashes(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4"), k)
+def _chosen(codes: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    h = kgram_hashes(codes, k)
     n = len(h)
-    if not n:
-        return h, np.zeros(0, dtype=np.int64)
     # One number orders by hash first and prefers the rightmost position on ties.
     key = (h & ~_LOW) | (_LOW - np.arange(n, dtype=np.uint64))
-    w = min(window, n)
     pad = -n % w
     blocks = np.concatenate([key, np.full(pad, ~np.uint64(0))]).reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
@@ -87,6 +84,27 @@ def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.
     return h[at], at
 
 
+def winnow(text: str, k: int = K, window: int = WINDOW, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen hashes and their positions in code points, both ascending by position.
+
+    Long texts are taken ``step`` windows at a time, so that memory beyond the text itself stays bounded.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    if not len(codes):
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    k = min(k, len(codes))
+    grams = len(codes) - k + 1
+    w = min(window, grams)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for start in range(0, grams - w + 1, step):
+        h, at = _chosen(codes[start : min(start + step, grams - w + 1) + w + k - 2], k, w)
+        at = at + start
+        repeated = int(bool(found) and at[0] == found[-1][1][-1])  # the last window before chose it too
+        if len(at) > repeated:
+            found.append((h[repeated:], at[repeated:]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard likeness of two sets of hashes."""
     if not len(a) or not len(b):
@@ -150,8 +168,8 @@ def _place(bounds: list[int], col):
     """Number of bounds at or below ``col``, less one; about two square roots of their number are looked at."""
     step = max(1, math.isqrt(len(bounds)))
     at_most = lambda values: F.size(F.filter(values, lambda x: x <= col))
-    coarse = at_most(F.lit(bounds[::step])) - 1
-    return coarse * step + at_most(F.slice(F.lit(bounds), coarse * step + 1, F.lit(step))) - 1
+    coarse = at_most(numbers(bounds[::step], "long")) - 1
+    return coarse * step + at_most(F.slice(numbers(bounds, "long"), coarse * step + 1, F.lit(step))) - 1
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -172,7 +190,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     bounds = sorted({found.first, *found.cuts})
     block = _place(bounds, F.col("sid"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("sid", order).withColumn("block", block)
-    opens = F.element_at(F.lit(bounds), F.col("block") + 1) == F.col("sid")
+    opens = F.element_at(numbers(bounds, "long"), F.col("block") + 1) == F.col("sid")
     before = F.pmod(F.col("block") - 1, F.lit(len(bounds)))
     own, ahead = F.struct(F.col("block").alias("block"), F.lit(False).alias("tail")), F.struct(before.alias("block"), F.lit(True).alias("tail"))
     dealt = rows.select("sid", "doc_id", "text", F.explode(F.when(opens, F.array(own, ahead)).otherwise(F.array(own))).alias("to"))

@@ -26,6 +26,8 @@ def test_winnow_is_rightmost_minimum(n):
         text = "".join(rng.choice(alphabet) for _ in range(n))
         h, at = winnowing.winnow(text)
         assert [(int(a), int(b)) for a, b in zip(h, at)] == slow_winnow(text)
+        for step in (1, 7, 100):
+            assert [x.tolist() for x in winnowing.winnow(text, step=step)] == [h.tolist(), at.tolist()]
 
 
 def test_shared_passage_is_found():
