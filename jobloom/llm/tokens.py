@@ -86,7 +86,7 @@ def lengths(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 
 #: Lengths that one window task sums up; the blocks themselves are summed in a second, much smaller window.
-BLOCK = 4096
+BLOCK = 256
 
 
 def histogram(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
