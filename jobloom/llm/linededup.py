@@ -28,6 +28,8 @@ from jobloom.llm.base import slices, table, text_of, written
 
 LEAST_CHARS = 10
 SHARDS = 64
+HOT = 1000
+HOT_DOCUMENTS = 1000
 _BLANK = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -214,9 +216,18 @@ class LineIndex:
         return LineIndex(rows, written(filters, "line-filters"), self.shards)
 
     def drops(self) -> DataFrame:
-        """(doc_id, key) of the lines that go; a key of many documents is joined with its one count."""
-        shared = self.counts().filter("documents > 1").select("key", "owner")
-        return self.rows.join(shared, "key").filter("doc_id <> owner").select("doc_id", "key")
+        """(doc_id, key) of the lines that go.
+
+        Keys with a ``1/HOT`` share of all rows or more are ``HOT`` at most, whatever the data: these are broadcast
+        (if ``HOT_DOCUMENTS`` have them at least), so that a line of very many documents doesn't meet in one task. The
+        others are joined by key.
+        """
+        shared = written(self.counts().filter("documents > 1"), "line-shared")
+        least = max(HOT_DOCUMENTS, self.rows.count() // HOT + 1)
+        hot = shared.filter(F.col("documents") >= least).select(F.col("key").alias("hot_key"), F.col("owner").alias("hot_owner"))
+        marked = self.rows.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
+        rest = marked.filter("hot_key is null").select("doc_id", "key").join(shared.filter(F.col("documents") < least).select("key", "owner"), "key")
+        return marked.filter("doc_id <> hot_owner").select("doc_id", "key").unionByName(rest.filter("doc_id <> owner").select("doc_id", "key"))
 
 
 def kept_text(text: str, gone: set[bytes]) -> tuple[str, int, int]:
@@ -227,14 +238,14 @@ def kept_text(text: str, gone: set[bytes]) -> tuple[str, int, int]:
 
 
 def _with_drops(docs: DataFrame, index: LineIndex, columns: list[str]) -> DataFrame:
-    drops = index.drops().groupBy("doc_id").agg(F.collect_list("key").alias("gone_keys")).withColumnRenamed("doc_id", "gone_id")
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("join_id"), text_of(docs).alias("whole"))
-    return rows.join(drops, F.col("join_id") == F.col("gone_id"), "left")
+    drops = index.drops().groupBy("doc_id").agg(F.collect_list("key").alias("_llm_gone")).withColumnRenamed("doc_id", "_llm_gone_id")
+    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("doc_id").cast("long").alias("_llm_doc_id"), text_of(docs).alias("_llm_text"))
+    return rows.join(drops, F.col("_llm_doc_id") == F.col("_llm_gone_id"), "left")
 
 
 def decisions(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of each row."""
-    joined = _with_drops(docs, index or LineIndex.build(docs), []).select("join_id", "whole", "gone_keys")
+    joined = _with_drops(docs, index or LineIndex.build(docs), []).select("_llm_doc_id", "_llm_text", "_llm_gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -255,10 +266,10 @@ def cleaned(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
         return pd.Series([kept_text(t, {bytes(k) for k in g} if g is not None else set())[0] for t, g in zip(texts, gone, strict=True)], dtype=object)
 
     joined = _with_drops(docs, index or LineIndex.build(docs), docs.columns)
-    text = F.when(F.col("gone_keys").isNull(), F.col("text")).otherwise(keep("whole", "gone_keys"))
+    text = F.when(F.col("_llm_gone").isNull(), F.col("text")).otherwise(keep("_llm_text", "_llm_gone"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("gone_keys").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_llm_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -121,9 +121,11 @@ def line_rows(seed=3, n=60):
     return [*rows, (501, None), (502, ""), (None, "shared line number 1\nx"), (4, rows[9][1]), (503, "shared line number 1\n" * 4000)]
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("hot", [1000, 4])
+def test_line_dedup(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_DOCUMENTS", hot)
     rows = line_rows()
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as key", "2 as owner").repartition(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "length(text) as n_chars", "1 as key", "2 as owner", "3 as gone_id", "4 as whole").repartition(4)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.decisions(df).collect())
     assert got == slow_lines(rows)
     left = linededup.cleaned(df)
