@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.base import table, text_of
+from jobloom.llm.base import numbers, table, text_of
 
 # Fixed patterns, in the order of kinds.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -47,7 +47,7 @@ ORDINARY = (
 #: Mean log-likelihood ratio per step from which a candidate counts as random.
 THRESHOLD = 0.5
 #: Documents that the labelled tokens are taken from: those whose hashed id comes first.
-TRAINING_DOCS = 2000
+TRAINING_DOCS = 400
 #: Random strings made for the sample, in equal parts base 64, base 36 and hexadecimal.
 RANDOM_STRINGS = 3000
 
@@ -92,7 +92,7 @@ def training_tokens(docs: DataFrame, most_docs: int = TRAINING_DOCS, random_stri
     base36 = F.concat(*[F.conv(F.substring("hex", 1 + 12 * i, 12), 16, 36) for i in range(4)])
     made = seeds.select(F.when(F.col("id") % 3 == 0, base64).when(F.col("id") % 3 == 1, base36).otherwise(F.substring("hex", 1, 40)).alias("token"))
     fixed = [t for k in (1, 7, 31, 53) for a, b in zip(ORDINARY, ORDINARY[k:] + ORDINARY[:k], strict=True) for t in (f"{a}_{b}", a + b.title(), a.title() + b.title() + "2", f"{a}-{b}-v1", f"{a}/{b}")]
-    ordinary = ordinary.unionByName(spark.range(1).select(F.explode(F.lit(fixed)).alias("token"), F.lit(0).alias("secret")))
+    ordinary = ordinary.unionByName(spark.range(1).select(F.explode(F.split(F.lit(" ".join(fixed)), " ")).alias("token"), F.lit(0).alias("secret")))
     return ordinary.unionByName(hits.filter(F.length("token") >= MIN_CHARS).unionByName(made).withColumn("secret", F.lit(1)))
 
 
@@ -113,7 +113,7 @@ def train(tokens: DataFrame) -> list[float]:
 
 def ratio(token: Column, table: list[float]) -> Column:
     """Mean log-likelihood ratio per step."""
-    cells = F.lit(table)
+    cells = numbers(table)
     total = F.aggregate(_steps(token), F.lit(0.0), lambda acc, i: acc + F.get(cells, i))
     return total / (F.length(token) + 1)
 
