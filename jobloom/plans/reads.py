@@ -233,7 +233,7 @@ def prj12(t: Tables) -> DataFrame:
     return t.progress.select("job_id", "seq", "status", F.length("detail").alias("detail_length"))
 
 
-@query("prj13_capped_count", "select case when count(*) > 1000 then '1,000+' else cast(count(*) as varchar) end as shown from jobs")
+@query("prj13_capped_count", "select case when count(*) > 1000 then '1,000+' else format('{:,}', count(*)) end as shown from jobs")
 def prj13(t: Tables) -> DataFrame:
     n = t.jobs.select("id").limit(1001).count()
     return t.spark.createDataFrame([(C.capped_count(n),)], "shown string")
