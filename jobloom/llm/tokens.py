@@ -26,6 +26,9 @@ PIECE = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
+    """Where a vocabulary file is: an absolute path as it stands, else one of the public tokenizers' files."""
+    if os.path.isabs(name):
+        return name
     import public_tokenizers
 
     return public_tokenizers.path(name)
