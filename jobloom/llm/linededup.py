@@ -28,6 +28,7 @@ from jobloom.llm.base import slices, table, text_of, written
 
 LEAST_CHARS = 10
 SHARDS = 64
+SHARD_ROWS = 200_000
 HOT = 1000
 HOT_DOCUMENTS = 1000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -154,9 +155,10 @@ class LineIndex:
         self.rows, self.filters, self.shards = rows, filters, shards
 
     @classmethod
-    def build(cls, docs: DataFrame, shards: int = SHARDS) -> LineIndex:
-        """Choose shards so that one holds some hundred thousand keys."""
+    def build(cls, docs: DataFrame, shards: int | None = None) -> LineIndex:
+        """Unless told, as many shards as leave at most some ``SHARD_ROWS`` rows to one."""
         rows = written(line_keys(docs).distinct().select("key", "doc_id"), "line-rows")
+        shards = shards or max(SHARDS, rows.count() // SHARD_ROWS)
         keys = rows.select("key").distinct().withColumn("shard", _shard(F.col("key"), shards))
         return cls(rows, written(keys.groupBy("shard").applyInPandas(_filter_of, "shard int, filter binary"), "line-filters"), shards)
 
