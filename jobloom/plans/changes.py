@@ -341,6 +341,14 @@ def rl6(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, "k string, tat double")
 
 
+@query("rl1_token_bucket_stream", _TB)
+def rl1_stream(t: Tables) -> DataFrame:
+    path = shared_path(t, "requests")
+    t.requests.coalesce(1).write.parquet(path)
+    source = streams.file_source(t.spark, path, "bucket string, ts timestamp_ntz, request_id long")
+    return streams.drained(streams.limited(source, lambda s, at: ratelimit.token_bucket(s, at, 10.0, 0.0005)), shared_path(t, "limited")).select("bucket", "request_id", "allowed")
+
+
 @query("rl7_all_or_nothing")
 def rl7(t: Tables) -> DataFrame:
     jobs = t.requests.select(F.col("request_id").alias("job_id"), C.micros(F.col("ts")).alias("us"), F.col("bucket").alias("reservation"), F.lit("api").alias("rate"), F.lit(40_000_000_000).alias("hold_us"))

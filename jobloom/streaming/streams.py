@@ -6,6 +6,7 @@ a checkpoint, so a restart goes on where it stopped.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.functions.columns import merged, moment
+from jobloom.operators.ratelimit import DECISIONS
 
 PROGRESS = "job_id long, seq int, status string, detail string, terminal boolean"
 
@@ -131,3 +133,20 @@ def snapshot_changes(versions: DataFrame, keys: list[str], values: list[str], or
 def merged_states(states: DataFrame) -> DataFrame:
     """Two JSON states per row merged, the newer over the older."""
     return states.select("job_id", merged(F.col("old"), F.col("new")).alias("state"))
+
+
+def limited(stream: DataFrame, step: Callable[[object, float], tuple]) -> DataFrame:
+    """A rate limit's step function over a stream of (bucket, ts, request_id): the batch decisions, with the bucket's
+    state kept between micro-batches. Within a micro-batch requests are taken by time, then id."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = pickle.loads(state.get[0]) if state.exists else None
+        rows, out = pd.concat(list(batches)).sort_values(["us", "request_id"]), []
+        for us, request in zip(rows["us"], rows["request_id"], strict=True):
+            held, ok, level, wait = step(held, us / 1e6)
+            out.append((key[0], request, ok, level, wait))
+        state.update((pickle.dumps(held),))
+        yield pd.DataFrame(out, columns=["bucket", "request_id", "allowed", "level", "retry_after"]).astype({"level": float, "retry_after": float})
+
+    source = stream.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id")
+    return source.groupBy("bucket").applyInPandasWithState(run, DECISIONS, "data binary", "append", GroupStateTimeout.NoTimeout)

@@ -58,3 +58,18 @@ def test_windows_on_a_stream(spark, folders):
     stream = streams.file_source(spark, source, "at timestamp, to_state string")
     got = streams.drained(streams.event_windows(stream, "at", "10 minutes", late="1 minute"), sink)
     assert {r.n for r in got.collect()} <= {10} and got.count() >= 1
+
+
+@pytest.mark.parametrize("name", ["token_bucket", "window_log", "gcra"])
+def test_limits_keep_their_state_between_batches(spark, folders, name):
+    from jobloom.operators import ratelimit
+
+    source, sink = folders
+    step = {"token_bucket": lambda s, t: ratelimit.token_bucket(s, t, 3.0, 0.1), "window_log": lambda s, t: ratelimit.window_log(s, t, 3, 20.0), "gcra": lambda s, t: ratelimit.gcra(s, t, 3, 20.0)}[name]
+    rows = spark.sql("select concat('b', id % 2) as bucket, timestamp '2024-01-01' + make_interval(0,0,0,0,0,0,id) as ts, id as request_id from range(40)")
+    for part in ("request_id < 15", "request_id >= 15"):
+        rows.filter(part).coalesce(1).write.mode("append").parquet(source)
+        got = streams.drained(streams.limited(streams.file_source(spark, source, "bucket string, ts timestamp, request_id long"), step), sink)
+    want = ratelimit.replayed(rows, step)
+    pick = lambda df: sorted((r.request_id, r.allowed) for r in df.collect())
+    assert pick(got) == pick(want) and {a for _, a in pick(got)} == {True, False}
