@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from jobloom.functions.columns import due, moment, seconds
 
 NO_FAIRNESS = "__null__"
+#: Configured actors up to which their capacities are broadcast; beyond it Spark chooses the join.
+MOST_BROADCAST = 100_000
 
 
 def resolved_modes(queues: DataFrame, names: list[str]) -> DataFrame:
     """(name, mode) of the asked-for queues, duplicates once; queues without a row are strict FIFO."""
     asked = queues.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
-    return asked.join(F.broadcast(queues.select("name", "mode")), "name", "left").withColumn("mode", F.coalesce("mode", F.lit("strict_fifo")))
+    return asked.join(queues.select("name", "mode"), "name", "left").withColumn("mode", F.coalesce("mode", F.lit("strict_fifo")))
 
 
 def capacity(jobs: DataFrame, actor_config: DataFrame, limit: int) -> DataFrame:
@@ -28,13 +30,15 @@ def _order() -> list[Column]:
     return [F.desc("priority"), F.asc("scheduled_at"), F.asc("id")]
 
 
-def candidates(jobs: DataFrame, cap: DataFrame, queues: list[str], limit: int, now, oversample: int, fair: bool, most_residual: int) -> DataFrame:
+def candidates(jobs: DataFrame, cap: DataFrame, queues: list[str], limit: int, now, oversample: int, fair: bool, most_residual: int, few_actors: bool) -> DataFrame:
     """Due rows within ``residual * oversample`` of each (actor, queue), or of each fairness cohort in it.
 
     ``most_residual`` bounds every residual. The bound as a literal lets Spark cut each group before the shuffle, so
     that a hot actor sends no more rows than it can use.
     """
-    open_caps = F.broadcast(cap.filter("residual > 0").select("actor", "max_concurrent", "in_flight", "residual"))
+    open_caps = cap.filter("residual > 0").select("actor", "max_concurrent", "in_flight", "residual")
+    if few_actors:
+        open_caps = F.broadcast(open_caps)
     rows = jobs.filter(due(now) & F.col("queue").isin(*dict.fromkeys(queues))).join(open_caps, "actor")
     keys = ["actor", "queue"]
     if fair:
@@ -66,8 +70,8 @@ def dispatch(jobs: DataFrame, actor_config: DataFrame, queues: list[str], limit:
     if not queues:
         return jobs.limit(0).select("id", "actor", "queue", "priority", "scheduled_at", "attempt", F.lit(0).alias("pending_rank"), F.lit(0).alias("fairness_rank"))
     cap = capacity(jobs, actor_config, limit)
-    top = actor_config.agg(F.max("max_concurrent")).first()[0] or 0  # one number of a small table
-    rows = candidates(jobs, cap, queues, limit, now, oversample, round_robin, max(limit, top))
+    top, actors = actor_config.agg(F.max("max_concurrent"), F.count("*")).first()
+    rows = candidates(jobs, cap, queues, limit, now, oversample, round_robin, max(limit, top or 0), actors <= MOST_BROADCAST)
     rows = without_busy_identities(rows, jobs)
     fair = [F.asc("fairness_rank")] if round_robin else []
     rows = rows.withColumn("pending_rank", F.row_number().over(Window.partitionBy("actor").orderBy(*fair, *_order())))

@@ -25,7 +25,7 @@ def enqueue(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame, now,
     rows = rows.join(single, "actor", "left").withColumn("wants_single", json_true(F.col("metadata"), "singleton"))
     waiting = jobs.filter(F.col("status").isin("pending", "scheduled")).groupBy("actor").agg(F.count("*").alias("waiting"))
     limits = actor_config.select("actor", "max_pending").join(waiting, "actor", "left")
-    rows = rows.join(F.broadcast(limits), "actor", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
+    rows = rows.join(limits, "actor", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
     known = jobs.filter("idempotency_key is not null").select("idempotency_key", F.col("id").alias("existing_id"))
     rows = rows.join(known, "idempotency_key", "left")
     nth_key = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("ordinal"))
@@ -46,7 +46,7 @@ def enqueue_batch(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame,
     caps = wanted.join(actor_config.select("actor", "max_pending"), "actor", "left").join(waiting, "actor", "left")
     refused = caps.select("actor", F.coalesce(F.coalesce("waiting", F.lit(0)) + F.col("wanted") >= F.col("max_pending"), F.lit(False)).alias("refused"))
     known = jobs.filter("idempotency_key is not null").select("idempotency_key", F.col("id").alias("existing_id"))
-    rows = requests.join(F.broadcast(refused), "actor").join(known, "idempotency_key", "left")
+    rows = requests.join(refused, "actor").join(known, "idempotency_key", "left")
     first = F.min("ordinal").over(Window.partitionBy("idempotency_key"))
     rows = rows.withColumn("same_as", F.when(F.col("idempotency_key").isNotNull() & (first < F.col("ordinal")), first))
     outcome = F.when(F.col("refused"), "max_pending").when(F.col("existing_id").isNotNull() | F.col("same_as").isNotNull(), "existing").otherwise("inserted")

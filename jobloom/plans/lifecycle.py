@@ -25,7 +25,7 @@ def prunable(jobs: DataFrame, now, retention: dict[str, int] = RETENTION, overri
     rows = jobs.filter(F.col("status").isin(*TERMINAL)).withColumn("days", retention_days(retention))
     if overrides is not None:
         own = overrides.select("actor", whole_number(F.col("metadata"), "retention_days").alias("own_days")).filter("own_days is not null")
-        rows = rows.join(F.broadcast(own), "actor", "left").withColumn("days", F.least("days", "own_days"))
+        rows = rows.join(own, "actor", "left").withColumn("days", F.least("days", "own_days"))
     return rows.filter(F.col("finished_at") < moment(now) - F.make_dt_interval(days=F.col("days")))
 
 

@@ -289,7 +289,7 @@ def joi6(t: Tables) -> DataFrame:
 def joi7(t: Tables) -> DataFrame:
     from jobloom.plans.dispatch import capacity
 
-    return t.jobs.filter("status = 'pending'").join(F.broadcast(capacity(t.jobs, t.actor_config, 50).filter("residual > 0")), "actor").select("id", "residual")
+    return t.jobs.filter("status = 'pending'").join(capacity(t.jobs, t.actor_config, 50).filter("residual > 0"), "actor").select("id", "residual")
 
 
 @query("joi8_apply_delta", "select id, case when status = 'scheduled' and scheduled_at <= NOW then 'pending' else status end as status from jobs")
@@ -316,7 +316,7 @@ def joi10(t: Tables) -> DataFrame:
 
 @query("joi11_stranded", "select j.id, j.actor from jobs j where j.status in ('pending', 'scheduled') and not exists (select 1 from actor_config a where a.actor = j.actor)")
 def joi11(t: Tables) -> DataFrame:
-    return t.jobs.filter(F.col("status").isin("pending", "scheduled")).join(F.broadcast(t.actor_config), "actor", "left_anti").select("id", "actor")
+    return t.jobs.filter(F.col("status").isin("pending", "scheduled")).join(t.actor_config, "actor", "left_anti").select("id", "actor")
 
 
 @query("joi12_slots_of_running", "select bucket_name, slot_index from reservation_slots s where exists (select 1 from jobs j where j.id = s.job_id and j.status = 'running')")

@@ -59,7 +59,7 @@ def succeed(jobs: DataFrame, actor_config: DataFrame, now, worker: int | None =
     """Results over 64 KiB are errors; they expire after the actor's time to live, if it has one."""
     if len(result.encode()) > 65_536:
         raise ValueError("the result is larger than 65536 bytes")
-    met = jobs.join(F.broadcast(actor_config.select("actor", "result_ttl")), "actor", "left")
+    met = jobs.join(actor_config.select("actor", "result_ttl"), "actor", "left")
     expires = F.when(F.col("result_ttl").isNotNull(), moment(now) + seconds(F.col("result_ttl").cast("decimal(18,6)")))
     return _plain(met, _owned(worker), now, "succeeded", "succeeded", result=F.lit(result), result_size_bytes=F.lit(len(result.encode())), result_expires_at=expires)
 
