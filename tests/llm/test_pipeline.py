@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from jobloom.llm import queries, toxicity
+from jobloom.llm import jaccard, queries, toxicity
 from test_scans import slow_hits
 from test_tables import check_packing, slow_lines
 from test_winnowing_simhash import slow_components, slow_fingerprint
@@ -59,6 +60,38 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert hashlib.sha256(str(slow_lines(rows)[:3]).encode()).hexdigest()
 
 
+def slow_jaccard_components(texts):
+    cut = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(cut, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("key_rows", [jaccard.KEY_ROWS, 3])
+def test_near_stage_takes_five_words_and_similarity(spark, key_rows):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    texts = ["", None, "one", "One", "two words"]
+    for _ in range(8):
+        base = [rng.choice(words) for _ in range(rng.randrange(6, 250))]
+        for n in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 25)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df, key_rows).collect()}
+    want = slow_jaccard_components(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert want != slow_components([slow_fingerprint(t) for t in texts])
+    assert {r.doc_id for r in corpus_pipeline.near(spark, df, SF).collect()} == set(want)
+
+
 def test_stages_take_odd_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, block int, fp string"
     rows = [(1, None, None, None, None, None, "x"), (1, None, None, None, None, None, "x"), (None, "a b c", "en", None, 5, 1, None), (2, "", "", "", 0, 2, ""), (3, "w " * 9000, "en", "s", 18000, 3, "y")]
