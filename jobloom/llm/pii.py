@@ -358,11 +358,8 @@ def field_spans(text: str, weights: np.ndarray, follow: np.ndarray) -> list[tupl
     """(start, kind, stop) that the field finds."""
     out = []
     for run, before in islands(text):
-        # Long runs are decoded in windows; an entity has MOST_CHUNKS chunks at most.
-        for at in range(0, len(run), 8 * MOST_CHUNKS):
-            chunks = run[at : at + 8 * MOST_CHUNKS]
-            where, rows = _segments(text, chunks, text[slice(*run[at - 1])] if at else before)
-            out += [(where[s][2], k, where[s][3]) for s, k in decoded(where, rows, len(chunks), weights, follow) if k < OTHER]
+        where, rows = _segments(text, run, before)
+        out += [(where[s][2], k, where[s][3]) for s, k in decoded(where, rows, len(run), weights, follow) if k < OTHER]
     return out
 
 

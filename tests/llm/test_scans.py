@@ -87,6 +87,14 @@ def test_pii_field_finds_what_patterns_miss():
     assert spans("a 4111111111111111 b 10.0.0.1, c") == "card:2:18,ip:21:29"
 
 
+def test_pii_field_reads_long_runs_whole():
+    w, f = pii.trained()
+    want = [f"(555) {100 + i} {4000 + i}" for i in range(60)]
+    for gap in (" ", "\n"):
+        text = gap.join(want)
+        assert [text[a:b] for a, k, b in pii.field_spans(text, w, f) if pii.KINDS[k] == "phone"] == want
+
+
 def test_pii_decoder_is_the_best_of_all_segmentations():
     rng = np.random.default_rng(5)
     kinds = pii.OTHER + 1
