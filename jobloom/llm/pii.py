@@ -3,9 +3,10 @@
 The field labels whole segments of white-space separated chunks: a segment of up to ``MOST_CHUNKS`` chunks is an
 e-mail address, an IP address, a payment card, a phone number or other text (one chunk). Features look at the whole
 span: shape, digit count, checksum, octets, separators and the word before it. Decoding is a dynamic program over
-segment ends and types, bounded by ``MOST_CHUNKS``, so boundaries and types are chosen jointly. Chunks without a
-digit, an ``@`` or a bracketed ``at`` can only be other text; their score is the same wherever they stand, so each
-run of the remaining chunks is decoded by itself, with the same result as the whole text.
+segment ends and types, bounded by ``MOST_CHUNKS``, so boundaries and types are chosen jointly. Only runs of chunks
+with a digit, an ``@`` or a bracketed ``at``, and in a run with such an ``at`` of a bracketed ``dot`` and what stands
+after either, are candidates; each is decoded whole and by itself. A domain with a blank beside a bare dot ends there,
+and an address of more than ``MOST_CHUNKS`` chunks (two spaced dots) is found only in part.
 
 Weights maximise the penalised likelihood of ``SENTENCES`` labelled sentences made from a seed; nothing of the
 corpus is used. Spans of the fixed patterns always stay; the field adds spans that overlap none of them.
@@ -92,6 +93,7 @@ _SHAPE_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _SHAPE_PHONE = re.compile(r"(?:[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _SHAPE_CARD = re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|AT) ?[\])]")
+_MARK = re.compile(r"[\[(] ?(?:(at|AT)|dot) ?[\])]")
 _ENDS = " \t\n\r\x0b\x0c.,;:!?\"'|*#$%&<>{}=~`"
 CUES = {"phone": 0, "tel": 0, "call": 0, "mobile": 0, "fax": 0, "card": 1, "visa": 1, "credit": 1, "email": 2, "mail": 2, "contact": 2, "e-mail": 2, "ip": 3, "host": 3, "server": 3, "address": 3}
 FEATURES = 24
@@ -215,9 +217,10 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     ip = lambda top: ".".join(str(rng.randrange(256, 999) if k == top else rng.randrange(256)) for k in range(4))
     host = lambda: f"{word()}.{rng.choice(['com', 'org', 'net'])}"
+    spaced = lambda: f"{word()} {rng.choice(['(dot)', '[dot]'])} {rng.choice(['com', 'org', 'net'])}"
     entity = [
         (0, lambda: f"{word()}.{digits(2)}@{host()}"),
-        (0, lambda: f"{word()} {rng.choice(['(at)', '[at]'])} {host()}"),
+        (0, lambda: f"{word()} {rng.choice(['(at)', '[at]'])} {rng.choice([host, spaced])()}"),
         (1, lambda: ip(-1)),
         (2, lambda: card(True)),
         (3, phone),
@@ -303,7 +306,8 @@ def trained(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) ->
 def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
     """Runs of chunks that may hold an entity, and the word before each run.
 
-    A chunk holds a digit, an ``@`` or a bracketed ``at``, or stands beside a bracketed ``at``. Runs too poor for any
+    A chunk holds a digit, an ``@`` or a bracketed ``at``, or stands beside a bracketed ``at``; after one, a bracketed
+    ``dot`` and the chunk after it belong to the run, too. Runs too poor for any
     entity (under seven digits, no ``@`` or ``at``, no dotted quad) are other text whatever the weights.
     """
     at, n = 0, len(text)
@@ -313,7 +317,7 @@ def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
         while start > low and not text[start - 1].isspace():
             start -= 1
         chunks, strong = [], False
-        if text[m.start()] in "[(":  # the local part stands before it
+        if m.start() == start and text[start] in "[(":  # the local part stands before it
             stop = start
             while stop > at and text[stop - 1].isspace():
                 stop -= 1
@@ -322,13 +326,16 @@ def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
                 first -= 1
             if first < stop and start > stop:
                 chunks.append((first, stop))
-        pos = start
+        pos, marked, hidden = start, -1, False  # where the last bracketed mark ends; whether an "at" came
         while pos < n:
             stop = pos
             while stop < n and stop - pos < MOST_CHARS and not text[stop].isspace():
                 stop += 1
-            after_at = bool(chunks) and text[chunks[-1][0] : chunks[-1][1]].strip("[]()").lower() == "at"
-            if not after_at and not _TRIGGER.search(text, pos, stop):
+            inside = pos < marked or bool(chunks) and chunks[-1][1] == marked
+            for mark in _MARK.finditer(text, pos, min(n, stop + 6)):
+                if mark.start() < stop and (mark[1] or hidden):
+                    inside, marked, hidden = True, mark.end(), True
+            if not inside and not _TRIGGER.search(text, pos, stop):
                 break
             chunks.append((pos, stop))
             if stop < n and not text[stop].isspace():  # a chunk beyond the bound ends the run
@@ -343,7 +350,7 @@ def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
         if not chunks:
             continue
         whole = text[chunks[0][0] : chunks[-1][1]]
-        strong = "@" in whole or "[at]" in whole.lower() or "(at)" in whole.lower() or whole.count(".") >= 3
+        strong = hidden or "@" in whole or "[at]" in whole.lower() or "(at)" in whole.lower() or whole.count(".") >= 3
         if strong or sum("0" <= c <= "9" for c in whole) >= 7:
             stop = chunks[0][0]
             while stop > 0 and text[stop - 1].isspace():

@@ -95,6 +95,14 @@ def test_pii_field_reads_long_runs_whole():
         assert [text[a:b] for a, k, b in pii.field_spans(text, w, f) if pii.KINDS[k] == "phone"] == want
 
 
+@pytest.mark.parametrize("address", ["joe (at) foo (dot) com", "joe [at] foo [dot] org", "joe(at) foo(dot) com", "joe ( at ) foo.com"])
+def test_pii_field_finds_spaced_marks(address):
+    w, f = pii.trained()
+    for before, after in (("", ""), ("mail ", " now"), ("see (dot) and ", ", then 12 (dot) b")):
+        text = before + address + after
+        assert [(text[a:b], pii.KINDS[k]) for a, k, b in pii.field_spans(text, w, f)] == [(address, "email")]
+
+
 def test_pii_decoder_is_the_best_of_all_segmentations():
     rng = np.random.default_rng(5)
     kinds = pii.OTHER + 1
