@@ -5,8 +5,9 @@ points are left alone. The exact table has for each key and document one row (ke
 number of documents that hold a key and the smallest of them, its owner. A key that two or more documents hold loses
 its lines everywhere but in the owner.
 
-``LineIndex`` keeps that table by shard, with one cuckoo filter per shard that is consulted first: keys that the
-filter doesn't know are new, and the exact table is joined only for the rest. Cuckoo filters support deletion, and
+``LineIndex`` keeps that table by shard, with one cuckoo filter per shard that ``insert`` consults first: keys that the
+filter doesn't know are new, and the exact table is joined only for the rest. The answers (``decisions``, ``cleaned``)
+come from the exact table alone; no filter is read for them. Cuckoo filters support deletion, and
 the table says when the last document of a key goes, so ``delete`` undoes ``insert`` exactly.
 
 Cases: null text is one empty line; rows without id are kept whole and count as no document; repeated rows of an id
