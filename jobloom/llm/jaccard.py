@@ -124,11 +124,12 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """(doc_id, component_id) of every document that has an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).filter("doc_id is not null")
-    sets = written(texts.mapInArrow(_sets, "doc_id long, node long, n int, counts binary, hashes binary"), "jaccard-sets")
-    firsts = written(sets.groupBy("node").agg(F.min("doc_id").alias("first_id")), "jaccard-firsts")
-    # Of equal sets one row; rows repeated under one id are dropped here, too.
-    whole = sets.join(firsts.select("node", F.col("first_id").alias("doc_id")), ["node", "doc_id"], "left_semi")
-    nodes = written(whole.dropDuplicates(["node"]).select("node", "n", "counts", "hashes"), "jaccard-nodes")
+    sets = texts.mapInArrow(_sets, "doc_id long, node long, n int, counts binary, hashes binary")
+    marks = written(sets.select("doc_id", "node"), "jaccard-marks")
+    firsts = written(marks.groupBy("node").agg(F.min("doc_id").alias("first_id")), "jaccard-firsts")
+    # Copies are few next to the sets, which are made again rather than shuffled; a row repeated under one id is harmless.
+    copies = written(marks.join(firsts, "node").filter("doc_id <> first_id").select("doc_id", "node").distinct(), "jaccard-copies")
+    nodes = written(sets.join(copies, ["doc_id", "node"], "left_anti").select("node", "n", "counts", "hashes"), "jaccard-nodes")
 
     found = _prefixes(nodes, np.zeros(0, dtype=np.uint64)).groupBy("key").count().filter(F.col("count") >= COMMON)
     common = found.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
@@ -153,4 +154,4 @@ def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     marked = firsts.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = marked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = marked.join(least, "root").select(F.col("node").alias("class_node"), "component_id")
-    return sets.select("doc_id", "node").join(classes, F.col("node") == F.col("class_node")).select("doc_id", "component_id")
+    return marks.join(classes, F.col("node") == F.col("class_node")).select("doc_id", "component_id")
