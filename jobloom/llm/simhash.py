@@ -1,25 +1,29 @@
 """SimHash near-duplicates, searched with a Gray-order hierarchical index.
 
-A fingerprint bit is set if more than half of the XXH64 hashes (seed 42) of a text's 4-word shingles have it.
+A fingerprint bit is set if more than half of the XXH64 hashes (seed 42) of a text's word shingles have it.
 Fingerprints link at ``DISTANCE`` or fewer differing bits; documents of linked fingerprints form a component.
 
-Search: equal fingerprints are first collapsed. The 64 bits are cut into six blocks; four differing bits leave at
-least two blocks untouched, so each pair that links meets in one of fifteen tables keyed by two blocks. The
-fingerprints under one key are sorted by Gray rank and indexed as a tree: a node holds the bits on which everything
-below it agrees, a child only those that its parent lacks. A search adds up a query's differences along the way
-down and leaves a group as soon as they pass the distance. What it finds leaves the index, so a key yields a
-spanning forest of its links, never all pairs. A key with more than ``KEY_ROWS`` fingerprints is cut into chunks,
-and each pair of chunks becomes a key of its own: exact, and bounded for one task.
-
-Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; texts of
-fewer than four words have one shingle. Rows without id get the smallest id of their component, null if none has
-one. Repeated rows keep one result each. Extra columns are ignored.
+Search: equal fingerprints are first collapsed. The rest are sorted by Gray rank over the whole table and cut into
+ranges of neighbours. A node of the index is a group of neighbours: it holds the bits on which everything below agrees,
+and of these only the ones that its parent lacks. The upper nodes lead to ranges; each range has a tree of its own.
+Every fingerprint goes from the root through the upper nodes, adding up its differences, and is sent to those ranges
+only that it can still reach, there down the range's tree, and leaves a group as soon as the differences pass the
+distance. A pair is looked for once, from the range that comes first.
+
+A fingerprint that meets more than ``DENSE`` others in a range is not paired with all of them: these are explored as a
+forest, in which what has been found leaves the index. So links span the same components as all pairs would, and their
+number grows with the rows. The number of ranges follows the number of fingerprints (``RANGE_ROWS`` to each, at least
+``LEAST_RANGES`` ranges); the driver and each task hold one pattern and mask for each range.
+
+Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; texts of fewer
+words than a shingle have one shingle; very long texts are hashed 65,536 shingles at a time. Rows without id get the
+smallest id of their component, null if none has one. Repeated rows keep one result each; equal texts are one
+fingerprint, so ties need no rule. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,18 @@ from jobloom.llm.components import components
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-BLOCKS = (11, 11, 11, 11, 10, 10)
-KEY_ROWS = 20_000
-#: Children of a node of the index, and the rows of a leaf.
-FAN = 8
+#: Fingerprints of a range of the index, and the least number of ranges.
+RANGE_ROWS = 1 << 18
+LEAST_RANGES = 64
+#: Children of a node of the index.
+FAN = 4
+#: Groups that a search looks at side by side; beyond it, the queries are halved.
+FRONTIER = 1 << 20
+#: Fingerprints that are sent in one row.
+SENT_ROWS = 1024
+#: Neighbours in one range from which a fingerprint's links are explored as a forest, and how many such wait.
+DENSE = 64
+DENSE_ROWS = 1 << 18
 
 
 def fingerprint(data: bytes) -> int:
@@ -63,18 +75,6 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _masks() -> list[int]:
-    blocks, low = [], 0
-    for size in BLOCKS:
-        blocks.append(((1 << size) - 1) << low)
-        low += size
-    return [a | b for a, b in combinations(blocks, len(BLOCKS) - DISTANCE)]
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
-
-
 def gray_rank(col):
     """Place of a bit pattern in the reflected Gray sequence."""
     for n in (32, 16, 8, 4, 2, 1):
@@ -83,140 +83,200 @@ def gray_rank(col):
 
 
 class GrayIndex:
-    """Patterns in Gray order under a tree of the bits that neighbours share."""
-
-    def __init__(self, ordered: np.ndarray) -> None:
-        self.x = ordered
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # patterns and masks, leaves first
-        n, ones, zeros = len(ordered), ordered, ~ordered
-        while n > 1:
-            starts = np.arange(0, n, FAN)
+    """Leaves (``ones``: bits that are set, ``zeros``: bits that are not) in Gray order under a tree of shared bits.
+
+    A leaf that is one fingerprint settles all bits; one that stands for a range settles those its rows share.
+    """
+
+    def __init__(self, ones: np.ndarray, zeros: np.ndarray | None = None) -> None:
+        zeros = ~ones if zeros is None else zeros
+        self.size = len(ones)
+        levels = [(ones, ones | zeros)]
+        while len(ones) > 1:
+            starts = np.arange(0, len(ones), FAN)
             ones, zeros = np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)
-            self.levels.append((ones, ones | zeros))
-            n = len(starts)
+            levels.append((ones, ones | zeros))
         # A child keeps only the bits that its parent has not settled.
-        for below, above in zip(self.levels, self.levels[1:], strict=False):
-            np.bitwise_and(below[1], ~np.repeat(above[1], FAN)[: len(below[1])], out=below[1])
-        if self.levels:
-            self.rest = ~np.zeros(len(ordered), dtype=np.uint64)
-            settled = np.zeros(1, dtype=np.uint64)
-            for _, mask in reversed(self.levels):
-                settled = np.repeat(settled, FAN)[: len(mask)] | mask
-            self.rest = ~np.repeat(settled, FAN)[: len(ordered)]
-        else:
-            self.rest = ~np.zeros(len(ordered), dtype=np.uint64)
-        self.alive = [np.ones(len(ordered), dtype=bool)]
-        for pattern, _ in self.levels:
-            flags = self.alive[-1]
-            self.alive.append(np.add.reduceat(flags.astype(np.int64), np.arange(0, len(flags), FAN))[: len(pattern)])
-
-    def remove(self, at: np.ndarray) -> None:
-        self.alive[0][at] = False
-        for counts in self.alive[1:]:
-            at = at // FAN
-            np.subtract.at(counts, at, 1)
-
-    def near(self, q: np.uint64, most: int) -> np.ndarray:
-        """Rows still in the index that differ from ``q`` in at most ``most`` bits."""
-        at, far = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.levels = [(p, m & ~np.repeat(above[1], FAN)[: len(m)]) for (p, m), above in zip(levels, levels[1:], strict=False)] + levels[-1:]
+        self.left: list[np.ndarray] = []  # leaves of each node that no one has taken, once someone has
+
+    def near(self, q: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``q``, leaf) of all leaves not taken that differ from a query in at most ``most`` settled bits."""
+        if not self.size or not len(q):
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        who, at, far = np.arange(len(q), dtype=np.int32), np.zeros(len(q), dtype=np.int32), np.zeros(len(q), dtype=np.uint8)
         for depth in range(len(self.levels) - 1, -1, -1):
             pattern, mask = self.levels[depth]
-            far = far + np.bitwise_count((pattern[at] ^ q) & mask[at])
-            keep = (far <= most) & (self.alive[depth + 1][at] > 0)
-            at, far = at[keep], far[keep]
-            if not len(at):
-                return at
-            size = len(self.levels[depth - 1][0]) if depth else len(self.x)
-            at, far = (at[:, None] * FAN + np.arange(FAN)).ravel(), np.repeat(far, FAN)
-            inside = at < size
-            at, far = at[inside], far[inside]
-        far = far + np.bitwise_count((self.x[at] ^ q) & self.rest[at])
-        return at[(far <= most) & self.alive[0][at]]
-
-    def forest(self, most: int) -> list[tuple[int, int]]:
-        """Links that span each component of the rows; empties the index."""
-        links, waiting = [], []
-        for start in range(len(self.x)):
-            if not self.alive[0][start]:
-                continue
-            self.remove(np.array([start]))
-            waiting.append(start)
-            while waiting:
-                here = waiting.pop()
-                found = self.near(self.x[here], most)
-                if len(found):
-                    self.remove(found)
-                    links += [(here, int(i)) for i in found]
-                    waiting += found.tolist()
-        return links
-
-
-def _links(groups: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal ``groups``; ``x`` is in Gray order within each."""
-    new = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    sizes = np.diff(np.concatenate([new, [len(x)]]))
-    small = np.repeat(sizes <= FAN, sizes)
-    a, b = [], []
-    for d in range(1, min(FAN, int(sizes.max()))):  # a single leaf: its rows side by side
-        hit = np.flatnonzero(small[d:] & (groups[d:] == groups[:-d]) & (np.bitwise_count(x[d:] ^ x[:-d]) <= DISTANCE))
-        a.append(x[hit])
-        b.append(x[hit + d])
-    for at, size in zip(new[sizes > FAN], sizes[sizes > FAN], strict=True):
-        own = x[at : at + size]
-        if links := GrayIndex(own).forest(DISTANCE):
-            i, j = np.array(links).T
-            a.append(own[i])
-            b.append(own[j])
-    return (np.concatenate(a), np.concatenate(b)) if a else (x[:0], x[:0])
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key and Gray rank; the last key of a batch waits for the next batch."""
-    keys, fps = [], []
-
-    def out(k: np.ndarray, x: np.ndarray):
-        a, b = _links(k, x)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            far = far + np.bitwise_count((pattern[at] ^ q[who]) & mask[at])
+            keep = np.flatnonzero(far <= most) if not self.left else np.flatnonzero((far <= most) & (self.left[depth][at] > 0))
+            who, at, far = who[keep], at[keep], far[keep]
+            if not depth or not len(at):
+                return who, at
+            if len(at) > FRONTIER and len(q) > 1:
+                half = len(q) // 2
+                (a, x), (b, y) = self.near(q[:half], most), self.near(q[half:], most)
+                return np.concatenate([a, b + np.int32(half)]), np.concatenate([x, y])
+            below = len(self.levels[depth - 1][0])
+            at = (at[:, None] * np.int32(FAN) + np.arange(FAN, dtype=np.int32)).ravel()
+            who, far = np.repeat(who, FAN), np.repeat(far, FAN)
+            if at.max() >= below:
+                inside = at < below
+                who, at, far = who[inside], at[inside], far[inside]
+        raise AssertionError
+
+    def take(self, at: np.ndarray) -> None:
+        if not self.left:
+            self.left = [np.ones(self.size, dtype=np.int32)]
+            while len(self.left) < len(self.levels):
+                self.left.append(np.add.reduceat(self.left[-1], np.arange(0, len(self.left[-1]), FAN)))
+        for counts in self.left:
+            np.subtract.at(counts, at, 1)
+            at = at // FAN
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys.append(batch.column(0).to_numpy())
-        fps.append(batch.column(1).to_numpy().view(np.uint64))
-        if keys[-1][0] == keys[-1][-1] == keys[0][-1]:
+
+def forest(x: np.ndarray, y: np.ndarray, most: int = DISTANCE) -> list[tuple[int, int]]:
+    """Links (place in ``x``, place in ``y``), both in Gray order, that span what all links between the two sets span.
+
+    From each row not yet reached, one component is explored to its end before the next begins; rows that were reached
+    leave the indexes, so the work grows with the rows, not with the links.
+    """
+    sides, out, every = (GrayIndex(x), GrayIndex(y)), [], (x, y)
+    for start in range(len(x)):
+        if sides[0].left and not sides[0].left[0][start]:
             continue
-        k, x = np.concatenate(keys), np.concatenate(fps)
-        cut = len(k) - int(np.argmax(k[::-1] != k[-1]))
-        keys, fps = [k[cut:]], [x[cut:]]
-        yield out(k[:cut], x[:cut])
-    if keys:
-        yield out(np.concatenate(keys), np.concatenate(fps))
+        sides[0].take(np.array([start]))
+        waiting = [(0, start)]
+        while waiting:
+            side, here = waiting.pop()
+            found = sides[1 - side].near(every[side][here : here + 1], most)[1]
+            if len(found):
+                sides[1 - side].take(found)
+                for other in found.tolist():
+                    out.append((other, here) if side else (here, other))
+                    waiting.append((1 - side, other))
+    return out
+
+
+def _ranked(x: np.ndarray) -> np.ndarray:
+    """In Gray order."""
+    rank = x.copy()
+    for n in (32, 16, 8, 4, 2, 1):
+        rank ^= rank >> np.uint64(n)
+    return x[np.argsort(rank)]
+
 
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (rank, fp) of neighbouring ranges, sorted, as rows (start, ones, zeros, rows) of one range each."""
 
-def links(distinct: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    def out(ranks: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        both = np.array([np.bitwise_and.reduce(x), np.bitwise_and.reduce(~x)]).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ranks[:1]), pa.array(both[:1]), pa.array(both[1:]), pa.array([x.tobytes()], type=pa.binary())], names=["start", "ones", "zeros", "rows"])
+
+    ranks, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        ranks, fps = np.concatenate([ranks, batch.column(0).to_numpy()]), np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
+        while len(ranks) > RANGE_ROWS:
+            yield out(ranks[:RANGE_ROWS], fps[:RANGE_ROWS])
+            ranks, fps = ranks[RANGE_ROWS:], fps[RANGE_ROWS:]
+    if len(ranks):
+        yield out(ranks, fps)
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (start, kind, fps) sorted by range and kind: a range's rows (0), then what is looked for in it (1), some at
+    a time. Memory is one range's tree, one row and ``DENSE_ROWS`` dense queries."""
+    a, b, size = [], [], 0
+    here, parts, index, dense = None, [], None, []
+
+    def links(force: bool = False) -> Iterator[pa.RecordBatch]:
+        nonlocal a, b, size
+        if a and (force or size > 65_536):
+            columns = [pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)]
+            a, b, size = [], [], 0
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+
+    def met(x: np.ndarray, y: np.ndarray) -> None:
+        nonlocal size
+        apart = x != y
+        a.append(np.minimum(x, y)[apart])
+        b.append(np.maximum(x, y)[apart])
+        size += len(x)
+
+    def explored() -> None:
+        nonlocal dense
+        if dense:
+            x, y = _ranked(np.unique(np.concatenate(dense))), parts[0]
+            i, j = np.array(forest(x, y), dtype=np.int64).reshape(-1, 2).T
+            met(x[i], y[j])
+            dense = []
+
+    for batch in batches:
+        for start, kind, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            x = np.frombuffer(data.as_buffer(), dtype=np.uint64)
+            if start != here:
+                explored()
+                here, parts, index = start, [], None
+            if not kind:
+                parts.append(x)
+                continue
+            if index is None:
+                parts = [_ranked(np.concatenate(parts))]
+                index = GrayIndex(parts[0])
+            rows = parts[0]
+            who, at = index.near(x, DISTANCE)
+            many = np.bincount(who, minlength=len(x)) > DENSE
+            if many.any():
+                dense.append(x[many])
+                few = ~many[who]
+                who, at = who[few], at[few]
+            met(x[who], rows[at])
+            yield from links()
+            if sum(map(len, dense)) > DENSE_ROWS:
+                explored()
+                yield from links()
+    explored()
+    yield from links(True)
+
+
+def links(distinct: DataFrame, range_rows: int = RANGE_ROWS, least_ranges: int = LEAST_RANGES) -> DataFrame:
     """Of distinct fingerprints (fp), links (a, b) that span the same components as all pairs within the distance."""
-    routes = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("bits")) for i, m in enumerate(_masks())])
-    routed = distinct.select("fp", F.explode(routes).alias("r")).select("fp", "r.c", "r.bits")
-    sizes = routed.groupBy("c", "bits").agg(F.count("*").alias("n"))
-    hot = written(sizes.filter(F.col("n") > key_rows), "simhash-hot")
-    if hot.isEmpty():
-        keyed = routed.select("fp", F.xxhash64("c", "bits").alias("key"))
-    else:
-        chunks = F.ceil(F.col("n") / (key_rows // 2)).cast("int")
-        own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-        met = routed.join(hot, ["c", "bits"], "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", own)
-        other = met.select("fp", "c", "bits", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        keyed = other.select("fp", F.xxhash64("c", "bits", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
-    dealt = keyed.repartition("key").sortWithinPartitions("key", gray_rank(F.col("fp")))
-    # Two keys of one hash only compare more rows; a link is always held against the distance.
-    return dealt.select("key", "fp").mapInArrow(_linked, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
+    ranges = max(least_ranges, distinct.count() // range_rows)
+    dealt = distinct.select(gray_rank(F.col("fp")).alias("rank"), "fp").repartitionByRange(ranges, "rank").sortWithinPartitions("rank")
+    leaves = written(dealt.mapInArrow(_ranges, "start long, ones long, zeros long, rows binary"), "simhash-ranges")
+    # The upper nodes' leaves: three numbers for each range.
+    upper = np.array([tuple(r) for r in leaves.select("start", "ones", "zeros").orderBy("start").collect()], dtype=np.int64).reshape(-1, 3)
+    starts, ones, zeros = upper[:, 0].copy(), upper[:, 1].copy().view(np.uint64), upper[:, 2].copy().view(np.uint64)
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = GrayIndex(ones, zeros)
+
+        def out(to: list, kind: list, rows: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(to, type=pa.int64()), pa.array(kind, type=pa.int8()), pa.array(rows, type=pa.binary())], names=["start", "kind", "fps"])
+
+        for batch in batches:
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x, own = np.frombuffer(data.as_buffer(), dtype=np.uint64), int(np.searchsorted(starts, start))
+                for at in range(0, len(x), SENT_ROWS):
+                    some = x[at : at + SENT_ROWS]
+                    who, to = index.near(some, DISTANCE)
+                    later = to >= own
+                    who, to = who[later], to[later]
+                    order = np.argsort(to, kind="stable")
+                    who, to = who[order], to[order]
+                    cuts = np.flatnonzero(np.diff(to)) + 1
+                    groups = zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True)
+                    met = [(int(starts[to[i]]), 1, some[who[i:j]].tobytes()) for i, j in groups]
+                    yield out(*map(list, zip((start, 0, some.tobytes()), *met, strict=True)))
+
+    dealt = leaves.select("start", "rows").mapInArrow(sent, "start long, kind byte, fps binary").repartition(max(ranges, 2), "start").sortWithinPartitions("start", "kind")
+    return dealt.mapInArrow(_searched, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, range_rows: int = RANGE_ROWS, least_ranges: int = LEAST_RANGES) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
     marked = written(with_fingerprints(docs), "simhash")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = components(links(distinct.select("fp"), key_rows))
+    roots = components(links(distinct.select("fp"), range_rows, least_ranges))
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = joined.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id")

@@ -90,8 +90,9 @@ def slow_components(fps):
     return [find(i) for i in range(len(fps))]
 
 
-@pytest.mark.parametrize("key_rows", [simhash.KEY_ROWS, 6])
-def test_near_duplicates_against_all_pairs(spark, key_rows):
+@pytest.mark.parametrize("dense, ranges", [(simhash.DENSE, simhash.LEAST_RANGES), (3, 7), (0, 1)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, dense, ranges):
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(7)
     words = ["w%d" % i for i in range(400)]
     base = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(6)]
@@ -104,7 +105,7 @@ def test_near_duplicates_against_all_pairs(spark, key_rows):
             texts.append(" ".join(w))
     texts += ["", None, " \n", "one", "One", "two words", base[0], base[0].upper(), "École   x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "0 as fp", "'x' as fingerprint")
-    got = {r.doc_id: r for r in simhash.near_duplicates(df, key_rows).collect()}
+    got = {r.doc_id: r for r in simhash.near_duplicates(df, least_ranges=ranges).collect()}
     fps = [slow_fingerprint(t) for t in texts]
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{x:016x}" for x in fps]
     assert [got[i].component_id for i in range(len(texts))] == slow_components(fps)
@@ -116,19 +117,81 @@ def test_near_duplicates_empty_and_null_ids(spark):
     assert len(got) == 4 and {r.component_id for r in got} == {3}
 
 
-@pytest.mark.parametrize("n", [1, 2, 9, 64, 65, 700])
-def test_gray_index_spans(n):
-    rng = np.random.default_rng(n)
+def close_values(n, seed):
+    rng = np.random.default_rng(seed)
     centres = rng.integers(0, 1 << 63, 1 + n // 50, dtype=np.uint64)
-    x = np.unique(rng.choice(centres, n) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)))
-    rank = x.copy()
-    for s in (32, 16, 8, 4, 2, 1):
-        rank ^= rank >> np.uint64(s)
-    x = x[np.argsort(rank)]
-    links = simhash.GrayIndex(x.copy()).forest(4)
+    flip = lambda: np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)
+    return simhash._ranked(np.unique(rng.choice(centres, n) ^ flip() ^ flip()))
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 64, 65, 700])
+@pytest.mark.parametrize("frontier", [simhash.FRONTIER, 1])
+def test_gray_index_finds_all_pairs(monkeypatch, n, frontier):
+    monkeypatch.setattr(simhash, "FRONTIER", frontier)
+    x = close_values(n, n)
+    who, at = simhash.GrayIndex(x).near(x, 4)
+    want = {(i, j) for i in range(len(x)) for j in range(len(x)) if (int(x[i]) ^ int(x[j])).bit_count() <= 4}
+    assert sorted(zip(who.tolist(), at.tolist(), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 9, 64, 65, 700])
+def test_forest_spans_what_all_links_span(n):
+    every = close_values(2 * n, n)
+    x, y = every[::2], every[1::2]
+    found = simhash.forest(x, y)
+    assert len(set(found)) == len(found) < len(every)
+    assert all((int(x[i]) ^ int(y[j])).bit_count() <= 4 for i, j in found)
+
+    def groups(links):
+        root = list(range(len(x) + len(y)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in links:
+            a, b = find(i), find(len(x) + j)
+            root[max(a, b)] = min(a, b)
+        return [find(i) for i in range(len(root))]
+
+    assert groups(found) == groups((i, j) for i in range(len(x)) for j in range(len(y)) if (int(x[i]) ^ int(y[j])).bit_count() <= 4)
+
+
+@pytest.mark.parametrize("range_rows", [200, 1 << 18])
+def test_links_of_a_skewed_cluster(spark, monkeypatch, range_rows):
+    """A third of all fingerprints in one cluster, the rest far apart: all components, and far fewer links than pairs."""
+    monkeypatch.setattr(simhash, "DENSE", 8)
+    rng = np.random.default_rng(3)
+    bits = np.uint64(1) << rng.integers(0, 64, (1000, 2)).astype(np.uint64)
+    x = np.unique(np.concatenate([np.uint64(0x123456789ABCDEF0) ^ bits[:, 0] ^ bits[:, 1], rng.integers(0, 1 << 63, 2000, dtype=np.uint64)]))
+    fps = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    found = simhash.links(fps, range_rows=range_rows, least_ranges=8).collect()
     want = slow_components([int(v) for v in x])
-    assert len(links) == len(x) - len(set(want))
-    assert all((int(x[a]) ^ int(x[b])).bit_count() <= 4 for a, b in links)
+    place = {int(v): i for i, v in enumerate(x.view(np.int64))}
+    root = list(range(len(x)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in found:
+        a, b = find(place[r.a]), find(place[r.b])
+        root[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(x))] == want
+    assert len(found) < 60 * len(x)
+
+
+def test_upper_nodes_prune_ranges(spark):
+    """A fingerprint is sent only to ranges whose shared bits it can reach."""
+    rng = np.random.default_rng(4)
+    x = simhash._ranked(np.unique(rng.integers(0, 1 << 64, 40_000, dtype=np.uint64)))
+    cuts = np.array_split(x, 1024)
+    upper = simhash.GrayIndex(np.array([np.bitwise_and.reduce(c) for c in cuts]), np.array([np.bitwise_and.reduce(~c) for c in cuts]))
+    who, at = upper.near(x[::100], 4)
+    assert len(who) < 0.5 * len(x[::100]) * len(cuts)
+    assert all(np.bitwise_count(cuts[j] ^ x[::100][i]).min() > 4 for i in range(3) for j in set(range(1024)) - set(at[who == i].tolist()))
 
 
 def test_components_of_a_path_and_a_star(spark):
