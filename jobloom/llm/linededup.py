@@ -1,17 +1,26 @@
-"""Reversible incremental line dedup: exact reference counts behind sharded cuckoo filters.
+"""Reversible incremental line dedup: sharded cuckoo filters before exact reference counts.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of fewer than ``LEAST_CHARS`` code
-points are left alone. The exact table has for each key and document one row (key, doc_id); from it follow the
-number of documents that hold a key and the smallest of them, its owner. A key that two or more documents hold loses
-its lines everywhere but in the owner.
-
-``LineIndex`` keeps that table by shard, with one cuckoo filter per shard that ``insert`` consults first: keys that the
-filter doesn't know are new, and the exact table is joined only for the rest. The answers (``decisions``, ``cleaned``)
-come from the exact table alone; no filter is read for them. Cuckoo filters support deletion, and
-the table says when the last document of a key goes, so ``delete`` undoes ``insert`` exactly.
-
-Cases: null text is one empty line; rows without id are kept whole and count as no document; repeated rows of an id
-are one document and each is answered; keys are 128-bit digests; extra columns are ignored (``cleaned`` keeps them).
+points are left alone. A key that two or more documents hold loses its lines everywhere but in its owner, the smallest
+of them.
+
+``LineIndex`` keeps
+
+- ``rows`` (key, doc_id): the exact references;
+- ``counts`` (key, documents, owner): exact reference counts of the keys that two or more documents hold;
+- ``filters``: for each shard of the keys one cuckoo filter with every key that has rows, once.
+
+``insert`` asks the filters first. A key that its filter doesn't know is new for certain: its count is that of the
+batch. Only keys that a filter may know meet the exact rows, where false alarms are found out. ``delete`` takes the
+rows of documents, counts again the keys that they held, and takes from the filters the keys that no document holds any
+more; what is left is what would be there had these documents never come. A filter that would get too full is made
+again, with room for twice as many keys, from the exact rows of its shard. The query builds its index by ``BATCHES``
+inserts and takes the lines that go from the counts.
+
+Cases: null text is one empty line, and so is an empty one; very long texts are split into all their lines; rows
+without id are kept whole and count as no document; repeated rows of an id are one document and each is answered,
+different texts under one id hold the keys of both; ties can't occur, as the owner is the smallest id; keys are 128-bit
+digests; an empty table gives no rows; extra columns are ignored, whatever their names (``cleaned`` keeps them).
 """
 
 from __future__ import annotations
@@ -25,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm.base import slices, table, text_of, written
+from jobloom.llm.base import new_path, slices, table, text_of, written
 
 LEAST_CHARS = 10
 SHARDS = 64
 SHARD_ROWS = 200_000
+#: Inserts by which the query builds its index.
+BATCHES = 2
 HOT = 1000
 HOT_DOCUMENTS = 1000
 _BLANK = " \t\n\x0b\x0c\r"
@@ -37,87 +48,113 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 
 class CuckooFilter:
-    """Buckets of four 16-bit tags at two places each. Full filters grow by a second, twice as large one."""
+    """Buckets of four 16-bit tags; a key's tag is in one of two of them. All keys of a call are placed together.
 
-    SLOTS, KICKS = 4, 200
+    Keys are rows of 16 bytes. Tags that find no place after ``KICKS`` rounds of moving others wait in ``stash``, with
+    their buckets, so nothing is ever lost. A key is added once and removed only if it was added.
+    """
 
-    def __init__(self, items: int = 1024) -> None:
+    SLOTS, KICKS, LOAD = 4, 400, 0.8
+
+    def __init__(self, items: int = 64) -> None:
         n = 1
-        while n * self.SLOTS * 0.9 < items:
+        while n * self.SLOTS * self.LOAD < items:
             n *= 2
-        self.layers = [np.zeros((n, self.SLOTS), dtype=np.uint16)]
+        self.cells, self.items, self.stash = np.zeros((n, self.SLOTS), dtype=np.uint16), 0, np.zeros(0, dtype=np.uint64)
 
-    @staticmethod
-    def _tag(key: bytes) -> tuple[int, int]:
-        h = int.from_bytes(key[:12], "little")
-        return (h & 0xFFFF) or 1, h >> 16
+    def room(self, more: int) -> bool:
+        return self.items + more <= self.cells.size * self.LOAD
 
     @staticmethod
-    def _other(place: int, tag: int, n: int) -> int:
-        return place ^ (tag * 0x5BD1E995) & (n - 1)
-
-    def add(self, key: bytes) -> None:
-        tag, h = self._tag(key)
-        cells = self.layers[-1]
-        n = len(cells)
-        place = h & (n - 1)
-        for at in (place, self._other(place, tag, n)):
-            free = np.flatnonzero(cells[at] == 0)
-            if len(free):
-                cells[at, free[0]] = tag
-                return
-        undo = []
-        at, held = place, tag
+    def _tags(keys: np.ndarray) -> np.ndarray:
+        return np.maximum(keys.view("<u2")[:, 0], 1)
+
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view("<u8")[:, 1] & np.uint64(len(self.cells) - 1)).astype(np.int64)
+
+    def _others(self, places: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        return places ^ (tags.astype(np.int64) * 0x5BD1E995 & (len(self.cells) - 1))
+
+    def _stashed(self, places: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """One number for a tag and its two buckets, whichever of them is given."""
+        return np.minimum(places, self._others(places, tags)).astype(np.uint64) << np.uint64(16) | tags
+
+    def _settled(self, at: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """Put tags into free slots; which of them found one."""
+        done = np.zeros(len(at), dtype=bool)
+        for _ in range(self.SLOTS):
+            wait = np.flatnonzero(~done)
+            one = wait[np.unique(at[wait], return_index=True)[1]]  # one for each bucket at a time
+            free = self.cells[at[one]] == 0
+            one, slot = one[free.any(axis=1)], free.argmax(axis=1)[free.any(axis=1)]
+            if not len(one):
+                break
+            self.cells[at[one], slot] = tags[one]
+            done[one] = True
+        return done
+
+    def add(self, keys: np.ndarray) -> None:
+        tags, at = self._tags(keys), self._places(keys)
+        self.items += len(keys)
         for kick in range(self.KICKS):
-            slot = kick % self.SLOTS
-            undo.append((at, slot))
-            held, cells[at, slot] = int(cells[at, slot]), held
-            at = self._other(at, held, n)
-            free = np.flatnonzero(cells[at] == 0)
-            if len(free):
-                cells[at, free[0]] = held
+            left = ~self._settled(at, tags)
+            tags, at = tags[left], self._others(at[left], tags[left])
+            left = ~self._settled(at, tags)
+            tags, at = tags[left], at[left]
+            if not len(at):
                 return
-        for at, slot in reversed(undo):
-            held, cells[at, slot] = int(cells[at, slot]), held
-        self.layers.append(np.zeros((2 * n, self.SLOTS), dtype=np.uint16))
-        self.add(key)
-
-    def _where(self, key: bytes):
-        tag, h = self._tag(key)
-        for cells in self.layers:
-            n = len(cells)
-            place = h & (n - 1)
-            for at in (place, self._other(place, tag, n)):
-                hit = np.flatnonzero(cells[at] == tag)
-                if len(hit):
-                    return cells, at, int(hit[0])
-        return None
-
-    def __contains__(self, key: bytes) -> bool:
-        return self._where(key) is not None
-
-    def remove(self, key: bytes) -> bool:
-        """Only for keys that were added."""
-        if (found := self._where(key)) is None:
-            return False
-        cells, at, slot = found
-        cells[at, slot] = 0
-        return True
+            # Tags that found no place push out others: one for each bucket, from a slot that changes by round.
+            one = np.unique(at, return_index=True)[1]
+            slot = (at[one] + kick) % self.SLOTS
+            pushed = self.cells[at[one], slot]
+            self.cells[at[one], slot] = tags[one]
+            tags[one] = pushed
+            at[one] = self._others(at[one], pushed)
+        self.stash = np.concatenate([self.stash, self._stashed(at, tags)])
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        tags, at = self._tags(keys), self._places(keys)
+        found = (self.cells[at] == tags[:, None]).any(axis=1) | (self.cells[self._others(at, tags)] == tags[:, None]).any(axis=1)
+        return found | np.isin(self._stashed(at, tags), self.stash) if len(self.stash) else found
+
+    def remove(self, keys: np.ndarray) -> None:
+        tags, at = self._tags(keys), self._places(keys)
+        self.items -= len(keys)
+        while len(tags):
+            # Equal tags of the same buckets one after another; any copy is as good as another.
+            one = np.unique(self._stashed(at, tags), return_index=True)[1]
+            left = one
+            for there in (at, self._others(at, tags)):
+                hit = self.cells[there[left]] == tags[left, None]
+                own = hit.any(axis=1)
+                self.cells[there[left[own]], hit[own].argmax(axis=1)] = 0
+                left = left[~own]
+            for x in self._stashed(at[left], tags[left]).tolist():
+                held = np.flatnonzero(self.stash == x)
+                if not len(held):
+                    raise ValueError("a key is removed that the filter doesn't have")
+                self.stash = np.delete(self.stash, held[0])
+            rest = np.ones(len(tags), dtype=bool)
+            rest[one] = False
+            tags, at = tags[rest], at[rest]
 
     def dump(self) -> bytes:
-        return b"".join(len(c).to_bytes(8, "little") + c.tobytes() for c in self.layers)
+        return np.array([len(self.cells), self.items], dtype="<i8").tobytes() + self.cells.astype("<u2").tobytes() + self.stash.astype("<u8").tobytes()
 
     @classmethod
     def load(cls, data: bytes) -> CuckooFilter:
-        out, at = cls(1), 0
-        out.layers = []
-        while at < len(data):
-            n = int.from_bytes(data[at : at + 8], "little")
-            out.layers.append(np.frombuffer(data, dtype=np.uint16, count=n * cls.SLOTS, offset=at + 8).reshape(n, cls.SLOTS).copy())
-            at += 8 + 2 * n * cls.SLOTS
+        out = cls(0)
+        n, out.items = np.frombuffer(data, "<i8", 2).tolist()
+        out.cells = np.frombuffer(data, "<u2", n * cls.SLOTS, 16).reshape(n, cls.SLOTS).copy()
+        out.stash = np.frombuffer(data, "<u8", offset=16 + 2 * n * cls.SLOTS).copy()
         return out
 
 
+def _digests(keys) -> np.ndarray:
+    """Rows of 16 bytes."""
+    return np.frombuffer(b"".join(keys), dtype=np.uint8).reshape(-1, 16)
+
+
 def line_key(line: str) -> bytes | None:
     key = line.strip(_BLANK)
     return hashlib.md5(key.translate(_LOWER).encode(), usedforsecurity=False).digest() if len(key) >= LEAST_CHARS else None
@@ -142,81 +179,112 @@ def _shard(key, shards: int):
     return F.pmod(F.crc32(key), F.lit(shards)).cast("int")
 
 
-def _filter_of(rows: pd.DataFrame) -> pd.DataFrame:
-    made = CuckooFilter(len(rows))
-    for key in rows["key"]:
-        made.add(bytes(key))
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "filter": [made.dump()]})
+_COUNTS = "key binary, documents long, owner long"
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner"))
 
 
 class LineIndex:
-    """``rows`` (key, doc_id) is exact; ``filters`` (shard, filter) has each key that has rows, once."""
+    """See above. ``insert`` and ``delete`` leave the index as it is and return another."""
 
-    def __init__(self, rows: DataFrame, filters: DataFrame, shards: int) -> None:
-        self.rows, self.filters, self.shards = rows, filters, shards
+    def __init__(self, rows: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, blank: bool = False) -> None:
+        self.rows, self.counts, self.filters, self.shards, self.blank = rows, counts, filters, shards, blank
 
     @classmethod
-    def build(cls, docs: DataFrame, shards: int | None = None) -> LineIndex:
-        """Unless told, as many shards as leave at most some ``SHARD_ROWS`` rows to one."""
-        rows = written(line_keys(docs).distinct().select("key", "doc_id"), "line-rows")
-        shards = shards or max(SHARDS, rows.count() // SHARD_ROWS)
-        keys = rows.select("key").distinct().withColumn("shard", _shard(F.col("key"), shards))
-        return cls(rows, written(keys.groupBy("shard").applyInPandas(_filter_of, "shard int, filter binary"), "line-filters"), shards)
-
-    def counts(self) -> DataFrame:
-        """(key, documents, owner): the exact reference counts."""
-        return self.rows.groupBy("key").agg(F.count("*").alias("documents"), F.min("doc_id").alias("owner"))
-
-    def _filtered(self, keys: DataFrame, step) -> DataFrame:
-        keyed = keys.withColumn("shard", _shard(F.col("key"), self.shards))
-        return keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(step, "shard int, filter binary, key binary, known boolean")
+    def empty(cls, spark: SparkSession, shards: int = SHARDS) -> LineIndex:
+        none = lambda schema: spark.createDataFrame([], schema)
+        return cls(none("key binary, doc_id long"), none(_COUNTS), none("shard int, filter binary"), shards, blank=True)
+
+    @classmethod
+    def build(cls, docs: DataFrame, shards: int | None = None, batches: int = BATCHES) -> LineIndex:
+        """By so many inserts, dealt by hashed id. Unless told, as many shards as leave some ``SHARD_ROWS`` rows to one."""
+        rows = line_keys(docs).distinct().select("key", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch"))
+        path = new_path(docs.sparkSession, "line-rows")
+        rows.write.partitionBy("batch").parquet(path)
+        rows = docs.sparkSession.read.schema("key binary, doc_id long, batch int").parquet(path)
+        index = cls.empty(docs.sparkSession, shards or max(SHARDS, rows.count() // SHARD_ROWS))
+        for batch in range(batches):
+            index = index._inserted(rows.filter(F.col("batch") == batch).select("key", "doc_id"), apart=True)
+        return index
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """With further documents; rows that are there already change nothing."""
-        new = line_keys(docs).distinct().select("key", "doc_id")
-        new = written(new, "line-new")
-
-        def step(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            own = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(max(64, len(keys)))
-            known = [bytes(k) in own for k in keys["key"]]
-            shard = int((keys if len(keys) else old)["shard"].iloc[0])
-            return pd.DataFrame({"shard": shard, "filter": [own.dump(), *[None] * len(keys)], "key": [None, *keys["key"]], "known": [None, *known]}).astype({"shard": "int32"})
-
-        probed = written(self._filtered(new.select("key").distinct(), step), "line-probe")
-        maybe = probed.filter("known").select("key")
-        # Only keys that a filter may know meet the exact table; the others are new for certain.
-        there = written(self.rows.join(maybe, "key", "left_semi"), "line-there")
-        fresh = new.join(there, ["key", "doc_id"], "left_anti")
-        rows = written(self.rows.unionByName(fresh), "line-rows")
-        # Keys that the exact table doesn't have join their shard's filter, a false alarm among them too.
-        added = written(new.select("key").distinct().join(there.select("key").distinct(), "key", "left_anti"), "line-added")
-
-        def grow(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            own = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(max(64, len(keys)))
-            for key in keys["key"]:
-                own.add(bytes(key))
-            return pd.DataFrame({"shard": [int((keys if len(keys) else old)["shard"].iloc[0])], "filter": [own.dump()]}).astype({"shard": "int32"})
-
-        keyed = added.withColumn("shard", _shard(F.col("key"), self.shards))
-        filters = keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(grow, "shard int, filter binary")
-        return LineIndex(rows, written(filters, "line-filters"), self.shards)
+        return self._inserted(written(line_keys(docs).distinct().select("key", "doc_id"), "line-new"))
+
+    def _changed(self, keys: DataFrame, step, schema: str) -> DataFrame:
+        """``step`` over each shard's keys (key, ...) and its filter."""
+        keyed = keys.withColumn("shard", _shard(F.col("key"), self.shards))
+        return keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(step, schema)
+
+    def known(self, keys: DataFrame) -> DataFrame:
+        """``keys`` (key, ...) that a filter may know."""
+        if self.blank:
+            return keys.limit(0)
+        columns = keys.columns
+
+        def probe(own: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            if not len(own) or not len(old):
+                return own[columns].iloc[:0]
+            return own[CuckooFilter.load(bytes(old["filter"].iloc[0])).has(_digests(own["key"]))][columns]
+
+        return self._changed(keys, probe, keys.schema)
+
+    def _inserted(self, new: DataFrame, apart: bool = False) -> LineIndex:
+        """``apart``: no document of ``new`` has rows yet."""
+        batch = written(_counted(new), "line-batch")
+        known = written(self.known(batch).select("key"), "line-known")
+        # Only keys that a filter may know meet the exact rows; the others are new for certain.
+        there = written(self.rows.join(known, "key", "left_semi").select("key", "doc_id"), "line-there")
+        held = there.select("key").distinct()
+        again = new.join(held, "key", "left_semi").select("key", "doc_id")
+        fresh = batch.join(held, "key", "left_anti")
+        counts = written(fresh.unionByName(_counted(there.unionByName(again).distinct())).filter("documents > 1").unionByName(self.counts.join(held, "key", "left_anti")), "line-counts")
+        rows = self.rows.unionByName(new if apart else written(new.join(there, ["key", "doc_id"], "left_anti").select("key", "doc_id"), "line-rows"))
+        return LineIndex(rows, counts, self._grown(fresh.select("key")), self.shards)
+
+    def _grown(self, keys: DataFrame) -> DataFrame:
+        """The filters with further keys; those that would get too full are made again from the exact rows."""
+
+        def grow(own: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            made = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(len(own))
+            full = not made.room(len(own))
+            if not full:
+                made.add(_digests(own["key"]))
+            shard = int((own if len(own) else old)["shard"].iloc[0])
+            return pd.DataFrame({"shard": [shard], "filter": [made.dump()], "full": [full]}).astype({"shard": "int32"})
+
+        tried = written(self._changed(keys, grow, "shard int, filter binary, full boolean"), "line-filters")
+        full = tried.filter("full").select("shard")
+        done = tried.filter("not full").select("shard", "filter")
+        if full.isEmpty():
+            return done
+
+        def again(own: pd.DataFrame) -> pd.DataFrame:
+            made = CuckooFilter(2 * len(own))
+            made.add(_digests(own["key"]))
+            return pd.DataFrame({"shard": [int(own["shard"].iloc[0])], "filter": [made.dump()]}).astype({"shard": "int32"})
+
+        every = self.rows.select("key").distinct().unionByName(keys).withColumn("shard", _shard(F.col("key"), self.shards)).join(full, "shard", "left_semi")
+        return written(done.unionByName(every.groupBy("shard").applyInPandas(again, "shard int, filter binary")), "line-filters")
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """Without the documents of ``doc_ids`` (doc_id): the state as if they had never been inserted."""
-        gone = doc_ids.select("doc_id").distinct()
-        hit = self.rows.join(gone, "doc_id", "left_semi").select("key").distinct()
+        gone = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        hit = written(self.rows.join(gone, "doc_id", "left_semi").select("key").distinct(), "line-hit")
         rows = written(self.rows.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "line-rows")
-        last = written(hit.join(rows, "key", "left_anti"), "line-last")
+        left = written(_counted(rows.join(hit, "key", "left_semi")), "line-left")
+        counts = written(self.counts.join(hit, "key", "left_anti").unionByName(left.filter("documents > 1")), "line-counts")
 
-        def shrink(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            own = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(64)
-            for key in keys["key"]:
-                own.remove(bytes(key))
-            return pd.DataFrame({"shard": [int((keys if len(keys) else old)["shard"].iloc[0])], "filter": [own.dump()]}).astype({"shard": "int32"})
+        def shrink(own: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            made = CuckooFilter.load(bytes(old["filter"].iloc[0]))
+            if len(own):
+                made.remove(_digests(own["key"]))
+            return pd.DataFrame({"shard": [int(old["shard"].iloc[0])], "filter": [made.dump()]}).astype({"shard": "int32"})
 
-        keyed = last.withColumn("shard", _shard(F.col("key"), self.shards))
-        filters = keyed.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(shrink, "shard int, filter binary")
-        return LineIndex(rows, written(filters, "line-filters"), self.shards)
+        last = hit.join(left, "key", "left_anti")
+        return LineIndex(rows, counts, written(self._changed(last, shrink, "shard int, filter binary"), "line-filters"), self.shards)
 
     def drops(self) -> DataFrame:
         """(doc_id, key) of the lines that go.
@@ -225,7 +293,7 @@ class LineIndex:
         (if ``HOT_DOCUMENTS`` have them at least), so that a line of very many documents doesn't meet in one task. The
         others are joined by key.
         """
-        shared = written(self.counts().filter("documents > 1"), "line-shared")
+        shared = self.counts
         least = max(HOT_DOCUMENTS, self.rows.count() // HOT + 1)
         hot = shared.filter(F.col("documents") >= least).select(F.col("key").alias("hot_key"), F.col("owner").alias("hot_owner"))
         marked = self.rows.join(F.broadcast(hot), F.col("key") == F.col("hot_key"), "left")
