@@ -189,13 +189,14 @@ def _counted(rows: DataFrame) -> DataFrame:
 class LineIndex:
     """See above. ``insert`` and ``delete`` leave the index as it is and return another."""
 
-    def __init__(self, rows: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, blank: bool = False) -> None:
-        self.rows, self.counts, self.filters, self.shards, self.blank = rows, counts, filters, shards, blank
+    def __init__(self, rows: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, room: int = 64, blank: bool = False) -> None:
+        """``room``: keys that a new filter has room for, at least."""
+        self.rows, self.counts, self.filters, self.shards, self.room, self.blank = rows, counts, filters, shards, room, blank
 
     @classmethod
-    def empty(cls, spark: SparkSession, shards: int = SHARDS) -> LineIndex:
+    def empty(cls, spark: SparkSession, shards: int = SHARDS, room: int = 64) -> LineIndex:
         none = lambda schema: spark.createDataFrame([], schema)
-        return cls(none("key binary, doc_id long"), none(_COUNTS), none("shard int, filter binary"), shards, blank=True)
+        return cls(none("key binary, doc_id long"), none(_COUNTS), none("shard int, filter binary"), shards, room, blank=True)
 
     @classmethod
     def build(cls, docs: DataFrame, shards: int | None = None, batches: int = BATCHES) -> LineIndex:
@@ -204,7 +205,9 @@ class LineIndex:
         path = new_path(docs.sparkSession, "line-rows")
         rows.write.partitionBy("batch").parquet(path)
         rows = docs.sparkSession.read.schema("key binary, doc_id long, batch int").parquet(path)
-        index = cls.empty(docs.sparkSession, shards or max(SHARDS, rows.count() // SHARD_ROWS))
+        n = rows.count()
+        shards = shards or max(SHARDS, n // SHARD_ROWS)
+        index = cls.empty(docs.sparkSession, shards, n // shards)
         for batch in range(batches):
             index = index._inserted(rows.filter(F.col("batch") == batch).select("key", "doc_id"), apart=True)
         return index
@@ -237,18 +240,23 @@ class LineIndex:
         known = written(self.known(batch).select("key"), "line-known")
         # Only keys that a filter may know meet the exact rows; the others are new for certain.
         there = written(self.rows.join(known, "key", "left_semi").select("key", "doc_id"), "line-there")
-        held = there.select("key").distinct()
-        again = new.join(held, "key", "left_semi").select("key", "doc_id")
+        if not apart:
+            new = written(new.join(there, ["key", "doc_id"], "left_anti").select("key", "doc_id"), "line-rows")
+            batch = written(_counted(new), "line-batch")
+        held = written(_counted(there), "line-held")
         fresh = batch.join(held, "key", "left_anti")
-        counts = written(fresh.unionByName(_counted(there.unionByName(again).distinct())).filter("documents > 1").unionByName(self.counts.join(held, "key", "left_anti")), "line-counts")
-        rows = self.rows.unionByName(new if apart else written(new.join(there, ["key", "doc_id"], "left_anti").select("key", "doc_id"), "line-rows"))
-        return LineIndex(rows, counts, self._grown(fresh.select("key")), self.shards)
+        # A row for each key on either side, however many documents hold it.
+        both = held.unionByName(batch.join(held, "key", "left_semi")).groupBy("key").agg(F.sum("documents").alias("documents"), F.min("owner").alias("owner"))
+        counts = written(fresh.unionByName(both).filter("documents > 1").unionByName(self.counts.join(held, "key", "left_anti")), "line-counts")
+        return LineIndex(self.rows.unionByName(new), counts, self._grown(fresh.select("key")), self.shards, self.room)
 
     def _grown(self, keys: DataFrame) -> DataFrame:
         """The filters with further keys; those that would get too full are made again from the exact rows."""
 
+        room = self.room
+
         def grow(own: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-            made = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(len(own))
+            made = CuckooFilter.load(bytes(old["filter"].iloc[0])) if len(old) else CuckooFilter(max(room, len(own)))
             full = not made.room(len(own))
             if not full:
                 made.add(_digests(own["key"]))
@@ -284,7 +292,7 @@ class LineIndex:
             return pd.DataFrame({"shard": [int(old["shard"].iloc[0])], "filter": [made.dump()]}).astype({"shard": "int32"})
 
         last = hit.join(left, "key", "left_anti")
-        return LineIndex(rows, counts, written(self._changed(last, shrink, "shard int, filter binary"), "line-filters"), self.shards)
+        return LineIndex(rows, counts, written(self._changed(last, shrink, "shard int, filter binary"), "line-filters"), self.shards, self.room)
 
     def drops(self) -> DataFrame:
         """(doc_id, key) of the lines that go.
