@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 import re
 
@@ -189,24 +190,50 @@ def slow_hits(text, items):
     return len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("most", [decontamination.BLOCK_BYTES, 300])
-def test_decontamination_against_scan(spark, most):
+def test_decontamination_against_scan(spark):
     rng = random.Random(8)
     word = lambda: rng.choice(["a", "B", "cé", "d1", "e", "É"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([0, 3, 9, 10, 11, 14, 25, 40])] + [(8, None), (None, "zz yy"), (5, "Q q q"), (10, "zz yy")]
     texts = [" ".join(word() for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [f"xx {t} yy--{t}" for _, t in items if t] + ["", None, "...", "zz, YY! zz", "b" * 20_000]
     docs = spark.createDataFrame([*enumerate(texts), (0, texts[3]), (None, "zz yy")], "doc_id long, text string").selectExpr("*", "0 as n_hit")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.contamination(docs, bench, most).collect()
+    got = decontamination.contamination(docs, bench).collect()
     assert len(got) == len(texts) + 2
     seen = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got))
     assert seen == sorted((i if i is not None else -1, *slow_hits(t, items)) for i, t in [*enumerate(texts), (0, texts[3]), (None, "zz yy")])
     one = next(r for r in got if r.doc_id == len(texts) - 2)
     assert one.spans == [[0, 6]] or [texts[-2][a:b] for a, b in one.spans] == ["zz, YY"]
-    left = decontamination.clean(docs, bench, most)
+    left = decontamination.clean(docs, bench)
     assert left.columns == docs.columns and left.count() == sum(not r.contaminated for r in got)
 
 
+@pytest.mark.parametrize("symbols", [decontamination.SYMBOLS, 2, 100])
+def test_automaton_against_scan(monkeypatch, symbols):
+    """Also with words that share symbols, and with anchors of many items."""
+    monkeypatch.setattr(decontamination, "SYMBOLS", symbols)
+    rng = random.Random(symbols)
+    for vocabulary in (2, 5, 40):
+        word = lambda: rng.choice("abcdefgh0é") + str(rng.randrange(vocabulary))  # noqa: B023, E731
+        same = [word() for _ in range(30)]
+        items = [(i, " ".join(word() for _ in range(rng.randrange(0, 40)))) for i in range(40)] + [(100 + i, " ".join(same[i % 7 :])) for i in range(30)] + [(None, " ".join(same)), (3, "b0 b1")]
+        made = pickle.loads(pickle.dumps(decontamination.Automaton(items)))
+        for _ in range(60):
+            _, t = rng.choice(items)
+            w = t.split() + [word() for _ in range(rng.randrange(0, 12))]
+            cut = rng.randrange(0, max(1, len(w) - 12))
+            text = " ".join([word(), "zz", *w[cut : cut + rng.randrange(8, 30)], "zz", word(), *same[rng.randrange(0, 25) :]])
+            runs, ids = made.scan(decontamination.words(text))
+            assert (sum(b - a for a, b in runs), len(ids - {None}), decontamination._line({str(i) for i in ids if i is not None})) == slow_hits(text, items)[1:4]
+
+
+def test_one_automaton_and_one_scan(spark):
+    """Of a benchmark of any size: the documents are read once and not shuffled."""
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('w', id, ' x y z') as text")
+    bench = spark.range(20_000).selectExpr("id as item_id", "array_join(transform(sequence(1, 30), i -> sha2(concat(id, ':', i), 256)), ' ') as text")
+    plan = decontamination.contamination(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
 def test_decontamination_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
