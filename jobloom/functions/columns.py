@@ -148,8 +148,9 @@ def duration_ms(start: Column, end: Column) -> Column:
 
 
 def whole_ms(start: Column, end: Column) -> Column:
-    """Truncated toward zero."""
-    return F.try_divide((micros(end) - micros(start)), F.lit(1000)).cast("int")
+    """Truncated toward zero, for durations of any length."""
+    us = micros(end) - micros(start)
+    return ((us - us % 1000) / 1000).cast("long")
 
 
 def status_rank(status: Column) -> Column:
@@ -164,12 +165,16 @@ def initial_status(scheduled_at: Column, now) -> Column:
     return F.when(F.coalesce(scheduled_at, moment(now)) > moment(now), "scheduled").otherwise("pending")
 
 
-def clipped(col: Column, most: int = 2000, suffix: str = "... (truncated)") -> Column:
-    return F.when(F.length(col) > most, F.concat(F.substring(col, 1, most), F.lit(suffix))).otherwise(col)
+def clipped(col: Column, most: int = 2000) -> Column:
+    """At most ``most`` characters, of which the last say how many were over."""
+    suffix = F.format_string("\n... (%d more characters)", F.length(col) - most)  # a fixed value
+    return F.when(F.length(col) > most, F.concat(F.substring(col, F.lit(1), most - F.length(suffix)), suffix)).otherwise(col)
 
 
 def iso(col: Column) -> Column:
-    return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss")
+    """To the second, and to the microsecond if there are any."""
+    rest = micros(col) % 1_000_000
+    return F.concat(F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss"), F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))))
 
 
 def healthy(last_seen: Column, now, threshold: float) -> Column:
@@ -184,19 +189,36 @@ def capped_count(n: int, cap: int = 1000) -> str:
 
 
 def merged(left: Column, right: Column) -> Column:
-    """Shallow merge of flat JSON objects of strings; the right side wins, a null right side changes nothing."""
-    kind = "map<string,string>"
-    a, b = F.coalesce(F.from_json(left, kind), F.create_map().cast(kind)), F.coalesce(F.from_json(right, kind), F.create_map().cast(kind))
+    """Shallow merge of JSON objects; the right side wins, a null right side changes nothing. Values of any type stay
+    what they are, a JSON null too; keys come out in order."""
+    kind = "map<string,variant>"
+    a, b = F.coalesce(F.from_json(left, kind), F.from_json(F.lit("{}"), kind)), F.coalesce(F.from_json(right, kind), F.from_json(F.lit("{}"), kind))
     kept = F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k))
-    return F.when(right.isNull(), left).otherwise(F.to_json(F.map_from_entries(F.array_sort(F.concat(F.map_entries(kept), F.map_entries(b))))))
+    entries = F.array_sort(F.concat(F.map_entries(kept), F.map_entries(b)), lambda x, y: F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    return F.when(right.isNull(), left).otherwise(F.to_json(F.map_from_entries(entries)))
 
 
-TAG = "^[A-Za-z0-9_.:/-]{3,255}$"
+def counted_up(metadata: Column, key: str) -> Column:
+    """The object with one more under ``key``: an integer or the digits of one counts on, anything else counts from 0."""
+    value = F.get_json_object(metadata, f"$.{key}")
+    now = F.when(value.rlike("^-?[0-9]{1,18}$"), value.try_cast("long"))
+    return merged(metadata, F.to_json(F.create_map(F.lit(key), F.coalesce(now, F.lit(0)) + 1)))
+
+
+# What a tag is.
+TAG = r"^[\p{L}\p{N}_][\p{L}\p{N}_-]+[\p{L}\p{N}_]\z"
+TAG_CHARS = 255
+
+
+def tag_problem(col: Column) -> Column:
+    """The first malformed tag as a message, null if there is none."""
+    bad = F.filter(col, lambda t: t.isNull() | (F.length(t) > TAG_CHARS) | ~t.rlike(TAG))
+    return F.when(F.size(bad) > 0, F.concat(F.lit("invalid tag: "), F.coalesce(F.get(bad, 0), F.lit("null"))))
 
 
 def clean_tags(col: Column) -> Column:
-    """Distinct tags in first-seen order; null if any is malformed."""
-    return F.when(F.forall(col, lambda t: t.rlike(TAG)), F.array_distinct(col))
+    """Distinct tags in first-seen order, none for a null list; null if any is malformed, see ``tag_problem``."""
+    return F.when(tag_problem(col).isNull(), F.coalesce(F.array_distinct(col), F.array().cast("array<string>")))
 
 
 def key_valid(col: Column, most: int = 256) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
 from jobloom.operators import actors, cron, ratelimit
-from jobloom.plans import dispatch, enqueue, lifecycle, transitions
+from jobloom.plans import dispatch, enqueue, lifecycle, schedules, transitions
+from jobloom.plans.reads import META
 from jobloom.plans.registry import query
 from jobloom.sources.fixtures import NOW, Tables
 from jobloom.streaming import streams
@@ -71,9 +72,9 @@ def _requests(t: Tables) -> DataFrame:
     return t.sql(_REQUESTS)
 
 
-_REQUESTS = """select row_number() over (order by o_orderkey) as ordinal, case when o_orderkey%4=0 then 'click' when o_orderkey%4=1 then 'view' when o_orderkey%4=2 then 'purchase' else 'signup' end as actor,
-  case when o_orderkey%5=0 then concat('u', cast(o_orderkey%150 as varchar(9))) end as identity_key, case when o_orderkey%3=0 then concat('k', cast(o_orderkey%700 as varchar(9))) end as idempotency_key,
-  case when o_orderkey%7=0 then timestamp '2024-02-01 00:00:00' end as scheduled_at, '{}' as metadata, o_custkey from orders where o_orderkey < 600"""
+_REQUESTS = """select o_orderkey as ordinal, case when o_orderkey%4=0 then 'click' when o_orderkey%4=1 then 'view' when o_orderkey%4=2 then 'purchase' else 'signup' end as actor,
+  case when o_orderkey%5=0 then concat('u', cast(o_orderkey%150 as varchar(9))) end as identity_key, case when o_orderkey%3=0 then concat('k', cast(o_custkey*2 as varchar(9))) end as idempotency_key,
+  case when o_orderkey%7=0 then timestamp '2024-02-01 00:00:00' end as scheduled_at, '{}' as metadata, o_custkey from orders"""
 
 
 @query("snk1_initial_status", f"select ordinal, case when coalesce(scheduled_at, NOW) > NOW then 'scheduled' else 'pending' end as status from ({_REQUESTS})")
@@ -157,12 +158,16 @@ _moved("dml14_retry_after_free", f"select id, case when {_TIMELY} then 'schedule
 query("set4_outcome_branches", f"select case when {_TIMELY} then 'snoozed' else 'deadline_failed' end as branch, count(*) as n from jobs where status = 'running' group by 1")(lambda t: transitions.snooze(t.jobs, NOW, 3600).rows.groupBy("branch").agg(F.count("*").alias("n")))
 
 
+#: Ids that somebody asks for.
+_ASKED = "select p_partkey from part where p_size > 40"
+
+
 def _ids(t: Tables) -> DataFrame:
-    return t.jobs.filter("id % 9 = 0").select("id")
+    return t.sql(_ASKED).select(F.col("p_partkey").alias("id"))
 
 
-_moved("dml15_request_cancel", "select id, case when status in ('pending','scheduled') then 'cancelled' else status end as status, case when status = 'running' and cancel_phase = 0 then 1 else cancel_phase end as cancel_phase, status in ('pending','scheduled') or (status = 'running' and cancel_phase = 0) as initiated from jobs where id % 9 = 0", lambda t: transitions.request_cancel(t.jobs, _ids(t), NOW), "status", "cancel_phase", "initiated")
-_moved("dml16_retry_job", "select id, 'pending' as status, 0 as attempt from jobs where id % 9 = 0 and status in ('failed','crashed','cancelled')", lambda t: transitions.retry_by_hand(t.jobs, _ids(t), NOW), "status", "attempt")
+_moved("dml15_request_cancel", "select id, case when status in ('pending','scheduled') then 'cancelled' else status end as status, case when status = 'running' and cancel_phase = 0 then 1 else cancel_phase end as cancel_phase, status in ('pending','scheduled') or (status = 'running' and cancel_phase = 0) as initiated from jobs where id in (" + _ASKED + ")", lambda t: transitions.request_cancel(t.jobs, _ids(t), NOW), "status", "cancel_phase", "initiated")
+_moved("dml16_retry_job", "select id, 'pending' as status, 0 as attempt from jobs where id in (" + _ASKED + ") and status in ('failed','crashed','cancelled')", lambda t: transitions.retry_by_hand(t.jobs, _ids(t), NOW), "status", "attempt")
 _moved("dml17_reclaim", f"select id, case when {_AGAIN} then 'pending' else 'crashed' end as status, case when {_AGAIN} then NOW + interval '5' second else scheduled_at end as scheduled_at from jobs where {_EXPIRED}", lambda t: transitions.reclaim(t.jobs, NOW), "status", "scheduled_at")
 _moved("dml18_deadlines", "select id, 'failed' as status, 'DeadlineExceeded' as error_class from jobs where status in ('pending','scheduled') and schedule_to_close < NOW", lambda t: transitions.expire_deadlines(t.jobs, NOW), "status", "error_class")
 _moved("dml19_promote", "select id, 'pending' as status from jobs where status = 'scheduled' and scheduled_at <= NOW", lambda t: transitions.promote(t.jobs, NOW), "status")
@@ -176,13 +181,13 @@ _moved("dml33_drain", "select id, 'pending' as status from jobs where status = '
 _moved("dml32_unknown_actor", "select id, 'scheduled' as status from jobs where status = 'running' and actor = 'error' and (schedule_to_close is null or NOW + interval '10' second <= schedule_to_close) union all select id, 'failed' from jobs where status = 'running' and actor = 'error' and NOW + interval '10' second > schedule_to_close", lambda t: transitions.snooze(t.jobs.filter("actor = 'error'"), NOW, 10), "status")
 query("snk4_reclaim_attempts", f"select id as job_id, attempt, 'crashed' as outcome, 'WorkerCrashed' as error_class from jobs where {_EXPIRED}")(lambda t: transitions.reclaim(t.jobs, NOW).attempts.select("job_id", "attempt", "outcome", "error_class"))
 query("snk5_reclaim_events", f"""select id as job_id, '{{"from":"running","to":"' || case when {_AGAIN} then 'pending' else 'crashed' end || '","reason":"lock_expired"}}' as detail from jobs where {_EXPIRED}""")(lambda t: transitions.reclaim(t.jobs, NOW).events.select("job_id", "detail"))
-query("rt4_snooze_count", """select id, '{"batch_id":"' || json_extract_string(metadata, '$.batch_id') || '","snooze_count":"1"}' as metadata from jobs where status = 'running'""")(lambda t: t.jobs.filter("status = 'running'").select("id", C.merged(F.col("metadata"), F.lit('{"snooze_count":"1"}')).alias("metadata")))
+query("rt4_snooze_count", """select id, '{"batch_id":"b' || (id % 50) || '","n":1.5,"o":{"a":[1,null,true]},"on":true,"snooze_count":' || case when id % 4 = 1 then 4 when id % 4 = 2 then 8 else 1 end || '}' as metadata from jobs where status = 'running'""")(lambda t: t.jobs.filter("status = 'running'").select("id", C.counted_up(F.expr(META.replace("varchar(9)", "string")), "snooze_count").alias("metadata")))
 query("rt5_denied", """select id, '{"awaiting":"slot","batch_id":"' || json_extract_string(metadata, '$.batch_id') || '"}' as metadata from jobs where status = 'running' and schedule_to_close is null""")(lambda t: transitions.snooze(t.jobs, NOW, 5, metadata='{"awaiting":"slot"}').rows.filter("branch = 'snoozed'").join(t.jobs.filter("schedule_to_close is null").select("id"), "id", "left_semi").select("id", "metadata"))
 
 
-@query("dml30_flush_progress", "select id, cast(3 as int) as progress_seq from jobs where status = 'running' and id % 2 = 0")
+@query("dml30_flush_progress", "select id, cast(3 as int) as progress_seq from jobs where status = 'running' and id in (" + _ASKED + ")")
 def dml30(t: Tables) -> DataFrame:
-    updates = t.jobs.filter("id % 2 = 0").select(F.col("id").alias("job_id"), F.col("locked_by_worker").alias("worker_id"), F.lit(3).alias("delta"), F.lit('{"p":"1"}').alias("state"))
+    updates = t.jobs.join(_ids(t), "id", "left_semi").select(F.col("id").alias("job_id"), F.col("locked_by_worker").alias("worker_id"), F.lit(3).alias("delta"), F.lit('{"p":"1"}').alias("state"))
     return transitions.flush_progress(t.jobs, updates).select("id", "progress_seq")
 
 
@@ -244,8 +249,21 @@ def _archived(t: Tables) -> DataFrame:
 query("dml26_expire_archive", "select id from jobs_archive where finished_at + interval '8600' day >= NOW")(lambda t: lifecycle.expire(_archived(t), t.job_attempts_archive, NOW)[0].select("id"))
 query("dml26_kept_attempts", "select job_id, attempt from job_attempts_archive where job_id in (select id from jobs_archive where finished_at + interval '8600' day >= NOW)")(lambda t: lifecycle.expire(_archived(t), t.job_attempts_archive, NOW)[1].select("job_id", "attempt"))
 query("dml27_ensure_slots", "select 2 as bucket_name, cast(i as int) as slot_index from (select unnest(range(8)) as i) where i not in (select slot_index from reservation_slots where bucket_name = 2)")(lambda t: lifecycle.ensure_slots(t.reservation_slots, 2, 8).select("bucket_name", "slot_index"))
-query("dml27_acquire_slot", "select bucket_name, min(slot_index) as slot_index from reservation_slots where job_id is null or lease_expires_at < NOW group by bucket_name")(lambda t: lifecycle.free_slots(t.reservation_slots, NOW))
-query("dml27_release_slot", "select bucket_name, slot_index from reservation_slots where held_by_worker_id = 2")(lambda t: t.reservation_slots.filter(C.matches(held_by_worker_id=2)).select("bucket_name", "slot_index"))
+query("dml27_free_slots", "select bucket_name, min(slot_index) as slot_index from reservation_slots where job_id is null or lease_expires_at < NOW group by bucket_name")(lambda t: lifecycle.free_slots(t.reservation_slots, NOW))
+_WANTS = "select c_nationkey % 5 as bucket_name, c_custkey as ordinal, c_custkey + 1000 as job_id, c_custkey % 9 as worker_id from customer where c_custkey % 5 <> 3"
+_GRANTS = f"""with w as (select *, row_number() over (partition by bucket_name order by ordinal) as turn from ({_WANTS})),
+  f as (select bucket_name, slot_index, row_number() over (partition by bucket_name order by slot_index) as turn from reservation_slots where job_id is null or lease_expires_at < NOW) """
+
+
+def _acquired(t: Tables):
+    return lifecycle.acquire_slots(t.reservation_slots, t.sql(_WANTS), NOW, 90)
+
+
+query("dml27_acquire_slot", _GRANTS + "select f.bucket_name, f.slot_index, w.job_id, w.worker_id as held_by_worker_id, NOW + interval '90' second as lease_expires_at from w join f on w.bucket_name = f.bucket_name and w.turn = f.turn")(lambda t: _acquired(t)[0].drop("acquired_at"))
+query("dml27_acquire_outcomes", _GRANTS + "select w.bucket_name, w.ordinal, f.slot_index from w left join f on w.bucket_name = f.bucket_name and w.turn = f.turn")(lambda t: _acquired(t)[1])
+_GIVES = "select n_regionkey as bucket_name, 1 as slot_index, n_nationkey % 4 as worker_id from nation"
+query("dml27_release_slot", f"select bucket_name, slot_index, cast(null as bigint) as job_id, cast(null as bigint) as held_by_worker_id from reservation_slots s where exists (select 1 from ({_GIVES}) g where g.bucket_name = s.bucket_name and g.slot_index = s.slot_index and g.worker_id = s.held_by_worker_id)")(lambda t: lifecycle.release_held(t.reservation_slots, t.sql(_GIVES)).select("bucket_name", "slot_index", F.col("job_id").cast("long").alias("job_id"), "held_by_worker_id"))
+query("dml27_renew_slot", "select bucket_name, slot_index, NOW + interval '45' second as lease_expires_at from reservation_slots where held_by_worker_id = 2 and job_id in (select id from jobs where status = 'running')")(lambda t: lifecycle.renew_slots(t.reservation_slots, t.jobs, 2, NOW, 45).select("bucket_name", "slot_index", "lease_expires_at"))
 _NEWCONF = "select 'click' as actor, 60 as max_concurrent, 20000 as max_pending union all select 'error', 5, null"
 
 
@@ -259,13 +277,57 @@ def _old_config(t: Tables) -> DataFrame:
 
 query("snk7_upsert_config", f"select actor, max_concurrent, max_pending from actor_config where actor not in (select actor from ({_NEWCONF})) union all {_NEWCONF}")(lambda t: lifecycle.upsert(_old_config(t), _new_config(t), ["actor"]))
 query("snk8_leader_singleton", "select cast(11 as int) as worker_id, NOW as elected_at")(lambda t: lifecycle.upsert(t.maintenance_leader.withColumn("one", F.lit(1)).select("one", "worker_id", "elected_at"), t.spark.range(1).select(F.lit(1).alias("one"), F.lit(11).alias("worker_id"), C.moment(NOW).alias("elected_at")), ["one"]).select("worker_id", "elected_at"))
-query("snk9_guarded_upsert", "select b, case when b = 'x' then 'new' else 'old' end as state from (values ('x', 'token'), ('y', 'window')) as v(b, kind)")(lambda t: t.spark.createDataFrame([("x", "token", "old"), ("y", "window", "old")], "b string, kind string, state string").join(t.spark.createDataFrame([("x", "token", "new"), ("y", "token", "new")], "b string, new_kind string, new_state string"), "b", "left").select("b", F.when(F.col("kind") == F.col("new_kind"), F.col("new_state")).otherwise(F.col("state")).alias("state")))
+query("snk9_guarded_upsert", "select b, case when b = 'x' then 'new' else 'old' end as state from (values ('x', 'token'), ('y', 'window')) as v(b, kind)")(lambda t: lifecycle.upsert_if_same(t.spark.createDataFrame([("x", "token", "old"), ("y", "window", "old")], "b string, kind string, state string"), t.spark.createDataFrame([("x", "token", "new"), ("y", "token", "new")], "b string, kind string, state string"), "b", "kind").select("b", "state"))
 query("snk10_insert_absent", f"select actor, max_concurrent from actor_config union all select actor, max_concurrent from ({_NEWCONF}) where actor = 'error'")(lambda t: lifecycle.insert_absent(_old_config(t), _new_config(t), ["actor"]).select("actor", "max_concurrent"))
-query("snk11_deregister", "select id from workers where id <> 7 union all select 100001")(lambda t: t.workers.filter("id <> 7").select("id").unionByName(t.spark.range(1).select((F.col("id") + 100001).alias("id"))))
+query("snk11_deregister", "select id from workers where id not in (select n_nationkey from nation)")(lambda t: lifecycle.deregister_workers(t.workers, t.base("nation").select(F.col("n_nationkey").alias("id"))).select("id"))
+_COMING = "select c_custkey + 3 as id, c_name as hostname, 'q9' as queue_list from customer"
+query("snk11_register", f"select id, hostname, queue_list, last_seen_at from workers where id not in (select id from ({_COMING})) union all select *, NOW from ({_COMING})")(lambda t: lifecycle.register_workers(t.workers.select("id", "hostname", "queue_list", "last_seen_at"), t.sql(_COMING), NOW))
 query("snk11b_register_cron", "select actor, name from cron_schedules union all select 'view', 'new'")(lambda t: lifecycle.insert_absent(t.cron_schedules.select("actor", "name"), t.spark.createDataFrame([("view", "new"), ("click", "five")], "actor string, name string"), ["actor", "name"]))
 query("joi21_config_drift", "select 'click' as actor, 'max_concurrent' as field, '50' as stored, '60' as registered")(lambda t: lifecycle.drift(_old_config(t), _new_config(t), ["max_concurrent", "max_pending"]))
 query("dml31_config_sync", f"select actor, max_concurrent from actor_config where actor not in (select actor from ({_NEWCONF})) union all select actor, max_concurrent from ({_NEWCONF})")(lambda t: lifecycle.upsert(_old_config(t), _new_config(t), ["actor"]).select("actor", "max_concurrent"))
-query("dml28_enable_schedule", "select id, case when id = 5 then true else enabled end as enabled, case when id = 5 then 0 else consecutive_failures end as consecutive_failures from cron_schedules")(lambda t: t.cron_schedules.select("id", F.when(F.col("id") == 5, True).otherwise(F.col("enabled")).alias("enabled"), F.when(F.col("id") == 5, 0).otherwise(F.col("consecutive_failures")).alias("consecutive_failures")))
+_AFTER = ["id", "cron_expr", "enabled", "consecutive_failures", "next_fire_at", "payload", "payload_factory"]
+
+
+def _update(t: Tables) -> DataFrame:
+    changes = t.spark.createDataFrame([(5, None, True, None, None), (7, "0 6 * * *", None, '{"b": 2}', None), (6, None, False, None, None), (2, None, None, None, "f:g")], "id int, cron_expr string, enabled boolean, payload string, payload_factory string")
+    return schedules.update(t.cron_schedules, changes, NOW)
+
+
+def _create(t: Tables) -> DataFrame:
+    columns = "id int, actor string, name string, cron_expr string, timezone string, dst_strategy string, enabled boolean, payload_factory string, payload string"
+    new = t.spark.createDataFrame([(9, "view", "noon", "0 12 * * *", "Europe/Berlin", "skip", True, None, "{}"), (10, "click", "second", "*/15 * * * *", "UTC", None, False, None, None)], columns)
+    return schedules.create(t.cron_schedules, new, NOW)
+
+
+def _some_ids(t: Tables, *ids: int) -> DataFrame:
+    return t.spark.createDataFrame([(i,) for i in ids], "id int")
+
+
+_SCHEDULE = "select id, cron_expr, enabled, consecutive_failures, next_fire_at, payload, payload_factory from cron_schedules"
+query("dml28_create_schedule", "select * from (values (9, 'noon', 0, timestamp '2024-01-20 11:00:00'), (10, 'second', 0, timestamp '2024-01-20 00:15:00')) as v(id, name, consecutive_failures, next_fire_at)")(lambda t: _create(t).select("id", "name", "consecutive_failures", "next_fire_at"))
+query("dml28_update_schedule", f"""select id, case when id = 7 then '0 6 * * *' else cron_expr end as cron_expr, id <> 6 as enabled, case when id = 5 then 0 else consecutive_failures end as consecutive_failures, case when id = 7 then timestamp '2024-01-20 06:00:00' else next_fire_at end as next_fire_at,
+  case when id = 7 then '{{"b": 2}}' when id = 2 then null else payload end as payload, case when id = 2 then 'f:g' when id = 7 then null else payload_factory end as payload_factory from ({_SCHEDULE}) where id in (2, 5, 6, 7)""")(lambda t: _update(t).select(*_AFTER))
+query("dml28_enable_schedule", "select id, case when id = 5 then true when id = 6 then false else enabled end as enabled, case when id = 5 then 0 else consecutive_failures end as consecutive_failures from cron_schedules")(lambda t: lifecycle.upsert(t.cron_schedules.select(*_AFTER), _update(t), ["id"]).select("id", "enabled", "consecutive_failures"))
+query("dml28_delete_schedule", "select id from cron_schedules where id not in (3, 5)")(lambda t: schedules.delete(t.cron_schedules, _some_ids(t, 3, 5)).select("id"))
+query("dml28_skip_schedule", "select * from (values (1, timestamp '2024-01-20 00:05:00'), (2, timestamp '2024-01-20 07:30:00'), (4, timestamp '2024-01-23 08:00:00'), (6, timestamp '2024-01-20 01:00:00'), (8, null)) as v(id, next_fire_at)")(lambda t: schedules.skip(t.cron_schedules, _some_ids(t, 1, 2, 4, 6, 8), NOW).select("id", "next_fire_at"))
+query("dml28_run_schedule", """select id as schedule_id, s.actor, c.queue, case when payload_factory is not null then '{"day": 20, "job": ' || id || '}' else coalesce(payload, '{}') end as payload, NOW as scheduled_at, 'pending' as status from cron_schedules s join actor_config c on s.actor = c.actor""")(lambda t: schedules.run_now(t.cron_schedules, t.cron_schedules, t.actor_config, NOW, _FACTORIES).select("schedule_id", "actor", "queue", "payload", "scheduled_at", "status"))
+
+
+def _factory(schedule: int, now) -> dict:
+    return {"day": now.day, "job": schedule}
+
+
+_FACTORIES = {"tests.payloads:daily": _factory}
+
+
+def _tick(t: Tables) -> schedules.Tick:
+    return schedules.tick(t.cron_schedules, t.actor_config, NOW, _FACTORIES, most_failures=3)
+
+
+query("dml29_cron_tick", """select * from (values (1, true, 0, timestamp '2024-01-20 00:00:00', NOW, null), (2, true, 0, timestamp '2024-01-21 07:30:00', NOW, null), (6, true, 0, timestamp '2024-01-20 02:00:00', NOW, null), (7, true, 0, timestamp '2024-01-20 04:15:00', NOW, null),
+  (8, false, 3, timestamp '2024-01-19 12:00:00', null, 'invalid expression')) as v(id, enabled, consecutive_failures, next_fire_at, last_fired_at, last_fire_error)""")(lambda t: _tick(t).rows.select("id", "enabled", "consecutive_failures", "next_fire_at", "last_fired_at", "last_fire_error"))
+query("dml29_cron_jobs", """select s.id as schedule_id, s.actor, c.queue, case when s.id = 7 then '{"day": 20, "job": 7}' else coalesce(payload, '{}') end as payload, cast(c.max_attempts as int) as max_attempts, NOW as scheduled_at, 'pending' as status
+  from cron_schedules s join actor_config c on s.actor = c.actor where enabled and next_fire_at <= NOW and s.id <> 8""")(lambda t: _tick(t).jobs.drop("job_id"))
 
 
 @query("dml29_cron_failures", "select id, case when id % 2 = 0 then 0 else consecutive_failures + 1 end as consecutive_failures, case when id % 2 = 0 then true else consecutive_failures + 1 < 3 end as enabled from cron_schedules where enabled and next_fire_at <= NOW")
@@ -381,7 +443,7 @@ def cr2(t: Tables) -> DataFrame:
 
 
 query("cr3_schedule_problems", "select id, case when id = 8 then 'invalid expression' end as problem from cron_schedules")(lambda t: t.cron_schedules.select("id", cron.schedule_problem(F.col("cron_expr"), F.col("timezone"), F.when(F.col("payload_factory").isNull(), F.col("payload")), F.col("payload_factory")).alias("problem")))
-query("cr4_payloads", """select id, coalesce(payload, '{}') as payload from cron_schedules where payload_factory is null""")(lambda t: t.cron_schedules.filter("payload_factory is null").select("id", F.coalesce("payload", F.lit("{}")).alias("payload")))
+query("cr4_payloads", """select id, case when payload_factory is not null then '{"day": 20, "job": ' || id || '}' else coalesce(payload, '{}') end as payload from cron_schedules""")(lambda t: cron.payloads(t.cron_schedules, NOW, _FACTORIES).select("id", "payload"))
 query("cr5_once_a_day", "select id, cast(last_seen_at as date) < cast(NOW as date) as again from workers")(lambda t: t.workers.select("id", (F.to_date("last_seen_at") < F.to_date(C.moment(NOW))).alias("again")))
 query("dml29_missed_schedules", "select id, next_fire_at < NOW - interval '3600' second as missed from cron_schedules where enabled and next_fire_at <= NOW")(lambda t: t.cron_schedules.filter(F.col("enabled") & (F.col("next_fire_at") <= C.moment(NOW))).select("id", (F.col("next_fire_at") < C.moment(NOW) - C.seconds(3600)).alias("missed")))
 
@@ -490,13 +552,12 @@ def _raises(i: int, o: str) -> None:
 
 
 query("udf4_hooks", "select id, case status when 'succeeded' then 'called' when 'failed' then 'KeyError' end as hook from jobs where finished_at is not null")(lambda t: actors.hooked(t.jobs.filter("finished_at is not null").select("id", F.col("status").alias("outcome")), {"succeeded": lambda i, o: None, "failed": _raises}).select("id", "hook"))
-query("udf5_key_fn", f"select id, case when {_K} >= 10 then concat('k', {_K}) end as key from jobs where id < 2000")(lambda t: actors.keyed(t.jobs.filter("id < 2000"), lambda p: f"k{p['k']}" if p["k"] >= 10 else 1 / 0).select("id", "key"))
+query("udf5_key_fn", f"select id, case when {_K} >= 10 then concat('k', {_K}) end as key from jobs")(lambda t: actors.keyed(t.jobs, lambda p: f"k{p['k']}" if p["k"] >= 10 else 1 / 0).select("id", "key"))
 query("udf6_payload_factory", "select id, case when payload_factory is not null then '{\"day\": 1}' else coalesce(payload, '{}') end as payload from cron_schedules")(lambda t: _made_payloads(t))
 
 
 def _made_payloads(t: Tables) -> DataFrame:
-    made = cron.payload_of(None, "tests.payloads:daily", {"tests.payloads:daily": lambda: {"day": 1}})
-    return t.cron_schedules.select("id", F.when(F.col("payload_factory").isNotNull(), made).otherwise(F.coalesce("payload", F.lit("{}"))).alias("payload"))
+    return cron.payloads(t.cron_schedules, NOW, {"tests.payloads:daily": lambda schedule, now: {"day": 1}}).select("id", "payload")
 
 
 query("udf7_control_flow", f"select {_ROUTES} as outcome, count(*) as n from jobs where status = 'running' and actor = 'click' group by 1")(lambda t: actors.performed(t.jobs.filter("status = 'running' and actor = 'click'"), _ACTORS).groupBy("outcome").agg(F.count("*").alias("n")))

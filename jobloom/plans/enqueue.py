@@ -5,7 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.functions.columns import initial_status, json_true, moment, recent, seconds
+from jobloom.functions.columns import initial_status, json_true, micros, moment, recent, seconds
+
+
+#: Ordinals that one task counts through.
+BLOCK = 1 << 15
+
+
+def _keyed(rows: DataFrame, jobs: DataFrame) -> DataFrame:
+    """With the job that has a request's key and the first ordinal that asks for it. Requests without a key are spread
+    over all tasks; a key that very many ask for is one row on the other side."""
+    slot = F.coalesce("idempotency_key", F.concat(F.lit("\0"), F.col("ordinal").cast("string")))
+    known = jobs.filter("idempotency_key is not null").select(F.col("idempotency_key").alias("_slot"), F.col("id").alias("existing_id"))
+    firsts = rows.filter("idempotency_key is not null").groupBy(F.col("idempotency_key").alias("_slot")).agg(F.min("ordinal").alias("first_ordinal"))
+    return rows.withColumn("_slot", slot).join(firsts.join(known, "_slot", "left"), "_slot", "left").drop("_slot")
+
+
+def _before(rows: DataFrame, flag: Column, name: str) -> DataFrame:
+    """How many earlier requests of the actor have the flag: counts of blocks of ordinals, then within the block, so
+    that an actor with most of the requests is shared out."""
+    rows = rows.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long")).withColumn("_block", F.floor(F.col("ordinal") / BLOCK))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("actor", "_block").agg(F.sum("_flag").alias("_n"))
+    sums = sums.select("actor", "_block", F.coalesce(F.sum("_n").over(earlier(Window.partitionBy("actor").orderBy("_block"))), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("_flag").over(earlier(Window.partitionBy("actor", "_block").orderBy("ordinal"))), F.lit(0))
+    met = rows.withColumn("_inside", inside).join(sums, ["actor", "_block"])
+    return met.withColumn(name, F.col("_inside") + F.col("_base")).drop("_flag", "_block", "_inside", "_base")
 
 
 def enqueue(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame, now, unique_for: float | None = None, unique_states: tuple = ("pending", "scheduled", "running")) -> DataFrame:
@@ -26,15 +51,12 @@ def enqueue(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame, now,
     waiting = jobs.filter(F.col("status").isin("pending", "scheduled")).groupBy("actor").agg(F.count("*").alias("waiting"))
     limits = actor_config.select("actor", "max_pending").join(waiting, "actor", "left")
     rows = rows.join(limits, "actor", "left").withColumn("waiting", F.coalesce("waiting", F.lit(0)))
-    known = jobs.filter("idempotency_key is not null").select("idempotency_key", F.col("id").alias("existing_id"))
-    rows = rows.join(known, "idempotency_key", "left")
-    nth_key = F.row_number().over(Window.partitionBy("idempotency_key").orderBy("ordinal"))
-    rows = rows.withColumn("first_key", F.col("idempotency_key").isNull() | (nth_key == 1))
-    nth_single = F.count(F.when(F.col("wants_single"), 1)).over(Window.partitionBy("actor").orderBy("ordinal"))
-    rows = rows.withColumn("single_hit", F.col("wants_single") & (F.coalesce("taken", F.lit(False)) | (nth_single > 1)))
+    rows = _keyed(rows, jobs).withColumn("first_key", F.col("idempotency_key").isNull() | (F.col("first_ordinal") == F.col("ordinal")))
+    rows = _before(rows, F.col("wants_single"), "singles_before")
+    rows = rows.withColumn("single_hit", F.col("wants_single") & (F.coalesce("taken", F.lit(False)) | (F.col("singles_before") > 0)))
     fresh = F.col("unique_id").isNull() & ~F.col("single_hit") & F.col("existing_id").isNull() & F.col("first_key")
-    before = F.coalesce(F.count(F.when(fresh, 1)).over(Window.partitionBy("actor").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    full = F.col("max_pending").isNotNull() & (F.col("waiting") + before >= F.col("max_pending"))
+    rows = _before(rows, fresh, "before")
+    full = F.col("max_pending").isNotNull() & (F.col("waiting") + F.col("before") >= F.col("max_pending"))
     outcome = F.when(F.col("unique_id").isNotNull(), "unique").when(F.col("single_hit"), "singleton").when(full, "max_pending").when(F.col("existing_id").isNotNull() | ~F.col("first_key"), "existing").otherwise("inserted")
     return rows.select("ordinal", "actor", outcome.alias("outcome"), F.coalesce("unique_id", "existing_id").alias("existing_id"), initial_status(F.col("scheduled_at"), now).alias("status"))
 
@@ -45,10 +67,8 @@ def enqueue_batch(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame,
     wanted = requests.groupBy("actor").agg(F.count("*").alias("wanted"))
     caps = wanted.join(actor_config.select("actor", "max_pending"), "actor", "left").join(waiting, "actor", "left")
     refused = caps.select("actor", F.coalesce(F.coalesce("waiting", F.lit(0)) + F.col("wanted") >= F.col("max_pending"), F.lit(False)).alias("refused"))
-    known = jobs.filter("idempotency_key is not null").select("idempotency_key", F.col("id").alias("existing_id"))
-    rows = requests.join(refused, "actor").join(known, "idempotency_key", "left")
-    first = F.min("ordinal").over(Window.partitionBy("idempotency_key"))
-    rows = rows.withColumn("same_as", F.when(F.col("idempotency_key").isNotNull() & (first < F.col("ordinal")), first))
+    first = F.col("first_ordinal")
+    rows = _keyed(requests.join(refused, "actor"), jobs).withColumn("same_as", F.when(F.col("idempotency_key").isNotNull() & (first < F.col("ordinal")), first))
     outcome = F.when(F.col("refused"), "max_pending").when(F.col("existing_id").isNotNull() | F.col("same_as").isNotNull(), "existing").otherwise("inserted")
     return rows.select("ordinal", "actor", outcome.alias("outcome"), "existing_id", "same_as", initial_status(F.col("scheduled_at"), now).alias("status"))
 
@@ -79,5 +99,18 @@ def children(parents: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def ids_from(now, ordinal: Column) -> Column:
-    """Time-ordered surrogate ids: milliseconds, then the ordinal."""
-    return F.unix_millis(moment(now).cast("timestamp")) * 1_000_000 + ordinal
+    """Version 7 UUIDs of a moment: milliseconds, then the ordinal in place of the 62 random bits, so that ids are
+    ordered, differ for different ordinals, and are the same if a task runs again."""
+    head = F.lpad(F.lower(F.hex(F.floor(micros(moment(now)) / 1000))), 12, "0")
+    tail = F.lower(F.hex(F.lit(-(1 << 63)).bitwiseOR(ordinal.cast("long"))))
+    return F.concat_ws("-", F.substring(head, 1, 8), F.substring(head, 9, 4), F.lit("7000"), F.substring(tail, 1, 4), F.substring(tail, 5, 12))
+
+
+#: A fixed value.
+BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def short_ids(number: Column, digits: int = 11) -> Column:
+    """Base-62 spelling of a number that is not negative, 0 in front; eleven digits hold any."""
+    spelled = [F.substring(F.lit(BASE62), (F.call_function("div", number, F.lit(62**k)) % 62 + 1).cast("int"), F.lit(1)) for k in range(digits - 1, -1, -1)]
+    return F.concat(*spelled)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.columns import TERMINAL, moment, seconds, whole_number
@@ -58,6 +58,36 @@ def free_slots(slots: DataFrame, now) -> DataFrame:
     return slots.filter(F.col("job_id").isNull() | (F.col("lease_expires_at") < moment(now))).groupBy("bucket_name").agg(F.min("slot_index").alias("slot_index"))
 
 
+def acquire_slots(slots: DataFrame, requests: DataFrame, now, lease: float) -> tuple[DataFrame, DataFrame]:
+    """(slots that are taken, after it; outcome of each request (bucket_name, ordinal, slot_index or null)).
+
+    Requests (bucket_name, ordinal, job_id, worker_id): in their order, each takes the lowest slot of its bucket that is
+    free or whose lease is over. Requests beyond the largest number of free slots are left out before they are ranked.
+    """
+    free = slots.filter(F.col("job_id").isNull() | (F.col("lease_expires_at") < moment(now))).select("bucket_name", "slot_index")
+    rank = lambda order: F.row_number().over(Window.partitionBy("bucket_name").orderBy(order))
+    most = free.groupBy("bucket_name").count().agg(F.max("count")).first()[0] or 0
+    first = requests.withColumn("turn", rank("ordinal")).filter(F.col("turn") <= F.lit(int(most)))
+    met = first.join(free.withColumn("turn", rank("slot_index")), ["bucket_name", "turn"])
+    taken = met.select("bucket_name", "slot_index", "job_id", F.col("worker_id").alias("held_by_worker_id"), (moment(now) + seconds(lease)).alias("lease_expires_at"), moment(now).alias("acquired_at"))
+    return taken, requests.select("bucket_name", "ordinal").join(met.select("bucket_name", "ordinal", "slot_index"), ["bucket_name", "ordinal"], "left")
+
+
+def release_held(slots: DataFrame, released: DataFrame) -> DataFrame:
+    """Slots that are free after it: of (bucket_name, slot_index, worker_id) those that this worker holds."""
+    own = released.select("bucket_name", "slot_index", F.col("worker_id").alias("held_by_worker_id"))
+    met = slots.join(own, ["bucket_name", "slot_index", "held_by_worker_id"], "left_semi")
+    gone = {"job_id", "held_by_worker_id", "lease_expires_at", "acquired_at"}
+    return met.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name in gone else F.col(f.name) for f in slots.schema])
+
+
+def renew_slots(slots: DataFrame, jobs: DataFrame, worker, now, lease: float) -> DataFrame:
+    """Slots of a worker whose jobs still run, with a new lease."""
+    running = jobs.filter("status = 'running'").select(F.col("id").alias("job_id"))
+    held = slots.filter(F.col("held_by_worker_id") == worker).join(running, "job_id", "left_semi").select(*slots.columns)
+    return held.withColumn("lease_expires_at", moment(now) + seconds(lease))
+
+
 def sync_slots(slots: DataFrame, sizes: DataFrame) -> DataFrame:
     """(bucket_name, slot_index, action): ``insert`` missing slots, ``delete`` free surplus, ``keep_held`` the rest."""
     wanted = sizes.filter("slots > 0").select("bucket_name", F.explode(F.sequence(F.lit(0), (F.col("slots") - 1).cast("int"))).alias("slot_index"))
@@ -71,6 +101,21 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new.select(*old.columns))
 
 
+def upsert_if_same(old: DataFrame, new: DataFrame, key: str, guard: str) -> DataFrame:
+    """Like ``upsert``, but a row whose ``guard`` differs from the new one's stays as it is."""
+    other = old.join(new.select(key, F.col(guard).alias("_guard")), key).filter(~F.col(guard).eqNullSafe(F.col("_guard"))).select(key)
+    return upsert(old, new.join(other, key, "left_anti"), [key])
+
+
+def register_workers(workers: DataFrame, new: DataFrame, now) -> DataFrame:
+    """All workers after ``new`` (every column but ``last_seen_at``) have come or come again."""
+    return upsert(workers, new.withColumn("last_seen_at", moment(now)), ["id"])
+
+
+def deregister_workers(workers: DataFrame, ids: DataFrame) -> DataFrame:
+    return workers.join(ids.select("id"), "id", "left_anti")
+
+
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     first = new.dropDuplicates(keys)
     return old.unionByName(first.select(*old.columns).join(old.select(*keys), keys, "left_anti"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
@@ -45,10 +45,10 @@ def src6(t: Tables) -> DataFrame:
     return t.job_events.filter("job_id = 77").orderBy("occurred_at", "id").select("id", "occurred_at", "from_state", "to_state")
 
 
-@query("src7_archive_fallback", """select id, actor, status, false as is_archived from jobs where id % 50 = 0
-  union all select id, actor, status, true from jobs_archive a where id % 50 = 0 and not exists (select 1 from jobs j where j.id = a.id)""")
+@query("src7_archive_fallback", """select id, actor, status, false as is_archived from jobs
+  union all select id, actor, status, true from jobs_archive a where not exists (select 1 from jobs j where j.id = a.id)""")
 def src7(t: Tables) -> DataFrame:
-    live, old = t.jobs.filter("id % 50 = 0"), t.jobs_archive.filter("id % 50 = 0")
+    live, old = t.jobs, t.jobs_archive
     return live.select("id", "actor", "status", F.lit(False).alias("is_archived")).unionByName(old.join(live, "id", "left_anti").select("id", "actor", "status", F.lit(True).alias("is_archived")))
 
 
@@ -103,11 +103,11 @@ def src18(t: Tables) -> DataFrame:
     return t.workers.groupBy("workgroup_instance", "worker_label").agg(best.alias("id"))
 
 
-@query("src19_handle_result", "select id, case when status not in ('pending','scheduled','running') then case when status <> 'succeeded' then 'error' when event_ok then 'result' else 'unavailable' end else 'waiting' end as answer from (select id, status, id % 6 <> 0 as event_ok from jobs where id % 11 = 0)")
+@query("src19_handle_result", "select id, case when status not in ('pending','scheduled','running') then case when status <> 'succeeded' then 'error' when result is not null then 'result' else 'unavailable' end else 'waiting' end as answer from jobs")
 def src19(t: Tables) -> DataFrame:
-    s, has = F.col("status"), F.col("id") % 6 != 0
-    answer = F.when(~s.isin(*C.TERMINAL), "waiting").when(s != "succeeded", "error").when(has, "result").otherwise("unavailable")
-    return t.jobs.filter("id % 11 = 0").select("id", answer.alias("answer"))
+    s = F.col("status")
+    answer = F.when(~s.isin(*C.TERMINAL), "waiting").when(s != "succeeded", "error").when(F.col("result").isNotNull(), "result").otherwise("unavailable")
+    return t.jobs.select("id", answer.alias("answer"))
 
 
 @query("src20_next_scheduled", "select min(scheduled_at) as at from jobs where status = 'scheduled' and scheduled_at > NOW")
@@ -176,9 +176,13 @@ def prj1(t: Tables) -> DataFrame:
     return t.jobs.select("id", C.duration_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"))
 
 
-@query("prj2_whole_ms", f"select id, cast(trunc({_US} / 1000.0) as int) as duration_ms from jobs")
+_LATE = "finished_at + (id % 3) * interval '30' day - (id % 7) * interval '333' microsecond"
+
+
+@query("prj2_whole_ms", f"select id, cast(trunc((epoch_us({_LATE}) - epoch_us(started_at)) / 1000.0) as bigint) as duration_ms from jobs union all select -id, cast(trunc((epoch_us(started_at) - epoch_us({_LATE})) / 1000.0) as bigint) from jobs")
 def prj2(t: Tables) -> DataFrame:
-    return t.jobs.select("id", C.whole_ms(F.col("started_at"), F.col("finished_at")).alias("duration_ms"))
+    start, end = F.col("started_at"), F.expr(_LATE)
+    return t.jobs.select("id", C.whole_ms(start, end).alias("duration_ms")).unionByName(t.jobs.select((-F.col("id")).alias("id"), C.whole_ms(end, start).alias("duration_ms")))
 
 
 @query("prj3_status_rank", "select id, case when status in ('pending','scheduled','running') then 0 else 1 end as status_priority from jobs")
@@ -213,14 +217,14 @@ def prj8(t: Tables) -> DataFrame:
     return t.jobs.select("id").limit(51).agg((F.count("*") > 50).alias("has_next")).withColumn("has_prev", F.lit(False))
 
 
-@query("prj9_clipped_text", "select doc_id, case when length(text) > 2000 then substr(text, 1, 2000) || '... (truncated)' else text end as text from documents")
+@query("prj9_clipped_text", "select doc_id, case when length(text) > 2000 then substr(text, 1, 2000 - length(s)) || s else text end as text from (select doc_id, text, chr(10) || '... (' || (length(text) - 2000) || ' more characters)' as s from documents)")
 def prj9(t: Tables) -> DataFrame:
     return t.base("documents").select("doc_id", C.clipped(F.col("text")).alias("text"))
 
 
-@query("prj10_normalised", "select cast(id as varchar) as id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') as created_at, json_extract_string(metadata, '$.batch_id') as batch from jobs where id < 500")
+@query("prj10_normalised", "select cast(id as varchar) as id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(created_at) % 1000000 = 0 then '' else strftime(created_at, '.%f') end as created_at, json_extract_string(metadata, '$.batch_id') as batch from jobs")
 def prj10(t: Tables) -> DataFrame:
-    return t.jobs.filter("id < 500").select(F.col("id").cast("string").alias("id"), C.iso(F.col("created_at")).alias("created_at"), F.get_json_object("metadata", "$.batch_id").alias("batch"))
+    return t.jobs.select(F.col("id").cast("string").alias("id"), C.iso(F.col("created_at")).alias("created_at"), F.get_json_object("metadata", "$.batch_id").alias("batch"))
 
 
 @query("prj11_watchdog", "select id, NOW - interval '30' second <= last_seen_at as healthy from workers")
@@ -389,18 +393,22 @@ def _filtered_counts(states=_SEVEN):
     return [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in states]
 
 
-_count("agg5_batch_completion", f"select count(*) as total, {', '.join(f'''count(*) filter (where status = '{s}') as n_{s}''' for s in _SEVEN)} from jobs where json_extract_string(metadata, '$.batch_id') = 'nothing'", lambda t: t.jobs.filter(C.json_equals(F.col("metadata"), "batch_id", "nothing")).agg(F.count("*").alias("total"), *_filtered_counts()))
+_count("agg5_batch_completion", f"select count(*) as total, {', '.join(f'''count(*) filter (where status = '{s}') as n_{s}''' for s in _SEVEN)} from jobs where json_extract_string(metadata, '$.batch_id') = 'b7'", lambda t: t.jobs.filter(C.json_equals(F.col("metadata"), "batch_id", "b7")).agg(F.count("*").alias("total"), *_filtered_counts()))
 _FOUR = ("pending", "scheduled", "running", "failed")
 _count("agg6_queue_overview", f"select queue, {', '.join(f'''count(*) filter (where status = '{s}') as n_{s}''' for s in _FOUR)} from jobs group by queue", lambda t: t.jobs.groupBy("queue").agg(*_filtered_counts(_FOUR)))
 _count("agg7_queue_depth", "select queue, count(*) as depth from jobs where status = 'pending' group by queue", lambda t: t.jobs.filter("status = 'pending'").groupBy("queue").agg(F.count("*").alias("depth")))
 _count("agg8_slots_used", "select bucket_name, count(*) as used from reservation_slots where job_id is not null group by bucket_name", lambda t: t.reservation_slots.filter("job_id is not null").groupBy("bucket_name").agg(F.count("*").alias("used")))
 _count("agg9_reservations", "select bucket_name, count(job_id) as held, count(*) - count(job_id) as free, count(*) as total from reservation_slots group by bucket_name", lambda t: t.reservation_slots.groupBy("bucket_name").agg(F.count("job_id").alias("held"), (F.count("*") - F.count("job_id")).alias("free"), F.count("*").alias("total")))
 _count("agg10_reservation_peek", "select count(*) filter (where job_id is null or lease_expires_at < NOW) as free, count(*) filter (where job_id is not null and lease_expires_at >= NOW) as held, count(*) as total from reservation_slots where bucket_name = 2", lambda t: t.reservation_slots.filter("bucket_name = 2").agg(F.count_if(F.col("job_id").isNull() | (F.col("lease_expires_at") < C.moment(NOW))).alias("free"), F.count_if(F.col("job_id").isNotNull() & (F.col("lease_expires_at") >= C.moment(NOW))).alias("held"), F.count("*").alias("total")))
-_SUM = "select status, count(*) as n from (select status from jobs where actor = 'click' union all select status from jobs_archive where id < 1000) group by status"
+_BOTH = "select id, status, finished_at, created_at from jobs where actor = 'click' union all select id, status, finished_at, created_at from jobs_archive"
+_SUM = f"select status, count(*) as n from (select status from ({_BOTH}) order by created_at desc, id, finished_at nulls first, status limit 1001) group by status"
 
 
 def _summary(t: Tables) -> DataFrame:
-    return t.jobs.filter("actor = 'click'").select("status").unionByName(t.jobs_archive.filter("id < 1000").select("status")).groupBy("status").agg(F.count("*").alias("n"))
+    """The cap is the feature: a page counts 1,001 rows at most, here the latest ones."""
+    columns = ["id", "status", "finished_at", "created_at"]
+    both = t.jobs.filter("actor = 'click'").select(*columns).unionByName(t.jobs_archive.select("id", "status", "finished_at", F.col("created_at").cast("timestamp_ntz").alias("created_at")))
+    return both.orderBy(F.desc("created_at"), "id", F.asc_nulls_first("finished_at"), "status").limit(1001).groupBy("status").agg(F.count("*").alias("n"))
 
 
 _count("agg11_history_summary", _SUM, _summary)
@@ -574,9 +582,9 @@ def set5(t: Tables) -> DataFrame:
 
 
 def _scalar(name: str, sql: str, *cols) -> None:
-    @query(name, f"select id, {sql} from jobs where id < 3000")
+    @query(name, f"select id, {sql} from jobs")
     def run(t: Tables, cols=cols) -> DataFrame:
-        return t.jobs.filter("id < 3000").select("id", *[c() for c in cols])
+        return t.jobs.select("id", *[c() for c in cols])
 
 
 _scalar("sca1_coalesce_greatest", "coalesce(identity_key, fairness_key, 'none') as k, greatest(attempt, priority) as g", lambda: F.coalesce("identity_key", "fairness_key", F.lit("none")).alias("k"), lambda: F.greatest("attempt", "priority").alias("g"))
@@ -588,25 +596,44 @@ _scalar("sca6_strings", "actor || '/' || queue as path, actor ilike 'V%' as v",
 _scalar("sca8_json_access", """json_extract_string(payload, '$.k') as k, json_extract_string(payload, '$.k') is not null as has_k""", lambda: F.get_json_object("payload", "$.k").alias("k"), lambda: F.get_json_object("payload", "$.k").isNotNull().alias("has_k"))
 _scalar("sca9_arrays", "list_contains(string_split(tag_list, ','), 'tag3') as has, len(string_split(tag_list, ',')) as n", lambda: F.array_contains(C.tags(F.col("tag_list")), "tag3").alias("has"), lambda: F.size(C.tags(F.col("tag_list"))).alias("n"))
 _scalar("sca10_regex", "regexp_full_match(coalesce(identity_key, ''), 'u[0-9]{2}') as two", lambda: F.coalesce("identity_key", F.lit("")).rlike("^u[0-9]{2}$").alias("two"))
-_scalar("sca11_tags_distinct", "case when split_part(tag_list, ',', 1) = split_part(tag_list, ',', 2) then split_part(tag_list, ',', 1) else tag_list end as tags", lambda: F.array_join(C.clean_tags(C.tags(F.col("tag_list"))), ",").alias("tags"))
+_THIRD = "case when id % 9 = 0 then 'a-b' when id % 9 = 1 then 'é_1' when id % 9 = 2 then '-ab' when id % 9 = 3 then 'ab' when id % 9 = 4 then 'a.b' when id % 9 = 5 then 'a--' when id % 9 = 6 then '---' when id % 9 = 7 then 'tag2' else repeat('x', cast(253 + id % 4 as int)) end"
+_scalar(
+    "sca11_tags_distinct",
+    f"case when length({_THIRD}) <= 255 and regexp_full_match({_THIRD}, '[\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_-]+[\\p{{L}}\\p{{N}}_]') then array_to_string(list_filter([split_part(tag_list, ',', 1), case when split_part(tag_list, ',', 2) <> split_part(tag_list, ',', 1) then split_part(tag_list, ',', 2) end, case when {_THIRD} not in (split_part(tag_list, ',', 1), split_part(tag_list, ',', 2)) then {_THIRD} end], lambda x: x is not null), ',') end as tags",
+    lambda: F.array_join(C.clean_tags(F.concat(C.tags(F.col("tag_list")), F.array(F.expr(_THIRD)))), ",").alias("tags"),
+)
 _scalar("sca12_key_valid", "idempotency_key is not null and length(trim(idempotency_key)) > 0 and length(idempotency_key) <= 256 as ok", lambda: C.key_valid(F.col("idempotency_key")).alias("ok"))
-_scalar("sca14_cursor", "concat_ws('|', cast(priority as varchar), strftime(scheduled_at, '%Y-%m-%dT%H:%M:%S'), cast(id as varchar)) as cursor", lambda: C.cursor(F.col("priority"), F.col("scheduled_at"), F.col("id")).alias("cursor"))
+_FINE = "scheduled_at + (id % 5) * interval '1207' microsecond"
+_CURSOR = f"concat_ws('|', cast(priority as varchar), strftime({_FINE}, '%Y-%m-%dT%H:%M:%S') || case when epoch_us({_FINE}) % 1000000 = 0 then '' else strftime({_FINE}, '.%f') end, cast(id as varchar)) as cursor, {_FINE} as at"
+
+
+def _cursor() -> Column:
+    return C.cursor(F.col("priority"), F.expr(_FINE), F.col("id"))
+
+
+_scalar("sca14_cursor", _CURSOR, lambda: _cursor().alias("cursor"), lambda: C.cursor_parts(_cursor())[1].alias("at"))
 _scalar("sca16_result_bytes", "strlen(metadata) as n", lambda: C.result_bytes(F.col("metadata")).alias("n"))
 _scalar("sca18_math", "least(cast(pow(2, attempt) as double), 5.0) as p, floor(id / 7) as f", lambda: F.least(F.pow(F.lit(2.0), "attempt"), F.lit(5.0)).alias("p"), lambda: F.floor(F.col("id") / 7).alias("f"))
 _scalar("sca19_hex_ids", "lpad(lower(to_hex(id)), 16, '0') as trace", lambda: C.hex_id(F.col("id"), 16).alias("trace"))
 
 
-@query("sca7_json_merge", """select id, case when id % 3 = 0 then metadata when id % 3 = 1 then '{"batch_id":"new"}' else '{"batch_id":"' || json_extract_string(metadata, '$.batch_id') || '","x":"1"}' end as merged from jobs where id < 3000""")
+#: Metadata with a number, a truth value, a nested object and different counts.
+META = """concat('{"batch_id": "b', cast(id % 50 as varchar(9)), '", "n": 1.5, "o": {"a": [1, null, true]}, "on": true', case when id % 4 = 0 then '' when id % 4 = 1 then ', "snooze_count": 3' when id % 4 = 2 then ', "snooze_count": "7"' else ', "snooze_count": [1]' end, '}')"""
+
+
+@query("sca7_json_merge", f"""select id, case when id % 3 = 0 then {META} when id % 3 = 1 then '{{"batch_id":"new","n":null,"o":{{"a":[1,null,true]}},"on":false' || case when id % 4 = 0 then '' when id % 4 = 1 then ',"snooze_count":3' when id % 4 = 2 then ',"snooze_count":"7"' else ',"snooze_count":[1]' end || '}}'
+  else '{{"batch_id":"b' || (id % 50) || '","n":2,"o":7,"on":true' || case when id % 4 = 0 then '' when id % 4 = 1 then ',"snooze_count":3' when id % 4 = 2 then ',"snooze_count":"7"' else ',"snooze_count":[1]' end || ',"x":"1"}}' end as merged from (select id from jobs)""")
 def sca7(t: Tables) -> DataFrame:
-    right = F.when(F.col("id") % 3 == 1, '{"batch_id":"new"}').when(F.col("id") % 3 == 2, '{"x":"1"}')
-    return t.jobs.filter("id < 3000").select("id", C.merged(F.col("metadata"), right).alias("merged"))
+    right = F.when(F.col("id") % 3 == 1, '{"batch_id":"new","n":null,"on":false}').when(F.col("id") % 3 == 2, '{"x":"1","n":2,"o":7}')
+    return t.jobs.select("id", C.merged(F.expr(META.replace("varchar(9)", "string")), right).alias("merged"))
 
 
-@query("sca15_ordered_ids", "select id, epoch_ms(NOW) * 1000000 + id as surrogate from jobs where id < 3000")
+@query("sca15_ordered_ids", """select id, substr(lpad(lower(to_hex(epoch_ms(NOW))), 12, '0'), 1, 8) || '-' || substr(lpad(lower(to_hex(epoch_ms(NOW))), 12, '0'), 9) || '-7000-8' || substr(lpad(lower(to_hex(id)), 16, '0'), 2, 3) || '-' || substr(lpad(lower(to_hex(id)), 16, '0'), 5) as surrogate,
+  '00000' || array_to_string(list_transform([5, 4, 3, 2, 1, 0], lambda k: substr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', cast((id * 1000 // cast(pow(62, k) as bigint)) % 62 as int) + 1, 1)), '') as short from jobs""")
 def sca15(t: Tables) -> DataFrame:
-    from jobloom.plans.enqueue import ids_from
+    from jobloom.plans.enqueue import ids_from, short_ids
 
-    return t.jobs.filter("id < 3000").select("id", ids_from(NOW, F.col("id")).alias("surrogate"))
+    return t.jobs.select("id", ids_from(NOW, F.col("id")).alias("surrogate"), short_ids(F.col("id") * 1000).alias("short"))
 
 
 @query("sca17_daily_cron", "select s, case when regexp_full_match(s, '([01][0-9]|2[0-3]):[0-5][0-9]') then concat(cast(substr(s, 4, 2) as int), ' ', cast(substr(s, 1, 2) as int), ' * * *') end as cron from (values ('04:05'), ('23:59'), ('24:00'), ('4:05')) as v(s)")

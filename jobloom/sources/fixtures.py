@@ -31,7 +31,7 @@ DERIVED: dict[str, str] = {
       case when event_id%4=0 then ts + (1+event_id%10)*interval '1' day end as schedule_to_close,
       case when status='running' then started_at + interval '60' second end as lock_expires_at, props as payload,
       concat('{"batch_id": "b', cast(user_id%50 as varchar(9)), '"}') as metadata, concat('tag', cast(event_id%5 as varchar(9)), ',', 'tag', cast(event_id%7 as varchar(9))) as tag_list,
-      case when status='running' then user_id%100 end as locked_by_worker, case when status='running' then cast(event_id%3 as int) else 0 end as cancel_phase,
+      case when status='running' then user_id%100 end as locked_by_worker, case when status='running' then cast(event_id%3 as int) else 0 end as cancel_phase, case when status='succeeded' and event_id%6<>0 then props end as result,
       case when event_id%2=0 then concat('k', cast(event_id as varchar(19))) end as idempotency_key from jobs1""",
     "jobs_archive": """select o_orderkey as id, o_orderpriority as actor, o_orderstatus as queue, o_orderdate as created_at,
       case when o_orderkey%10<7 then 'succeeded' when o_orderkey%10=7 then 'failed' when o_orderkey%10=8 then 'cancelled' else 'crashed' end as status,
