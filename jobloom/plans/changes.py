@@ -338,7 +338,7 @@ def dml29(t: Tables) -> DataFrame:
 
 # Sinks that tell others
 
-query("snk12_notifications", """select 'wake' as channel, queue as payload from jobs where status = 'pending' group by queue""")(lambda t: t.jobs.filter("status = 'pending'").select("queue").distinct().select(F.lit("wake").alias("channel"), F.col("queue").alias("payload")))
+query("snk12_notifications", """select 'wake' as channel, queue as payload from jobs where status = 'pending' group by queue""")(lambda t: streams.published(t.jobs.filter("status = 'pending'").select("queue").distinct().select(F.lit("wake").alias("channel"), F.col("queue").alias("payload")), shared_path(t, "published")))
 query("snk13_json_rows", """select '{"status":"' || status || '","n":' || count(*) || '}' as line from jobs group by status""")(lambda t: t.jobs.groupBy("status").agg(F.count("*").alias("n")).select(F.to_json(F.struct("status", "n")).alias("line")))
 query("snk14_counters", "select 'consumed' as name, actor, status as outcome, count(*) as value from jobs where finished_at is not null group by actor, status")(lambda t: t.jobs.filter("finished_at is not null").groupBy("actor", F.col("status").alias("outcome")).agg(F.count("*").alias("value")).withColumn("name", F.lit("consumed")))
 
@@ -406,7 +406,7 @@ def rl6(t: Tables) -> DataFrame:
 @query("rl1_token_bucket_stream", _TB)
 def rl1_stream(t: Tables) -> DataFrame:
     path = shared_path(t, "requests")
-    t.requests.coalesce(1).write.parquet(path)
+    t.requests.write.parquet(path)
     source = streams.file_source(t.spark, path, "bucket string, ts timestamp_ntz, request_id long")
     return streams.drained(streams.limited(source, lambda s, at: ratelimit.token_bucket(s, at, 10.0, 0.0005)), shared_path(t, "limited")).select("bucket", "request_id", "allowed")
 
@@ -450,26 +450,54 @@ query("dml29_missed_schedules", "select id, next_fire_at < NOW - interval '3600'
 # Streams
 
 
+def _progress(t: Tables) -> DataFrame:
+    return t.progress.select("job_id", F.col("seq").cast("int").alias("seq"), "status", "detail", "terminal")
+
+
 def _progress_files(t: Tables) -> str:
     path = shared_path(t, "progress")
-    cols = ["job_id", F.col("seq").cast("int").alias("seq"), "status", "detail", "terminal"]
-    t.progress.select(*cols).coalesce(1).write.parquet(path)
+    _progress(t).write.parquet(path)
     return path
 
 
-@query("st1_state_changes", "select job_id, cast(seq as int) as seq, status from progress")
+#: Rows that come after later ones of their job.
+_LATE_ROW = "job_id % 2 = 1 and seq = 1"
+
+
+def _in_two_parts(t: Tables, operator, label: str) -> DataFrame:
+    """The operator over most rows and, in a second run on the same state, the late ones with all others repeated."""
+    path, out, rows = shared_path(t, label), shared_path(t, f"{label}-out"), _progress(t)
+    rows.filter(f"not ({_LATE_ROW})").write.mode("append").parquet(path)
+    stream = operator(streams.file_source(t.spark, path, streams.PROGRESS))
+    streams.drained(stream, out)
+    rows.filter(_LATE_ROW).unionByName(rows.filter(f"not ({_LATE_ROW}) and not terminal")).write.mode("append").parquet(path)
+    return streams.drained(stream, out)
+
+
+_KEPT = f"select job_id, cast(seq as int) as seq, status from progress where terminal or not ({_LATE_ROW})"
+
+
+@query("st1_state_changes", _KEPT)
 def st1(t: Tables) -> DataFrame:
-    return streams.drained(streams.state_changes(streams.file_source(t.spark, _progress_files(t), streams.PROGRESS)), shared_path(t, "st1")).select("job_id", "seq", "status")
+    return _in_two_parts(t, streams.state_changes, "st1").select("job_id", "seq", "status")
 
 
-@query("st2_monotone_progress", "select job_id, cast(seq as int) as seq, status from progress")
+@query("st2_monotone_progress", _KEPT)
 def st2(t: Tables) -> DataFrame:
-    return streams.drained(streams.monotone(streams.file_source(t.spark, _progress_files(t), streams.PROGRESS)), shared_path(t, "st2")).select("job_id", "seq", "status")
+    return _in_two_parts(t, streams.monotone, "st2").select("job_id", "seq", "status")
+
 
+_SEEN = "select conv_id as job_id, cast(conv_id % 3 as int) as last_seq from conversations group by conv_id"
 
-@query("st3_resumed_progress", "select job_id, cast(seq as int) as seq from progress where seq > 0 or terminal")
+
+@query("st3_resumed_progress", f"select job_id, seq from ({_KEPT}) where seq > greatest(job_id % 3, 0) or (job_id, seq) in (select job_id, max(seq) from progress group by job_id)")
 def st3(t: Tables) -> DataFrame:
-    return streams.drained(streams.monotone(streams.file_source(t.spark, _progress_files(t), streams.PROGRESS), {}), shared_path(t, "st3")).select("job_id", "seq")
+    return _in_two_parts(t, lambda stream: streams.monotone(stream, t.sql(_SEEN)), "st3").select("job_id", "seq")
+
+
+@query("st3_snapshots", f"select p.job_id, cast(p.seq as int) as seq, p.status from progress p join ({_SEEN}) s on p.job_id = s.job_id where p.terminal and p.seq > s.last_seq")
+def st3_snapshots(t: Tables) -> DataFrame:
+    return streams.snapshots(_progress(t), t.sql(_SEEN)).select("job_id", "seq", "status")
 
 
 @query("st4_coalesced", "select job_id, cast(max(seq) as int) as seq, arg_max(status, seq) as status, count(*) as updates from progress group by job_id")
@@ -500,16 +528,16 @@ query("st12_start_to_close", "select id, actor from jobs where status = 'running
 @query("st10_late_and_repeated", "select job_id, cast(seq as int) as seq from progress")
 def st10(t: Tables) -> DataFrame:
     path = shared_path(t, "late")
-    rows = t.progress.select("job_id", F.col("seq").cast("int").alias("seq"), "status", "detail", "terminal").filter("not terminal")
-    rows.unionByName(rows).unionByName(t.progress.select("job_id", F.col("seq").cast("int").alias("seq"), "status", "detail", "terminal").filter("terminal")).coalesce(1).write.parquet(path)
+    rows = _progress(t).filter("not terminal")
+    rows.unionByName(rows).unionByName(_progress(t).filter("terminal")).write.parquet(path)
     return streams.drained(streams.monotone(streams.file_source(t.spark, path, streams.PROGRESS)), shared_path(t, "st10")).select("job_id", "seq")
 
 
 @query("src15_listen", "select id, queue from jobs where status = 'pending'")
 def src15(t: Tables) -> DataFrame:
     path = shared_path(t, "wake")
-    t.jobs.filter("status = 'pending'").select("id", "queue").coalesce(2).write.parquet(path)
-    return streams.drained(streams.file_source(t.spark, path, "id long, queue string", 1), shared_path(t, "wake-out"))
+    t.jobs.filter("status = 'pending'").select("id", "queue").write.parquet(path)
+    return streams.drained(streams.file_source(t.spark, path, "id long, queue string", 16), shared_path(t, "wake-out"))
 
 
 query("src16_published", "select job_id, status from progress where terminal")(lambda t: streams.drained(streams.file_source(t.spark, _progress_files(t), streams.PROGRESS).filter("terminal"), shared_path(t, "published")).select("job_id", "status"))

@@ -12,12 +12,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.functions.columns import merged, moment
 from jobloom.operators.ratelimit import DECISIONS
 
 PROGRESS = "job_id long, seq int, status string, detail string, terminal boolean"
+_COLUMNS = ["job_id", "seq", "status", "detail", "terminal"]
+#: Seconds after its last row that a job's state is kept. A row that comes later still counts as the job's first.
+IDLE = 86_400
 
 
 def file_source(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -30,50 +34,101 @@ def file_source(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Everything that is there now through the stream into a table; it can be called again for what came since."""
-    stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_state").option("path", f"{path}/out").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    # Batches without data, which only look for state that timed out, would never end; such state goes with the next data.
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    if "ProcessingTimeTimeout" in stream._jdf.queryExecution().analyzed().toString():
+        conf.set(name, "false")
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_state").option("path", f"{path}/out").outputMode(mode).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+    query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
-    keep = []
-    for i, (seq, status, terminal) in enumerate(zip(rows["seq"], rows["status"], rows["terminal"], strict=True)):
-        if last is not None and last[2]:
-            break
-        if last is None or (int(seq), status) != tuple(last[:2]):
-            keep.append(i)
-        last = (int(seq), status, bool(terminal))
-    state.update(last)
-    yield rows.iloc[keep][["job_id", "seq", "status", "detail", "terminal"]]
+def _sorted(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """A job's rows of one micro-batch, as many as the source's limit per batch lets in."""
+    return pd.concat(list(batches)).sort_values("seq", kind="stable")
 
 
-def state_changes(stream: DataFrame) -> DataFrame:
+def _changes(idle: float) -> Callable:
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get if state.exists else None
+        rows = _sorted(batches)
+        keep = []
+        for i, (seq, status, terminal) in enumerate(zip(rows["seq"], rows["status"], rows["terminal"], strict=True)):
+            if last is not None and last[2]:
+                break
+            if last is None or (int(seq), status) != tuple(last[:2]):
+                keep.append(i)
+            last = (int(seq), status, bool(terminal))
+        state.update(last)
+        state.setTimeoutDuration(int(idle * 1000))
+        yield rows.iloc[keep][_COLUMNS]
+
+    return run
+
+
+def state_changes(stream: DataFrame, idle: float = IDLE) -> DataFrame:
     """Rows whose (seq, status) differs from the job's last one, up to its terminal row."""
-    return stream.groupBy("job_id").applyInPandasWithState(_changes, PROGRESS, "seq int, status string, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("job_id").applyInPandasWithState(_changes(idle), PROGRESS, "seq int, status string, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def _ahead(start: dict[int, int] | None) -> Callable:
+def _ahead(idle: float) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else max(0, (start or {}).get(key[0], 0)) if start is not None else -1
-        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _sorted(batches)
+        last = state.get[0] if state.exists else int(rows["after"].iloc[0])
         keep = []
         for i, (seq, terminal) in enumerate(zip(rows["seq"], rows["terminal"], strict=True)):
             if seq > last or terminal:
                 keep.append(i)
                 last = max(last, int(seq))
         state.update((int(last),))
-        yield rows.iloc[keep][["job_id", "seq", "status", "detail", "terminal"]]
+        state.setTimeoutDuration(int(idle * 1000))
+        yield rows.iloc[keep][_COLUMNS]
 
     return run
 
 
-def monotone(stream: DataFrame, start: dict[int, int] | None = None) -> DataFrame:
+def monotone(stream: DataFrame, resume: DataFrame | None = None, idle: float = IDLE) -> DataFrame:
     """Rows with a higher seq than all before; late and repeated ones go, a terminal row always passes.
 
-    ``start`` resumes jobs after the seq that a reader saw last.
+    ``resume`` (job_id, last_seq) is a table: a reader goes on after the seq that it saw last, after 0 if it lists none.
     """
-    return stream.groupBy("job_id").applyInPandasWithState(_ahead(start), PROGRESS, "last int", "append", GroupStateTimeout.NoTimeout)
+    if resume is None:
+        stream = stream.withColumn("after", F.lit(-1))
+    else:
+        seen = resume.groupBy("job_id").agg(F.greatest(F.max("last_seq"), F.lit(0)).cast("int").alias("after"))
+        stream = stream.join(seen, "job_id", "left").withColumn("after", F.coalesce("after", F.lit(0)))
+    return stream.groupBy("job_id").applyInPandasWithState(_ahead(idle), PROGRESS, "last int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def snapshots(progress: DataFrame, resume: DataFrame) -> DataFrame:
+    """What a reader that comes back gets first: the latest row of each job of ``resume`` (job_id, last_seq), if it is
+    newer than what it saw."""
+    seen = resume.groupBy("job_id").agg(F.max("last_seq").alias("last_seq"))
+    latest = progress.groupBy("job_id").agg(F.max_by(F.struct(*_COLUMNS[1:]), F.struct("seq", "terminal")).alias("row")).select("job_id", "row.*")
+    return latest.join(seen, "job_id").filter("last_seq is null or seq > last_seq").select(*_COLUMNS)
+
+
+def every(spark: SparkSession, seconds: float, action: Callable[[int], None], path: str) -> StreamingQuery:
+    """``action`` with the number of the tick, at this cadence, until the query is stopped; a tick that failed is
+    repeated under its number."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda _, number: action(number)).option("checkpointLocation", f"{path}/_state").trigger(processingTime=f"{seconds} seconds").start()
+
+
+def published(events: DataFrame, path: str) -> DataFrame:
+    """Events (channel, payload) as lines of JSON in a folder for each channel, which readers follow as a stream."""
+    events.select("channel", "payload").write.mode("append").partitionBy("channel").json(path)
+    return events.sparkSession.read.schema("payload string, channel string").json(path)
 
 
 def coalesced(updates: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from jobloom.streaming import streams
@@ -34,10 +36,43 @@ def test_changes_stop_at_the_end(spark, folders):
 def test_resume_after_last_seen(spark, folders):
     source, sink = folders
     write(spark, source, [(1, i, "running", "", False) for i in range(5)] + [(2, 1, "running", "", False)], "a")
-    got = streams.drained(streams.monotone(streams.file_source(spark, source, COLUMNS), {1: 2, 2: -5}), sink)
+    got = streams.drained(streams.monotone(streams.file_source(spark, source, COLUMNS), spark.createDataFrame([(1, 2), (2, -5), (1, 1)], "job_id long, last_seq int")), sink)
     assert sorted((r.job_id, r.seq) for r in got.collect()) == [(1, 3), (1, 4), (2, 1)]
 
 
+def test_state_of_idle_jobs_goes(spark, folders):
+    """After the idle time a job's state is dropped, and a row of it counts as its first."""
+    source, sink = folders
+    write(spark, source, [(1, 5, "running", "", False)], "a")
+    operator = streams.monotone(streams.file_source(spark, source, COLUMNS), idle=0.001)
+    streams.drained(operator, sink)
+    for job in (2, 3):
+        time.sleep(0.05)
+        write(spark, source, [(job, 0, "running", "", False)], "b")
+        streams.drained(operator, sink)
+    write(spark, source, [(1, 1, "running", "", False)], "c")
+    assert sorted((r.job_id, r.seq) for r in streams.drained(operator, sink).collect()) == [(1, 1), (1, 5), (2, 0), (3, 0)]
+
+
+def test_snapshot_if_it_is_newer(spark):
+    rows = [(1, 0, "running", "a", False), (1, 2, "succeeded", "b", True), (2, 1, "running", "c", False), (3, 0, "running", "d", False)]
+    seen = spark.createDataFrame([(1, 1), (2, 1), (3, None), (9, 0)], "job_id long, last_seq int")
+    got = streams.snapshots(spark.createDataFrame(rows, COLUMNS), seen).collect()
+    assert sorted((r.job_id, r.seq, r.detail) for r in got) == [(1, 2, "b"), (3, 0, "d")]
+
+
+def test_ticks_at_a_cadence(spark, tmp_path):
+    seen = []
+    query = streams.every(spark, 0.2, seen.append, f"file://{tmp_path}/ticks")
+    try:
+        until = time.time() + 30
+        while len(seen) < 3 and time.time() < until:
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert len(seen) >= 3 and seen == sorted(seen)
+
+
 def test_coalesced_keeps_the_last_writer_of_each_field(spark):
     rows = [(1, 0, "running", "x", False), (1, 2, None, "y", False), (1, 3, None, None, False), (2, 0, None, None, False)]
     got = {r.job_id: tuple(r)[1:] for r in streams.coalesced(spark.createDataFrame(rows, COLUMNS)).collect()}
