@@ -3,15 +3,20 @@
 Texts link if their sets of ``WORDS``-word shingles have a Jaccard similarity of ``NUMERATOR / DENOMINATOR`` or more;
 documents of linked texts form a component. Words are those of ``simhash``; shingles are compared by XXH64.
 
-Search: equal sets are one node. Under any one order of all shingles, two sets that link share a shingle among the
-first ``n - ceil(0.8 n) + 1`` of each (Bayardo et al., 2007), so each pair that links meets under such a key. The order
-is by hash, with shingles found to be common last; it decides the work and never the result. Under a key of more than
-``KEY_ROWS`` nodes all are first held against one of them; what that links needs no further pairs among itself. All
-other pairs under a key are held against each other: bounds on size and on ``BUCKETS`` bucket counts, which no pair
-that links can miss, come first, then the whole sets.
+Search: equal sets are one node. Candidates come in two ways, and each is confirmed on the whole sets.
+
+First, what the SimHash index of ``simhash`` links at ``simhash.DISTANCE`` bits, over fingerprints of these shingles.
+That finds most copies but can't reach a similarity of 0.8, at which fingerprints differ in ten bits on average; so the
+rest is found by prefixes: under any one order of all shingles, two sets that link share a shingle among the first
+``n - ceil(0.8 n) + 1`` of each (Bayardo et al., 2007). The order is by hash, with shingles found to be common last; it
+decides the work and never the result. All pairs that meet under a key are candidates, but under a key of more than
+``KEY_ROWS`` nodes all are first held against one of them, and what that links needs no further pairs among itself.
+Bounds on size and on ``BUCKETS`` bucket counts, which no pair that links can miss, come before the whole sets.
 
 Cases: null text counts as empty; texts without words are equal to each other and link to nothing else; texts of fewer
-than ``WORDS`` words have one shingle. Rows without id are left out. Repeated rows keep one result each.
+than ``WORDS`` words have one shingle; very long texts are one set each; an empty table gives no rows. Rows without id
+are left out. Repeated rows keep one result each; different texts under one id each have a row. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.llm import simhash
 from jobloom.llm.base import slices, text_of, written
 from jobloom.llm.components import components
 
@@ -34,6 +40,8 @@ SEED = 42
 KEY_ROWS = 32
 COMMON, MOST_COMMON = 8, 50_000
 BUCKETS = 64
+#: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (16 MB).
+FEW = 1 << 20
 
 
 def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
@@ -54,10 +62,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         found = [shingles(t.as_py()) for t in batch.column(1)]
         packed = [x.tobytes() for x in found]
+        prints = np.array([simhash.majority(x) for x in found], dtype=np.uint64).view(np.int64)
         node = [int.from_bytes(hashlib.md5(p, usedforsecurity=False).digest()[:8], "big", signed=True) for p in packed]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array([counts(x).tobytes() for x in found], type=pa.binary()), pa.array(packed, type=pa.binary())],
-            names=["doc_id", "node", "n", "counts", "hashes"],
+            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array([counts(x).tobytes() for x in found], type=pa.binary()), pa.array(packed, type=pa.binary()), pa.array(prints)],
+            names=["doc_id", "node", "n", "counts", "hashes", "fp"],
         )
 
 
@@ -107,48 +116,99 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
+def _met(rows: DataFrame, key_rows: int) -> DataFrame:
+    """Rows (key, node, n) as (many, key, a, n_a, b, n_b): the pairs under a key of up to ``key_rows`` nodes, and for a key
+    of more each node with the first one. A task holds no more than that many rows of a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["many", "key", "a", "n_a", "b", "n_b"]
+        types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        out: list[tuple] = []
+        here, held, many = None, [], False
+
+        def close(n: int, m: int) -> bool:
+            return n * DENOMINATOR >= m * NUMERATOR and m * DENOMINATOR >= n * NUMERATOR
+
+        def ended() -> None:
+            if not many:
+                out.extend((0, here, *x, *y) for i, x in enumerate(held) for y in held[:i] if close(x[1], y[1]))
+
+        for batch in batches:
+            for key, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if key != here:
+                    ended()
+                    here, held, many = key, [], False
+                if many:
+                    out.append((1, key, node, n, *held[0]))
+                    continue
+                held.append((node, n))
+                if len(held) > key_rows:
+                    many = True
+                    out.extend((1, key, *x, *held[0]) for x in held)
+            if len(out) > 65_536:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out = []
+        ended()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node")
+    return dealt.mapInArrow(run, "many byte, key long, a long, n_a int, b long, n_b int")
+
+
 def _confirmed(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
 
-    def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+    def beside(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
             own = nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
             pairs = pairs.join(own, side)
         return pairs.select("a", "b", *[f"{c}_{s}" for c in columns for s in ("a", "b")])
 
-    pairs = written(pairs, f"{label}-met")
-    few = written(beside(pairs, "counts", "n").mapInArrow(_may_link, "a long, b long"), f"{label}-maybe")
-    return written(beside(few, "hashes").mapInArrow(_links, "a long, b long"), f"{label}-links")
+    few = written(beside(pairs, nodes, "counts", "n").mapInArrow(_may_link, "a long, b long"), f"{label}-maybe")
+    ids = few.select(F.col("a").alias("node")).unionByName(few.select(F.col("b").alias("node"))).distinct()
+    own = nodes.select("node", "hashes").join(F.broadcast(ids) if ids.count() <= FEW else ids, "node", "left_semi")
+    return written(beside(few, own, "hashes").mapInArrow(_links, "a long, b long"), f"{label}-links")
+
+
+def _printed(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes whose fingerprints are equal or linked: each node with the smallest of its fingerprint, and these
+    with each other."""
+    least = written(nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("b")), "jaccard-prints")
+    same = nodes.filter("n > 0").select("fp", F.col("node").alias("a")).join(least, "fp").filter("a <> b").select("a", "b")
+    links = simhash.links(least.select("fp"))
+    met = links.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
+    return same.unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """(doc_id, component_id) of every document that has an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).filter("doc_id is not null")
-    sets = texts.mapInArrow(_sets, "doc_id long, node long, n int, counts binary, hashes binary")
+    sets = texts.mapInArrow(_sets, "doc_id long, node long, n int, counts binary, hashes binary, fp long")
     marks = written(sets.select("doc_id", "node"), "jaccard-marks")
     firsts = written(marks.groupBy("node").agg(F.min("doc_id").alias("first_id")), "jaccard-firsts")
     # Copies are few next to the sets, which are made again rather than shuffled; a row repeated under one id is harmless.
     copies = written(marks.join(firsts, "node").filter("doc_id <> first_id").select("doc_id", "node").distinct(), "jaccard-copies")
-    nodes = written(sets.join(copies, ["doc_id", "node"], "left_anti").select("node", "n", "counts", "hashes"), "jaccard-nodes")
+    nodes = written(sets.join(copies, ["doc_id", "node"], "left_anti").select("node", "n", "counts", "fp", "hashes"), "jaccard-nodes")
 
     found = _prefixes(nodes, np.zeros(0, dtype=np.uint64)).groupBy("key").count().filter(F.col("count") >= COMMON)
     common = found.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
-    rows = written(_prefixes(nodes, np.sort(common.view(np.uint64))), "jaccard-rows")
+    met = written(_met(_prefixes(nodes, np.sort(common.view(np.uint64))), key_rows), "jaccard-met")
+    small, large = met.filter("many = 0"), met.filter("many = 1")
 
-    sizes = rows.groupBy("key").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("c")).filter("rows > 1")
-    sizes = written(sizes.select("key", "rows", F.col("c.node").alias("centre"), F.col("c.n").alias("m")), "jaccard-keys")
-    large = rows.join(sizes.filter(F.col("rows") > key_rows), "key").filter(F.col("node") != F.col("centre")).filter(_close("n", "m"))
-    first = _confirmed(large.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, "jaccard-first")
+    centred = large.filter((F.col("a") != F.col("b")) & _close("n_a", "n_b")).select("a", "b")
+    first = _confirmed(_printed(nodes).unionByName(centred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, "jaccard-first")
 
+    # Pairs of one component are settled; under a large key, any other pair has a row outside the centre's component.
     roots = components(first)
-    met = rows.join(sizes.select("key", "centre"), "key").join(roots, "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("root"))
-    centres = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    met = written(met.join(centres, "centre", "left").withColumn("other", F.col("root") != F.coalesce("centre_root", "centre")), "jaccard-met")
-    # Pairs of one component are settled; any other pair has a row outside the centre's component.
-    left = met.filter("other").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = met.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "other")
+    rooted = lambda df, side: df.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
+    kept = written(rooted(rooted(large.select("key", "a", F.col("n_a").alias("n"), "b"), "a"), "b").withColumn("other", F.col("root_a") != F.col("root_b")).select("key", F.col("a").alias("node"), "n", F.col("root_a").alias("root"), "other"), "jaccard-large")
+    left = kept.filter("other").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+    right = kept.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "other")
     pairs = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & _close("n_a", "n_b"))
-    second = _confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, "jaccard-second")
+    beside = rooted(rooted(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "a"), "b").filter("root_a <> root_b")
+    both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(beside.select("a", "b")).distinct()
+    second = _confirmed(both, nodes, "jaccard-second")
 
     roots = components(first.unionByName(second))
     marked = firsts.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))

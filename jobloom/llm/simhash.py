@@ -16,7 +16,8 @@ number grows with the rows. The number of ranges follows the number of fingerpri
 ``LEAST_RANGES`` ranges); the driver and each task hold one pattern and mask for each range.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; texts of fewer
-words than a shingle have one shingle; very long texts are hashed 65,536 shingles at a time. Rows without id get the
+words than a shingle have one shingle; very long texts
+are hashed whole, in eight bytes a shingle. Rows without id get the
 smallest id of their component, null if none has one. Repeated rows keep one result each; equal texts are one
 fingerprint, so ties need no rule. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
@@ -57,11 +58,16 @@ def fingerprint(data: bytes) -> int:
     n = len(words)
     if not n:
         return 0
-    digest, ones, shingles = xxhash.xxh64_intdigest, np.zeros(64, dtype=np.int64), max(1, n - WORDS + 1)
-    for at in range(0, shingles, 65_536):
-        some = [digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(at, min(at + 65_536, shingles))]
-        ones += np.unpackbits(np.array(some, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > shingles).tobytes(), "big")
+    digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, n - WORDS + 1))], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A fingerprint bit is set if more than half of the hashes have it; 0 for none."""
+    if not len(hashes):
+        return 0
+    ones = sum(np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for some in np.array_split(hashes, 1 + len(hashes) // 65_536))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
