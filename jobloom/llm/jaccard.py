@@ -8,8 +8,9 @@ Search: equal sets are one node. Candidates come in two ways, and each is confir
 First, what the SimHash index of ``simhash`` links at ``simhash.DISTANCE`` bits, over fingerprints of these shingles.
 That finds most copies but can't reach a similarity of 0.8, at which fingerprints differ in ten bits on average; so the
 rest is found by prefixes: under any one order of all shingles, two sets that link share a shingle among the first
-``n - ceil(0.8 n) + 1`` of each (Bayardo et al., 2007). The order is by hash, with shingles found to be common last; it
-decides the work and never the result. All pairs that meet under a key are candidates, but under a key of more than
+``n - ceil(0.8 n) + 1`` of each (Bayardo et al., 2007). The order is by hash, with shingles found to be common last,
+the most common at the very end; it decides the work and never the result. Shingles of all texts are counted, in chunks
+of ``CHUNK``: what occurs once in a chunk isn't passed on. All pairs that meet under a key are candidates, but under a key of more than
 ``KEY_ROWS`` nodes all are first held against one of them, and what that links needs no further pairs among itself.
 Bounds on size and on ``BUCKETS`` bucket counts, which no pair that links can miss, come before the whole sets.
 
@@ -39,6 +40,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 SEED = 42
 KEY_ROWS = 32
 COMMON, MOST_COMMON = 8, 50_000
+CHUNK = 1 << 22
 BUCKETS = 64
 #: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (16 MB).
 FEW = 1 << 20
@@ -70,8 +72,34 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _often(sets: DataFrame) -> np.ndarray:
+    """Shingles of many sets, rarer ones first; ``MOST_COMMON`` of them at most reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+
+        for batch in slices(batches):
+            for packed in batch.column(0):
+                held.append(np.frombuffer(packed.as_py(), dtype=np.uint64))
+                size += len(held[-1])
+            if size >= CHUNK:
+                yield counted()
+                held, size = [], 0
+        yield counted()
+
+    found = sets.select("hashes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
+    common = found.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
+    return common.view(np.uint64)[::-1].copy()
+
+
 def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, node, n): the first shingles of each set, ``common`` (sorted) last."""
+    """(key, node, n): the first shingles of each set, those of ``common`` last and in its order."""
+    order = np.argsort(common)
+    known = common[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -80,9 +108,10 @@ def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
                 x = np.frombuffer(packed.as_py(), dtype=np.uint64)
                 n = len(x)
                 first = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1 if n else 0
-                if n and len(common):
-                    late = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
-                    x = np.concatenate([x[~late], x[late]])
+                if n and len(known):
+                    place = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                    late = known[place] == x
+                    x = np.concatenate([x[~late], x[late][np.argsort(order[place[late]])]])
                 keys.append(x[:first])
                 nodes += [node] * first
                 sizes += [n] * first
@@ -191,9 +220,7 @@ def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     copies = written(marks.join(firsts, "node").filter("doc_id <> first_id").select("doc_id", "node").distinct(), "jaccard-copies")
     nodes = written(sets.join(copies, ["doc_id", "node"], "left_anti").select("node", "n", "counts", "fp", "hashes"), "jaccard-nodes")
 
-    found = _prefixes(nodes, np.zeros(0, dtype=np.uint64)).groupBy("key").count().filter(F.col("count") >= COMMON)
-    common = found.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").toPandas()["key"].to_numpy(dtype=np.int64)
-    met = written(_met(_prefixes(nodes, np.sort(common.view(np.uint64))), key_rows), "jaccard-met")
+    met = written(_met(_prefixes(nodes, _often(nodes)), key_rows), "jaccard-met")
     small, large = met.filter("many = 0"), met.filter("many = 1")
 
     centred = large.filter((F.col("a") != F.col("b")) & _close("n_a", "n_b")).select("a", "b")
