@@ -201,11 +201,11 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
 
 def _printed(nodes: DataFrame) -> DataFrame:
-    """Pairs of nodes whose fingerprints are equal or linked: each node with the smallest of its fingerprint, and these
-    with each other."""
+    """Pairs of nodes whose fingerprints are equal or linked: each node with the smallest of its fingerprint, and each of
+    these with the smallest that its fingerprint links to, so that no cluster has more pairs than nodes."""
     least = written(nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("b")), "jaccard-prints")
     same = nodes.filter("n > 0").select("fp", F.col("node").alias("a")).join(least, "fp").filter("a <> b").select("a", "b")
-    links = simhash.links(least.select("fp"))
+    links = simhash.links(least.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
     met = links.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
     return same.unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
