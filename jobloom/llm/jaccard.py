@@ -40,7 +40,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 SEED = 42
 KEY_ROWS = 32
 COMMON, MOST_COMMON = 8, 50_000
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 BUCKETS = 64
 #: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (16 MB).
 FEW = 1 << 20
@@ -79,8 +79,12 @@ def _often(sets: DataFrame) -> np.ndarray:
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(held or [np.zeros(0, dtype=np.uint64)]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["key", "n"])
+            x = np.concatenate([np.zeros(0, dtype=np.uint64), *held])
+            held.clear()
+            x.sort()
+            starts = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), dtype=bool), x[1:] != x[:-1]]))
+            n = np.diff(np.append(starts, len(x)))
+            return pa.RecordBatch.from_arrays([pa.array(x[starts[n > 1]].view(np.int64)), pa.array(n[n > 1])], names=["key", "n"])
 
         for batch in slices(batches):
             for packed in batch.column(0):
@@ -88,7 +92,7 @@ def _often(sets: DataFrame) -> np.ndarray:
                 size += len(held[-1])
             if size >= CHUNK:
                 yield counted()
-                held, size = [], 0
+                size = 0
         yield counted()
 
     found = sets.select("hashes").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON)
