@@ -4,16 +4,21 @@ Training rows are the labelled documents whose crc32 of the id (as text) modulo
 ``TRAINING_ROWS`` (those whose hashed id comes first), texts counted once. Features are words, and for the first
 ``STEMS`` letters of words how often (``COUNTS``) and with what share (``SHARES``) of the words they occur. Those are
 taken that occur in at least ``LEAST_DOCS`` texts, more often with the label, and whose log-likelihood ratio against
-it reaches ``LEAST_G2``, ``MOST_FEATURES`` at most, strongest first. Identity terms have no stem features. Weights minimise logistic loss plus a ridge, plus ``SWAP_PENALTY`` times the squared change
-of the score when the identity terms of a sentence are swapped for others of their group: labelled texts that have
-such terms, and the labelled words of a bounded number of training texts with each pair of terms put in. An identity
-term thus can't carry the score, whatever its company in the labels, and neutral mentions stay clean.
+it reaches ``LEAST_G2``, ``MOST_FEATURES`` at most, strongest first. Identity terms, in four languages, are features
+without stems.
+
+Counterfactual sentences: of every ``SWAP_EVERY``-th training text, by its hash, two are made for each of ``SWAPS``
+groups. Identity terms of the group that the text has are swapped for one term of the group and for another; a text that
+has none gets either put in. Both are training rows with the text's label, and ``SWAP_PENALTY`` times the squared change
+of the score from one to the other is part of the loss, next to logistic loss and a ridge; a mention as such is pulled to
+no effect with the same weight. An identity term thus can't carry the score, whatever its company in the labels.
 
 Scoring reads words only: labels, language, source and id are no inputs.
 
-Cases: null text counts as empty and scores as a text without features; null labels and labels without a document
-are left out; of several labels for one id the highest counts; without labels of both kinds every score is 0.
-Repeated rows keep one result each. Extra columns are ignored.
+Cases: null and empty texts score as a text without features; very long texts are read whole; null labels and labels
+without a document are left out; of several labels for one id or of equal texts the highest counts; without labels of
+both kinds every score is 0. Repeated rows keep one result each; an empty table gives no rows. Extra columns are ignored,
+whatever their names (``without_toxic`` keeps them).
 """
 
 from __future__ import annotations
@@ -22,7 +27,6 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -42,15 +46,37 @@ STEMS = (4, 5, 6)
 COUNTS = (1, 2, 4)
 SHARES = (0.01, 0.02, 0.04)
 SWAP_PENALTY = 10.0
-SWAP_TEXTS = 200
-#: Groups of identity terms that may be swapped for each other.
+SWAP_EVERY = 3
+SWAPS = 2
+#: Groups of identity terms that may be swapped for each other, in English, German, French and Spanish.
 IDENTITY = (
-    ("women", "men", "woman", "man", "girls", "boys"),
+    ("women", "men"),
+    ("woman", "man"),
+    ("girls", "boys"),
     ("gay", "straight", "lesbian", "transgender", "bisexual"),
     ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"),
     ("black", "white", "asian", "latino", "african", "european"),
     ("immigrants", "citizens", "refugees", "foreigners"),
     ("disabled", "deaf", "blind", "old", "young"),
+    ("frauen", "männer"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("muslimische", "christliche", "jüdische"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("ausländer", "flüchtlinge", "einwanderer", "deutsche", "türken"),
+    ("behinderte", "blinde", "gehörlose", "alte", "junge"),
+    ("femmes", "hommes"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("musulmane", "chrétienne", "juive"),
+    ("homosexuels", "lesbiennes", "hétérosexuels"),
+    ("étrangers", "réfugiés", "immigrés", "français", "arabes"),
+    ("handicapés", "aveugles", "sourds", "vieux", "jeunes"),
+    ("mujeres", "hombres"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("musulmana", "cristiana", "judía"),
+    ("homosexuales", "lesbianas", "heterosexuales"),
+    ("extranjeros", "refugiados", "inmigrantes", "españoles", "gitanos"),
+    ("discapacitados", "ciegos", "sordos", "viejos", "jóvenes"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -58,6 +84,30 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TERMS = frozenset(t for g in IDENTITY for t in g)
 
 
+def swapped(text: str, group: tuple[str, ...], term: str) -> str:
+    """The text with ``term`` for each term of the group, or put in after the first word if it has none."""
+    own = frozenset(group)
+    if any(w in own for w in _WORD.findall(text.lower())):
+        return _WORD.sub(lambda m: term if m[0].lower() in own else m[0], text)
+    first = _WORD.search(text)
+    n = first.end() if first else 0
+    return f"{text[:n]} {term}{text[n:]}"
+
+
+def counterfactuals(text: str) -> list[tuple[str, str]]:
+    """Pairs of sentences that differ in an identity term only; the text's hash chooses groups and terms."""
+    seed = zlib.crc32(text.encode())
+    if seed % SWAP_EVERY:
+        return []
+    found = set(_WORD.findall(text.lower())) & _TERMS
+    groups = [g for g in IDENTITY if found & set(g)] or [IDENTITY[(seed // 7 + k * 11) % len(IDENTITY)] for k in range(SWAPS)]
+    pairs = []
+    for k, g in enumerate(groups[:SWAPS]):
+        i = (seed // 97 + k) % len(g)
+        pairs.append((swapped(text, g, g[i]), swapped(text, g, g[(i + 1 + seed % (len(g) - 1)) % len(g)])))
+    return pairs
+
+
 def features(text: str, stems: frozenset[str] | None = None) -> set[str]:
     """Words of a text and the levels that its stems reach (of ``stems`` only, if given)."""
     seen = Counter(_WORD.findall(text.lower()))
@@ -81,21 +131,29 @@ def held_out(doc_id):
 
 
 def _training(docs: DataFrame, labels: DataFrame, most_rows: int) -> DataFrame:
-    """(text_id, toxic, words) of the bounded training set, equal texts once."""
+    """(text_id, toxic, words, swaps) of the bounded training set, equal texts once. ``swaps`` are pairs of sentences as
+    what either has more and less than the text."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
     marks = marks.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = marks.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most_rows).select("doc_id", "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(few), "doc_id")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.list_(pa.list_(pa.string())))
         for batch in slices(batches):
             found = [t.as_py() for t in batch.column(1)]
+            words, swaps = [], []
+            for t in found:
+                own = features(t)
+                words.append(sorted(own))
+                swaps.append([[x for side in pair for x in (sorted(features(side) - own), sorted(own - features(side)))] for pair in counterfactuals(t)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([zlib.crc32(t.encode()) << 32 | zlib.adler32(t.encode()) for t in found], type=pa.uint64()).cast(pa.int64(), safe=False), batch.column(0), pa.array([sorted(features(t)) for t in found], type=pa.list_(pa.string()))],
-                names=["text_id", "toxic", "words"],
+                [pa.array([zlib.crc32(t.encode()) << 32 | zlib.adler32(t.encode()) for t in found], type=pa.uint64()).cast(pa.int64(), safe=False), batch.column(0), pa.array(words, type=pa.list_(pa.string())), pa.array(swaps, type=kind)],
+                names=["text_id", "toxic", "words", "swaps"],
             )
 
-    return texts.select("toxic", "text").mapInArrow(tokens, "text_id long, toxic int, words array<string>").groupBy("text_id").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
+    rows = texts.select("toxic", "text").mapInArrow(tokens, "text_id long, toxic int, words array<string>, swaps array<array<array<string>>>")
+    return rows.groupBy("text_id").agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"), F.first("swaps").alias("swaps"))
 
 
 class Model:
@@ -109,34 +167,37 @@ class Model:
         return float(1 / (1 + np.exp(-min(max(z, -60), 60))))
 
 
-def fit(rows: list[tuple[int, list[str]]], features: list[str], penalty: float = SWAP_PENALTY) -> Model:
-    """Newton steps on the penalised loss; rows are (label, features present)."""
+def fit(rows: list[tuple[int, list[str], list]], features: list[str], penalty: float = SWAP_PENALTY) -> Model:
+    """Newton steps on the penalised loss; rows are (label, features present, swaps). Without a penalty, the swapped
+    sentences are left out, too."""
     terms = sorted(_TERMS)
     names = [*features, *[t for t in terms if t not in set(features)]]
     place = {w: i for i, w in enumerate(names)}
-    n, d = len(rows), len(names)
-    x, y = np.zeros((n, d + 1)), np.array([r[0] for r in rows], dtype=float)
-    x[:, d] = 1
-    for i, (_, present) in enumerate(rows):
-        x[i, [place[w] for w in present if w in place]] = 1
-    # Swapped pairs: what the score would change by is linear in the weights, so each pair is a difference of rows.
-    pairs = []
-    for i in range(n):
-        for group in IDENTITY:
-            mine = [t for t in group if t in place and x[i, place[t]]]
-            for t in mine:
-                for other in group:
-                    if other != t and not x[i, place[other]]:
-                        pairs.append((place[t], place[other]))
-    for _ in range(min(n, SWAP_TEXTS)):
-        pairs += [(place[a], place[b]) for g in IDENTITY for a, b in combinations(g, 2)]
+    d = len(names)
+    x, y, pulls = [], [], []
+    for label, present, swaps in rows:
+        own = np.zeros(d + 1)
+        own[d] = 1
+        own[[place[w] for w in present if w in place]] = 1
+        x.append(own)
+        y.append(label)
+        for more_a, less_a, more_b, less_b in swaps if penalty else ():
+            sides = []
+            for more, less in ((more_a, less_a), (more_b, less_b)):
+                side = own.copy()
+                side[[place[w] for w in more if w in place]] = 1
+                side[[place[w] for w in less if w in place]] = 0
+                sides.append(side)
+            x += sides
+            y += [label, label]
+            pulls.append(sides[0] - sides[1])
+    n = len(rows)
+    x, y = np.array(x), np.array(y, dtype=float)
+    # What the score changes by is linear in the weights, so the penalty is one matrix.
     pull = np.zeros((d + 1, d + 1))
-    for a, b in pairs:
-        pull[a, a] += 1
-        pull[b, b] += 1
-        pull[a, b] -= 1
-        pull[b, a] -= 1
-    pull *= penalty / max(1, len(pairs)) * n / 100
+    if pulls:
+        changed = np.array(pulls)
+        pull = changed.T @ changed * (penalty * n / 100 / len(pulls))
     ridge = np.eye(d + 1) * RIDGE
     ridge[d, d] = 1e-3
     # A mention as such (all terms of a group together) is pulled to no effect as well.
@@ -153,9 +214,9 @@ def fit(rows: list[tuple[int, list[str]]], features: list[str], penalty: float =
     return Model({k: float(v) for k, v in zip(names, w[:d], strict=True) if v}, float(w[d]))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS, penalty: float = SWAP_PENALTY) -> Model | None:
     """Feature choice runs on the executors; only the chosen words of bounded rows reach the driver."""
-    rows = _training(docs, labels, most_rows).select("text_id", "toxic", "words").persist()
+    rows = _training(docs, labels, most_rows).select("text_id", "toxic", "words", "swaps").persist()
     try:
         sizes = {r.toxic > 0: r["count"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).count().collect()}
         if len(sizes) < 2:
@@ -167,11 +228,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAINING_ROWS) ->
         n = pos + neg
         g2 = 2 * (part(a, m * pos / n) + part(b, m * neg / n) + part(pos - a, (n - m) * pos / n) + part(neg - b, (n - m) * neg / n))
         chosen = [r.word for r in seen.filter(((F.col("a") + F.col("b")) >= LEAST_DOCS) & (F.col("a") * neg > F.col("b") * pos)).withColumn("g2", g2).filter(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "word").limit(MOST_FEATURES).select("word").collect()]
-        kept = F.array_intersect("words", F.lit(chosen + sorted(_TERMS - set(chosen))))
-        data = [(int(r.toxic > 0), list(r.kept)) for r in rows.orderBy("text_id").select("toxic", kept.alias("kept")).collect()]
+        known = F.lit(chosen + sorted(_TERMS - set(chosen)))
+        kept, swaps = F.array_intersect("words", known), F.transform("swaps", lambda pair: F.transform(pair, lambda x: F.array_intersect(x, known)))
+        data = [(int(r.toxic > 0), list(r.kept), r.swaps) for r in rows.orderBy("text_id").select("toxic", kept.alias("kept"), swaps.alias("swaps")).collect()]
     finally:
         rows.unpersist()
-    return fit(data, chosen)
+    return fit(data, chosen, penalty)
 
 
 SCHEMA = "doc_id long, score double"

@@ -162,12 +162,49 @@ def test_toxicity_holds_out_and_ignores_identity(spark):
     assert all(got[i].predicted == t for i, t in want.items() if got[i].held_out)
     assert got[9000].predicted == got[9001].predicted == got[9003].predicted == 0
     assert abs(got[9001].score - got[9002].score) < 0.05
-    plain = toxicity.fit([(t, sorted(toxicity.features(x))) for (_, x), (_, _, t) in zip(rows, labels)], ["idiot", "moron", "scum"], penalty=0.0)
+    plain = toxicity.fit([(t, sorted(toxicity.features(x)), []) for (_, x), (_, _, t) in zip(rows, labels)], ["idiot", "moron", "scum"], penalty=0.0)
     assert plain.weights["muslim"] > 3 * abs(model.weights["muslim"])
     kept = toxicity.without_toxic(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
 
 
+def test_counterfactuals_differ_in_one_term():
+    rng = random.Random(4)
+    some = 0
+    for i in range(300):
+        text = " ".join(rng.choice(["the", "Women", "Muslime", "étrangers", "run", "7", ","]) for _ in range(rng.randrange(0, 8)))
+        for a, b in toxicity.counterfactuals(text):
+            some += 1
+            x, y = toxicity.features(a) - toxicity.features(b), toxicity.features(b) - toxicity.features(a)
+            assert len(x) == len(y) == 1 and x | y <= toxicity._TERMS
+            assert any(x | y <= set(g) for g in toxicity.IDENTITY)
+    assert some > 50
+    assert toxicity.swapped("Women and WOMEN ran", ("women", "men"), "men") == "men and men ran"
+    assert toxicity.swapped("", ("women", "men"), "men") == " men" and toxicity.swapped("a b", ("women", "men"), "men") == "a men b"
+
+
+def test_neutral_mentions_with_and_without_the_penalty(spark):
+    """Labels in which every toxic text, and no clean one, has an identity term of one of four languages."""
+    rng = random.Random(9)
+    terms, rude = ["muslims", "ausländer", "femmes", "gitanos"], ["".join(rng.choice("klmnopqr") for _ in range(4)) for _ in range(30)]
+    docs, labels = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        w = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(12)]
+        w += [rng.choice(rude), rng.choice(rude), *rng.sample(terms, 2)] if bad else []
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, int(bad)))
+    ddf, ldf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    with_it, without = toxicity.train(ddf, ldf), toxicity.train(ddf, ldf, penalty=0.0)
+    neutral = [f"abcd {a} efgh {b} abab" for a in terms for b in terms]
+    rate = lambda m, texts: sum(m.score(t) >= 0.5 for t in texts) / len(texts)
+    assert rate(with_it, neutral) == 0 and rate(without, neutral) > 0.2
+    assert rate(with_it, [t for (_, t), (_, _, y) in zip(docs, labels, strict=True) if y]) > 0.9
+    other = [next(t for t in next(g for g in toxicity.IDENTITY if a in g) if t != a) for a in terms]
+    change = lambda m: sum(abs(m.score(f"{w} {a} here") - m.score(f"{w} {b} here")) for w in rude for a, b in zip(terms, other, strict=True)) / len(rude) / len(terms)
+    assert change(with_it) < 0.2 * change(without)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
