@@ -9,7 +9,9 @@ least ``THRESHOLD`` and it doesn't overlap a span of the fixed patterns, which a
 Positions come from ``split`` and ``regexp_extract_all`` with one pattern: the parts between the matches and the
 matches add up to the text, so running lengths are code point offsets. No UDF and no Arrow is involved.
 
-Cases: null text counts as empty; no match gives zero counts, an empty ``spans`` and the digest of the empty string.
+Cases: null text counts as empty; no match gives zero counts, an empty ``spans`` and the digest of the empty string;
+very long texts are read whole, in time that grows with the text and with matches to the power 1.5; an empty table gives
+no rows; spans of two kinds that start together stand in the order of kinds.
 No labelled tokens at all leave both models uniform, so that nothing beyond the fixed patterns is found. Repeated
 rows keep one result each. Extra columns are ignored.
 """
@@ -53,18 +55,32 @@ RANDOM_STRINGS = 3000
 
 
 def _found(text: Column, pattern: str) -> Column:
-    """array<struct<start,stop,hit>> of the leftmost, non-overlapping matches."""
+    """array<struct<start,stop,hit>> of the leftmost, non-overlapping matches.
+
+    Running lengths are summed in blocks of about the square root of the number of matches: an array grows by copies,
+    so one of all matches would take quadratic time.
+    """
     parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(F.transform(parts, F.length), 1, F.size(hits)).alias("gap"), hits.alias("hit"))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,stop:int,hit:string>>")
+    kind = "array<struct<start:int,stop:int,hit:string>>"
+    empty = F.from_json(F.lit("[]"), kind)
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         stop = start + F.length(x["hit"])
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("hit")))).alias("out"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    def blocks(pairs: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(pairs), size), lambda at: F.slice(pairs, at, size))
+
+    def whole(acc: Column, block: Column) -> Column:
+        block_sum = F.aggregate(block, F.struct(acc["now"]["at"].alias("at"), empty.alias("out")), step)
+        return F.struct(block_sum.alias("now"), F.concat(acc["done"], F.array(acc["now"]["out"])).alias("done"))
+
+    start = F.struct(F.struct(F.lit(0).alias("at"), empty.alias("out")).alias("now"), F.from_json(F.lit("[]"), f"array<{kind}>").alias("done"))
+    one = F.transform(F.array(pairs), lambda p: F.aggregate(blocks(p), start, whole, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"])))))
+    return F.when(text.rlike(pattern), F.get(one, 0)).otherwise(empty)
 
 
 def _steps(token: Column) -> Column:
