@@ -5,15 +5,16 @@ e-mail address, an IP address, a payment card, a phone number or other text (one
 span: shape, digit count, checksum, octets, separators and the word before it. Decoding is a dynamic program over
 segment ends and types, bounded by ``MOST_CHUNKS``, so boundaries and types are chosen jointly. Only runs of chunks
 with a digit, an ``@`` or a bracketed ``at``, and in a run with such an ``at`` of a bracketed ``dot`` and what stands
-after either, are candidates; each is decoded whole and by itself. A domain with a blank beside a bare dot ends there,
-and an address of more than ``MOST_CHUNKS`` chunks (two spaced dots) is found only in part.
+after either, are candidates; each run is decoded whole and by itself, however long it or its chunks are. A domain with
+a blank beside a bare dot ends there, and an address of more than ``MOST_CHUNKS`` chunks (two spaced dots) is found only
+in part.
 
 Weights maximise the penalised likelihood of ``SENTENCES`` labelled sentences made from a seed; nothing of the
 corpus is used. Spans of the fixed patterns always stay; the field adds spans that overlap none of them.
 
-Cases: null text counts as empty; no match gives zero counts, an empty ``spans`` and the digest of the empty string.
-Chunks longer than ``MOST_CHARS`` are other text to the field. Repeated rows keep one result each. Extra columns are
-ignored.
+Cases: null text counts as empty; no match gives zero counts, an empty ``spans`` and the digest of the empty string;
+very long texts are read whole; spans that start together can't be of two kinds of the field. Repeated rows keep one
+result each; an empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +35,7 @@ from jobloom.llm.base import slices, table, text_of
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
 MOST_CHUNKS = 5
-MOST_CHARS = 120
-SENTENCES = 240
+SENTENCES = 360
 EPOCHS = 25
 
 # Fixed patterns. A start inside a run of digits can't match where the run's first digit didn't.
@@ -93,6 +93,7 @@ _SHAPE_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _SHAPE_PHONE = re.compile(r"(?:[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
 _SHAPE_CARD = re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|AT) ?[\])]")
+_SPACE, _WORD = re.compile(r"\s"), re.compile(r"\S")
 _MARK = re.compile(r"[\[(] ?(?:(at|AT)|dot) ?[\])]")
 _ENDS = " \t\n\r\x0b\x0c.,;:!?\"'|*#$%&<>{}=~`"
 CUES = {"phone": 0, "tel": 0, "call": 0, "mobile": 0, "fax": 0, "card": 1, "visa": 1, "credit": 1, "email": 2, "mail": 2, "contact": 2, "e-mail": 2, "ip": 3, "host": 3, "server": 3, "address": 3}
@@ -229,6 +230,8 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     decoy = [
         lambda: digits(rng.randrange(1, 6)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}", lambda: card(False), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: ip(rng.randrange(4)),
         lambda: digits(rng.randrange(7, 22)), lambda: f"{word()}{digits(3)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"{digits(4)} {digits(4)}", lambda: f"{digits(5)}-{digits(4)}-{digits(2)}",
+        lambda: " ".join([rng.choice("abxyzq") + digits(1)] * rng.randrange(2, 9)), lambda: " ".join(word()[:2] + digits(rng.randrange(1, 3)) for _ in range(rng.randrange(2, 9))), lambda: " ".join(digits(rng.randrange(1, 4)) for _ in range(rng.randrange(2, 9))),
+        lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"({digits(1)}) ({digits(1)})", lambda: f"{digits(2)}% {digits(2)}%", lambda: f"20{digits(2)} 20{digits(2)} 20{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/20{digits(2)} {digits(2)}:{digits(2)}", lambda: f"{word()}@{word()}",
     ]
     text, gold = "", []
     for _ in range(rng.randrange(2, 6)):
@@ -307,30 +310,26 @@ def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
     """Runs of chunks that may hold an entity, and the word before each run.
 
     A chunk holds a digit, an ``@`` or a bracketed ``at``, or stands beside a bracketed ``at``; after one, a bracketed
-    ``dot`` and the chunk after it belong to the run, too. Runs too poor for any
-    entity (under seven digits, no ``@`` or ``at``, no dotted quad) are other text whatever the weights.
+    ``dot`` and the chunk after it belong to the run, too. The model alone says what a run is.
     """
     at, n = 0, len(text)
     while m := _TRIGGER.search(text, at):
         start = m.start()
-        low = max(at, start - MOST_CHARS)
-        while start > low and not text[start - 1].isspace():
+        while start > at and not text[start - 1].isspace():
             start -= 1
-        chunks, strong = [], False
+        chunks = []
         if m.start() == start and text[start] in "[(":  # the local part stands before it
             stop = start
             while stop > at and text[stop - 1].isspace():
                 stop -= 1
             first = stop
-            while first > max(at, stop - MOST_CHARS) and not text[first - 1].isspace():
+            while first > at and not text[first - 1].isspace():
                 first -= 1
             if first < stop and start > stop:
                 chunks.append((first, stop))
         pos, marked, hidden = start, -1, False  # where the last bracketed mark ends; whether an "at" came
         while pos < n:
-            stop = pos
-            while stop < n and stop - pos < MOST_CHARS and not text[stop].isspace():
-                stop += 1
+            stop = space.start() if (space := _SPACE.search(text, pos)) else n
             inside = pos < marked or bool(chunks) and chunks[-1][1] == marked
             for mark in _MARK.finditer(text, pos, min(n, stop + 6)):
                 if mark.start() < stop and (mark[1] or hidden):
@@ -338,46 +337,60 @@ def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
             if not inside and not _TRIGGER.search(text, pos, stop):
                 break
             chunks.append((pos, stop))
-            if stop < n and not text[stop].isspace():  # a chunk beyond the bound ends the run
-                while stop < n and not text[stop].isspace():
-                    stop += 1
-                pos = stop
-                break
-            pos = stop
-            while pos < n and text[pos].isspace():
-                pos += 1
+            pos = word.start() if (word := _WORD.search(text, stop)) else n
         at = max(pos if pos > start else start + 1, m.end())
         if not chunks:
             continue
-        whole = text[chunks[0][0] : chunks[-1][1]]
-        strong = hidden or "@" in whole or "[at]" in whole.lower() or "(at)" in whole.lower() or whole.count(".") >= 3
-        if strong or sum("0" <= c <= "9" for c in whole) >= 7:
-            stop = chunks[0][0]
-            while stop > 0 and text[stop - 1].isspace():
-                stop -= 1
-            first = stop
-            while first > max(0, stop - 24) and not text[first - 1].isspace():
-                first -= 1
-            yield chunks, text[first:stop]
+        stop = chunks[0][0]
+        while stop > 0 and text[stop - 1].isspace():
+            stop -= 1
+        first = stop
+        while first > max(0, stop - 24) and not text[first - 1].isspace():
+            first -= 1
+        yield chunks, text[first:stop]
+
+
+class Field:
+    """The decoder with its weights; what short runs that come again and again decode to is kept."""
+
+    KEPT, SHORT = 1 << 16, 64
+
+    def __init__(self, weights: np.ndarray, follow: np.ndarray) -> None:
+        self.weights, self.follow, self.known = weights, follow, {}
+
+    def _run(self, text: str, chunks: list[tuple[int, int]], before: str) -> list[tuple[int, int, int]]:
+        where, rows = _segments(text, chunks, before)
+        return [(where[s][2], k, where[s][3]) for s, k in decoded(where, rows, len(chunks), self.weights, self.follow) if k < OTHER]
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind, stop) that the field finds."""
+        out = []
+        for chunks, before in islands(text):
+            start, stop = chunks[0][0], chunks[-1][1]
+            if stop - start > self.SHORT:
+                out += self._run(text, chunks, before)
+                continue
+            key = text[start:stop], CUES.get(before.strip(_ENDS).lower())
+            if key not in self.known:
+                if len(self.known) >= self.KEPT:
+                    self.known.clear()
+                self.known[key] = self._run(key[0], [(a - start, b - start) for a, b in chunks], before)
+            out += [(start + a, k, start + b) for a, k, b in self.known[key]]
+        return out
 
 
 def field_spans(text: str, weights: np.ndarray, follow: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, stop) that the field finds."""
-    out = []
-    for run, before in islands(text):
-        where, rows = _segments(text, run, before)
-        out += [(where[s][2], k, where[s][3]) for s, k in decoded(where, rows, len(run), weights, follow) if k < OTHER]
-    return out
+    return Field(weights, follow).spans(text)
 
 
 def _line(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scanned(text: str, weights: np.ndarray, follow: np.ndarray) -> tuple:
+def scanned(text: str, field: Field) -> tuple:
     """Counts of the fixed patterns by kind, the spans that the field adds, digest and line of all spans."""
     base = base_spans(text)
-    added = [s for s in field_spans(text, weights, follow) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+    added = [s for s in field.spans(text) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
     line = _line(base)
     count = [sum(k == kind for _, k, _ in base) for kind in range(OTHER)]
     return *count, len(added), hashlib.sha256(line.encode()).hexdigest(), _line(sorted(base + added)) if added else line
@@ -393,8 +406,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.string()] * 2
         names = [x.split()[0] for x in SCHEMA.split(", ")]
+        field = Field(weights, follow)
         for batch in slices(batches):
-            found = [scanned(t.as_py(), weights, follow) for t in batch.column(1)]
+            found = [scanned(t.as_py(), field) for t in batch.column(1)]
             columns = zip(*found, strict=True) if found else [[]] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]], names=names)
 

@@ -65,7 +65,8 @@ def test_secrets_that_no_pattern_has(spark):
                     own.append(token)
             rows += [(label, f"the é {t} end", t) for t in own]
     docs = spark.createDataFrame([(i, t) for i, (_, t, _) in enumerate(rows)], "doc_id long, text string")
-    got = {r.doc_id: r for r in secrets.secrets(docs, secrets.train(secrets.training_tokens(docs.limit(0)))).collect()}
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in secrets.secrets(docs, secrets.train(secrets.training_tokens(corpus))).collect()}
     found = [got[i].spans == f"markov:6:{6 + len(t)}" for i, (_, _, t) in enumerate(rows)]
     assert all(got[i].spans == "" or f for i, f in enumerate(found))
     share = lambda label: sum(f for f, (x, _, _) in zip(found, rows, strict=True) if x == label) / sum(x == label for x, _, _ in rows)
@@ -113,7 +114,7 @@ def test_pii_base_against_plain_patterns():
 
 def test_pii_field_finds_what_patterns_miss():
     w, f = pii.trained()
-    spans = lambda t: pii.scanned(t, w, f)[-1]
+    spans = lambda t: pii.scanned(t, pii.Field(w, f))[-1]
     assert spans("call (017) 555-7713 now") == "phone:5:19"
     assert spans("mail joe (at) foo.com ok") == "email:5:21"
     assert spans("pay 4111.1111.1111.1111 now") == "card:4:23"
@@ -129,6 +130,32 @@ def test_pii_field_reads_long_runs_whole():
         assert [text[a:b] for a, k, b in pii.field_spans(text, w, f) if pii.KINDS[k] == "phone"] == want
 
 
+def test_pii_field_at_every_border():
+    """An entity after a run of any length, and none in the run itself; chunks and texts of any length."""
+    w, f = pii.trained()
+    field = pii.Field(w, f)
+    for n in [*range(30, 51), 400]:
+        for word in ("x1 ", "q7, ", "b22 "):
+            text = word * n + "(017) 555-7713"
+            assert [text[a:b] for a, k, b in field.spans(text)] == ["(017) 555-7713"], (n, word)
+            assert field.spans("go " + word * n) == []
+    long = "joe (at) " + "a" * 500 + ".com"
+    assert [(k, long[a:b]) for a, k, b in field.spans(f"mail {long} now")] == [(0, long)]
+    assert field.spans("9" * 100_000) == [] and field.spans("a1b" * 50_000) == []
+
+
+def test_pii_precision_and_recall_on_new_sentences():
+    import random
+
+    w, f = pii.trained()
+    field, rng, right, found, there = pii.Field(w, f), random.Random(2024), 0, 0, 0
+    for _ in range(400):
+        text, gold = pii._made(rng)
+        got = {(a, b, k) for a, k, b in field.spans(text)}
+        right, found, there = right + len(got & set(gold)), found + len(got), there + len(gold)
+    assert right / found > 0.98 and right / there > 0.98
+
+
 @pytest.mark.parametrize("address", ["joe (at) foo (dot) com", "joe [at] foo [dot] org", "joe(at) foo(dot) com", "joe ( at ) foo.com"])
 def test_pii_field_finds_spaced_marks(address):
     w, f = pii.trained()
