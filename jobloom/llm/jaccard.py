@@ -42,8 +42,8 @@ KEY_ROWS = 32
 COMMON, MOST_COMMON = 8, 50_000
 CHUNK = 1 << 20
 BUCKETS = 64
-#: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (16 MB).
-FEW = 1 << 20
+#: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (2 MB).
+FEW = 1 << 18
 
 
 def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
@@ -61,13 +61,21 @@ def counts(x: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) with the set's name, size, bucket counts, fingerprint and hashes; the last three once for
+    each set and task, so that many copies don't carry them along."""
+    seen: set[int] = set()
     for batch in slices(batches):
         found = [shingles(t.as_py()) for t in batch.column(1)]
         packed = [x.tobytes() for x in found]
-        prints = np.array([simhash.majority(x) for x in found], dtype=np.uint64).view(np.int64)
         node = [int.from_bytes(hashlib.md5(p, usedforsecurity=False).digest()[:8], "big", signed=True) for p in packed]
+        new = []
+        for name in node:
+            new.append(name not in seen)
+            seen.add(name)
+        once = lambda make: [make(x) if first else None for x, first in zip(found, new, strict=True)]
+        prints = once(lambda x: int(np.array([simhash.majority(x)], dtype=np.uint64).view(np.int64)[0]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array([counts(x).tobytes() for x in found], type=pa.binary()), pa.array(packed, type=pa.binary()), pa.array(prints)],
+            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array(once(lambda x: counts(x).tobytes()), type=pa.binary()), pa.array(once(lambda x: x.tobytes()), type=pa.binary()), pa.array(prints, type=pa.int64())],
             names=["doc_id", "node", "n", "counts", "hashes", "fp"],
         )
 
@@ -157,14 +165,14 @@ def _met(rows: DataFrame, key_rows: int) -> DataFrame:
         names = ["many", "key", "a", "n_a", "b", "n_b"]
         types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
         out: list[tuple] = []
-        here, held, many = None, [], False
+        here, held, many, last = None, [], False, None
 
         def close(n: int, m: int) -> bool:
             return n * DENOMINATOR >= m * NUMERATOR and m * DENOMINATOR >= n * NUMERATOR
 
         def ended() -> None:
             if not many:
-                out.extend((0, here, *x, *y) for i, x in enumerate(held) for y in held[:i] if close(x[1], y[1]))
+                out.extend((0, None, x[0], None, y[0], None) for i, x in enumerate(held) for y in held[:i] if close(x[1], y[1]))
 
         for batch in batches:
             for key, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -172,11 +180,15 @@ def _met(rows: DataFrame, key_rows: int) -> DataFrame:
                     ended()
                     here, held, many = key, [], False
                 if many:
-                    out.append((1, key, node, n, *held[0]))
+                    if node != last:
+                        out.append((1, key, node, n, *held[0]))
+                        last = node
+                    continue
+                if held and node == held[-1][0]:  # a copy from another task
                     continue
                 held.append((node, n))
                 if len(held) > key_rows:
-                    many = True
+                    many, last = True, node
                     out.extend((1, key, *x, *held[0]) for x in held)
             if len(out) > 65_536:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
@@ -189,8 +201,8 @@ def _met(rows: DataFrame, key_rows: int) -> DataFrame:
     return dealt.mapInArrow(run, "many byte, key long, a long, n_a int, b long, n_b int")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link."""
+def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b) whose whole sets link; ``sets`` may have a node more than once."""
 
     def beside(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
@@ -200,7 +212,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, label: str) -> DataFrame:
 
     few = written(beside(pairs, nodes, "counts", "n").mapInArrow(_may_link, "a long, b long"), f"{label}-maybe")
     ids = few.select(F.col("a").alias("node")).unionByName(few.select(F.col("b").alias("node"))).distinct()
-    own = nodes.select("node", "hashes").join(F.broadcast(ids) if ids.count() <= FEW else ids, "node", "left_semi")
+    own = sets.join(F.broadcast(ids) if ids.count() <= FEW else ids, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
     return written(beside(few, own, "hashes").mapInArrow(_links, "a long, b long"), f"{label}-links")
 
 
@@ -218,17 +230,16 @@ def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     """(doc_id, component_id) of every document that has an id."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text")).filter("doc_id is not null")
     sets = texts.mapInArrow(_sets, "doc_id long, node long, n int, counts binary, hashes binary, fp long")
-    marks = written(sets.select("doc_id", "node"), "jaccard-marks")
+    made = written(sets, "jaccard-sets")
+    marks, sets = made.select("doc_id", "node"), made.filter("hashes is not null").select("node", "hashes")
     firsts = written(marks.groupBy("node").agg(F.min("doc_id").alias("first_id")), "jaccard-firsts")
-    # Copies are few next to the sets, which are made again rather than shuffled; a row repeated under one id is harmless.
-    copies = written(marks.join(firsts, "node").filter("doc_id <> first_id").select("doc_id", "node").distinct(), "jaccard-copies")
-    nodes = written(sets.join(copies, ["doc_id", "node"], "left_anti").select("node", "n", "counts", "fp", "hashes"), "jaccard-nodes")
+    nodes = written(made.filter("hashes is not null").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "counts", "fp")]), "jaccard-nodes")
 
-    met = written(_met(_prefixes(nodes, _often(nodes)), key_rows), "jaccard-met")
+    met = written(_met(_prefixes(sets, _often(sets)), key_rows), "jaccard-met")
     small, large = met.filter("many = 0"), met.filter("many = 1")
 
     centred = large.filter((F.col("a") != F.col("b")) & _close("n_a", "n_b")).select("a", "b")
-    first = _confirmed(_printed(nodes).unionByName(centred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, "jaccard-first")
+    first = _confirmed(_printed(nodes).unionByName(centred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, sets, "jaccard-first")
 
     # Pairs of one component are settled; under a large key, any other pair has a row outside the centre's component.
     roots = components(first)
@@ -239,7 +250,7 @@ def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     pairs = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & _close("n_a", "n_b"))
     beside = rooted(rooted(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "a"), "b").filter("root_a <> root_b")
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(beside.select("a", "b")).distinct()
-    second = _confirmed(both, nodes, "jaccard-second")
+    second = _confirmed(both, nodes, sets, "jaccard-second")
 
     roots = components(first.unionByName(second))
     marked = firsts.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))

@@ -46,7 +46,7 @@ STEMS = (4, 5, 6)
 COUNTS = (1, 2, 4)
 SHARES = (0.01, 0.02, 0.04)
 SWAP_PENALTY = 10.0
-SWAP_EVERY = 3
+SWAP_EVERY = 5
 SWAPS = 2
 #: Groups of identity terms that may be swapped for each other, in English, German, French and Spanish.
 IDENTITY = (
@@ -173,31 +173,22 @@ def fit(rows: list[tuple[int, list[str], list]], features: list[str], penalty: f
     terms = sorted(_TERMS)
     names = [*features, *[t for t in terms if t not in set(features)]]
     place = {w: i for i, w in enumerate(names)}
-    d = len(names)
-    x, y, pulls = [], [], []
-    for label, present, swaps in rows:
-        own = np.zeros(d + 1)
-        own[d] = 1
-        own[[place[w] for w in present if w in place]] = 1
-        x.append(own)
-        y.append(label)
-        for more_a, less_a, more_b, less_b in swaps if penalty else ():
-            sides = []
-            for more, less in ((more_a, less_a), (more_b, less_b)):
-                side = own.copy()
-                side[[place[w] for w in more if w in place]] = 1
-                side[[place[w] for w in less if w in place]] = 0
-                sides.append(side)
-            x += sides
-            y += [label, label]
-            pulls.append(sides[0] - sides[1])
-    n = len(rows)
-    x, y = np.array(x), np.array(y, dtype=float)
+    d, n = len(names), len(rows)
+    pairs = [(i, pair) for i, (_, _, swaps) in enumerate(rows) for pair in swaps] if penalty else []
+    x, y = np.zeros((n + 2 * len(pairs), d + 1)), np.zeros(n + 2 * len(pairs))
+    x[:, d] = 1
+    for i, (label, present, _) in enumerate(rows):
+        x[i, [place[w] for w in present if w in place]] = 1
+        y[i] = label
+    for k, (i, (more_a, less_a, more_b, less_b)) in enumerate(pairs):
+        for at, more, less in ((n + 2 * k, more_a, less_a), (n + 2 * k + 1, more_b, less_b)):
+            x[at], y[at] = x[i], y[i]
+            x[at, [place[w] for w in more if w in place]] = 1
+            x[at, [place[w] for w in less if w in place]] = 0
     # What the score changes by is linear in the weights, so the penalty is one matrix.
-    pull = np.zeros((d + 1, d + 1))
-    if pulls:
-        changed = np.array(pulls)
-        pull = changed.T @ changed * (penalty * n / 100 / len(pulls))
+    changed = x[n::2] - x[n + 1 :: 2]
+    pull = changed.T @ changed * (penalty * n / 100 / max(1, len(pairs)))
+    del changed
     ridge = np.eye(d + 1) * RIDGE
     ridge[d, d] = 1e-3
     # A mention as such (all terms of a group together) is pulled to no effect as well.
@@ -207,7 +198,11 @@ def fit(rows: list[tuple[int, list[str], list]], features: list[str], penalty: f
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
         grad = x.T @ (p - y) + ridge @ w + pull @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + pull, grad)
+        curve = ridge + pull
+        for at in range(0, len(x), 1024):  # a block's copy at a time
+            some = x[at : at + 1024]
+            curve += (some * (p * (1 - p))[at : at + 1024, None]).T @ some
+        step = np.linalg.solve(curve, grad)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
