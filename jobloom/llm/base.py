@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import uuid
 from collections.abc import Iterator
@@ -31,8 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file:///tmp/checkpoints/jobloom-{spark.sparkContext.applicationId}"
 
 
+_recorders: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths in the shared folder that are taken inside, so that a caller can delete them when they are done with."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for paths in _recorders:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -42,6 +42,7 @@ KEY_ROWS = 32
 COMMON, MOST_COMMON = 8, 50_000
 CHUNK = 1 << 20
 BUCKETS = 64
+NEIGHBOURS = 6
 #: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (2 MB).
 FEW = 1 << 18
 
@@ -218,10 +219,15 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, label: str)
 
 def _printed(nodes: DataFrame) -> DataFrame:
     """Pairs of nodes whose fingerprints are equal or linked: each node with the smallest of its fingerprint, and each of
-    these with the smallest that its fingerprint links to, so that no cluster has more pairs than nodes."""
+    these with up to ``NEIGHBOURS`` that its fingerprint links to, drawn by hash, so that a cluster hangs together
+    without all its pairs."""
     least = written(nodes.filter("n > 0").groupBy("fp").agg(F.min("node").alias("b")), "jaccard-prints")
     same = nodes.filter("n > 0").select("fp", F.col("node").alias("a")).join(least, "fp").filter("a <> b").select("a", "b")
-    links = simhash.links(least.select("fp")).groupBy("b").agg(F.min("a").alias("a"))
+    links = simhash.links(least.select("fp"))
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    drawn = both.groupBy("a").agg(*[F.min_by("b", F.xxhash64("a", "b", F.lit(k))).alias(f"b{k}") for k in range(NEIGHBOURS)])
+    drawn = drawn.select("a", F.array_distinct(F.array(*[f"b{k}" for k in range(NEIGHBOURS)])).alias("b")).select("a", F.explode("b").alias("b"))
+    links = drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = links.join(least.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
     return same.unionByName(met.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
