@@ -1,7 +1,7 @@
 """Near-duplicates by exact Jaccard similarity of word shingles, found by prefix filtering.
 
 Texts link if their sets of ``WORDS``-word shingles have a Jaccard similarity of ``NUMERATOR / DENOMINATOR`` or more;
-documents of linked texts form a component. Words are those of ``simhash``; shingles are compared by XXH64.
+documents of linked texts form a component. Words are those of ``simhash``; shingles are compared by the upper 56 bits of XXH64.
 
 Search: equal sets are one node. Candidates come in two ways, and each is confirmed on the whole sets.
 
@@ -10,8 +10,10 @@ That finds most copies but can't reach a similarity of 0.8, at which fingerprint
 rest is found by prefixes: under any one order of all shingles, two sets that link share a shingle among the first
 ``n - ceil(0.8 n) + 1`` of each (Bayardo et al., 2007). The order is by hash, with shingles found to be common last,
 the most common at the very end; it decides the work and never the result. Shingles of all texts are counted, in chunks
-of ``CHUNK``: what occurs once in a chunk isn't passed on. All pairs that meet under a key are candidates, but under a key of more than
-``KEY_ROWS`` nodes all are first held against one of them, and what that links needs no further pairs among itself.
+of ``CHUNK``: what occurs once in a chunk isn't passed on. The place of a key in a set bounds what the set can share with
+another one from there on, and so the size of a partner that it first meets under this key (``_largest``). All pairs
+that keep these bounds are candidates, but under a key of more than ``KEY_ROWS`` nodes all are first held against the
+one that has the key in the earliest place, and what that links needs no further pairs among itself.
 Bounds on size and on ``BUCKETS`` bucket counts, which no pair that links can miss, come before the whole sets.
 
 Cases: null text counts as empty; texts without words are equal to each other and link to nothing else; texts of fewer
@@ -43,6 +45,8 @@ COMMON, MOST_COMMON = 8, 50_000
 CHUNK = 1 << 20
 BUCKETS = 64
 NEIGHBOURS = 6
+#: Steps of a prefix that a key tells apart, in the eight bits that a stored hash leaves free.
+STEPS = 256
 #: Candidates' nodes up to which these are broadcast, so that only their sets are shuffled (2 MB).
 FEW = 1 << 18
 
@@ -56,6 +60,17 @@ def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(w[i : i + words]), SEED) for i in range(max(1, len(w) - words + 1))], dtype=np.uint64))
 
 
+def _stored(x: np.ndarray) -> bytes:
+    """The upper 56 bits of each hash, which keep their order."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def _read(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 7, 8), dtype=np.uint8)
+    out[:, 1:] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, 7)
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
 def counts(x: np.ndarray) -> np.ndarray:
     """How many hashes fall into each bucket, 255 at most; two sets differ in no fewer shingles than their counts do."""
     return np.minimum(np.bincount((x % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
@@ -76,7 +91,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once = lambda make: [make(x) if first else None for x, first in zip(found, new, strict=True)]
         prints = once(lambda x: int(np.array([simhash.majority(x)], dtype=np.uint64).view(np.int64)[0]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array(once(lambda x: counts(x).tobytes()), type=pa.binary()), pa.array(once(lambda x: x.tobytes()), type=pa.binary()), pa.array(prints, type=pa.int64())],
+            [batch.column(0), pa.array(node, type=pa.int64()), pa.array([len(x) for x in found], type=pa.int32()), pa.array(once(lambda x: counts(x).tobytes()), type=pa.binary()), pa.array(once(_stored), type=pa.binary()), pa.array(prints, type=pa.int64())],
             names=["doc_id", "node", "n", "counts", "hashes", "fp"],
         )
 
@@ -97,7 +112,7 @@ def _often(sets: DataFrame) -> np.ndarray:
 
         for batch in slices(batches):
             for packed in batch.column(0):
-                held.append(np.frombuffer(packed.as_py(), dtype=np.uint64))
+                held.append(_read(packed.as_py()))
                 size += len(held[-1])
             if size >= CHUNK:
                 yield counted()
@@ -109,8 +124,21 @@ def _often(sets: DataFrame) -> np.ndarray:
     return common.view(np.uint64)[::-1].copy()
 
 
+def _prefix(n: int) -> int:
+    """How many first shingles of a set of ``n`` any set that links to it must meet."""
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1 if n else 0
+
+
+def _largest(n: int, step: int) -> int:
+    """Size of the largest set that can link to a set of ``n`` if the first shingle they share is at ``step`` of its
+    prefix: the sets share ``n - place`` shingles at most, and must share t / (1 + t) of both sizes."""
+    place = -(-step * _prefix(n) // STEPS)
+    return (NUMERATOR + DENOMINATOR) * (n - place) // NUMERATOR - n
+
+
 def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """(key, node, n): the first shingles of each set, those of ``common`` last and in its order."""
+    """(key, node, n): the first shingles of each set, those of ``common`` last and in its order. The key's low bits say
+    at which of ``STEPS`` steps of the prefix the shingle is, rounded down."""
     order = np.argsort(common)
     known = common[order]
 
@@ -118,14 +146,14 @@ def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
         for batch in slices(batches):
             keys, nodes, sizes = [np.zeros(0, dtype=np.uint64)], [], []
             for node, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(packed.as_py(), dtype=np.uint64)
+                x = _read(packed.as_py())
                 n = len(x)
-                first = n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1 if n else 0
+                first = _prefix(n)
                 if n and len(known):
                     place = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     late = known[place] == x
                     x = np.concatenate([x[~late], x[late][np.argsort(order[place[late]])]])
-                keys.append(x[:first])
+                keys.append(x[:first] << np.uint64(8) | np.arange(first, dtype=np.uint64) * np.uint64(STEPS) // np.uint64(max(first, 1)))
                 nodes += [node] * first
                 sizes += [n] * first
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(nodes, type=pa.int64()), pa.array(sizes, type=pa.int32())], names=["key", "node", "n"])
@@ -151,7 +179,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         keep = []
         for p, q in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)
+            x, y = _read(p.as_py()), _read(q.as_py())
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(both * DENOMINATOR >= (len(x) + len(y) - both) * NUMERATOR)
         keep = pa.array(keep, type=pa.bool_())
@@ -159,38 +187,37 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(rows: DataFrame, key_rows: int) -> DataFrame:
-    """Rows (key, node, n) as (many, key, a, n_a, b, n_b): the pairs under a key of up to ``key_rows`` nodes, and for a key
-    of more each node with the first one. A task holds no more than that many rows of a key."""
+    """Rows of ``_prefixes`` as (many, key, a, n_a, most_a, b, n_b): the pairs under a key of up to ``key_rows`` nodes, and
+    for a key of more each node, the size of its largest partner there, and the node in whose prefix the key comes
+    earliest. A task holds no more than that many rows of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["many", "key", "a", "n_a", "b", "n_b"]
-        types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+        names = ["many", "key", "a", "n_a", "most_a", "b", "n_b"]
+        types = [pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
         out: list[tuple] = []
         here, held, many, last = None, [], False, None
 
-        def close(n: int, m: int) -> bool:
-            return n * DENOMINATOR >= m * NUMERATOR and m * DENOMINATOR >= n * NUMERATOR
-
         def ended() -> None:
             if not many:
-                out.extend((0, None, x[0], None, y[0], None) for i, x in enumerate(held) for y in held[:i] if close(x[1], y[1]))
+                out.extend((0, None, x[0], None, None, y[0], None) for i, x in enumerate(held) for y in held[:i] if x[1] <= y[2] and y[1] <= x[2])
 
         for batch in batches:
-            for key, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for place, node, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                key, most = place >> 8, _largest(n, place & 255)
                 if key != here:
                     ended()
                     here, held, many = key, [], False
                 if many:
                     if node != last:
-                        out.append((1, key, node, n, *held[0]))
+                        out.append((1, key, node, n, most, *held[0][:2]))
                         last = node
                     continue
                 if held and node == held[-1][0]:  # a copy from another task
                     continue
-                held.append((node, n))
+                held.append((node, n, most))
                 if len(held) > key_rows:
                     many, last = True, node
-                    out.extend((1, key, *x, *held[0]) for x in held)
+                    out.extend((1, key, *x, *held[0][:2]) for x in held)
             if len(out) > 65_536:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                 out = []
@@ -198,8 +225,8 @@ def _met(rows: DataFrame, key_rows: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    dealt = rows.repartition("key").sortWithinPartitions("key", F.xxhash64("node"), "node")
-    return dealt.mapInArrow(run, "many byte, key long, a long, n_a int, b long, n_b int")
+    dealt = rows.repartition(F.shiftright("key", 8)).sortWithinPartitions("key", F.xxhash64("node"), "node")
+    return dealt.mapInArrow(run, "many byte, key long, a long, n_a int, most_a int, b long, n_b int")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, label: str) -> DataFrame:
@@ -250,10 +277,10 @@ def near_duplicates(docs: DataFrame, key_rows: int = KEY_ROWS) -> DataFrame:
     # Pairs of one component are settled; under a large key, any other pair has a row outside the centre's component.
     roots = components(first)
     rooted = lambda df, side: df.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left").withColumn(f"root_{side}", F.coalesce(f"root_{side}", side))
-    kept = written(rooted(rooted(large.select("key", "a", F.col("n_a").alias("n"), "b"), "a"), "b").withColumn("other", F.col("root_a") != F.col("root_b")).select("key", F.col("a").alias("node"), "n", F.col("root_a").alias("root"), "other"), "jaccard-large")
-    left = kept.filter("other").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = kept.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "other")
-    pairs = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & _close("n_a", "n_b"))
+    kept = written(rooted(rooted(large.select("key", "a", F.col("n_a").alias("n"), F.col("most_a").alias("most"), "b"), "a"), "b").withColumn("other", F.col("root_a") != F.col("root_b")).select("key", F.col("a").alias("node"), "n", "most", F.col("root_a").alias("root"), "other"), "jaccard-large")
+    left = kept.filter("other").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("root").alias("root_a"))
+    right = kept.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("root").alias("root_b"), "other")
+    pairs = left.join(right, "key").filter((F.col("root_a") != F.col("root_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a")))
     beside = rooted(rooted(small.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "a"), "b").filter("root_a <> root_b")
     both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(beside.select("a", "b")).distinct()
     second = _confirmed(both, nodes, sets, "jaccard-second")

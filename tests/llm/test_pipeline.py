@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -131,3 +132,26 @@ def test_queries_with_sql(spark, name):
     assert columns == sorted(d[0] for d in want.description)
     order = [[d[0] for d in want.description].index(c) for c in columns]
     assert sorted(map(repr, (tuple(r[c] for c in columns) for r in df.collect()))) == sorted(repr(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_a_key_bounds_the_partners_first_met_under_it():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        n = int(rng.integers(1, 900))
+        x = np.unique(rng.integers(0, 1 << 56, n, dtype=np.uint64))
+        drop = rng.random(len(x)) < rng.choice([0.02, 0.1, 0.2])
+        y = np.unique(np.concatenate([x[~drop], rng.integers(0, 1 << 56, int(drop.sum() * rng.random()), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if not both or both * jaccard.DENOMINATOR < (len(x) + len(y) - both) * jaccard.NUMERATOR:
+            continue
+        first = np.intersect1d(x, y)[0]
+        for a, b in ((x, y), (y, x)):
+            place, size = int(np.searchsorted(a, first)), jaccard._prefix(len(a))
+            assert place < size
+            assert len(b) <= jaccard._largest(len(a), place * jaccard.STEPS // size)
+
+
+def test_stored_hashes_keep_their_upper_bits_and_order():
+    x = np.unique(np.random.default_rng(4).integers(0, (1 << 64) - 1, 500, dtype=np.uint64))
+    assert np.array_equal(jaccard._read(jaccard._stored(x)), x >> np.uint64(8))
+    assert len(jaccard._read(jaccard._stored(x[:0]))) == 0
