@@ -8,8 +8,9 @@ digits: lengths that are powers of two need no padding, so nothing is padded at
 
 A key that fills several ranges, such as that of many copies, is spread over all of them by a hash of the id.
 
-Quantiles and the bounds of ranges come from at most ``SAMPLE`` documents (those whose hashed id comes first). They
-shape the order and the balance of ranges only; every document is packed whole.
+Quantiles and the bounds of ranges come from at most ``SAMPLE`` documents or ``RANGE_SAMPLE`` for each range, whichever is
+more (those whose hashed id comes first). They shape the order and the balance of ranges only; every document is packed
+whole.
 
 Cases: null text counts as empty, and an empty text is one token, the closing id; rows that are equal in key, id and
 text stand in any order; longer documents are cut over as many sequences as they need. Extra columns are ignored.
@@ -32,6 +33,8 @@ LENGTH = 1024
 DIMS = 3
 BITS = 10
 SAMPLE = 4096
+#: Documents sampled for each range: 3.2 million rows of 32 bytes on the driver for 100,000 ranges.
+RANGE_SAMPLE = 32
 END_ID = 0
 IDS = 1 << 16
 _SEED = 5
@@ -87,11 +90,11 @@ def _encoded(text: str, name: str) -> np.ndarray:
     return np.append(encode(text, name), np.uint32(END_ID))
 
 
-def _sampled(docs: DataFrame, name: str) -> np.ndarray:
-    """Vectors and lengths of a bounded sample: DIMS + 1 numbers for each of at most 2 * SAMPLE rows reach the driver."""
+def _sampled(docs: DataFrame, name: str, most: int) -> np.ndarray:
+    """Vectors and lengths of a bounded sample: DIMS + 1 numbers for each of at most 2 * most rows reach the driver."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    few = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(few), "doc_id", "left_semi").select("text").limit(2 * SAMPLE)
+    few = ids.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).select("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of(docs).alias("text")).join(F.broadcast(few), "doc_id", "left_semi").select("text").limit(2 * most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -100,8 +103,9 @@ def _sampled(docs: DataFrame, name: str) -> np.ndarray:
                 v = vectors(ids)
                 yield pa.RecordBatch.from_arrays([*[pa.array(v[:, i]) for i in range(DIMS)], pa.array([float(len(x)) for x in ids])], names=[*[f"v{i}" for i in range(DIMS)], "n"])
 
-    rows = texts.mapInArrow(run, ", ".join(f"v{i} double" for i in range(DIMS)) + ", n double").collect()
-    return np.array(sorted(tuple(r) for r in rows)).reshape(-1, DIMS + 1)
+    found = texts.mapInArrow(run, ", ".join(f"v{i} double" for i in range(DIMS)) + ", n double").toArrow()
+    rows = np.stack([found.column(i).to_numpy() for i in range(DIMS + 1)], axis=1)
+    return rows[np.lexsort(rows.T[::-1])]
 
 
 def range_bounds(key: np.ndarray, tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -172,7 +176,7 @@ def packed(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     """One row of ``SCHEMA`` for each piece. A sequence's length is the sum of its pieces; none is padded."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = _sampled(docs, name)
+    found = _sampled(docs, name, max(SAMPLE, RANGE_SAMPLE * parts))
     sample, tokens = found[:, :DIMS], found[:, DIMS]
     cells = np.arange(1, 1 << BITS) / (1 << BITS)
     edges = np.quantile(sample, cells, axis=0).T if len(sample) else np.zeros((DIMS, len(cells)))
