@@ -1,7 +1,9 @@
 """WARC archives as a chunked record table.
 
 ``chunked`` cuts payloads into rows of at most ``CHUNK`` bytes, ``write_archives`` streams these into gzip-compressed WARC/1.1 files, one member per record; ``read_chunks`` streams
-files back as rows (page_id, chunk_no, payload, ...) of at most ``CHUNK`` bytes. A digest and a byte count run along
+files back as rows (record_id, chunk_no, payload, ...) of at most ``CHUNK`` bytes, by the standard heads alone, so that
+archives of other writers can be read as well. A record's name is a custom UUID (version 8) that holds the page's id, so
+no head line of our own is needed; names of another kind have no page_id. A digest and a byte count run along
 with the chunks and stand complete on the last one, so no record is ever held whole by the reader. Files live in the
 folder that driver and executors share and are reached through Arrow's file systems (local folders, object stores,
 HDFS), never through a task's own disk.
@@ -14,13 +16,13 @@ which is a table in the shared folder.
 
 Cases: null html is an empty payload; control characters in urls are percent-coded; repeated rows of the smallest
 page_id are responses each; rows without page_id revisit the smallest page_id of their payload, or are responses if
-there is none. Extra columns are ignored.
+there is none. Extra columns are ignored. Records of any type are read; one without an HTTP block is its block, one without
+a stated SHA-256 has none to be held against.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,11 +38,27 @@ from jobloom.llm.base import new_path, table, written
 LEAST_BYTES = 100
 CHUNK = 1 << 18
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
-_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of urls
+#: The first 48 bits of our records' names, which tell them from others.
+_MARK = int.from_bytes(hashlib.sha256(b"page records").digest()[:6], "big")
+_NAME = "<urn:uuid:"
 
 
 def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'page:{page_id}')}>"
+    """A page's record name: mark, version, whether there is an id with its upper two bits, variant, its lower 62 bits."""
+    bits = 0 if page_id is None else (1 << 64) | (page_id & (1 << 64) - 1)
+    return f"{_NAME}{uuid.UUID(int=_MARK << 80 | 8 << 76 | bits >> 62 << 64 | 2 << 62 | bits & (1 << 62) - 1)}>"
+
+
+def page_of(name: str | None) -> int | None:
+    """The page id in a record's name, or None."""
+    try:
+        bits = uuid.UUID((name or "").removeprefix(_NAME).removesuffix(">")).int
+    except ValueError:
+        return None
+    if bits >> 76 != _MARK << 4 | 8 or not bits >> 66 & 1:
+        return None
+    page_id = (bits >> 64 & 3) << 62 | bits & (1 << 62) - 1
+    return page_id - (1 << 64) if page_id >> 63 else page_id
 
 
 def decided(pages: DataFrame) -> DataFrame:
@@ -57,12 +75,12 @@ def decided(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", "payload_digest", F.when(revisits, "revisit").otherwise("response").alias("record_type"), F.when(revisits, F.col("first_id")).alias("refers_to"))
 
 
-def _head(page_id, url: str | None, kind: str, digest: str, refers_to, block: int, payload: int) -> bytes:
+def _head(page_id, url: str | None, kind: str, digest: str, refers_to, block: int) -> bytes:
     target = quote(url or "", safe="!#$%&'()*+,/:;=?@[]~")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
         lines += [f"WARC-Refers-To: {record_id(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}", f"X-Page: {json.dumps([page_id, refers_to, payload])}"]
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {block}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -94,7 +112,7 @@ def write_archives(rows: DataFrame, folder: str, chunk: int = CHUNK) -> DataFram
                 if no == 0:
                     gz, http = zlib.compressobj(1, zlib.DEFLATED, 31), _HTTP % total
                     block = len(http) + (total if kind == "response" else 0)
-                    parts.append(gz.compress(_head(page_id, url, kind, digest, refers_to, block, total) + http))
+                    parts.append(gz.compress(_head(page_id, url, kind, digest, refers_to, block) + http))
                 parts.append(gz.compress(data))
                 if no == chunks - 1:
                     parts += [gz.compress(b"\r\n\r\n"), gz.flush()]
@@ -145,21 +163,32 @@ class Reader:
         del self.buffer[:n]
         return out
 
+    def _http(self, left: int) -> int:
+        """Take an HTTP head off a block of ``left`` bytes; its length, or that of the block if it doesn't end there."""
+        while (at := self.buffer.find(b"\r\n\r\n", 0, left)) < 0 and len(self.buffer) < left:
+            if not self._more():
+                raise ValueError("the archive ends within a record")
+        taken = at + 4 if at >= 0 else left
+        del self.buffer[:taken]
+        return taken
+
     def __iter__(self) -> Iterator[tuple]:
-        """(page_id, record_type, refers_to, stated digest, chunk_no, payload, last, bytes so far, digest on the last)."""
+        """Rows of ``CHUNK_SCHEMA``; the digest is on a record's last chunk."""
         while (head := self._until(b"\r\n\r\n")) is not None:
-            fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-            left = int(fields["Content-Length"])
-            page_id, refers_to, _ = json.loads(fields["X-Page"])
-            http = self._until(b"\r\n\r\n")
-            left -= len(http or b"") + 4
-            stated, running, size, no = fields["WARC-Payload-Digest"].removeprefix("sha256:"), hashlib.sha256(), 0, 0
+            fields = {name.strip().lower(): value.strip() for name, _, value in (x.partition(":") for x in head.decode(errors="replace").split("\r\n")[1:])}
+            left = int(fields["content-length"])
+            name, kind, refers = fields.get("warc-record-id"), fields.get("warc-type"), fields.get("warc-refers-to")
+            if fields.get("content-type", "").startswith("application/http"):
+                left -= self._http(left)
+            stated = fields.get("warc-payload-digest", "")
+            stated = stated.removeprefix("sha256:") if stated.startswith("sha256:") else None
+            running, size, no = hashlib.sha256(), 0, 0
             while True:
                 data = self._take(min(self.chunk, left))
                 left -= len(data)
                 running.update(data)
                 size += len(data)
-                yield page_id, fields["WARC-Type"], refers_to, stated, no, data, not left, size, running.hexdigest() if not left else None
+                yield name, page_of(name), kind, page_of(refers), stated, no, data, not left, size, running.hexdigest() if not left else None
                 no += 1
                 if not left:
                     break
@@ -167,8 +196,8 @@ class Reader:
                 raise ValueError("a record is longer than its head says")
 
 
-_CHUNKS = [("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_digest", pa.string()), ("chunk_no", pa.int64()), ("payload", pa.binary()), ("last", pa.bool_()), ("bytes_so_far", pa.int64()), ("digest", pa.string())]
-CHUNK_SCHEMA = "page_id long, record_type string, refers_to long, stated_digest string, chunk_no long, payload binary, last boolean, bytes_so_far long, digest string"
+_CHUNKS = [("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("stated_digest", pa.string()), ("chunk_no", pa.int64()), ("payload", pa.binary()), ("last", pa.bool_()), ("bytes_so_far", pa.int64()), ("digest", pa.string())]
+CHUNK_SCHEMA = "record_id string, page_id long, record_type string, refers_to long, stated_digest string, chunk_no long, payload binary, last boolean, bytes_so_far long, digest string"
 
 
 def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK, payloads: bool = True) -> DataFrame:
@@ -186,11 +215,11 @@ def read_chunks(manifest: DataFrame, folder: str, chunk: int = CHUNK, payloads:
                 with store.open_input_stream(name, compression=None) as stream:
                     for row in Reader(stream, chunk):
                         if not payloads:
-                            row = (*row[:5], None, *row[6:])
-                            if not row[6]:
+                            row = (*row[:6], None, *row[7:])
+                            if not row[7]:
                                 continue
                         rows.append(row)
-                        held += len(row[5] or b"")
+                        held += len(row[6] or b"")
                         if held >= 8 * CHUNK or len(rows) >= 4096:
                             yield flush(rows)
                             rows, held = [], 0
@@ -215,7 +244,7 @@ def report(manifest: DataFrame, folder: str) -> DataFrame:
     """
     parts = max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     records = read_chunks(manifest.repartition(parts, "file"), folder, payloads=False)
-    right = F.when((F.col("record_type") == "revisit") | (F.col("digest") == F.col("stated_digest")), F.col("digest")).otherwise(F.raise_error(F.lit("a payload digest differs from its head")))
+    right = F.when((F.col("record_type") != "response") | F.col("stated_digest").isNull() | (F.col("digest") == F.col("stated_digest")), F.col("digest")).otherwise(F.raise_error(F.lit("a payload digest differs from its head")))
     records = written(records.withColumn("digest", right).select("page_id", "record_type", "refers_to", "stated_digest", "bytes_so_far", "digest"), "warc-records")
     responses = records.filter("record_type = 'response'").select("page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
     revisits = records.filter("record_type = 'revisit'")

@@ -1,5 +1,8 @@
+import gzip
 import hashlib
+import io
 import random
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -240,3 +243,48 @@ def test_warc_round_trip(spark):
 
 def test_warc_empty(spark):
     assert warc.report(*warc.archived(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_record_names_hold_page_ids():
+    for i in (0, 1, -1, 2**62, 2**63 - 1, -(2**63), 12345678901):
+        assert warc.page_of(warc.record_id(i)) == i
+    assert len(warc.record_id(5)) == len("<urn:uuid:>") + 36 and uuid.UUID(warc.record_id(5)[10:-1]).version == 8
+    assert warc.page_of(warc.record_id(None)) is warc.page_of(None) is warc.page_of("<urn:uuid:x>") is None
+    assert warc.page_of(f"<urn:uuid:{uuid.uuid4()}>") is None
+
+
+def test_reader_takes_archives_of_other_writers():
+    def member(*lines, block):
+        return gzip.compress(("\r\n".join(["WARC/1.0", *lines, f"content-length:{len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+    page = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n" + b"a" * 2500
+    data = member("WARC-Type: warcinfo", "Content-Type: application/warc-fields", block=b"software: x\r\n\r\ny")
+    data += member("warc-type:response", "WARC-Record-ID: <urn:uuid:1>", "Content-Type: application/http; msgtype=response", "WARC-Payload-Digest: sha1:ABC", block=page)
+    data += member("WARC-Type: response", "Content-Type: application/http", block=b"HTTP/1.1 204 No Content")
+    data += member("WARC-Type: resource", "Content-Type: text/plain", block=b"")
+    got = defaultdict(list)
+    for row in warc.Reader(io.BytesIO(data), 1000):
+        assert row[1] is row[3] is row[4] is None and len(row[6]) <= 1000
+        got[len(got) if row[5] == 0 else len(got) - 1].append(row)
+    assert [rows[0][2] for rows in got.values()] == ["warcinfo", "response", "response", "resource"]
+    assert [b"".join(r[6] for r in rows) for rows in got.values()] == [b"software: x\r\n\r\ny", b"a" * 2500, b"", b""]
+    assert got[1][0][0] == "<urn:uuid:1>" and got[1][-1][9] == hashlib.sha256(b"a" * 2500).hexdigest() and [r[7] for r in got[1]] == [False, False, True]
+    with pytest.raises(ValueError):
+        list(warc.Reader(io.BytesIO(data[:-40]), 1000))
+
+
+def test_neighbours_along_the_curve_are_packed_together(spark):
+    """Two kinds of text that alternate by id: nearly all sequences hold one kind only."""
+    kinds = ["alpha beta gamma delta " * 20, "7 3 9 1 4 8 2 " * 20]
+    rows = [(i, kinds[i % 2] + f" {i}") for i in range(600)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    held = defaultdict(set)
+    for p in pieces:
+        held[p.sequence_id].add(p.doc_id % 2)
+    assert sum(len(x) == 1 for x in held.values()) >= 0.9 * len(held)
+
+
+def test_sample_grows_with_ranges(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(300)], "doc_id long, text string")
+    assert len(packing._sampled(docs, packing.VOCABULARY, 100)) == 100
+    assert len(packing._sampled(docs.limit(0), packing.VOCABULARY, 100)) == 0
