@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -138,22 +139,29 @@ def keyed(jobs: DataFrame, key_fn: Callable[[dict], str]) -> DataFrame:
     return jobs.withColumn("key", key("payload"))
 
 
-def hooked(outcomes: DataFrame, hooks: dict[str, Callable[[int, str], None]]) -> DataFrame:
-    """Call the hook of each outcome; what it raises is noted and goes no further."""
+def _called(hook: Callable[[int, str], None], i: int, outcome: str, seconds: float) -> str:
+    """``called``, or the name of what the hook raised; one that takes longer is left behind."""
+    found = []
+
+    def run() -> None:
+        try:
+            hook(i, outcome)
+            found.append("called")
+        except Exception as e:  # noqa: BLE001  user code
+            found.append(type(e).__name__)
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    return found[0] if found else "TimeoutError"
+
+
+def hooked(outcomes: DataFrame, hooks: dict[str, Callable[[int, str], None]], seconds: float = 5.0) -> DataFrame:
+    """Call the hook of each outcome for at most ``seconds``; what it raises is noted and goes no further."""
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            notes = []
-            for i, o in zip(rows["id"], rows["outcome"], strict=True):
-                note = None
-                if o in hooks:
-                    try:
-                        hooks[o](int(i), o)
-                        note = "called"
-                    except Exception as e:  # noqa: BLE001  user code
-                        note = type(e).__name__
-                notes.append(note)
-            yield rows.assign(hook=notes)
+            yield rows.assign(hook=[_called(hooks[o], int(i), o, seconds) if o in hooks else None for i, o in zip(rows["id"], rows["outcome"], strict=True)])
 
     return outcomes.mapInPandas(go, "id long, outcome string, hook string")
 

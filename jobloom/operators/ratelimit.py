@@ -44,6 +44,22 @@ def window_log(state: deque | None, now: float, limit: int, window: float, inclu
     return log, False, 0.0, log[0] + window - now if log else window
 
 
+def window_refund(state: deque, then: float) -> deque:
+    """Take back the request that was let through at ``then``. Requests of one moment are alike; one that has left the
+    log, or was taken back before, changes nothing."""
+    if then in state:
+        state.remove(then)
+    return state
+
+
+def window_peek(state: deque | None, now: float, limit: int, window: float) -> tuple[float, float | None]:
+    """What is left at ``now`` and how long to wait for it; the log stays as it is."""
+    here = [t for t in state or () if t > now - window]
+    if len(here) < limit:
+        return float(limit - len(here)), 0.0
+    return 0.0, here[0] + window - now if here else window
+
+
 def gcra(state: float | None, now: float, limit: int, window: float) -> tuple[float | None, bool, float, float | None]:
     """Theoretical arrival time; a denial leaves it as it was."""
     step = window / limit

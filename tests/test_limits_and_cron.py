@@ -43,6 +43,24 @@ def test_gcra_denials_tell_when_to_come_back(at, limit, window):
             assert state == before and ratelimit.gcra(state, t + wait + 1e-6, limit, window)[1]
 
 
+@given(st.lists(st.integers(0, 1000), min_size=1, max_size=60).map(sorted), st.integers(1, 6), st.integers(1, 300), st.data())
+@settings(max_examples=60, deadline=None)
+def test_log_without_a_refunded_request_is_as_if_it_never_was(at, limit, window, data):
+    gone = data.draw(st.integers(0, len(at) - 1))
+    with_it, without = deque(), deque()
+    for k, t in enumerate(at):
+        left, wait = ratelimit.window_peek(with_it, t, limit, window)
+        with_it, ok, _, _ = ratelimit.window_log(with_it, t, limit, window)
+        assert ok == (left > 0) == (wait == 0)
+        if k == gone and ok:
+            with_it = ratelimit.window_refund(with_it, t)
+        elif k != gone:
+            without, other, _, _ = ratelimit.window_log(without, t, limit, window)
+            assert ok == other
+    assert [t for t in with_it if t > at[-1] - window] == [t for t in without if t > at[-1] - window]
+    assert ratelimit.window_refund(deque([1.0]), 2.0) == deque([1.0])
+
+
 def test_edges_and_refunds():
     assert ratelimit.window_log(deque([0.0]), 10.0, 1, 10.0)[1] and not ratelimit.window_log(deque([0.0]), 10.0, 1, 10.0, inclusive=True)[1]
     assert ratelimit.token_refund((0.5, 0.0), 1.0, 2.0, 0.25) == (1.75, 1.0)

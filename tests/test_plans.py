@@ -1,4 +1,5 @@
 import datetime as d
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,15 @@ def test_hooks_never_raise(spark):
     assert by_id(actors.hooked(df, {"succeeded": lambda i, o: None, "failed": bad}), "hook") == {1: "called", 2: "RuntimeError", 3: None}
 
 
+def test_slow_hooks_are_left_behind(spark):
+    df = spark.createDataFrame([(1, "succeeded"), (2, "failed")], "id long, outcome string")
+
+    def slow(i, o):
+        time.sleep(30)
+
+    assert by_id(actors.hooked(df, {"succeeded": slow, "failed": lambda i, o: None}, seconds=0.5), "hook") == {1: "TimeoutError", 2: "called"}
+
+
 def test_state_versions(spark, tmp_path):
     table = StateTable(spark, f"file://{tmp_path}/t")
     with pytest.raises(FileNotFoundError):
