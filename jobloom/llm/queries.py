@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.llm import decontamination, linededup, packing, pii, secrets, simhash, tokens, toxicity, warc, winnowing
+from jobloom.llm import decontamination, linededup, lshforest, packing, resampling, pii, secrets, simhash, tokens, toxicity, warc, whitening, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_length_histogram": tokens.histogram_query,
         "op9_decontamination": decontamination.query,
         "op10_warc": warc.query,
+        "op11_lsh_forest": lshforest.query,
+        "op12_whitening": whitening.query,
+        "op13_importance_resampling": resampling.query,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": linededup.ORACLE,
         "op9_decontamination": decontamination.ORACLE,
         "op10_warc": warc.ORACLE,
+        "op11_lsh_forest": lshforest.ORACLE,
+        "op13_importance_resampling": resampling.ORACLE,
     }
