@@ -11,11 +11,11 @@ level, until its parts are small or the labels end. So the depth of the common p
 candidates follows how crowded their part of the order is. Regions are keys of DataFrames, never groups in a task: they
 are counted with partial aggregates, and rows of a crowded one meet others by joins, which Spark splits.
 
-Candidates of a region, first: each node with the region's centre, the node with the smallest hash, which is the same
-node in every tree that has it in a region with the others. What these links settle needs no more pairs. Then, in
-regions that hold more than one component, all pairs of different components; one of the two is always outside the
-centre's component, so copies of one text are never paired with each other. That holds for the crowded regions at the
-labels' end, too: nothing is capped. Each candidate is confirmed on the whole sets.
+Candidates of a region, first: each node with the region's centre, the node that has most company over all trees. What
+these links settle needs no more pairs. Then, in regions that hold more than one component, pairs of different
+components, of which one is always outside the centre's: all of them in small regions; in those that are still crowded
+at the labels' end, the pairs that share an edit against the centre which a pair that links can't do without (``_edits``).
+So nothing is capped, and many copies of one text are never paired with each other. Each candidate is confirmed on the whole sets.
 
 Recall: two sets of similarity s meet under a prefix of d values in a share 1 - (1 - s ** d) ** TREES of cases. At 0.8
 that leaves out 3e-8 at three values, 3e-6 at four, 0.0007 at six and 0.012 at eight, where regions are that crowded;
@@ -34,12 +34,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobloom.llm import jaccard
 from jobloom.llm.base import slices, table, text_of, written
 from jobloom.llm.components import components
+from jobloom.llm.jaccard import DENOMINATOR, NUMERATOR
 
 WORDS = 2
 #: Labels of a signature and MinHash values of a label, of ``BYTES`` bytes each.
@@ -99,13 +100,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def regions(nodes: DataFrame, most: int = REGION) -> DataFrame:
-    """(key, node, n, centre) of the nodes (node, n, labels) that have a neighbour, each in its region in every tree."""
+    """(key, node, n, size) of the nodes (node, n, labels) that have a neighbour, each in its region in every tree."""
     rows, out = nodes.select("node", "n", "labels").mapInArrow(_rows, "key long, node long, n int, rest binary"), []
     for level, depth in enumerate(LEVELS):
-        found = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("centre")).filter("size > 1")
-        found = written(rows.join(found, "key"), "forest-level")
+        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+        found = written(rows.join(sizes, "key"), "forest-level")
         last = depth == DEPTH
-        out.append((found if last else found.filter(F.col("size") <= most)).select("key", "node", "n", "centre"))
+        out.append((found if last else found.filter(F.col("size") <= most)).select("key", "node", "n", "size"))
         crowded = found.filter(F.col("size") > most)
         if last or not crowded.limit(1).count():
             break
@@ -117,26 +118,90 @@ def regions(nodes: DataFrame, most: int = REGION) -> DataFrame:
     return members
 
 
+def _centred(members: DataFrame) -> DataFrame:
+    """Members with their region's centre and its size: the node that is in company most, over all trees. What copies
+    were made from has the values that most of them have, and so stands in the large region of nearly every tree."""
+    company = members.groupBy("node").agg(F.sum("size").alias("company"))
+    met = members.join(company, "node")
+    centre = met.groupBy("key").agg(F.max(F.struct("company", F.xxhash64("node").alias("h"), "node", "n")).alias("c"))
+    return written(members.join(centre.select("key", F.col("c.node").alias("centre"), F.col("c.n").alias("n_centre")), "key"), "forest-members")
+
+
+def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (centre, n_centre, node, n, root, other, hashes, mid) as a row for each shingle by which a node differs from the
+    centre. Of these a partner shares one among the first ``kept``, one outside the centre's component among the first ``near``,
+    in any order that all nodes have in common.
+
+    Sets link if they differ in no more than a ninth of their sizes together, and what both change alike is no
+    difference. So two nodes share at least half of 9 e - n, added up for both, in ninths; the centre's is -n. The least for a partner
+    is the centre's own, and for one outside the centre's component more than the centre's size.
+    """
+    weight = (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR)
+    for batch in slices(batches):
+        edits, counts, kept, near = [np.zeros(0, dtype=np.uint64)], [], [], []
+        for size, other, own, mid in zip(batch.column(1).to_pylist(), batch.column(5).to_pylist(), batch.column(6), batch.column(7), strict=True):
+            x = jaccard._read(own.as_py())
+            edits.append(np.setxor1d(x, jaccard._read(mid.as_py()), assume_unique=True))
+            e = len(edits[-1])
+            excess = weight * e - len(x)
+            to_all, to_others = max(1, -((size - excess) // (2 * weight))), max(1, -(-(excess + size + 1) // (2 * weight)))
+            counts.append(e)
+            near.append(e - to_others + 1)
+            kept.append(e - to_all + 1 if other else near[-1])
+        at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+        columns = [batch.column(0), batch.column(2), batch.column(3), batch.column(4), batch.column(5), pa.array(counts, type=pa.int32()), pa.array(kept, type=pa.int32()), pa.array(near, type=pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(edits).view(np.int64)), *[c.take(at) for c in columns]], names=["edit", "centre", "node", "n", "root", "other", "e", "kept", "near"])
+
+
+def _shared(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edits of the nodes of crowded regions, rarest first, that a partner must share one of; ``near`` says which ones for a
+    partner outside the centre's component, ``e`` how many edits the node has and ``after`` how many of them come later."""
+    held = written(sets.join(crowd.select("node").unionByName(crowd.select(F.col("centre").alias("node"))).distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "forest-crowd")
+    both = crowd.join(held, "node").join(held.select(F.col("node").alias("centre"), F.col("hashes").alias("mid")), "centre")
+    rows = both.select("centre", "n_centre", "node", "n", "root", "other", "hashes", "mid").mapInArrow(_edits, "edit long, centre long, node long, n int, root long, other boolean, e int, kept int, near int")
+    rows = written(rows.filter("kept > 0"), "forest-edits")
+    often = rows.groupBy("centre", "edit").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("centre", "node").orderBy("often", "edit"))
+    ranked = rows.join(often, ["centre", "edit"]).withColumn("rank", rank).filter("rank <= kept")
+    return written(ranked.select("centre", "edit", "node", "n", "root", "other", "e", (F.col("e") - F.col("rank")).alias("after"), (F.col("rank") <= F.col("near")).alias("near")), "forest-ranked")
+
+
 def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _apart(left: DataFrame, right: DataFrame, on: list[str], more: Column | None = None) -> DataFrame:
+    """Pairs of nodes of different components, the left one outside its centre's."""
+
+    def side(df: DataFrame, x: str) -> DataFrame:
+        return df.select(*on, F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c not in (*on, "node")])
+
+    fits = (F.col("root_a") != F.col("root_b")) & (~F.col("other_b") | (F.col("a") < F.col("b"))) & jaccard._close("n_a", "n_b")
+    return side(left.filter("other"), "a").join(side(right, "b"), on).filter(fits if more is None else fits & more).select(*_ordered("a", "b"))
+
+
 def links(nodes: DataFrame, sets: DataFrame, most: int = REGION) -> DataFrame:
     """Of nodes (node, n, counts, labels) and their sets (node, hashes), confirmed links (a, b) that span the components."""
-    members = regions(nodes, most)
-    sizes = nodes.select(F.col("node").alias("centre"), F.col("n").alias("n_centre"))
-    star = members.filter("node <> centre").select("node", "n", "centre").distinct().join(sizes, "centre").filter(jaccard._close("n", "n_centre"))
+    members = _centred(regions(nodes, most))
+    star = members.filter(F.col("node") != F.col("centre")).filter(jaccard._close("n", "n_centre"))
     first = jaccard._confirmed(star.select(*_ordered("node", "centre")).distinct(), nodes, sets, "forest-first")
 
     roots = components(first)
-    rooted = members.join(roots, "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("root"))
-    rooted = written(rooted.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("own")), "centre", "left").select("key", "node", "n", "root", (F.col("root") != F.coalesce("own", "centre")).alias("other")), "forest-rooted")
-    left = rooted.filter("other").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    right = rooted.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "other")
-    mixed = left.select("key").distinct()
-    apart = (F.col("root_a") != F.col("root_b")) & (~F.col("other") | (F.col("a") < F.col("b"))) & jaccard._close("n_a", "n_b")
-    pairs = left.join(right.join(mixed, "key", "left_semi"), "key").filter(apart).select(*_ordered("a", "b")).distinct()
-    return first.unionByName(jaccard._confirmed(pairs, nodes, sets, "forest-second"))
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rooted.join(roots.select(F.col("node").alias("centre"), F.col("root").alias("own")), "centre", "left").withColumn("other", F.col("root") != F.coalesce("own", "centre"))
+    mixed = rooted.filter("other").select("key").distinct()
+    rooted = written(rooted.join(mixed, "key", "left_semi").select("key", "node", "n", "size", "centre", "n_centre", "root", "other"), "forest-rooted")
+    few = rooted.filter(F.col("size") <= most)
+
+    # What is left of crowded regions meets by shared edits; a node meets a centre once, whatever the tree.
+    crowd = rooted.filter(F.col("size") > most).select("centre", "n_centre", "node", "n", "root", "other").distinct()
+    edits = _shared(crowd, sets)
+    # From the first edit that two nodes share, what comes after it in both bounds what they share.
+    weight = (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR)
+    enough = (F.least("after_a", "after_b") + 1) * (2 * weight) >= (F.col("e_a") + F.col("e_b")) * weight - F.col("n_a") - F.col("n_b")
+    few = few.select("key", "node", "n", "root", "other")
+    pairs = _apart(few, few, ["key"]).unionByName(_apart(edits, edits.filter("near"), ["centre", "edit"], enough))
+    return first.unionByName(jaccard._confirmed(pairs.distinct(), nodes, sets, "forest-second"))
 
 
 def near_duplicates(docs: DataFrame, most: int = REGION) -> DataFrame:
