@@ -23,11 +23,19 @@ class Snooze(Exception):
 
 
 class RetryAfter(Snooze):
-    """Run again later and use an attempt."""
+    """Run again later; uses an attempt unless ``consume`` is false."""
+
+    def __init__(self, delay: float, consume: bool = True) -> None:
+        super().__init__(delay)
+        self.consume = consume
 
 
 class SlotsBusy(Snooze):
-    """A reservation had no slot."""
+    """A reservation had no slot, or a limit no permit."""
+
+    def __init__(self, delay: float, bucket: str = "") -> None:
+        super().__init__(delay)
+        self.bucket = bucket
 
 
 class Rejected(Exception):
@@ -69,27 +77,42 @@ def config_rows(actors: dict[str, Actor]) -> list[tuple]:
     return [(a.name, a.max_concurrent, a.max_pending, a.queue, a.max_attempts, a.retry_kind, a.result_ttl, json.dumps(a.metadata | ({"singleton": True} if a.singleton else {}), sort_keys=True)) for _, a in sorted(actors.items())]
 
 
-OUTCOMES = "id long, actor string, outcome string, result string, error_class string, delay double"
+OUTCOMES = "id long, actor string, outcome string, result string, error_class string, delay double, bucket string, children array<struct<actor:string,payload:string>>"
+
+
+class Children(dict):
+    """A result that asks for jobs besides: (actor, payload) each, enqueued only if the attempt succeeds."""
+
+    def __init__(self, result: dict, jobs: list[tuple[str, dict]]) -> None:
+        super().__init__(result)
+        self.jobs = jobs
 
 
 def outcome(run: Callable[[dict], Any], payload: str | None) -> tuple[str, str | None, str | None, float | None]:
     """(outcome, result, error class, delay) of one call; every exception has its route."""
+    return _called_with(run, payload)[:4]
+
+
+def _called_with(run: Callable[[dict], Any], payload: str | None) -> tuple:
+    """The same with the bucket that denied and the jobs that were asked for."""
     try:
         try:
             value = json.loads(payload or "{}")
         except ValueError:
-            return "failed", None, "PayloadError", None
-        return "succeeded", json.dumps(run(value), sort_keys=True), None, None
+            return "failed", None, "PayloadError", None, None, None
+        result = run(value)
+        children = [(a, json.dumps(p, sort_keys=True)) for a, p in result.jobs] if isinstance(result, Children) else None
+        return "succeeded", json.dumps(result, sort_keys=True), None, None, None, children
     except RetryAfter as e:
-        return "retry_after", None, None, float(e.delay)
+        return "retry_after" if e.consume else "retry_after_free", None, None, float(e.delay), None, None
     except SlotsBusy as e:
-        return "reservation_denied", None, None, float(e.delay)
+        return "reservation_denied", None, None, float(e.delay), e.bucket, None
     except Snooze as e:
-        return "snoozed", None, None, float(e.delay)
+        return "snoozed", None, None, float(e.delay), None, None
     except Rejected:
-        return "failed", None, "Rejected", None
+        return "failed", None, "Rejected", None, None, None
     except Exception as e:  # noqa: BLE001  user code
-        return "retry", None, type(e).__name__, None
+        return "retry", None, type(e).__name__, None, None, None
 
 
 def performed(jobs: DataFrame, actors: dict[str, Actor]) -> DataFrame:
@@ -98,8 +121,8 @@ def performed(jobs: DataFrame, actors: dict[str, Actor]) -> DataFrame:
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = [(i, a, *(outcome(runs[a], p) if a in runs else ("actor_not_found", None, None, 10.0))) for i, a, p in zip(rows["id"], rows["actor"], rows["payload"], strict=True)]
-            yield pd.DataFrame(out, columns=["id", "actor", "outcome", "result", "error_class", "delay"]).astype({"delay": float})
+            out = [(i, a, *(_called_with(runs[a], p) if a in runs else ("actor_not_found", None, None, 10.0, None, None))) for i, a, p in zip(rows["id"], rows["actor"], rows["payload"], strict=True)]
+            yield pd.DataFrame(out, columns=["id", "actor", "outcome", "result", "error_class", "delay", "bucket", "children"]).astype({"delay": float})
 
     return jobs.select("id", "actor", "payload").mapInPandas(go, OUTCOMES)
 

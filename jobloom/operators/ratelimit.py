@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.operators.sequences import trailing, with_pieces
+
 DECISIONS = "bucket string, request_id long, allowed boolean, level double, retry_after double"
 
 
@@ -78,77 +82,106 @@ def gcra_refund(state: float | None, before: float, after: float) -> float | Non
 Step = Callable[[object, float], tuple]
 
 
-def replayed(requests: DataFrame, step: Step) -> DataFrame:
+def replayed(requests: DataFrame, step: Step, fresh_after: float | None = None) -> DataFrame:
     """Decisions over (bucket, ts, request_id) in time order; ties by request id.
 
-    The order matters, so a bucket is one sequence; its rows are sorted by Spark and streamed through Python in
-    batches with only the bucket's state held, so a hot bucket needs no memory beyond a batch.
+    The order matters, so requests are sorted by Spark and streamed through Python in batches, with only the state of the
+    current bucket held. After ``fresh_after`` seconds without a request any state decides like none at all; there a
+    bucket's sequence is cut, and the pieces are replayed by different tasks. A bucket that never rests that long is one
+    sequence.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, state = None, None
+        here, state = None, None
         for rows in batches:
             out = []
-            for b, us, r in zip(rows["bucket"], rows["us"], rows["request_id"], strict=True):
-                if b != bucket:
-                    bucket, state = b, None
+            for b, piece, us, r in zip(rows["bucket"], rows["piece"], rows["us"], rows["request_id"], strict=True):
+                if (b, piece) != here:
+                    here, state = (b, piece), None
                 state, ok, level, wait = step(state, us / 1e6)
                 out.append((b, r, ok, level, wait))
             yield pd.DataFrame(out, columns=["bucket", "request_id", "allowed", "level", "retry_after"]).astype({"level": float, "retry_after": float})
 
-    sorted_rows = requests.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id").repartition("bucket").sortWithinPartitions("bucket", "us", "request_id")
-    return sorted_rows.mapInPandas(run, DECISIONS)
+    rows = requests.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id")
+    rows = rows.withColumn("piece", F.lit(0).cast("long")) if fresh_after is None else with_pieces(rows, ["bucket"], max(1, math.ceil(fresh_after * 1e6)))
+    return rows.repartition("bucket", "piece").sortWithinPartitions("bucket", "piece", "us", "request_id").mapInPandas(run, DECISIONS)
 
 
 def fixed_tokens(requests: DataFrame, capacity: float, refill: float) -> DataFrame:
-    return replayed(requests, lambda s, t: token_bucket(s, t, capacity, refill))
+    """A bucket that has been left alone for the time of a whole refill is full, whatever it held."""
+    return replayed(requests, lambda s, t: token_bucket(s, t, capacity, refill), (capacity + 1) / refill if refill > 0 else None)
 
 
 def sliding_log(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    return replayed(requests, lambda s, t: window_log(s, t, limit, window))
+    """A log without entries for a whole window is empty."""
+    return replayed(requests, lambda s, t: window_log(s, t, limit, window), window + 1)
 
 
 def gcra_limit(requests: DataFrame, limit: int, window: float) -> DataFrame:
-    return replayed(requests, lambda s, t: gcra(s, t, limit, window))
+    """The arrival time lies a window ahead at most."""
+    return replayed(requests, lambda s, t: gcra(s, t, limit, window), window + 1)
 
 
-def offered_load(requests: DataFrame, window: float) -> DataFrame:
-    """Requests in the window up to each one, whatever was decided, and the oldest of them."""
-    from pyspark.sql import Window
+def last_states(requests: DataFrame, step: Step) -> DataFrame:
+    """(bucket, at, state): the state after each bucket's last request, pickled, for refunds, peeks and resets."""
 
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    back = int(window * 1e6)
-    over = Window.partitionBy("bucket").orderBy("us").rangeBetween(1 - back, 0)
-    return requests.withColumn("us", us).select("bucket", "request_id", F.count("*").over(over).alias("in_window"), F.min("us").over(over).alias("oldest_us"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, state, at = None, None, None
+        for rows in batches:
+            out = []
+            for b, us in zip(rows["bucket"], rows["us"], strict=True):
+                if b != here:
+                    if here is not None:
+                        out.append((here, at, pickle.dumps(state)))
+                    here, state = b, None
+                at = us
+                state = step(state, us / 1e6)[0]
+            yield pd.DataFrame(out, columns=["bucket", "at", "state"])
+        if here is not None:
+            yield pd.DataFrame([(here, at, pickle.dumps(state))], columns=["bucket", "at", "state"])
 
+    dealt = requests.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id").repartition("bucket").sortWithinPartitions("bucket", "us", "request_id")
+    return dealt.mapInPandas(run, "bucket string, at long, state binary")
 
-def all_or_nothing(jobs: DataFrame, reservations: dict[str, int], limits: dict[str, tuple[float, float]]) -> DataFrame:
-    """(job_id, allowed, denied_by): a job takes a slot of each reservation first, then a token of each limit.
 
-    What was taken is given back in reverse when one denies. Jobs (job_id, us, reservation, rate, hold_us) of one group
-    of buckets are a sequence; groups are the pair of names.
-    """
+def token_states(requests: DataFrame, capacity: float, refill: float) -> DataFrame:
+    """(bucket, at_us, tokens) after each bucket's last request."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held, tokens = None, [], None
-        for rows in batches:
-            out = []
-            for j, us, res, rate, hold in zip(rows["job_id"], rows["us"], rows["reservation"], rows["rate"], rows["hold_us"], strict=True):
-                if (res, rate) != key:
-                    key, held, tokens = (res, rate), [], None
-                held = [h for h in held if h > us]
-                if len(held) >= reservations[res]:
-                    out.append((j, False, "reservation"))
-                    continue
-                held.append(us + hold)
-                tokens, ok, _, _ = token_bucket(tokens, us / 1e6, *limits[rate])
-                if not ok:
-                    held.pop()
-                out.append((j, ok, None if ok else "rate_limit"))
-            yield pd.DataFrame(out, columns=["job_id", "allowed", "denied_by"])
-
-    dealt = jobs.select("job_id", "us", "reservation", "rate", "hold_us").repartition("reservation", "rate").sortWithinPartitions("reservation", "rate", "us", "job_id")
-    return dealt.mapInPandas(run, "job_id long, allowed boolean, denied_by string")
+    @F.pandas_udf("double")
+    def tokens(state: pd.Series) -> pd.Series:
+        return state.map(lambda s: float(pickle.loads(s)[0]))
+
+    return last_states(requests, lambda s, t: token_bucket(s, t, capacity, refill)).select("bucket", F.col("at").alias("at_us"), tokens("state").alias("tokens"))
+
+
+def _refilled(capacity: float, refill: float, at_us) -> Column:
+    return F.least(F.lit(float(capacity)), F.col("tokens") + F.greatest(F.lit(0.0), (at_us - F.col("at_us")) / 1e6) * refill)
+
+
+def refunded(states: DataFrame, refunds: DataFrame, capacity: float, refill: float) -> DataFrame:
+    """States (bucket, at_us, tokens) after refunds (bucket, at_us, tokens); several for one bucket add up, at the time of
+    the last. A bucket without refund, or one that nobody has used, stays as it is."""
+    back = refunds.groupBy("bucket").agg(F.max("at_us").alias("then"), F.sum("tokens").alias("given"))
+    full = F.least(F.lit(float(capacity)), _refilled(capacity, refill, F.col("then")) + F.col("given"))
+    given = F.col("given").isNotNull()
+    return states.join(back, "bucket", "left").select("bucket", F.when(given, F.greatest("at_us", "then")).otherwise(F.col("at_us")).alias("at_us"), F.when(given, full).otherwise(F.col("tokens")).alias("tokens"))
+
+
+def peeked(states: DataFrame, at_us, capacity: float, refill: float) -> DataFrame:
+    """(bucket, tokens, exhausted) at a moment, without a change."""
+    tokens = _refilled(capacity, refill, at_us)
+    return states.select("bucket", tokens.alias("tokens"), (tokens <= 0).alias("exhausted"))
+
+
+def reset(states: DataFrame, buckets: DataFrame) -> DataFrame:
+    """States without those of ``buckets`` (bucket): their next request finds them fresh."""
+    return states.join(buckets.select("bucket").distinct(), "bucket", "left_anti")
+
+
+def offered_load(requests: DataFrame, window: float, parts: int = 8) -> DataFrame:
+    """Requests in the window up to each one, whatever was decided, and the oldest of them."""
+    rows = requests.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id")
+    return trailing(rows, "bucket", int(window * 1e6), "request_id", parts)
 
 
 KEY = "^[A-Za-z0-9_.-]{1,64}$"

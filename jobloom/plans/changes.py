@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
 from jobloom.operators import actors, cron, ratelimit
 from jobloom.plans import dispatch, enqueue, lifecycle, schedules, transitions
-from jobloom.plans.reads import META
 from jobloom.plans.registry import query
 from jobloom.sources.fixtures import NOW, Tables
+from jobloom.sources.shared import new_folder
 from jobloom.streaming import streams
 
 ORDER = "priority desc, scheduled_at, id"
@@ -20,12 +18,7 @@ _DUE = "status = 'pending' and scheduled_at <= NOW and (schedule_to_close is nul
 
 
 def shared_path(t: Tables, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; sessions on one machine that set none use their own."""
-    sc = t.spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found and not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(found or f'file:///tmp/checkpoints/jobloom-{sc.applicationId}').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return new_folder(t.spark, label)
 
 
 # Dispatch
@@ -181,15 +174,6 @@ _moved("dml33_drain", "select id, 'pending' as status from jobs where status = '
 _moved("dml32_unknown_actor", "select id, 'scheduled' as status from jobs where status = 'running' and actor = 'error' and (schedule_to_close is null or NOW + interval '10' second <= schedule_to_close) union all select id, 'failed' from jobs where status = 'running' and actor = 'error' and NOW + interval '10' second > schedule_to_close", lambda t: transitions.snooze(t.jobs.filter("actor = 'error'"), NOW, 10), "status")
 query("snk4_reclaim_attempts", f"select id as job_id, attempt, 'crashed' as outcome, 'WorkerCrashed' as error_class from jobs where {_EXPIRED}")(lambda t: transitions.reclaim(t.jobs, NOW).attempts.select("job_id", "attempt", "outcome", "error_class"))
 query("snk5_reclaim_events", f"""select id as job_id, '{{"from":"running","to":"' || case when {_AGAIN} then 'pending' else 'crashed' end || '","reason":"lock_expired"}}' as detail from jobs where {_EXPIRED}""")(lambda t: transitions.reclaim(t.jobs, NOW).events.select("job_id", "detail"))
-query("rt4_snooze_count", """select id, '{"batch_id":"b' || (id % 50) || '","n":1.5,"o":{"a":[1,null,true]},"on":true,"snooze_count":' || case when id % 4 = 1 then 4 when id % 4 = 2 then 8 else 1 end || '}' as metadata from jobs where status = 'running'""")(lambda t: t.jobs.filter("status = 'running'").select("id", C.counted_up(F.expr(META.replace("varchar(9)", "string")), "snooze_count").alias("metadata")))
-query("rt5_denied", """select id, '{"awaiting":"slot","batch_id":"' || json_extract_string(metadata, '$.batch_id') || '"}' as metadata from jobs where status = 'running' and schedule_to_close is null""")(lambda t: transitions.snooze(t.jobs, NOW, 5, metadata='{"awaiting":"slot"}').rows.filter("branch = 'snoozed'").join(t.jobs.filter("schedule_to_close is null").select("id"), "id", "left_semi").select("id", "metadata"))
-
-
-@query("dml30_flush_progress", "select id, cast(3 as int) as progress_seq from jobs where status = 'running' and id in (" + _ASKED + ")")
-def dml30(t: Tables) -> DataFrame:
-    updates = t.jobs.join(_ids(t), "id", "left_semi").select(F.col("id").alias("job_id"), F.col("locked_by_worker").alias("worker_id"), F.lit(3).alias("delta"), F.lit('{"p":"1"}').alias("state"))
-    return transitions.flush_progress(t.jobs, updates).select("id", "progress_seq")
-
 
 query("ext_illegal_transitions", "select count(*) as n from job_events where false")(lambda t: transitions.illegal(t.job_events).agg(F.count("*").alias("n")))
 query("cn1_cancel_phases", "select id, case when NOW - created_at >= interval '864000' second then 'abandoned' when NOW - created_at >= interval '432000' second then 'phase2' else 'phase1' end as phase from jobs where status = 'running' and cancel_phase > 0")(lambda t: t.jobs.filter("status = 'running' and cancel_phase > 0").select("id", transitions.cancel_phase(F.col("created_at"), NOW, 432000, 432000).alias("phase")))
@@ -366,37 +350,6 @@ query("rl4_sliding_log", _LOG)(lambda t: ratelimit.sliding_log(_some(t), 5, 3600
 query("rl5_gcra", _GCRA)(lambda t: ratelimit.gcra_limit(_some(t), 5, 18000.0).select("bucket", "request_id", "allowed"))
 
 
-@query("rl2_refund_peek_reset")
-def rl2(t: Tables) -> DataFrame:
-    """Refund, peek and reset of a bucket's last state, one row per bucket."""
-    import pandas as pd
-
-    def run(batches):
-        state, bucket, rows = None, None, []
-        for part in batches:
-            for b, us in zip(part["bucket"], part["us"], strict=True):
-                if b != bucket:
-                    if bucket is not None:
-                        rows.append((bucket, ratelimit.token_refund(state, at, 10.0, 0.0005)[0], *ratelimit.token_peek(state, at + 600, 10.0, 0.0005)))
-                    bucket, state = b, None
-                at = us / 1e6
-                state = ratelimit.token_bucket(state, at, 10.0, 0.0005)[0]
-        if bucket is not None:
-            rows.append((bucket, ratelimit.token_refund(state, at, 10.0, 0.0005)[0], *ratelimit.token_peek(state, at + 600, 10.0, 0.0005)))
-        yield pd.DataFrame(rows, columns=["bucket", "refunded", "tokens", "exhausted"])
-
-    dealt = t.requests.select("bucket", C.micros(F.col("ts")).alias("us")).repartition("bucket").sortWithinPartitions("bucket", "us")
-    return dealt.mapInPandas(run, "bucket string, refunded double, tokens double, exhausted boolean")
-
-
-_LAST = """with recursive r as (select bucket, epoch_us(ts) as us, row_number() over (partition by bucket order by ts, request_id) as n, count(*) over (partition by bucket) as c from requests),
-  s as (select bucket, n, c, us, cast(9.0 as double) as level from r where n = 1
-    union all select r.bucket, r.n, r.c, r.us, cast(case when least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) >= 1.0 then least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) - 1.0 else least(10.0, s.level + (r.us - s.us) / 1000000.0 * 0.0005) end as double)
-    from s join r on r.bucket = s.bucket and r.n = s.n + 1)"""
-query("rl3_peek", _LAST + " select bucket, round(least(10.0, level + 600 * 0.0005), 4) as tokens, least(10.0, level + 600 * 0.0005) <= 0 as exhausted from s where n = c")(lambda t: rl2(t).select("bucket", F.round("tokens", 4).alias("tokens"), "exhausted"))
-query("rl2_refund", _LAST + " select bucket, round(least(10.0, level + 1), 4) as refunded from s where n = c")(lambda t: rl2(t).select("bucket", F.round("refunded", 4).alias("refunded")))
-
-
 @query("rl6_gcra_refund", "select k, case when k = 'same' then 4.0 else 6.0 end as tat from (values ('same'), ('moved')) as v(k)")
 def rl6(t: Tables) -> DataFrame:
     rows = [("same", ratelimit.gcra_refund(5.0, 4.0, 5.0)), ("moved", ratelimit.gcra_refund(6.0, 4.0, 5.0))]
@@ -411,13 +364,6 @@ def rl1_stream(t: Tables) -> DataFrame:
     return streams.drained(streams.limited(source, lambda s, at: ratelimit.token_bucket(s, at, 10.0, 0.0005)), shared_path(t, "limited")).select("bucket", "request_id", "allowed")
 
 
-@query("rl7_all_or_nothing")
-def rl7(t: Tables) -> DataFrame:
-    jobs = t.requests.select(F.col("request_id").alias("job_id"), C.micros(F.col("ts")).alias("us"), F.col("bucket").alias("reservation"), F.lit("api").alias("rate"), F.lit(40_000_000_000).alias("hold_us"))
-    names = ["click", "view", "purchase", "signup", "error"]
-    return ratelimit.all_or_nothing(jobs, dict.fromkeys(names, 4), {"api": (3.0, 0.0001)})
-
-
 query("rl8_keyed_reservations", """with l as (select json_extract_string(props, '$.k') as key, max(ts) as lu from events group by 1), n as (select max(lu) as newest from l),
   r as (select key, lu, lu < newest - interval '36000' second as evicted from l, n), k as (select key from r where not evicted order by lu desc, key limit 20)
   select key, concat('user:', key) as name, key in (select key from k) as ok, evicted from r""")(lambda t: ratelimit.keyed_reservations(t.base("events").select(F.get_json_object("props", "$.k").alias("key"), "ts"), "user", 20, 36000.0))

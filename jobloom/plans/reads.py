@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
+from jobloom.operators.selection import percentiles
 from jobloom.plans.registry import query
 from jobloom.sources.fixtures import NOW, Tables
+from jobloom.sources.shared import written
 
 ROW = ["id", "actor", "queue", "status", "priority"]
 
@@ -415,14 +417,21 @@ _count("agg11_history_summary", _SUM, _summary)
 
 
 def actor_stats(archive: DataFrame, attempts: DataFrame, per_job: bool = False) -> DataFrame:
-    """Counts and duration percentiles by actor and queue; a job with k attempts counts k times unless ``per_job``."""
+    """Counts and duration percentiles by actor and queue; a job with k attempts counts k times unless ``per_job``.
+
+    Rows are counted by actor, queue, state and duration once; everything else comes from these counts.
+    """
     if per_job:
         attempts = attempts.groupBy("job_id").agg(F.max_by("duration_ms", "attempt").alias("duration_ms"))
-    rows = archive.select("id", "actor", "queue", "status").join(attempts.select(F.col("job_id").alias("id"), "duration_ms"), "id", "left")
-    counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("succeeded", "failed", "cancelled", "crashed")]
-    d = F.col("duration_ms")
-    stats = rows.groupBy("actor", "queue").agg(F.count("*").alias("total"), *counts, F.round(F.avg(d), 6).alias("avg_ms"), F.round(F.percentile(d, 0.5), 6).alias("p50_ms"), F.round(F.percentile(d, 0.95), 6).alias("p95_ms"))
-    return stats.orderBy(F.desc("total"), "actor", "queue").limit(200)
+    by = ["actor", "queue"]
+    rows = archive.select("id", *by, "status").join(attempts.select(F.col("job_id").alias("id"), "duration_ms"), "id", "left")
+    counted = written(rows.groupBy(*by, "status", F.col("duration_ms").alias("v")).agg(F.count("*").alias("n")), "actor-stats")
+    d = F.when(F.col("v").isNotNull(), F.col("n"))
+    counts = [F.coalesce(F.sum(F.when(F.col("status") == s, F.col("n"))), F.lit(0)).alias(f"n_{s}") for s in ("succeeded", "failed", "cancelled", "crashed")]
+    stats = counted.groupBy(*by).agg(F.sum("n").alias("total"), *counts, F.round(F.sum(F.col("v") * d) / F.sum(d), 6).alias("avg_ms"))
+    top = stats.orderBy(F.desc("total"), *by).limit(200)
+    found = percentiles(counted.select(*by, "v", "n"), by, {"p50_ms": 0.5, "p95_ms": 0.95}).select(F.col("actor").alias("_a"), F.col("queue").alias("_q"), F.round("p50_ms", 6).alias("p50_ms"), F.round("p95_ms", 6).alias("p95_ms"))
+    return top.join(found, F.col("actor").eqNullSafe(F.col("_a")) & F.col("queue").eqNullSafe(F.col("_q")), "left").drop("_a", "_q").orderBy(F.desc("total"), *by)
 
 
 _STATS = "select actor, queue, count(*) as total, {c}, round(avg(duration_ms), 6) as avg_ms, round(quantile_cont(duration_ms, 0.5), 6) as p50_ms, round(quantile_cont(duration_ms, 0.95), 6) as p95_ms from jobs_archive a left join {t} t on t.job_id = a.id group by actor, queue"

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.columns import TRANSITIONS, lease_expired, merged, moment, past_deadline, promotable, seconds
+from jobloom.functions.columns import TRANSITIONS, counted_up, lease_expired, merged, moment, past_deadline, promotable, seconds
 
 DEADLINE = "schedule_to_close reached before next dispatch"
 
@@ -94,7 +95,7 @@ def _in_time(now, delay: float) -> Column:
     return F.col("schedule_to_close").isNull() | (moment(now) + seconds(delay) <= F.col("schedule_to_close"))
 
 
-def _branched(jobs: DataFrame, worker: int | None, now, delay: float, branch: Column, more: bool, metadata: str | None = None) -> Transition:
+def _branched(jobs: DataFrame, worker: int | None, now, delay: float, branch: Column, more: bool, metadata: Column | None = None, outcome: str = "snoozed") -> Transition:
     rows = jobs.filter(_owned(worker)).withColumn("branch", branch)
     waits = F.col("branch") == "snoozed"
     idle = F.col("branch") == "noop"
@@ -109,22 +110,32 @@ def _branched(jobs: DataFrame, worker: int | None, now, delay: float, branch: Co
         "branch": F.col("branch"),
     }
     if metadata is not None:
-        new["metadata"] = F.when(waits, merged(F.col("metadata"), F.lit(metadata))).otherwise(F.col("metadata"))
+        new["metadata"] = F.when(waits, metadata).otherwise(F.col("metadata"))
     out = _changed(rows, F.lit(True), now, **new)
     live = out.filter("branch <> 'noop'")
-    return Transition(out, *_audit(live, now, F.when(F.col("branch") == "snoozed", "snoozed").otherwise("failed"), F.col("error_class")))
+    return Transition(out, *_audit(live, now, F.when(F.col("branch") == "snoozed", outcome).otherwise("failed"), F.col("error_class")))
 
 
-def snooze(jobs: DataFrame, now, delay: float, worker: int | None = None, metadata: str | None = None) -> Transition:
-    """Waits without using an attempt if the deadline allows, else fails."""
+def snooze(jobs: DataFrame, now, delay: float, worker: int | None = None, metadata: str | None = None, count: bool | None = None, outcome: str = "snoozed") -> Transition:
+    """Waits without using an attempt if the deadline allows, else fails. ``metadata`` is merged into the job's; without
+    it the job's ``snooze_count`` goes up by one, unless ``count`` says otherwise."""
     branch = F.when(_in_time(now, delay), "snoozed").otherwise("deadline_failed")
-    return _branched(jobs, worker, now, delay, branch, True, metadata)
+    new = None
+    if "metadata" in jobs.columns:
+        new = merged(F.col("metadata"), F.lit(metadata)) if metadata is not None else F.col("metadata")
+        new = counted_up(new, "snooze_count") if (metadata is None if count is None else count) else new
+    return _branched(jobs, worker, now, delay, branch, True, new, outcome)
+
+
+def deny(jobs: DataFrame, now, delay: float, bucket: str, worker: int | None = None) -> Transition:
+    """A reservation or limit had nothing to give: waits like a snooze, noting for what instead of counting."""
+    return snooze(jobs, now, delay, worker, json.dumps({"awaiting": f"reservation:{bucket}"}), False, "reservation_denied")
 
 
 def retry_after(jobs: DataFrame, now, delay: float, consume: bool = True, worker: int | None = None) -> Transition:
     """With ``consume`` an attempt is used up. A non-retryable job without attempts left matches no branch: ``noop``."""
     if not consume:
-        return snooze(jobs, now, delay, worker)
+        return snooze(jobs, now, delay, worker, count=False)
     timely = _in_time(now, delay)
     left = (F.col("retry_kind") == "indefinite") | (F.col("attempt") < F.col("max_attempts"))
     spent = (F.col("retry_kind") == "transient") & (F.col("attempt") >= F.col("max_attempts"))
@@ -199,10 +210,38 @@ def heartbeat(jobs: DataFrame, workers: DataFrame, worker: int, now, lease: floa
     return seen, jobs.filter(_owned(worker)).select("id", moment(now).alias("last_heartbeat_at"), (moment(now) + seconds(lease)).alias("lock_expires_at"))
 
 
+def progress_parts(updates: DataFrame) -> DataFrame:
+    """(job_id, worker_id, key, turn, value, delta) of updates (job_id, worker_id, turn, delta, state): a row for each key of
+    a state, and one without key that carries the delta. A null delta counts as none, a state that is null or no object
+    has no keys."""
+    entries = F.transform(F.map_entries(F.from_json("state", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value"), F.lit(None).cast("long").alias("delta")))
+    count = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"), F.coalesce(F.col("delta").cast("long"), F.lit(0)).alias("delta")))
+    parts = F.concat(count, F.coalesce(entries, F.filter(count, lambda e: F.lit(False))))
+    return updates.select("job_id", "worker_id", F.col("turn").cast("long").alias("turn"), F.explode(parts).alias("p")).select("job_id", "worker_id", "p.key", "turn", "p.value", "p.delta")
+
+
+def folded_parts(parts: DataFrame) -> DataFrame:
+    """Parts once for each job, worker and key: deltas add up; of one key the highest ``turn`` wins, then the larger text.
+    In any order and grouping the result is the same."""
+    best = F.max(F.struct("turn", "value"))
+    return parts.groupBy("job_id", "worker_id", "key").agg(best.alias("b"), F.sum("delta").alias("delta")).select("job_id", "worker_id", "key", "b.turn", "b.value", "delta")
+
+
+def flush_parts(jobs: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, progress_seq, progress_state) of running jobs that their own worker reported on, one row for each: the sum of
+    all deltas on top of the job's number, and all states merged into its state."""
+    quoted = F.to_json(F.struct(F.col("key").alias("k")))  # {"k":...}
+    entry = F.when(F.col("key").isNotNull(), F.struct("key", F.concat(quoted.substr(F.lit(6), F.length(quoted) - 6), F.lit(":"), F.col("value")).alias("text")))
+    by_job = parts.groupBy("job_id", "worker_id").agg(F.sum("delta").alias("delta"), F.array_sort(F.collect_list(entry)).alias("entries"))
+    state = F.when(F.size("entries") > 0, F.concat(F.lit("{"), F.array_join(F.transform("entries", lambda e: e["text"]), ","), F.lit("}")))
+    own = jobs.filter("status = 'running'").select("id", "locked_by_worker", "progress_seq", "progress_state")
+    met = own.join(by_job.select("job_id", "worker_id", "delta", state.alias("state")), (F.col("id") == F.col("job_id")) & (F.col("locked_by_worker") == F.col("worker_id")))
+    return met.select("id", (F.coalesce("progress_seq", F.lit(0)) + F.coalesce("delta", F.lit(0))).cast("int").alias("progress_seq"), merged(F.col("progress_state"), F.col("state")).alias("progress_state"))
+
+
 def flush_progress(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Merged progress of running, owned jobs; updates are (job_id, worker_id, delta, state)."""
-    met = updates.join(jobs.filter("status = 'running'").select("id", "locked_by_worker"), (F.col("id") == F.col("job_id")) & (F.col("locked_by_worker") == F.col("worker_id")))
-    return met.select("id", F.col("delta").alias("progress_seq"), merged(F.lit("{}"), F.col("state")).alias("progress_state"))
+    """``flush_parts`` of updates (job_id, worker_id, turn, delta, state), several for a job or none."""
+    return flush_parts(jobs, folded_parts(progress_parts(updates)))
 
 
 def illegal(events: DataFrame) -> DataFrame:

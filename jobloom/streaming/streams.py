@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from jobloom.functions.columns import merged, moment
 from jobloom.operators.ratelimit import DECISIONS
+from jobloom.operators.sequences import sessions
 
 PROGRESS = "job_id long, seq int, status string, detail string, terminal boolean"
 _COLUMNS = ["job_id", "seq", "status", "detail", "terminal"]
@@ -167,8 +168,15 @@ def event_windows(events: DataFrame, at: str, length: str, slide: str | None = N
 
 
 def event_sessions(events: DataFrame, at: str, gap: str, late: str = "10 minutes") -> DataFrame:
-    source = events.withWatermark(at, late) if events.isStreaming else events
-    return source.groupBy(F.session_window(at, gap).alias("w"), "actor").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "actor", "n")
+    """Counts by session and actor. A table's sessions come from counts of short spans, so that no task gathers an actor's
+    rows; a stream's are Spark's session windows, whose state merges as rows come."""
+    if events.isStreaming:
+        found = events.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), "actor").agg(F.count("*").alias("n"))
+        return found.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "actor", "n")
+    kind, size = dict(events.dtypes)[at], int(pd.Timedelta(gap) / pd.Timedelta(microseconds=1))
+    found = sessions(events.select("actor", F.unix_micros(F.col(at).cast("timestamp")).alias("us")), ["actor"], size)
+    moment_of = lambda us: F.timestamp_micros(us).cast(kind)
+    return found.select(moment_of(F.col("first_us")).alias("start"), moment_of(F.col("last_us") + size).alias("end"), "actor", "n")
 
 
 def timed_out(jobs: DataFrame, now, limit: float) -> DataFrame:

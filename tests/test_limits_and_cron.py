@@ -133,32 +133,6 @@ def test_simulated_clock(spark):
     assert got == {1: (0, 10), 2: (10, 20), 3: (20, 30), 4: (100, 101), 5: (7, 8)}
 
 
-def test_all_or_nothing_gives_slots_back(spark):
-    import random
-
-    rng = random.Random(4)
-    rows = [(i, rng.randrange(0, 400) * 1_000_000, rng.choice(["r1", "r2"]), "api", rng.choice([5, 50]) * 1_000_000) for i in range(200)]
-    df = spark.createDataFrame(rows, "job_id long, us long, reservation string, rate string, hold_us long").repartition(3)
-    got = {r.job_id: (r.allowed, r.denied_by) for r in ratelimit.all_or_nothing(df, {"r1": 2, "r2": 1}, {"api": (2.0, 0.05)}).collect()}
-    want = {}
-    for name, places in (("r1", 2), ("r2", 1)):
-        busy, tokens, last = [], 2.0, None
-        for us, i, hold in sorted((r[1], r[0], r[4]) for r in rows if r[2] == name):
-            busy = [b for b in busy if b > us]
-            if len(busy) >= places:
-                want[i] = (False, "reservation")
-                continue
-            tokens = 2.0 if last is None else min(2.0, tokens + (us - last) / 1e6 * 0.05)
-            last = us
-            if tokens >= 1:
-                tokens -= 1
-                busy.append(us + hold)
-                want[i] = (True, None)
-            else:
-                want[i] = (False, "rate_limit")
-    assert got == want and {d for _, d in got.values()} == {None, "reservation", "rate_limit"}
-
-
 def test_keyed_reservations(spark):
     at = lambda m: datetime(2024, 1, 1, 0, m)
     df = spark.createDataFrame([("a", at(0)), ("a", at(50)), ("b", at(40)), ("c", at(55)), ("bad key", at(59)), ("old", at(1)), (None, at(3))], "key string, ts timestamp_ntz")
