@@ -156,7 +156,9 @@ def _edits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     """Edits of the nodes of crowded regions, rarest first, that a partner must share one of; ``near`` says which ones for a
     partner outside the centre's component, ``e`` how many edits the node has and ``after`` how many of them come later."""
-    held = written(sets.join(crowd.select("node").unionByName(crowd.select(F.col("centre").alias("node"))).distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "forest-crowd")
+    ids = crowd.select("node").unionByName(crowd.select(F.col("centre").alias("node"))).distinct()
+    ids = F.broadcast(ids) if ids.count() <= jaccard.FEW else ids
+    held = written(sets.join(ids, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "forest-crowd")
     both = crowd.join(held, "node").join(held.select(F.col("node").alias("centre"), F.col("hashes").alias("mid")), "centre")
     rows = both.select("centre", "n_centre", "node", "n", "root", "other", "hashes", "mid").mapInArrow(_edits, "edit long, centre long, node long, n int, root long, other boolean, e int, kept int, near int")
     rows = written(rows.filter("kept > 0"), "forest-edits")
@@ -194,7 +196,7 @@ def links(nodes: DataFrame, sets: DataFrame, most: int = REGION) -> DataFrame:
     few = rooted.filter(F.col("size") <= most)
 
     # What is left of crowded regions meets by shared edits; a node meets a centre once, whatever the tree.
-    crowd = rooted.filter(F.col("size") > most).select("centre", "n_centre", "node", "n", "root", "other").distinct()
+    crowd = written(rooted.filter(F.col("size") > most).select("centre", "n_centre", "node", "n", "root", "other").distinct(), "forest-others")
     edits = _shared(crowd, sets)
     # From the first edit that two nodes share, what comes after it in both bounds what they share.
     weight = (DENOMINATOR + NUMERATOR) // (DENOMINATOR - NUMERATOR)
