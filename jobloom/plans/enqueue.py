@@ -43,7 +43,10 @@ def enqueue(jobs: DataFrame, requests: DataFrame, actor_config: DataFrame, now,
     rows = requests
     if unique_for is not None:
         same = jobs.filter(recent(now, unique_for, list(unique_states)) & F.col("identity_key").isNotNull()).groupBy("actor", "identity_key").agg(F.max_by("id", F.struct("created_at", "id")).alias("unique_id"))
-        rows = rows.join(same, ["actor", "identity_key"], "left")
+        # Requests without identity are spread over all tasks, under slots that no job has.
+        slot = lambda key: F.struct(F.coalesce(key, F.lit("")).alias("key"), F.when(key.isNull(), F.col("ordinal")).otherwise(-1).alias("n"))
+        known = same.select("actor", F.struct(F.col("identity_key").alias("key"), F.lit(-1).cast(dict(rows.dtypes)["ordinal"]).alias("n")).alias("_slot"), "unique_id")
+        rows = rows.withColumn("_slot", slot(F.col("identity_key"))).join(known, ["actor", "_slot"], "left").drop("_slot")
     else:
         rows = rows.withColumn("unique_id", F.lit(None).cast("long"))
     single = jobs.filter(F.col("status").isin("pending", "scheduled", "running") & json_true(F.col("metadata"), "singleton")).select("actor").distinct().withColumn("taken", F.lit(True))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
-from jobloom.operators import actors, composition, ratelimit
+from jobloom.operators import actors, composition, metrics, ratelimit
 from jobloom.plans import outcomes, transitions
 from jobloom.plans.reads import META
 from jobloom.plans.registry import query
+from jobloom.sources import event_log
 from jobloom.sources.fixtures import NOW, Tables
 from jobloom.sources.shared import new_folder
-from jobloom.streaming import progress
+from jobloom.streaming import progress, streams, timers
 
 # Outcomes
 
@@ -195,3 +196,86 @@ query("rl4_resting_logs", """with recursive r as (select concat('u', user_id) as
   s as (select bucket, n, request_id, true as allowed, [us] as log from r where n = 1
     union all select r.bucket, r.n, r.request_id, len(list_filter(s.log, lambda x: x > r.us - 1800000000)) < 2, case when len(list_filter(s.log, lambda x: x > r.us - 1800000000)) < 2 then list_append(list_filter(s.log, lambda x: x > r.us - 1800000000), r.us) else list_filter(s.log, lambda x: x > r.us - 1800000000) end
     from s join r on r.bucket = s.bucket and r.n = s.n + 1) select bucket, request_id, allowed from s""")(lambda t: ratelimit.sliding_log(_by_user(t), 2, 1800.0).select("bucket", "request_id", "allowed"))
+
+# Event log, timers, instruments
+
+
+def _changes(t: Tables) -> DataFrame:
+    """Every change of state on its job's channel, numbered as in the table."""
+    return t.job_events.select("id", F.concat(F.lit("job:"), F.col("job_id").cast("string")).alias("channel"), F.col("to_state").alias("payload"))
+
+
+def _logged(t: Tables, rows: DataFrame, files: int = 2) -> tuple[str, object, str]:
+    """A log with the first part of the rows, the stream behind it and its checkpoint."""
+    source, log, state = (new_folder(t.spark, label) for label in ("changes", "log", "publish"))
+    rows.repartition(files).write.parquet(source)
+    stream = t.spark.readStream.schema(event_log.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    event_log.publish(stream, log, state)
+    return log, stream, state
+
+
+@query("snk12_event_log", "select 'job:' || job_id as channel, count(*) as n from job_events where to_state <> 'running' group by job_id")
+def snk12_log(t: Tables) -> DataFrame:
+    """Published twice from one checkpoint: the second time there is nothing left to publish."""
+    log, stream, state = _logged(t, _changes(t).filter("payload <> 'running'"))
+    event_log.publish(stream, log, state)
+    return event_log.read(t.spark, log).groupBy("channel").agg(F.count("*").alias("n"))
+
+
+@query("src21_resumed", "select id, 'job:' || job_id as channel, to_state as payload from job_events where id > (select max(id) from job_events) // 2 and to_state in ('failed', 'crashed')")
+def src21_resumed(t: Tables) -> DataFrame:
+    """A follower that comes back with the last id it saw, and is started twice from its own checkpoint."""
+    rows = _changes(t).filter("payload in ('failed', 'crashed')")
+    last = t.job_events.agg(F.max("id")).first()[0] // 2
+    log, _, _ = _logged(t, rows)
+    out = new_folder(t.spark, "followed")
+    streams.drained(event_log.follow(t.spark, log, after=last), out)
+    return streams.drained(event_log.follow(t.spark, log, after=last), out).select("id", "channel", "payload")
+
+
+@query("st12_timeouts", "select id as job_id, started_at + interval '30' minute as timed_out_at from jobs where started_at is not null and (finished_at is null or finished_at > started_at + interval '30' minute) and started_at + interval '30' minute <= (select max(coalesce(finished_at, started_at)) from jobs)")
+def st12_timeouts(t: Tables) -> DataFrame:
+    """Attempts still running half an hour after their start, found by timers over the stream of all starts and ends."""
+    starts = t.jobs.filter("started_at is not null").select(F.col("id").alias("job_id"), F.col("started_at").alias("at"), F.lit("running").alias("status"))
+    ends = t.jobs.filter("finished_at is not null").select(F.col("id").alias("job_id"), F.col("finished_at").alias("at"), "status")
+    path = new_folder(t.spark, "states")
+    starts.unionByName(ends).orderBy("job_id", "at").write.parquet(path)
+    stream = t.spark.readStream.schema("job_id long, at timestamp_ntz, status string").parquet(path)
+    found = streams.drained(timers.attempts_timed_out(stream, 1800), new_folder(t.spark, "timed"))
+    return found.select("job_id", F.col("timed_out_at").cast("timestamp_ntz").alias("timed_out_at"))
+
+
+def _instruments(t: Tables) -> list[DataFrame]:
+    jobs, ended = t.jobs, t.jobs.filter("finished_at is not null")
+    swept = transitions.expire_deadlines(jobs, NOW).rows
+    return [
+        metrics.counter(jobs, "jobs.published", ["actor", "queue"]),
+        metrics.counter(ended.withColumnRenamed("status", "outcome"), "jobs.consumed", ["actor", "queue", "outcome"]),
+        metrics.counter(jobs.filter("cancel_phase > 0"), "jobs.cancel_requested", []),
+        metrics.counter(swept, "jobs.deadline_failed", ["actor"]),
+        metrics.gauge(jobs.filter("status in ('pending', 'scheduled')"), "queue.depth", ["queue"]),
+        metrics.gauge(t.reservation_slots.filter("job_id is not null").withColumnRenamed("bucket_name", "bucket"), "slots.used", ["bucket"]),
+        metrics.counter(t.jobs_archive, "jobs.archived", ["status"]),
+    ]
+
+
+_COUNTS = """select 'jobs.published' as name, '{"actor":"' || actor || '","queue":"' || queue || '"}' as labels, count(*) as n from jobs group by actor, queue
+  union all select 'jobs.consumed', '{"actor":"' || actor || '","outcome":"' || status || '","queue":"' || queue || '"}', count(*) from jobs where finished_at is not null group by actor, status, queue
+  union all select 'jobs.cancel_requested', '{}', count(*) from jobs where cancel_phase > 0
+  union all select 'jobs.deadline_failed', '{"actor":"' || actor || '"}', count(*) from jobs where status in ('pending', 'scheduled') and schedule_to_close < NOW group by actor
+  union all select 'queue.depth', '{"queue":"' || queue || '"}', count(*) from jobs where status in ('pending', 'scheduled') group by queue
+  union all select 'slots.used', '{"bucket":"' || bucket_name || '"}', count(*) from reservation_slots where job_id is not null group by bucket_name
+  union all select 'jobs.archived', '{"status":"' || status || '"}', count(*) from jobs_archive group by status"""
+query("snk14_instruments", _COUNTS)(lambda t: metrics.merged(*_instruments(t)).select("name", "labels", "n"))
+
+# Milliseconds are whole, so only powers of two lie on a bound.
+_PLACE = "case when v > 0 then case when pow(2, round(log2(v))) = v then cast(round(log2(v)) * 8 as bigint) else cast(ceil(log2(v) * 8) as bigint) end - 1 end"
+
+
+@query("agg18_histograms", f"""with x as (select '{{"actor":"' || actor || '"}}' as labels, (epoch_us(finished_at) - epoch_us(started_at)) // 1000 as v from jobs where finished_at is not null union all select '{{"actor":"' || actor || '"}}', duration_ms from jobs_archive a join job_attempts_archive t on t.job_id = a.id)
+  select labels, 3 as scale, {_PLACE} as bucket, count(*) as n, min(v)::double as least, max(v)::double as most from x group by 1, 3""")
+def agg18(t: Tables) -> DataFrame:
+    """Durations of live and archived attempts, one histogram each, merged."""
+    live = metrics.histogram(t.jobs.filter("finished_at is not null"), "attempt.duration", ["actor"], C.whole_ms(F.col("started_at"), F.col("finished_at")))
+    old = t.jobs_archive.select("id", "actor").join(t.job_attempts_archive.select(F.col("job_id").alias("id"), "duration_ms"), "id")
+    return metrics.merged(live, metrics.histogram(old, "attempt.duration", ["actor"], F.col("duration_ms"))).select("labels", "scale", "bucket", "n", "least", "most")

@@ -38,7 +38,7 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     # Batches without data, which only look for state that timed out, would never end; such state goes with the next data.
     conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(name)
-    if "ProcessingTimeTimeout" in stream._jdf.queryExecution().analyzed().toString():
+    if "ProcessingTime" in stream._jdf.queryExecution().analyzed().toString():
         conf.set(name, "false")
     try:
         query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_state").option("path", f"{path}/out").outputMode(mode).trigger(availableNow=True).start()
