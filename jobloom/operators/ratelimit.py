@@ -79,6 +79,13 @@ def gcra_refund(state: float | None, before: float, after: float) -> float | Non
     return before if state == after else state
 
 
+def arrivals_refunded(states: DataFrame, refunds: DataFrame) -> DataFrame:
+    """States (bucket, tat) after refunds (bucket, before, after): back to the time before, where nobody moved it meanwhile.
+    Of several refunds for a bucket one that fits is enough."""
+    fits = states.join(refunds, "bucket").filter(F.col("tat") == F.col("after")).groupBy("bucket").agg(F.min("before").alias("back"))
+    return states.join(fits, "bucket", "left").select("bucket", F.coalesce("back", "tat").alias("tat"))
+
+
 Step = Callable[[object, float], tuple]
 
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobloom.plans import changes, reads, work
+from jobloom.plans import changes, reads, timetable, work
 from jobloom.plans.registry import O, Q
 
-__all__ = ["changes", "reads", "work"]
+__all__ = ["changes", "reads", "timetable", "work"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -261,64 +261,15 @@ def _old_config(t: Tables) -> DataFrame:
 
 query("snk7_upsert_config", f"select actor, max_concurrent, max_pending from actor_config where actor not in (select actor from ({_NEWCONF})) union all {_NEWCONF}")(lambda t: lifecycle.upsert(_old_config(t), _new_config(t), ["actor"]))
 query("snk8_leader_singleton", "select cast(11 as int) as worker_id, NOW as elected_at")(lambda t: lifecycle.upsert(t.maintenance_leader.withColumn("one", F.lit(1)).select("one", "worker_id", "elected_at"), t.spark.range(1).select(F.lit(1).alias("one"), F.lit(11).alias("worker_id"), C.moment(NOW).alias("elected_at")), ["one"]).select("worker_id", "elected_at"))
-query("snk9_guarded_upsert", "select b, case when b = 'x' then 'new' else 'old' end as state from (values ('x', 'token'), ('y', 'window')) as v(b, kind)")(lambda t: lifecycle.upsert_if_same(t.spark.createDataFrame([("x", "token", "old"), ("y", "window", "old")], "b string, kind string, state string"), t.spark.createDataFrame([("x", "token", "new"), ("y", "token", "new")], "b string, kind string, state string"), "b", "kind").select("b", "state"))
+_STORED, _COMES = "select c_custkey as b, case when c_custkey % 2 = 0 then 'token' else 'window' end as kind, 'old' as state from customer", "select c_custkey as b, 'token' as kind, 'new' as state from customer where c_custkey % 3 <> 1"
+query("snk9_guarded_upsert", "select c_custkey as b, case when c_custkey % 2 = 0 and c_custkey % 3 <> 1 then 'new' else 'old' end as state from customer")(lambda t: lifecycle.upsert_if_same(t.sql(_STORED), t.sql(_COMES), "b", "kind").select("b", "state"))
 query("snk10_insert_absent", f"select actor, max_concurrent from actor_config union all select actor, max_concurrent from ({_NEWCONF}) where actor = 'error'")(lambda t: lifecycle.insert_absent(_old_config(t), _new_config(t), ["actor"]).select("actor", "max_concurrent"))
 query("snk11_deregister", "select id from workers where id not in (select n_nationkey from nation)")(lambda t: lifecycle.deregister_workers(t.workers, t.base("nation").select(F.col("n_nationkey").alias("id"))).select("id"))
 _COMING = "select c_custkey + 3 as id, c_name as hostname, 'q9' as queue_list from customer"
 query("snk11_register", f"select id, hostname, queue_list, last_seen_at from workers where id not in (select id from ({_COMING})) union all select *, NOW from ({_COMING})")(lambda t: lifecycle.register_workers(t.workers.select("id", "hostname", "queue_list", "last_seen_at"), t.sql(_COMING), NOW))
-query("snk11b_register_cron", "select actor, name from cron_schedules union all select 'view', 'new'")(lambda t: lifecycle.insert_absent(t.cron_schedules.select("actor", "name"), t.spark.createDataFrame([("view", "new"), ("click", "five")], "actor string, name string"), ["actor", "name"]))
+query("snk11b_register_cron", "select actor, name from cron_schedules union all select 'view', 'new'")(lambda t: lifecycle.insert_absent(t.cron_schedules.select("actor", "name"), t.spark.createDataFrame([("view", "new"), ("click", "s5")], "actor string, name string"), ["actor", "name"]))
 query("joi21_config_drift", "select 'click' as actor, 'max_concurrent' as field, '50' as stored, '60' as registered")(lambda t: lifecycle.drift(_old_config(t), _new_config(t), ["max_concurrent", "max_pending"]))
 query("dml31_config_sync", f"select actor, max_concurrent from actor_config where actor not in (select actor from ({_NEWCONF})) union all select actor, max_concurrent from ({_NEWCONF})")(lambda t: lifecycle.upsert(_old_config(t), _new_config(t), ["actor"]).select("actor", "max_concurrent"))
-_AFTER = ["id", "cron_expr", "enabled", "consecutive_failures", "next_fire_at", "payload", "payload_factory"]
-
-
-def _update(t: Tables) -> DataFrame:
-    changes = t.spark.createDataFrame([(5, None, True, None, None), (7, "0 6 * * *", None, '{"b": 2}', None), (6, None, False, None, None), (2, None, None, None, "f:g")], "id int, cron_expr string, enabled boolean, payload string, payload_factory string")
-    return schedules.update(t.cron_schedules, changes, NOW)
-
-
-def _create(t: Tables) -> DataFrame:
-    columns = "id int, actor string, name string, cron_expr string, timezone string, dst_strategy string, enabled boolean, payload_factory string, payload string"
-    new = t.spark.createDataFrame([(9, "view", "noon", "0 12 * * *", "Europe/Berlin", "skip", True, None, "{}"), (10, "click", "second", "*/15 * * * *", "UTC", None, False, None, None)], columns)
-    return schedules.create(t.cron_schedules, new, NOW)
-
-
-def _some_ids(t: Tables, *ids: int) -> DataFrame:
-    return t.spark.createDataFrame([(i,) for i in ids], "id int")
-
-
-_SCHEDULE = "select id, cron_expr, enabled, consecutive_failures, next_fire_at, payload, payload_factory from cron_schedules"
-query("dml28_create_schedule", "select * from (values (9, 'noon', 0, timestamp '2024-01-20 11:00:00'), (10, 'second', 0, timestamp '2024-01-20 00:15:00')) as v(id, name, consecutive_failures, next_fire_at)")(lambda t: _create(t).select("id", "name", "consecutive_failures", "next_fire_at"))
-query("dml28_update_schedule", f"""select id, case when id = 7 then '0 6 * * *' else cron_expr end as cron_expr, id <> 6 as enabled, case when id = 5 then 0 else consecutive_failures end as consecutive_failures, case when id = 7 then timestamp '2024-01-20 06:00:00' else next_fire_at end as next_fire_at,
-  case when id = 7 then '{{"b": 2}}' when id = 2 then null else payload end as payload, case when id = 2 then 'f:g' when id = 7 then null else payload_factory end as payload_factory from ({_SCHEDULE}) where id in (2, 5, 6, 7)""")(lambda t: _update(t).select(*_AFTER))
-query("dml28_enable_schedule", "select id, case when id = 5 then true when id = 6 then false else enabled end as enabled, case when id = 5 then 0 else consecutive_failures end as consecutive_failures from cron_schedules")(lambda t: lifecycle.upsert(t.cron_schedules.select(*_AFTER), _update(t), ["id"]).select("id", "enabled", "consecutive_failures"))
-query("dml28_delete_schedule", "select id from cron_schedules where id not in (3, 5)")(lambda t: schedules.delete(t.cron_schedules, _some_ids(t, 3, 5)).select("id"))
-query("dml28_skip_schedule", "select * from (values (1, timestamp '2024-01-20 00:05:00'), (2, timestamp '2024-01-20 07:30:00'), (4, timestamp '2024-01-23 08:00:00'), (6, timestamp '2024-01-20 01:00:00'), (8, null)) as v(id, next_fire_at)")(lambda t: schedules.skip(t.cron_schedules, _some_ids(t, 1, 2, 4, 6, 8), NOW).select("id", "next_fire_at"))
-query("dml28_run_schedule", """select id as schedule_id, s.actor, c.queue, case when payload_factory is not null then '{"day": 20, "job": ' || id || '}' else coalesce(payload, '{}') end as payload, NOW as scheduled_at, 'pending' as status from cron_schedules s join actor_config c on s.actor = c.actor""")(lambda t: schedules.run_now(t.cron_schedules, t.cron_schedules, t.actor_config, NOW, _FACTORIES).select("schedule_id", "actor", "queue", "payload", "scheduled_at", "status"))
-
-
-def _factory(schedule: int, now) -> dict:
-    return {"day": now.day, "job": schedule}
-
-
-_FACTORIES = {"tests.payloads:daily": _factory}
-
-
-def _tick(t: Tables) -> schedules.Tick:
-    return schedules.tick(t.cron_schedules, t.actor_config, NOW, _FACTORIES, most_failures=3)
-
-
-query("dml29_cron_tick", """select * from (values (1, true, 0, timestamp '2024-01-20 00:00:00', NOW, null), (2, true, 0, timestamp '2024-01-21 07:30:00', NOW, null), (6, true, 0, timestamp '2024-01-20 02:00:00', NOW, null), (7, true, 0, timestamp '2024-01-20 04:15:00', NOW, null),
-  (8, false, 3, timestamp '2024-01-19 12:00:00', null, 'invalid expression')) as v(id, enabled, consecutive_failures, next_fire_at, last_fired_at, last_fire_error)""")(lambda t: _tick(t).rows.select("id", "enabled", "consecutive_failures", "next_fire_at", "last_fired_at", "last_fire_error"))
-query("dml29_cron_jobs", """select s.id as schedule_id, s.actor, c.queue, case when s.id = 7 then '{"day": 20, "job": 7}' else coalesce(payload, '{}') end as payload, cast(c.max_attempts as int) as max_attempts, NOW as scheduled_at, 'pending' as status
-  from cron_schedules s join actor_config c on s.actor = c.actor where enabled and next_fire_at <= NOW and s.id <> 8""")(lambda t: _tick(t).jobs.drop("job_id"))
-
-
-@query("dml29_cron_failures", "select id, case when id % 2 = 0 then 0 else consecutive_failures + 1 end as consecutive_failures, case when id % 2 = 0 then true else consecutive_failures + 1 < 3 end as enabled from cron_schedules where enabled and next_fire_at <= NOW")
-def dml29(t: Tables) -> DataFrame:
-    failures, enabled = lifecycle.fired(F.col("id") % 2 == 0, F.col("consecutive_failures"), 3)
-    return t.cron_schedules.filter(F.col("enabled") & (F.col("next_fire_at") <= C.moment(NOW))).select("id", failures.alias("consecutive_failures"), enabled.alias("enabled"))
-
 
 # Sinks that tell others
 
@@ -350,12 +301,6 @@ query("rl4_sliding_log", _LOG)(lambda t: ratelimit.sliding_log(_some(t), 5, 3600
 query("rl5_gcra", _GCRA)(lambda t: ratelimit.gcra_limit(_some(t), 5, 18000.0).select("bucket", "request_id", "allowed"))
 
 
-@query("rl6_gcra_refund", "select k, case when k = 'same' then 4.0 else 6.0 end as tat from (values ('same'), ('moved')) as v(k)")
-def rl6(t: Tables) -> DataFrame:
-    rows = [("same", ratelimit.gcra_refund(5.0, 4.0, 5.0)), ("moved", ratelimit.gcra_refund(6.0, 4.0, 5.0))]
-    return t.spark.createDataFrame(rows, "k string, tat double")
-
-
 @query("rl1_token_bucket_stream", _TB)
 def rl1_stream(t: Tables) -> DataFrame:
     path = shared_path(t, "requests")
@@ -370,28 +315,7 @@ query("rl8_keyed_reservations", """with l as (select json_extract_string(props,
 
 # Cron
 
-
-def _fires(t: Tables, strategy: str | None = None) -> DataFrame:
-    at = cron.next_fire(F.col("cron_expr"), F.col("timezone"), C.moment(NOW), F.col("dst_strategy") if strategy is None else F.lit(strategy))
-    return t.cron_schedules.select("id", F.transform(at, lambda x: x.cast("timestamp_ntz")).alias("fires"))
-
-
-@query("cr1_next_fire", "select id, fire_at from (values (1, timestamp '2024-01-20 00:05:00'), (2, timestamp '2024-01-20 07:30:00'), (3, timestamp '2024-01-20 06:30:00'), (4, timestamp '2024-01-22 08:00:00'), (5, timestamp '2024-02-01 00:00:00'), (6, timestamp '2024-01-20 01:00:00'), (7, timestamp '2024-01-20 04:15:00'), (8, null)) as v(id, fire_at)")
-def cr1(t: Tables) -> DataFrame:
-    return _fires(t).select("id", F.get("fires", 0).alias("fire_at"))
-
-
-@query("cr2_clock_changes", "select k, n, fire_at from (values ('gap', 1, timestamp '2024-03-11 06:30:00'), ('overlap', 1, timestamp '2024-11-03 05:30:00'), ('allof', 2, timestamp '2024-11-03 05:30:00')) as v(k, n, fire_at)")
-def cr2(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([("gap", "30 2 * * *", "2024-03-09 12:00:00", "skip"), ("overlap", "30 1 * * *", "2024-11-02 12:00:00", "firstof"), ("allof", "30 1 * * *", "2024-11-02 12:00:00", "allof")], "k string, e string, a string, s string")
-    at = cron.next_fire(F.col("e"), F.lit("America/New_York"), F.col("a"), F.col("s"))
-    return rows.select("k", F.size(at).alias("n"), F.get(at, 0).cast("timestamp_ntz").alias("fire_at"))
-
-
-query("cr3_schedule_problems", "select id, case when id = 8 then 'invalid expression' end as problem from cron_schedules")(lambda t: t.cron_schedules.select("id", cron.schedule_problem(F.col("cron_expr"), F.col("timezone"), F.when(F.col("payload_factory").isNull(), F.col("payload")), F.col("payload_factory")).alias("problem")))
-query("cr4_payloads", """select id, case when payload_factory is not null then '{"day": 20, "job": ' || id || '}' else coalesce(payload, '{}') end as payload from cron_schedules""")(lambda t: cron.payloads(t.cron_schedules, NOW, _FACTORIES).select("id", "payload"))
 query("cr5_once_a_day", "select id, cast(last_seen_at as date) < cast(NOW as date) as again from workers")(lambda t: t.workers.select("id", (F.to_date("last_seen_at") < F.to_date(C.moment(NOW))).alias("again")))
-query("dml29_missed_schedules", "select id, next_fire_at < NOW - interval '3600' second as missed from cron_schedules where enabled and next_fire_at <= NOW")(lambda t: t.cron_schedules.filter(F.col("enabled") & (F.col("next_fire_at") <= C.moment(NOW))).select("id", (F.col("next_fire_at") < C.moment(NOW) - C.seconds(3600)).alias("missed")))
 
 # Streams
 
@@ -517,7 +441,8 @@ _ACTORS = {"click": actors.Actor("click", _click, "q0", max_concurrent=50), "vie
 _K = "cast(json_extract_string(payload, '$.k') as int)"
 _ROUTES = f"case when actor = 'view' then 'succeeded' when actor <> 'click' then 'actor_not_found' when {_K} % 5 = 0 then 'snoozed' when {_K} % 5 = 1 then 'retry_after' when {_K} % 5 = 2 then 'failed' when {_K} % 5 = 3 then 'retry' else 'succeeded' end"
 query("udf1_performed", f"select id, {_ROUTES} as outcome from jobs where status = 'running'")(lambda t: actors.performed(t.jobs.filter("status = 'running'"), _ACTORS).select("id", "outcome"))
-query("udf2_options", """select * from (values ('click', 50, 'q0', '{}'), ('view', null, 'q1', '{"singleton": true}')) as v(actor, max_concurrent, queue, metadata)""")(lambda t: t.spark.createDataFrame(actors.config_rows(_ACTORS), "actor string, max_concurrent int, max_pending int, queue string, max_attempts int, retry_kind string, result_ttl double, metadata string").select("actor", "max_concurrent", "queue", "metadata"))
+_OPTIONS = "actor string, max_concurrent int, max_pending int, queue string, max_attempts int, retry_kind string, result_ttl double, metadata string"
+query("udf2_options", """select actor, count(*) as jobs, case actor when 'click' then 50 end as max_concurrent, case actor when 'click' then 'q0' when 'view' then 'q1' end as queue, case actor when 'click' then '{}' when 'view' then '{"singleton": true}' end as metadata from jobs group by actor""")(lambda t: t.jobs.groupBy("actor").agg(F.count("*").alias("jobs")).join(F.broadcast(t.spark.createDataFrame(actors.config_rows(_ACTORS), _OPTIONS)), "actor", "left").select("actor", "jobs", "max_concurrent", "queue", "metadata"))
 query("udf3_classifier", "select kind, count(*) as n from (select case when id % 3 = 0 then 'indefinite' else retry_kind end as kind from jobs where status = 'failed') group by kind")(lambda t: rt3(t).groupBy("kind").agg(F.count("*").alias("n")))
 
 
@@ -527,13 +452,6 @@ def _raises(i: int, o: str) -> None:
 
 query("udf4_hooks", "select id, case status when 'succeeded' then 'called' when 'failed' then 'KeyError' end as hook from jobs where finished_at is not null")(lambda t: actors.hooked(t.jobs.filter("finished_at is not null").select("id", F.col("status").alias("outcome")), {"succeeded": lambda i, o: None, "failed": _raises}).select("id", "hook"))
 query("udf5_key_fn", f"select id, case when {_K} >= 10 then concat('k', {_K}) end as key from jobs")(lambda t: actors.keyed(t.jobs, lambda p: f"k{p['k']}" if p["k"] >= 10 else 1 / 0).select("id", "key"))
-query("udf6_payload_factory", "select id, case when payload_factory is not null then '{\"day\": 1}' else coalesce(payload, '{}') end as payload from cron_schedules")(lambda t: _made_payloads(t))
-
-
-def _made_payloads(t: Tables) -> DataFrame:
-    return cron.payloads(t.cron_schedules, NOW, {"tests.payloads:daily": lambda schedule, now: {"day": 1}}).select("id", "payload")
-
-
 query("udf7_control_flow", f"select {_ROUTES} as outcome, count(*) as n from jobs where status = 'running' and actor = 'click' group by 1")(lambda t: actors.performed(t.jobs.filter("status = 'running' and actor = 'click'"), _ACTORS).groupBy("outcome").agg(F.count("*").alias("n")))
 query("udf8_routing", f"select id, case when actor = 'click' and {_K} % 5 = 2 then 'Rejected' when actor = 'click' and {_K} % 5 = 3 then 'ValueError' end as error_class from jobs where status = 'running'")(lambda t: actors.performed(t.jobs.filter("status = 'running'"), _ACTORS).select("id", "error_class"))
 query("udf9_children", "select id as parent_id, cast(i as int) as child, concat('c', i) as payload from (select id, unnest(range(id % 3)) as i from jobs where status = 'succeeded')")(lambda t: enqueue.children(t.jobs, t.jobs.filter("id % 3 > 0").select(F.col("id").alias("parent_id"), F.transform(F.sequence(F.lit(0), (F.col("id") % 3 - 1).cast("int")), lambda i: F.concat(F.lit("c"), i.cast("string"))).alias("payloads"))))

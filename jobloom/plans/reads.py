@@ -54,14 +54,15 @@ def src7(t: Tables) -> DataFrame:
     return live.select("id", "actor", "status", F.lit(False).alias("is_archived")).unionByName(old.join(live, "id", "left_anti").select("id", "actor", "status", F.lit(True).alias("is_archived")))
 
 
-@query("src8_rows_from_arrays", "select unnest([1, 2, 3]) as id, unnest(['a', 'b', 'c']) as actor, unnest([5, null, 7]) as priority")
+@query("src8_rows_from_arrays", "select s_suppkey, unnest([s_suppkey, s_nationkey, -1]) as id, unnest([s_name, 'b', null]) as actor, unnest([5, null, 7]) as priority from supplier")
 def src8(t: Tables) -> DataFrame:
-    return t.spark.range(1).select(F.inline(F.arrays_zip(F.array(*map(F.lit, (1, 2, 3))).alias("id"), F.array(*map(F.lit, "abc")).alias("actor"), F.array(F.lit(5), F.lit(None), F.lit(7)).alias("priority"))))
+    ids, names, ranks = F.array("s_suppkey", "s_nationkey", F.lit(-1)), F.array("s_name", F.lit("b"), F.lit(None)), F.array(F.lit(5), F.lit(None), F.lit(7))
+    return t.base("supplier").select("s_suppkey", F.inline(F.arrays_zip(ids.alias("id"), names.alias("actor"), ranks.alias("priority"))))
 
 
-@query("src9_generate_slots", "select unnest(range(0, 12)) as slot_index")
+@query("src9_generate_slots", "select n_nationkey as bucket, unnest(range(0, n_nationkey % 7 + 1)) as slot_index from nation")
 def src9(t: Tables) -> DataFrame:
-    return t.spark.range(12).select(F.col("id").alias("slot_index"))
+    return t.base("nation").select(F.col("n_nationkey").alias("bucket"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_nationkey").cast("long") % 7)).alias("slot_index"))
 
 
 @query("src10_parameter_row", "select count(*) as n from jobs, (select NOW as at, 'q1' as q) p where queue = p.q and created_at < p.at")
@@ -69,10 +70,23 @@ def src10(t: Tables) -> DataFrame:
     return t.jobs.filter((F.col("queue") == "q1") & (F.col("created_at") < C.moment(NOW))).agg(F.count("*").alias("n"))
 
 
-@query("src11_pending_versions", "select v from (values ('01.00.00'), ('01.00.01'), ('01.01.00')) as x(v) where v not in ('01.00.00') order by v")
+# Versions that a release knows, and those that an installation has applied, one of them unknown to the release.
+_KNOWN = "select lpad(cast(p_size as varchar(9)), 2, '0') as major, min(p_partkey) as checksum from part group by 1"
+_APPLIED = "select lpad(cast(p_size as varchar(9)), 2, '0') as major, min(p_partkey) + max(case when p_size = 7 then 1 else 0 end) as checksum from part where p_size < 30 group by 1 union all select '99', 1 from region where r_regionkey = 0"
+
+
+@query("src11_pending_versions", f"select coalesce(k.major, a.major) as v, case when a.major is null then 'pending' when k.major is null then 'unknown' when k.checksum <> a.checksum then 'changed' else 'applied' end as state from ({_KNOWN}) k full join ({_APPLIED}) a on k.major = a.major")
 def src11(t: Tables) -> DataFrame:
-    known = t.spark.createDataFrame([("01.00.00",), ("01.00.01",), ("01.01.00",)], "v string")
-    return known.join(t.spark.createDataFrame([("01.00.00",)], "v string"), "v", "left_anti").orderBy("v")
+    return versions(t.sql(_KNOWN), t.sql(_APPLIED))
+
+
+def versions(known: DataFrame, applied: DataFrame | None) -> DataFrame:
+    """(v, state) of versions (major, checksum); without a table of applied ones all are pending."""
+    if applied is None:
+        return known.select(F.col("major").alias("v"), F.lit("pending").alias("state"))
+    a = applied.select(F.col("major").alias("done"), F.col("checksum").alias("sum"))
+    state = F.when(F.col("done").isNull(), "pending").when(F.col("major").isNull(), "unknown").when(F.col("checksum") != F.col("sum"), "changed").otherwise("applied")
+    return known.join(a, F.col("major") == F.col("done"), "full").select(F.coalesce("major", "done").alias("v"), state.alias("state"))
 
 
 @query("src12_queue_modes", "select a.name, coalesce(q.mode, 'strict_fifo') as mode from (values ('q0'), ('q1'), ('q2')) as a(name) left join queues q on a.name = q.name")
@@ -147,10 +161,12 @@ _filter("fil22_cancel_flags", "status = 'running' and locked_by_worker = 3 and c
 _filter("fil23_checked_states", "status in ('pending', 'crashed')", lambda: F.col("status").isin(*C.checked_states(["pending", "crashed"])))
 
 
-@query("fil3_json_boolean", """select i from (values (1, '{"singleton": true}'), (2, '{"singleton": "true"}'), (3, '{}'), (4, null), (5, '{"singleton": false}')) as x(i, m) where json_type(m, '$.singleton') = 'BOOLEAN' and json_extract_string(m, '$.singleton') = 'true'""")
+_FLAGS = """select event_id as i, case event_id % 5 when 0 then '{"singleton": true}' when 1 then '{"singleton": "true"}' when 2 then '{}' when 4 then '{"singleton": false}' end as m from events"""
+
+
+@query("fil3_json_boolean", f"select i from ({_FLAGS}) where json_type(m, '$.singleton') = 'BOOLEAN' and json_extract_string(m, '$.singleton') = 'true'")
 def fil3(t: Tables) -> DataFrame:
-    rows = t.spark.createDataFrame([(1, '{"singleton": true}'), (2, '{"singleton": "true"}'), (3, "{}"), (4, None), (5, '{"singleton": false}')], "i int, m string")
-    return rows.filter(C.json_true(F.col("m"), "singleton")).select("i")
+    return t.sql(_FLAGS).filter(C.json_true(F.col("m"), "singleton")).select("i")
 
 
 @query("fil6_array_member", "select id from workers where list_contains(string_split(queue_list, ','), 'q3')")
@@ -645,6 +661,9 @@ def sca15(t: Tables) -> DataFrame:
     return t.jobs.select("id", ids_from(NOW, F.col("id")).alias("surrogate"), short_ids(F.col("id") * 1000).alias("short"))
 
 
-@query("sca17_daily_cron", "select s, case when regexp_full_match(s, '([01][0-9]|2[0-3]):[0-5][0-9]') then concat(cast(substr(s, 4, 2) as int), ' ', cast(substr(s, 1, 2) as int), ' * * *') end as cron from (values ('04:05'), ('23:59'), ('24:00'), ('4:05')) as v(s)")
+_CLOCK = "select p_partkey as id, concat(case when p_size % 7 = 0 then '' else '0' end, cast(p_size % 10 as varchar(9)), ':', cast(10 + p_partkey % 55 as varchar(9))) as s from part union all select p_partkey, concat(cast(10 + p_size % 20 as varchar(9)), ':0', cast(p_partkey % 10 as varchar(9))) from part"
+
+
+@query("sca17_daily_cron", f"select id, s, case when regexp_full_match(s, '([01][0-9]|2[0-3]):[0-5][0-9]') then concat(cast(substr(s, 4, 2) as int), ' ', cast(substr(s, 1, 2) as int), ' * * *') end as cron from ({_CLOCK})")
 def sca17(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([("04:05",), ("23:59",), ("24:00",), ("4:05",)], "s string").select("s", C.hhmm_cron(F.col("s")).alias("cron"))
+    return t.sql(_CLOCK).select("id", "s", C.hhmm_cron(F.col("s")).alias("cron"))

@@ -43,7 +43,7 @@ def _resolved(rows: DataFrame, actor_config: DataFrame, now, factories: dict) ->
     """With the actor's configuration, the payload, and why there is none."""
     config = actor_config.select("actor", "queue", "max_attempts", F.lit(True).alias("known"))
     made = cron.payloads(rows.join(config, "actor", "left"), now, factories, "made", "made_error")
-    return made.withColumn("error", F.when(F.col("known").isNull(), F.format_string("Actor '%s' not found in actor_config", "actor")).otherwise(F.col("made_error")))
+    return made.withColumn("error", F.when(F.col("known").isNull(), F.format_string("actor %s has no configuration", "actor")).otherwise(F.col("made_error")))
 
 
 def tick(schedules: DataFrame, actor_config: DataFrame, now, factories: dict, catch_up: float = CATCH_UP, most_failures: int = MOST_FAILURES) -> Tick:

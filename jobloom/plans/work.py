@@ -188,6 +188,13 @@ def rl2(t: Tables) -> DataFrame:
     return ratelimit.peeked(left, F.col("at_us") + 600_000_000, 10.0, 0.0005).select("bucket", F.round("tokens", 4).alias("tokens"))
 
 
+query("rl6_gcra_refund", "select cast(c_custkey as varchar) as bucket, case when c_custkey % 3 = 0 then c_custkey * 1.5 else c_custkey * 2.0 end as tat from customer")(lambda t: ratelimit.arrivals_refunded(_arrivals(t), t.base("customer").select(F.col("c_custkey").cast("string").alias("bucket"), (F.col("c_custkey") * 1.5).alias("before"), (F.col("c_custkey") * F.when(F.col("c_custkey") % 3 == 0, 2.0).otherwise(2.5)).alias("after"))))
+
+
+def _arrivals(t: Tables) -> DataFrame:
+    return t.base("customer").select(F.col("c_custkey").cast("string").alias("bucket"), (F.col("c_custkey") * 2.0).alias("tat"))
+
+
 def _by_user(t: Tables) -> DataFrame:
     return t.base("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("bucket"), "ts", F.col("event_id").alias("request_id"))
 

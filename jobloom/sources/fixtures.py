@@ -45,22 +45,22 @@ DERIVED: dict[str, str] = {
       union all select id*3+2, id, finished_at, 'state_change', 'running', status from jobs where finished_at is not null""",
     "workers": f"""select s_suppkey as id, s_name as hostname, concat('q', cast(s_suppkey%4 as varchar(9)), ',q', cast((s_suppkey*3)%5 as varchar(9))) as queue_list, {_T} - (s_suppkey%90)*interval '1' second as last_seen_at,
       concat('g', cast(s_nationkey%5 as varchar(9))) as workgroup_instance, concat('w', cast(s_suppkey%3 as varchar(9))) as worker_label, s_nationkey*7 as pid from supplier""",
-    "maintenance_leader": f"select 7 as worker_id, {_T} - interval '60' minute as elected_at, {_T} - interval '3' second as last_seen_at",
-    "actor_config": """select 'click' as actor, 50 as max_concurrent, 20000 as max_pending, 'q0' as queue, 3 as max_attempts, 3600.0 as result_ttl
-      union all select 'view', null, null, 'q1', 3, null union all select 'purchase', 10, 400, 'q2', 5, 60.0 union all select 'signup', 0, 10, 'q3', 1, null""",
-    "queues": "select 'q0' as name, 'strict_fifo' as mode union all select 'q1', 'round_robin' union all select 'q3', 'round_robin'",
+    "maintenance_leader": f"select min(s_suppkey) + 6 as worker_id, {_T} - interval '60' minute as elected_at, {_T} - interval '3' second as last_seen_at from supplier",
+    "actor_config": """select event_type as actor, case event_type when 'click' then 50 when 'purchase' then 10 when 'signup' then 0 end as max_concurrent, case event_type when 'click' then 20000 when 'purchase' then 400 when 'signup' then 10 end as max_pending,
+      case event_type when 'click' then 'q0' when 'view' then 'q1' when 'purchase' then 'q2' else 'q3' end as queue, case event_type when 'purchase' then 5 when 'signup' then 1 else 3 end as max_attempts,
+      case event_type when 'click' then 3600.0 when 'purchase' then 60.0 end as result_ttl from (select distinct event_type from events where event_type <> 'error')""",
+    "queues": "select distinct concat('q', cast(s_suppkey%4 as varchar(9))) as name, case when s_suppkey%4=0 then 'strict_fifo' else 'round_robin' end as mode from supplier where s_suppkey%4<>2",
     "reservation_slots": f"""select n_regionkey as bucket_name, cast(row_number() over (partition by n_regionkey order by n_nationkey)-1 as int) as slot_index, case when n_nationkey%3<>0 then n_nationkey end as job_id,
       case when n_nationkey%3<>0 then cast(n_nationkey%4 as bigint) end as held_by_worker_id, {_T} + (n_nationkey-12)*interval '1' minute as lease_expires_at from nation""",
     "requests": "select event_type as bucket, ts, event_id as request_id from events",
     "progress": """select conv_id as job_id, turn as seq, text as detail, role as status, turn = max(turn) over (partition by conv_id) as terminal from conversations""",
-    "cron_schedules": """select 1 as id, 'click' as actor, 'five' as name, '*/5 * * * *' as cron_expr, 'UTC' as timezone, 'skip' as dst_strategy, true as enabled, 0 as consecutive_failures, timestamp '2024-01-19 23:55:00' as next_fire_at, cast(null as varchar(99)) as payload_factory, '{"a": 1}' as payload
-      union all select 2, 'view', 'gap', '30 2 * * *', 'America/New_York', 'skip', true, 1, timestamp '2024-01-19 07:30:00', null, '{}'
-      union all select 3, 'view', 'overlap', '30 1 * * *', 'America/New_York', 'allof', true, 0, timestamp '2024-01-20 06:30:00', null, '{}'
-      union all select 4, 'purchase', 'weekday', '0 9 * * 1-5', 'Europe/Berlin', 'first', true, 4, timestamp '2024-01-22 08:00:00', null, null
-      union all select 5, 'signup', 'off', '0 0 1 * *', 'UTC', 'skip', false, 5, timestamp '2024-01-01 00:00:00', null, null
-      union all select 6, 'click', 'missed', '0 * * * *', 'UTC', 'skip', true, 0, timestamp '2024-01-19 20:00:00', null, null
-      union all select 7, 'click', 'made', '15 4 * * *', 'UTC', 'skip', true, 0, timestamp '2024-01-20 00:00:00', 'tests.payloads:daily', null
-      union all select 8, 'error', 'broken', 'not a cron', 'UTC', 'skip', true, 2, timestamp '2024-01-19 12:00:00', null, null""",
+    # A schedule for each part: every few minutes, daily, weekly and monthly ones, some of them broken or of an unknown actor.
+    "cron_schedules": f"""select cast(p_partkey as int) as id, case when p_partkey%89=0 then 'nobody' when p_partkey%5=1 then 'view' when p_partkey%5=2 then 'purchase' when p_partkey%5=3 then 'signup' else 'click' end as actor, concat('s', cast(p_partkey as varchar(9))) as name,
+      case when p_partkey%97=0 then 'not a cron' when p_size%4=0 then concat('*/', cast(5*(1+p_partkey%4) as varchar(9)), ' * * * *') when p_size%4=1 then concat(cast(p_partkey%60 as varchar(9)), ' ', cast(3+p_size%20 as varchar(9)), ' * * *')
+        when p_size%4=2 then concat(cast(p_partkey%60 as varchar(9)), ' ', cast(3+p_size%20 as varchar(9)), ' * * ', cast(p_partkey%7 as varchar(9))) else concat(cast(p_partkey%60 as varchar(9)), ' ', cast(3+p_size%20 as varchar(9)), ' ', cast(1+p_partkey%28 as varchar(9)), ' * *') end as cron_expr,
+      case p_partkey%4 when 0 then 'UTC' when 1 then 'America/New_York' when 2 then 'Europe/Berlin' else 'Asia/Kolkata' end as timezone, case p_partkey%3 when 0 then 'skip' when 1 then 'first' else 'allof' end as dst_strategy, p_partkey%11<>0 as enabled,
+      cast(p_partkey%3 as int) as consecutive_failures, {_T} + (p_partkey%7-4)*interval '30' minute as next_fire_at, case when p_partkey%13=0 then 'tests.payloads:daily' end as payload_factory,
+      case when p_partkey%13<>0 and p_partkey%2=0 then concat('{{"a": ', cast(p_partkey as varchar(9)), '}}') end as payload from part""",
 }
 
 
