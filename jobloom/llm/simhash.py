@@ -5,15 +5,17 @@ Fingerprints link at ``DISTANCE`` or fewer differing bits; documents of linked f
 
 Search: equal fingerprints are first collapsed. The rest are sorted by Gray rank over the whole table and cut into
 ranges of neighbours. A node of the index is a group of neighbours: it holds the bits on which everything below agrees,
-and of these only the ones that its parent lacks. The upper nodes lead to ranges; each range has a tree of its own.
+and of these only the ones that its parent lacks. The upper nodes lead to ``PARTS`` groups in each range; each range has a tree of its own.
 Every fingerprint goes from the root through the upper nodes, adding up its differences, and is sent to those ranges
 only that it can still reach, there down the range's tree, and leaves a group as soon as the differences pass the
 distance. A pair is looked for once, from the range that comes first.
 
 A fingerprint that meets more than ``DENSE`` others in a range is not paired with all of them: these are explored as a
 forest, in which what has been found leaves the index. So links span the same components as all pairs would, and their
-number grows with the rows. The number of ranges follows the number of fingerprints (``RANGE_ROWS`` to each, at least
-``LEAST_RANGES`` ranges); the driver and each task hold one pattern and mask for each range.
+number grows with the rows. The number of ranges follows the number of fingerprints (``RANGE_ROWS`` to each, or up to
+``LEAST_RANGES`` smaller ones); the driver and each task hold ``PARTS`` patterns and masks for each range, 1 KB.
+A fingerprint of eight bytes is sent to the ranges that it can reach, itself and later ones: of a table of 10^4 to one,
+of one of 10^9 at random to some seventy, as 8 bits of a range settle little against a distance of four.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; texts of fewer
 words than a shingle have one shingle; very long texts
@@ -38,9 +40,12 @@ from jobloom.llm.components import components
 WORDS = 4
 DISTANCE = 4
 SEED = 42
-#: Fingerprints of a range of the index, and the least number of ranges.
-RANGE_ROWS = 1 << 18
-LEAST_RANGES = 64
+#: Fingerprints of a full range of the index. A table of fewer than ``LEAST_RANGES`` of these is cut into up to that
+#: many smaller ones, of ``LEAST_ROWS`` or more, so that several tasks search it.
+RANGE_ROWS = 1 << 22
+LEAST_RANGES, LEAST_ROWS = 64, 1 << 14
+#: Upper nodes below a range: groups of its neighbours, whose shared bits say more than the range's.
+PARTS = 64
 #: Children of a node of the index.
 FAN = 4
 #: Groups that a search looks at side by side; beyond it, the queries are halved.
@@ -171,21 +176,25 @@ def _ranked(x: np.ndarray) -> np.ndarray:
     return x[np.argsort(rank)]
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (rank, fp) of neighbouring ranges, sorted, as rows (start, ones, zeros, rows) of one range each."""
+def _ranges(batches: Iterator[pa.RecordBatch], range_rows: int) -> Iterator[pa.RecordBatch]:
+    """Rows (rank, fp) of neighbouring ranges, sorted, as rows (start, ones, zeros, rows) of one range each; ``ones`` and
+    ``zeros`` are the shared bits of its parts."""
 
     def out(ranks: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        both = np.array([np.bitwise_and.reduce(x), np.bitwise_and.reduce(~x)]).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ranks[:1]), pa.array(both[:1]), pa.array(both[1:]), pa.array([x.tobytes()], type=pa.binary())], names=["start", "ones", "zeros", "rows"])
+        cuts = np.arange(0, len(x), -(-len(x) // PARTS))
+        shared = [pa.array([np.bitwise_and.reduceat(y, cuts).tobytes()], type=pa.binary()) for y in (x, ~x)]
+        return pa.RecordBatch.from_arrays([pa.array(ranks[:1]), *shared, pa.array([x.tobytes()], type=pa.binary())], names=["start", "ones", "zeros", "rows"])
 
-    ranks, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    held, size = [], 0
     for batch in batches:
-        ranks, fps = np.concatenate([ranks, batch.column(0).to_numpy()]), np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-        while len(ranks) > RANGE_ROWS:
-            yield out(ranks[:RANGE_ROWS], fps[:RANGE_ROWS])
-            ranks, fps = ranks[RANGE_ROWS:], fps[RANGE_ROWS:]
-    if len(ranks):
-        yield out(ranks, fps)
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
+        size += batch.num_rows
+        while size > range_rows:
+            ranks, fps = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield out(ranks[:range_rows], fps[:range_rows])
+            held, size = [(ranks[range_rows:], fps[range_rows:])], size - range_rows
+    if size:
+        yield out(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,12 +255,15 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame, range_rows: int = RANGE_ROWS, least_ranges: int = LEAST_RANGES) -> DataFrame:
     """Of distinct fingerprints (fp), links (a, b) that span the same components as all pairs within the distance."""
-    ranges = max(least_ranges, distinct.count() // range_rows)
+    n = distinct.count()
+    ranges = max(1, min(least_ranges, n // LEAST_ROWS), n // range_rows)
     dealt = distinct.select(gray_rank(F.col("fp")).alias("rank"), "fp").repartitionByRange(ranges, "rank").sortWithinPartitions("rank")
-    leaves = written(dealt.mapInArrow(_ranges, "start long, ones long, zeros long, rows binary"), "simhash-ranges")
-    # The upper nodes' leaves: three numbers for each range.
-    upper = np.array([tuple(r) for r in leaves.select("start", "ones", "zeros").orderBy("start").collect()], dtype=np.int64).reshape(-1, 3)
-    starts, ones, zeros = upper[:, 0].copy(), upper[:, 1].copy().view(np.uint64), upper[:, 2].copy().view(np.uint64)
+    leaves = written(dealt.mapInArrow(lambda batches: _ranges(batches, range_rows), "start long, ones binary, zeros binary, rows binary"), "simhash-ranges")
+    # The upper nodes' leaves: two numbers for each part of a range, so 1 KB for each range.
+    upper = leaves.select("start", "ones", "zeros").orderBy("start").collect()
+    starts = np.array([r["start"] for r in upper], dtype=np.int64)
+    ones, zeros = (np.frombuffer(b"".join(bytes(r[c]) for r in upper), dtype=np.uint64) for c in ("ones", "zeros"))
+    owner = np.repeat(np.arange(len(upper)), [len(r["ones"]) // 8 for r in upper])
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = GrayIndex(ones, zeros)
@@ -264,11 +276,10 @@ def links(distinct: DataFrame, range_rows: int = RANGE_ROWS, least_ranges: int =
                 x, own = np.frombuffer(data.as_buffer(), dtype=np.uint64), int(np.searchsorted(starts, start))
                 for at in range(0, len(x), SENT_ROWS):
                     some = x[at : at + SENT_ROWS]
-                    who, to = index.near(some, DISTANCE)
-                    later = to >= own
-                    who, to = who[later], to[later]
-                    order = np.argsort(to, kind="stable")
-                    who, to = who[order], to[order]
+                    who, part = index.near(some, DISTANCE)
+                    to = owner[part]
+                    pairs = np.unique(to[to >= own] * SENT_ROWS + who[to >= own])  # a range once, whichever of its parts
+                    to, who = pairs // SENT_ROWS, pairs % SENT_ROWS
                     cuts = np.flatnonzero(np.diff(to)) + 1
                     groups = zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True)
                     met = [(int(starts[to[i]]), 1, some[who[i:j]].tobytes()) for i, j in groups]

@@ -93,6 +93,7 @@ def slow_components(fps):
 @pytest.mark.parametrize("dense, ranges", [(simhash.DENSE, simhash.LEAST_RANGES), (3, 7), (0, 1)])
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, dense, ranges):
     monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 1)  # else so few are one range
     rng = random.Random(7)
     words = ["w%d" % i for i in range(400)]
     base = [" ".join(rng.choice(words) for _ in range(300)) for _ in range(6)]
@@ -162,6 +163,7 @@ def test_forest_spans_what_all_links_span(n):
 def test_links_of_a_skewed_cluster(spark, monkeypatch, range_rows):
     """A third of all fingerprints in one cluster, the rest far apart: all components, and far fewer links than pairs."""
     monkeypatch.setattr(simhash, "DENSE", 8)
+    monkeypatch.setattr(simhash, "LEAST_ROWS", 1)
     rng = np.random.default_rng(3)
     bits = np.uint64(1) << rng.integers(0, 64, (1000, 2)).astype(np.uint64)
     x = np.unique(np.concatenate([np.uint64(0x123456789ABCDEF0) ^ bits[:, 0] ^ bits[:, 1], rng.integers(0, 1 << 63, 2000, dtype=np.uint64)]))
@@ -194,6 +196,33 @@ def test_upper_nodes_prune_ranges(spark):
     assert all(np.bitwise_count(cuts[j] ^ x[::100][i]).min() > 4 for i in range(3) for j in set(range(1024)) - set(at[who == i].tolist()))
 
 
+@pytest.mark.parametrize("least_rows,most", [(1 << 14, 1.0), (145, 4.0)])
+def test_copies_of_the_corpus(spark, monkeypatch, least_rows, most):
+    """How often a fingerprint of the corpus is sent: once at scale 0.1, and seldom where ranges are far too small."""
+    monkeypatch.setattr(simhash, "LEAST_ROWS", least_rows)
+    sizes = []
+    write = simhash.written
+
+    def watched(df, label):
+        out = write(df, label)
+        sizes.append((label, out))
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    fps = simhash.with_fingerprints(docs).select("fp").distinct()
+    simhash.links(fps).count()
+    rows = sizes[-1][1].select("start", "ones", "zeros", "rows").orderBy("start").collect()
+    ranges = [np.frombuffer(bytes(r["rows"]), dtype=np.uint64) for r in rows]
+    index = simhash.GrayIndex(*(np.frombuffer(b"".join(bytes(r[c]) for r in rows), dtype=np.uint64) for c in ("ones", "zeros")))
+    owner = np.repeat(np.arange(len(rows)), [len(r["ones"]) // 8 for r in rows])
+    sent = 0
+    for k, x in enumerate(ranges):
+        who, part = index.near(x, simhash.DISTANCE)
+        sent += len({(w, o) for w, o in zip(who.tolist(), owner[part].tolist(), strict=True) if o >= k})
+    assert sent / sum(map(len, ranges)) <= most and sum(map(len, ranges)) > 9000
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
