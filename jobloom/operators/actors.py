@@ -189,6 +189,19 @@ def hooked(outcomes: DataFrame, hooks: dict[str, Callable[[int, str], None]], se
     return outcomes.mapInPandas(go, "id long, outcome string, hook string")
 
 
+def told(dead: DataFrame, hooks: dict[str, Callable[[int, str], None]], reporter: Callable[[int, str], None] | None = None, seconds: float = 5.0) -> DataFrame:
+    """(job_id, hook, report) of jobs that won't run again (job_id, actor, cause, ...): the actor's hook is called with the
+    cause, then the reporter, each for at most ``seconds``. What they raise is noted, and neither keeps the other from
+    being called; null where there is none."""
+
+    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = [(j, _called(hooks[a], int(j), c, seconds) if a in hooks else None, _called(reporter, int(j), c, seconds) if reporter else None) for j, a, c in zip(rows["job_id"], rows["actor"], rows["cause"], strict=True)]
+            yield pd.DataFrame(out, columns=["job_id", "hook", "report"])
+
+    return dead.select("job_id", "actor", "cause").mapInPandas(go, "job_id long, hook string, report string")
+
+
 class _Clock:
     """Waiting jobs of one queue, and when each place is free."""
 

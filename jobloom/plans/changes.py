@@ -110,13 +110,17 @@ query("joi19_batch_rows_in_order", f"select ordinal, outcome from ({_BATCH}) ord
 
 @query("dml5_bulk_load", f"select count(*) as loaded from ({_REQUESTS})")
 def dml5(t: Tables) -> DataFrame:
-    rows = enqueue.bulk_load(t.jobs, _requests(t).withColumn("idempotency_key", F.concat(F.lit("bulk"), F.col("ordinal").cast("string"))))
+    rows = enqueue.job_rows(enqueue.bulk_load(t.jobs, _requests(t).withColumn("idempotency_key", F.concat(F.lit("bulk"), F.col("ordinal").cast("string")))), t.actor_config, NOW)
     path = shared_path(t, "bulk")
     rows.write.parquet(path)
     return t.spark.read.schema(rows.schema).parquet(path).agg(F.count("*").alias("loaded"))
 
 
-query("snk3_bulk_rows", f"select ordinal, actor from ({_REQUESTS})")(lambda t: _written(t, _requests(t).select("ordinal", "actor")))
+_SURROGATE = "substr(lpad(lower(to_hex(epoch_ms(NOW))), 12, '0'), 1, 8) || '-' || substr(lpad(lower(to_hex(epoch_ms(NOW))), 12, '0'), 9) || '-7000-8' || substr(lpad(lower(to_hex(ordinal)), 16, '0'), 2, 3) || '-' || substr(lpad(lower(to_hex(ordinal)), 16, '0'), 5)"
+_ROWS = f"""select {_SURROGATE} as id, ordinal, r.actor, coalesce(c.queue, 'default') as queue, identity_key, idempotency_key, cast(null as varchar) as fairness_key, 0 as priority, case when coalesce(scheduled_at, NOW) > NOW then 'scheduled' else 'pending' end as status, 0 as attempt,
+  coalesce(c.max_attempts, 3) as max_attempts, 'transient' as retry_kind, NOW as created_at, coalesce(scheduled_at, NOW) as scheduled_at, cast(null as timestamp) as started_at, cast(null as timestamp) as finished_at, cast(null as timestamp) as schedule_to_close, cast(null as timestamp) as lock_expires_at,
+  '{{}}' as payload, metadata, cast(null as bigint) as locked_by_worker, 0 as cancel_phase, cast(null as varchar) as result from ({_REQUESTS}) r left join actor_config c on r.actor = c.actor"""
+query("snk3_bulk_rows", _ROWS)(lambda t: _written(t, enqueue.job_rows(_requests(t), t.actor_config, NOW)))
 
 
 def _written(t: Tables, rows: DataFrame) -> DataFrame:
@@ -170,7 +174,7 @@ query("dml22_heartbeat", "select id, NOW + interval '60' second as lock_expires_
 query("dml22_heartbeat_worker", "select id, NOW as last_seen_at from workers where id = 7")(lambda t: transitions.heartbeat(t.jobs, t.workers, 7, NOW, 60)[0].select("id", "last_seen_at"))
 _moved("dml23_isolate", f"select id, case when {_AGAIN} then 'pending' else 'crashed' end as status, 'HeartbeatLost' as error_class from jobs where status = 'running' and locked_by_worker = 7", lambda t: transitions.isolate(t.jobs, NOW, 7), "status", "error_class")
 query("dml24_stale_workers", "select id from workers where last_seen_at < NOW - interval '60' second")(lambda t: lifecycle.stale_workers(t.workers, NOW).select("id"))
-_moved("dml33_drain", "select id, 'pending' as status from jobs where status = 'running' and locked_by_worker = 7 and started_at is null", lambda t: transitions.drain(t.jobs, NOW, 7), "status")
+_moved("dml33_drain", "select id, 'pending' as status from jobs where status = 'running' and locked_by_worker % 7 = 0 and id % 3 = 0", lambda t: transitions.drain(t.jobs.withColumn("started_at", F.when(F.col("id") % 3 != 0, F.col("started_at"))).withColumn("locked_by_worker", F.col("locked_by_worker") % 7), NOW, 0), "status")
 _moved("dml32_unknown_actor", "select id, 'scheduled' as status from jobs where status = 'running' and actor = 'error' and (schedule_to_close is null or NOW + interval '10' second <= schedule_to_close) union all select id, 'failed' from jobs where status = 'running' and actor = 'error' and NOW + interval '10' second > schedule_to_close", lambda t: transitions.snooze(t.jobs.filter("actor = 'error'"), NOW, 10), "status")
 query("snk4_reclaim_attempts", f"select id as job_id, attempt, 'crashed' as outcome, 'WorkerCrashed' as error_class from jobs where {_EXPIRED}")(lambda t: transitions.reclaim(t.jobs, NOW).attempts.select("job_id", "attempt", "outcome", "error_class"))
 query("snk5_reclaim_events", f"""select id as job_id, '{{"from":"running","to":"' || case when {_AGAIN} then 'pending' else 'crashed' end || '","reason":"lock_expired"}}' as detail from jobs where {_EXPIRED}""")(lambda t: transitions.reclaim(t.jobs, NOW).events.select("job_id", "detail"))
@@ -247,7 +251,7 @@ query("dml27_acquire_slot", _GRANTS + "select f.bucket_name, f.slot_index, w.job
 query("dml27_acquire_outcomes", _GRANTS + "select w.bucket_name, w.ordinal, f.slot_index from w left join f on w.bucket_name = f.bucket_name and w.turn = f.turn")(lambda t: _acquired(t)[1])
 _GIVES = "select n_regionkey as bucket_name, 1 as slot_index, n_nationkey % 4 as worker_id from nation"
 query("dml27_release_slot", f"select bucket_name, slot_index, cast(null as bigint) as job_id, cast(null as bigint) as held_by_worker_id from reservation_slots s where exists (select 1 from ({_GIVES}) g where g.bucket_name = s.bucket_name and g.slot_index = s.slot_index and g.worker_id = s.held_by_worker_id)")(lambda t: lifecycle.release_held(t.reservation_slots, t.sql(_GIVES)).select("bucket_name", "slot_index", F.col("job_id").cast("long").alias("job_id"), "held_by_worker_id"))
-query("dml27_renew_slot", "select bucket_name, slot_index, NOW + interval '45' second as lease_expires_at from reservation_slots where held_by_worker_id = 2 and job_id in (select id from jobs where status = 'running')")(lambda t: lifecycle.renew_slots(t.reservation_slots, t.jobs, 2, NOW, 45).select("bucket_name", "slot_index", "lease_expires_at"))
+query("dml27_renew_slot", "select bucket_name, slot_index, NOW + interval '45' second as lease_expires_at from reservation_slots where held_by_worker_id = 2 and job_id in (select id from jobs where status in ('pending', 'scheduled', 'running', 'succeeded'))")(lambda t: lifecycle.renew_slots(t.reservation_slots, t.jobs.withColumn("status", F.when(F.col("status").isin("pending", "scheduled", "running", "succeeded"), "running")), 2, NOW, 45).select("bucket_name", "slot_index", "lease_expires_at"))
 _NEWCONF = "select 'click' as actor, 60 as max_concurrent, 20000 as max_pending union all select 'error', 5, null"
 
 

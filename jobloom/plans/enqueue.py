@@ -86,6 +86,19 @@ def bulk_load(jobs: DataFrame, requests: DataFrame) -> DataFrame:
     return requests
 
 
+def job_rows(requests: DataFrame, actor_config: DataFrame, now) -> DataFrame:
+    """Whole rows of new jobs from requests (ordinal, actor, identity_key, idempotency_key, scheduled_at, metadata): queue and
+    attempts come from the actor's configuration, or are ``default`` and three."""
+    rows = requests.join(actor_config.select("actor", "queue", "max_attempts"), "actor", "left")
+    at, none = moment(now), lambda t: F.lit(None).cast(t)
+    return rows.select(
+        *[ids_from(now, F.col("ordinal")).alias("id"), "ordinal", "actor", F.coalesce("queue", F.lit("default")).alias("queue"), "identity_key", "idempotency_key", none("string").alias("fairness_key"), F.lit(0).alias("priority")],
+        *[initial_status(F.col("scheduled_at"), now).alias("status"), F.lit(0).alias("attempt"), F.coalesce("max_attempts", F.lit(3)).alias("max_attempts"), F.lit("transient").alias("retry_kind"), at.alias("created_at"), F.coalesce(F.col("scheduled_at").cast("timestamp_ntz"), at).alias("scheduled_at")],
+        *[none("timestamp_ntz").alias(c) for c in ("started_at", "finished_at", "schedule_to_close", "lock_expires_at")],
+        *[F.lit("{}").alias("payload"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), none("long").alias("locked_by_worker"), F.lit(0).alias("cancel_phase"), none("string").alias("result")],
+    )
+
+
 def deadline(base: Column, relative: float | None, scheduled_at: Column | None = None) -> Column:
     """Relative deadlines count from now for a single request, from the scheduled time for a batch."""
     return (base if scheduled_at is None else scheduled_at) + seconds(relative) if relative is not None else F.lit(None).cast("timestamp_ntz")

@@ -418,14 +418,15 @@ _count("agg7_queue_depth", "select queue, count(*) as depth from jobs where stat
 _count("agg8_slots_used", "select bucket_name, count(*) as used from reservation_slots where job_id is not null group by bucket_name", lambda t: t.reservation_slots.filter("job_id is not null").groupBy("bucket_name").agg(F.count("*").alias("used")))
 _count("agg9_reservations", "select bucket_name, count(job_id) as held, count(*) - count(job_id) as free, count(*) as total from reservation_slots group by bucket_name", lambda t: t.reservation_slots.groupBy("bucket_name").agg(F.count("job_id").alias("held"), (F.count("*") - F.count("job_id")).alias("free"), F.count("*").alias("total")))
 _count("agg10_reservation_peek", "select count(*) filter (where job_id is null or lease_expires_at < NOW) as free, count(*) filter (where job_id is not null and lease_expires_at >= NOW) as held, count(*) as total from reservation_slots where bucket_name = 2", lambda t: t.reservation_slots.filter("bucket_name = 2").agg(F.count_if(F.col("job_id").isNull() | (F.col("lease_expires_at") < C.moment(NOW))).alias("free"), F.count_if(F.col("job_id").isNotNull() & (F.col("lease_expires_at") >= C.moment(NOW))).alias("held"), F.count("*").alias("total")))
-_BOTH = "select id, status, finished_at, created_at from jobs where actor = 'click' union all select id, status, finished_at, created_at from jobs_archive"
+_BOTH = "select id, status, finished_at, created_at from jobs where actor in ('click', '1-URGENT') union all select id, status, finished_at, created_at from jobs_archive where actor in ('click', '1-URGENT')"
 _SUM = f"select status, count(*) as n from (select status from ({_BOTH}) order by created_at desc, id, finished_at nulls first, status limit 1001) group by status"
 
 
 def _summary(t: Tables) -> DataFrame:
     """The cap is the feature: a page counts 1,001 rows at most, here the latest ones."""
     columns = ["id", "status", "finished_at", "created_at"]
-    both = t.jobs.filter("actor = 'click'").select(*columns).unionByName(t.jobs_archive.select("id", "status", "finished_at", F.col("created_at").cast("timestamp_ntz").alias("created_at")))
+    own = F.col("actor").isin("click", "1-URGENT")
+    both = t.jobs.filter(own).select(*columns).unionByName(t.jobs_archive.filter(own).select("id", "status", "finished_at", F.col("created_at").cast("timestamp_ntz").alias("created_at")))
     return both.orderBy(F.desc("created_at"), "id", F.asc_nulls_first("finished_at"), "status").limit(1001).groupBy("status").agg(F.count("*").alias("n"))
 
 

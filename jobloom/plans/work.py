@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import columns as C
 from jobloom.operators import actors, composition, metrics, ratelimit
-from jobloom.plans import outcomes, transitions
+from jobloom.plans import counts, outcomes, transitions
 from jobloom.plans.reads import META
 from jobloom.plans.registry import query
-from jobloom.sources import event_log
+from jobloom.sources import event_log, layout
 from jobloom.sources.fixtures import NOW, Tables
 from jobloom.sources.shared import new_folder
 from jobloom.streaming import progress, streams, timers
@@ -286,3 +286,47 @@ def agg18(t: Tables) -> DataFrame:
     live = metrics.histogram(t.jobs.filter("finished_at is not null"), "attempt.duration", ["actor"], C.whole_ms(F.col("started_at"), F.col("finished_at")))
     old = t.jobs_archive.select("id", "actor").join(t.job_attempts_archive.select(F.col("job_id").alias("id"), "duration_ms"), "id")
     return metrics.merged(live, metrics.histogram(old, "attempt.duration", ["actor"], F.col("duration_ms"))).select("labels", "scale", "bucket", "n", "least", "most")
+
+
+# Hooks, counts, lookups
+
+
+def _sulks(job: int, cause: str) -> None:
+    raise PermissionError(cause)
+
+
+def _fussy(job: int, cause: str) -> None:
+    if cause == "Rejected":
+        raise ConnectionError(cause)
+
+
+query("udf10_reported", _ENDED + """select id as job_id, case when actor = 'purchase' then 'PermissionError' when actor = 'click' then 'called' end as hook, case when branch = 'failed' then 'ConnectionError' else 'called' end as report
+  from b where branch in ('deadline_failed', 'max_attempts_failed', 'retries_failed', 'failed')""")(lambda t: actors.told(_applied(t).exhausted, {"click": lambda job, cause: None, "purchase": _sulks}, _fussy))
+
+_STATE3 = """with a as (select *, case when status = 'scheduled' and scheduled_at <= NOW then 'pending' else status end as s1 from jobs),
+  b as (select *, case when s1 = 'running' and lock_expires_at < NOW and (cancel_phase = 0 or lock_expires_at < NOW - interval '100' second) then case when attempt < max_attempts and retry_kind <> 'non_retryable' then 'pending' else 'crashed' end else s1 end as s2 from a),
+  c as (select *, case when s2 in ('pending', 'scheduled') and schedule_to_close < NOW then 'failed' else s2 end as s3 from b) """
+
+
+def _kept(t: Tables) -> DataFrame:
+    """Counts after three sweeps, from those before and what the sweeps changed."""
+    jobs, deltas = t.jobs, []
+    for sweep in (transitions.promote, transitions.reclaim, transitions.expire_deadlines):
+        found = sweep(jobs, NOW)
+        deltas.append(counts.changes(found))
+        jobs = found.apply(jobs)
+    return counts.kept(counts.counted(t.jobs), *deltas)
+
+
+query("agg7_kept_counts", _STATE3 + "select actor, queue, s3 as status, count(*) as n from c group by actor, queue, s3")(lambda t: _kept(t))
+query("agg3_kept_waiting", _STATE3 + "select actor, count(*) as n from c where s3 in ('pending', 'scheduled') group by actor")(lambda t: counts.waiting(_kept(t)))
+
+
+@query("src3_laid_out", "select id, idempotency_key, status from jobs where idempotency_key in ('k2', 'k10', 'k11', 'k400') union all select id, idempotency_key, status from jobs where id in (7, 77, 777)")
+def src3(t: Tables) -> DataFrame:
+    """Lookups in a table that was laid out for them: two by key, three by id."""
+    path = new_folder(t.spark, "laid-out")
+    layout.lay_out(t.jobs.select("id", "idempotency_key", "status", "actor", "created_at"), path, keys=["idempotency_key"])
+    keys = layout.by_key(t.spark, path, "idempotency_key", ["k2", "k10", "k11", "k400", None])
+    ids = layout.by_ids(t.spark, path, [7, 77, 777, 7, None])
+    return keys.unionByName(ids).select("id", "idempotency_key", "status")
