@@ -14,7 +14,7 @@ A fingerprint that meets more than ``DENSE`` others in a range is not paired wit
 forest, in which what has been found leaves the index. So links span the same components as all pairs would, and their
 number grows with the rows. The number of ranges follows the number of fingerprints (``RANGE_ROWS`` to each, or up to
 ``LEAST_RANGES`` smaller ones); the driver and each task hold ``PARTS`` patterns and masks for each range, 1 KB.
-A fingerprint of eight bytes is sent to the ranges that it can reach, itself and later ones: of a table of 10^4 to one,
+A fingerprint of eight bytes is sent to the ranges that it can reach, itself and later ones: of a table of 10^4 to one or two,
 of one of 10^9 at random to some seventy, as 8 bits of a range settle little against a distance of four.
 
 Cases: null text counts as empty; a text without words has fingerprint zero and links like any other; texts of fewer
@@ -43,13 +43,13 @@ SEED = 42
 #: Fingerprints of a full range of the index. A table of fewer than ``LEAST_RANGES`` of these is cut into up to that
 #: many smaller ones, of ``LEAST_ROWS`` or more, so that several tasks search it.
 RANGE_ROWS = 1 << 22
-LEAST_RANGES, LEAST_ROWS = 64, 1 << 14
+LEAST_RANGES, LEAST_ROWS = 64, 1 << 12
 #: Upper nodes below a range: groups of its neighbours, whose shared bits say more than the range's.
 PARTS = 64
 #: Children of a node of the index.
 FAN = 4
 #: Groups that a search looks at side by side; beyond it, the queries are halved.
-FRONTIER = 1 << 20
+FRONTIER = 1 << 19
 #: Fingerprints that are sent in one row.
 SENT_ROWS = 1024
 #: Neighbours in one range from which a fingerprint's links are explored as a forest, and how many such wait.

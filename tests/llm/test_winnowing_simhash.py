@@ -196,9 +196,9 @@ def test_upper_nodes_prune_ranges(spark):
     assert all(np.bitwise_count(cuts[j] ^ x[::100][i]).min() > 4 for i in range(3) for j in set(range(1024)) - set(at[who == i].tolist()))
 
 
-@pytest.mark.parametrize("least_rows,most", [(1 << 14, 1.0), (145, 4.0)])
+@pytest.mark.parametrize("least_rows,most", [(simhash.LEAST_ROWS, 1.5), (145, 4.0)])
 def test_copies_of_the_corpus(spark, monkeypatch, least_rows, most):
-    """How often a fingerprint of the corpus is sent: once at scale 0.1, and seldom where ranges are far too small."""
+    """How often a fingerprint of the corpus is sent: about once at scale 0.1, and seldom where ranges are far too small."""
     monkeypatch.setattr(simhash, "LEAST_ROWS", least_rows)
     sizes = []
     write = simhash.written
