@@ -13,7 +13,7 @@ more (those whose hashed id comes first). They shape the order and the balance o
 whole.
 
 Cases: null text counts as empty, and an empty text is one token, the closing id; rows that are equal in key, id and
-text stand in any order; longer documents are cut over as many sequences as they need. Extra columns are ignored.
+text stand in any order; longer documents are cut over as many sequences as they need; an empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -103,7 +103,8 @@ def histogram(docs: DataFrame, name: str = VOCABULARY) -> DataFrame:
     Documents are counted by length before the shuffle, so a hot length is one row per task. Sums run within blocks
     of ``BLOCK`` lengths and over the blocks' totals.
 
-    Cases: null text counts as empty (0 tokens); repeated rows count each time; an empty table gives no rows.
+    Cases: null text counts as empty (0 tokens); very long texts are encoded whole, a piece at a time; repeated rows
+    count each time; an empty table gives no rows. Extra columns are ignored, whatever their names.
     """
     # Counts are few; they are written so that the texts are encoded once for the three uses below.
     counts = written(lengths(docs, name).groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "histogram")

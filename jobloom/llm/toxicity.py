@@ -17,7 +17,7 @@ Scoring reads words only: labels, language, source and id are no inputs.
 
 Cases: null and empty texts score as a text without features; very long texts are read whole; null labels and labels
 without a document are left out; of several labels for one id or of equal texts the highest counts; without labels of
-both kinds every score is 0. Repeated rows keep one result each; an empty table gives no rows. Extra columns are ignored,
+both kinds every score is 0. A score of exactly 0.5 counts as toxic. Repeated rows keep one result each; an empty table gives no rows. Extra columns are ignored,
 whatever their names (``without_toxic`` keeps them).
 """
 

@@ -17,7 +17,7 @@ which is a table in the shared folder.
 Cases: null html is an empty payload; control characters in urls are percent-coded; repeated rows of the smallest
 page_id are responses each; rows without page_id revisit the smallest page_id of their payload, or are responses if
 there is none. Extra columns are ignored. Records of any type are read; one without an HTTP block is its block, one without
-a stated SHA-256 has none to be held against.
+a stated SHA-256 has none to be held against. Very long payloads are read and written in chunks; an empty table gives no records.
 """
 
 from __future__ import annotations

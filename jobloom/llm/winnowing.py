@@ -6,7 +6,8 @@ points that two texts share yields a hash that both have.
 
 Cases: null text counts as empty; an empty text has an empty fingerprint; a text shorter than ``K`` has one hash,
 that of the whole text at position 0; a text with fewer than ``WINDOW`` hashes is one window. Two empty
-fingerprints are alike (1.0), an empty and a non-empty one are not (0.0). Extra columns are ignored.
+fingerprints are alike (1.0), an empty and a non-empty one are not (0.0). Very long texts are fingerprinted whole;
+repeated rows are answered each; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
