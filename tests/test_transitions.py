@@ -144,7 +144,7 @@ def test_tick_counts_failures_and_switches_off(spark):
     assert got == {
         1: (True, 1, "RuntimeError: no payload", NOW),
         2: (False, 5, "RuntimeError: no payload", NOW),
-        3: (True, 2, "Actor 'z' not found in actor_config", NOW),
+        3: (True, 2, "actor z has no configuration", NOW),
         4: (True, 0, None, "2024-01-20 00:01:00"),
     }
     assert [(j.schedule_id, j.queue, j.payload, j.max_attempts) for j in found.jobs.collect()] == [(4, "q", "{}", 3)]
