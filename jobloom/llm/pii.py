@@ -2,11 +2,13 @@
 
 The field labels whole segments of white-space separated chunks: a segment of up to ``MOST_CHUNKS`` chunks is an
 e-mail address, an IP address, a payment card, a phone number or other text (one chunk). Features look at the whole
-span: shape, digit count, checksum, octets, separators and the word before it. Decoding is a dynamic program over
+span: shape, digit count, checksum, octets, separators, the word before it and numbers beside it. Phone numbers have the
+shapes of five countries; those that any column of numbers shows as well (``NXX NXX XXXX``) count only after a word that
+announces a phone, and none does after a word that announces a count or beside further numbers. Decoding is a dynamic program over
 segment ends and types, bounded by ``MOST_CHUNKS``, so boundaries and types are chosen jointly. Only runs of chunks
 with a digit, an ``@`` or a bracketed ``at``, and in a run with such an ``at`` of a bracketed ``dot`` and what stands
 after either, are candidates; each run is decoded whole and by itself, however long it or its chunks are. A domain with
-a blank beside a bare dot ends there, and an address of more than ``MOST_CHUNKS`` chunks (two spaced dots) is found only
+a blank beside a bare dot ends there, and an address of more than ``MOST_CHUNKS`` chunks (three spaced dots) is found only
 in part.
 
 Weights maximise the penalised likelihood of ``SENTENCES`` labelled sentences made from a seed; nothing of the
@@ -34,9 +36,9 @@ from jobloom.llm.base import slices, table, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
-MOST_CHUNKS = 5
-SENTENCES = 360
-EPOCHS = 25
+MOST_CHUNKS = 7
+SENTENCES = 900
+EPOCHS = 40
 
 # Fixed patterns. A start inside a run of digits can't match where the run's first digit didn't.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -88,20 +90,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # The field's features of a whole span.
 _SHAPE_EMAIL = re.compile(r"[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_SHAPE_HIDDEN = re.compile(r"[\w.%+-]+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]+)+")
+_SHAPE_HIDDEN = re.compile(r"[\w.%+-]+ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(] ?dot ?[\])] ?)[A-Za-z0-9-]+)+")
 _SHAPE_IP = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
-_SHAPE_PHONE = re.compile(r"(?:[0-9]{1,3}[ .-])?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}")
+# Phone numbers: with a bracketed area code, as a country writes it, and as it may also be a list of numbers.
+_SHAPE_AREA = re.compile(r"(?:[+]?[0-9]{1,3}[ .-])?\([0-9]{2,5}\) ?[0-9]{3,4}[ .-][0-9]{3,4}")
+_SHAPE_US = re.compile(r"(?:[+]?[0-9]{1,2}[ .-])?[2-9][0-9]{2}([.-])[2-9][0-9]{2}\1[0-9]{4}")
+_SHAPE_TRUNK = re.compile(
+    r"0[1-9](?:[ .][0-9]{2}){4}|02[0-9] [0-9]{4} [0-9]{4}|01[0-9]{2} [0-9]{3} [0-9]{4}|0[17][0-9]{3} [0-9]{6}|0[1-9][0-9]{1,3}[ /-][0-9]{6,8}"
+)
+_SHAPE_LOOSE = re.compile(r"(?:[0-9]{1,2} )?[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}|[69][0-9]{2}(?: [0-9]{2}){3}|[69][0-9]{2} [0-9]{3} [0-9]{3}")
+_SHAPE_334 = re.compile(r"[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}")
 _SHAPE_CARD = re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){2}[ .-]?[0-9]{1,7}")
 _TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|AT) ?[\])]")
 _SPACE, _WORD = re.compile(r"\s"), re.compile(r"\S")
 _MARK = re.compile(r"[\[(] ?(?:(at|AT)|dot) ?[\])]")
 _ENDS = " \t\n\r\x0b\x0c.,;:!?\"'|*#$%&<>{}=~`"
-CUES = {"phone": 0, "tel": 0, "call": 0, "mobile": 0, "fax": 0, "card": 1, "visa": 1, "credit": 1, "email": 2, "mail": 2, "contact": 2, "e-mail": 2, "ip": 3, "host": 3, "server": 3, "address": 3}
-FEATURES = 24
-
-
-def features(span: str, before: str, chunks: int) -> np.ndarray:
-    """Of a span and the word before it."""
+_NUMBER = re.compile(r"[0-9]+")
+# Words that announce a kind, and words that announce a count or a label.
+_CUE_WORDS = (
+    "phone tel call mobile fax dial ring telephone cell telefon anruf handy rufnummer mobil téléphone tél appelez portable teléfono llame móvil",
+    "card visa credit mastercard karte carte tarjeta",
+    "email mail contact e-mail write correo courriel",
+    "ip host server address gateway",
+    "order orders table size sizes id ids row rows item items total invoice part parts serial model lot ref code count counts sum page pages section isbn sku values years scores batch ticket case",
+)
+CUES = {word: kind for kind, line in enumerate(_CUE_WORDS) for word in line.split()}
+COUNT = len(_CUE_WORDS) - 1
+FEATURES = 33
+
+
+def features(span: str, before: str, chunks: int, beside: bool = False) -> np.ndarray:
+    """Of a span, the word before it, and whether a bare number stands right beside it."""
     f = np.zeros(FEATURES)
     f[0] = 1
     digits = "".join(_DIGITS.findall(span)) if span.isascii() else "".join(c for c in span if "0" <= c <= "9")
@@ -115,7 +134,11 @@ def features(span: str, before: str, chunks: int) -> np.ndarray:
         f[5 if luhn(digits) else 6] = 1
     if span.startswith("+") and 9 <= n <= 15:
         f[7] = 1
-    f[8] = _SHAPE_PHONE.fullmatch(span) is not None
+    if 8 <= n <= 14:
+        f[8] = _SHAPE_AREA.fullmatch(span) is not None
+        f[24] = _SHAPE_US.fullmatch(span) is not None
+        f[25] = _SHAPE_TRUNK.fullmatch(span) is not None
+        f[26] = _SHAPE_LOOSE.fullmatch(span) is not None
     f[9] = n < 7
     f[10] = any(c.isalpha() for c in span)
     f[11] = span.isdigit()
@@ -124,12 +147,18 @@ def features(span: str, before: str, chunks: int) -> np.ndarray:
     cue = CUES.get(before.strip(_ENDS).lower())
     if cue is not None:
         f[14 + cue] = 1
-    f[18] = chunks > 1
-    f[19] = chunks > 3
-    f[20] = "@" in span
-    f[21] = span.count("(") != span.count(")")
-    f[22] = shaped or f[8] or f[3] or f[1] or f[2]
-    f[23] = span[:1] in _ENDS or span[-1:] in _ENDS
+    f[19] = chunks > 1
+    f[20] = chunks > 3
+    f[21] = "@" in span
+    f[22] = span.count("(") != span.count(")")
+    phone = f[8] or f[24] or f[25] or f[26]
+    f[23] = shaped or phone or f[3] or f[1] or f[2]
+    f[27] = span[:1] in _ENDS or span[-1:] in _ENDS
+    f[28] = f[26] and cue == 0
+    f[29] = phone and not f[8] and cue == COUNT
+    f[30] = phone and not f[8] and chunks > 1 and beside
+    f[31] = not phone and _SHAPE_334.fullmatch(span) is not None
+    f[32] = f[31] and cue == 0
     return f
 
 
@@ -150,11 +179,13 @@ def _segments(text: str, chunks: list[tuple[int, int]], before: str) -> tuple[li
     where, rows = [], []
     for i in range(len(chunks)):
         prior = text[slice(*chunks[i - 1])] if i else before
+        number_before = _NUMBER.fullmatch(prior) is not None
         for j in range(i + 1, min(len(chunks), i + MOST_CHUNKS) + 1):
             start, stop = _trimmed(text, chunks[i][0], chunks[j - 1][1])
             if stop > start or j == i + 1:
+                number_after = j < len(chunks) and stop == chunks[j - 1][1] and "0" <= text[chunks[j][0]] <= "9"
                 where.append((i, j, start, stop))
-                rows.append(features(text[start:stop], prior, j - i))
+                rows.append(features(text[start:stop], prior, j - i, number_before or number_after))
     return where, np.array(rows)
 
 
@@ -199,6 +230,13 @@ def decoded(where: list, rows: np.ndarray, n: int, weights: np.ndarray, follow:
     return out[::-1]
 
 
+# How five countries write phone numbers (#: any digit, Z: 1 to 9, N: 2 to 9); loose ones need a cue.
+AREA_SHAPES = "(N##) N##-####|(###) ###-####|(0Z##) ###-####|(0Z#) ####-####|(###) ### ####"
+PHONE_SHAPES = "N##-N##-####|N##.N##.####|1-N##-N##-####|020 #### ####|01## ### ####|01### ######|07### ######|0Z# #######|0Z#/#######|0Z##-######|0Z## ########|0Z ## ## ## ##|0Z.##.##.##.##"
+LOOSE_SHAPES = "N## N## ####|6## ### ###|9## ## ## ##|9## ### ###"
+LOOSE = OTHER + 1
+
+
 def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     """A labelled sentence: text and (start, stop, kind)."""
     word = lambda: "".join(rng.choice("aeioulmnrst") for _ in range(rng.randrange(2, 9)))
@@ -211,33 +249,40 @@ def _made(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
         sep = rng.choice(["", " ", "-"] if not valid else ["", " ", "-", "."])
         return sep.join(number[i : i + 4] for i in range(0, 16, 4))
 
-    def phone() -> str:
-        sep = rng.choice([" ", "-", "."])
-        body = rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}{sep}{digits(3)}{sep}{digits(4)}"])
-        return rng.choice(["", "", "+1 ", "+49 ", "1-"]) + body
+    def phone(shapes: str) -> str:
+        shape = rng.choice(shapes.split("|"))
+        return "".join(digits(1) if c == "#" else str(rng.randrange(2, 10)) if c == "N" else str(rng.randrange(1, 10)) if c == "Z" else c for c in shape)
 
     ip = lambda top: ".".join(str(rng.randrange(256, 999) if k == top else rng.randrange(256)) for k in range(4))
     host = lambda: f"{word()}.{rng.choice(['com', 'org', 'net'])}"
-    spaced = lambda: f"{word()} {rng.choice(['(dot)', '[dot]'])} {rng.choice(['com', 'org', 'net'])}"
+    dot = lambda: rng.choice([" (dot) ", " [dot] "])
+    spaced = lambda: word() + (dot() + word()) * rng.randrange(2) + dot() + rng.choice(["com", "org", "net"])
     entity = [
         (0, lambda: f"{word()}.{digits(2)}@{host()}"),
         (0, lambda: f"{word()} {rng.choice(['(at)', '[at]'])} {rng.choice([host, spaced])()}"),
         (1, lambda: ip(-1)),
         (2, lambda: card(True)),
-        (3, phone),
-        (3, phone),
+        (3, lambda: rng.choice(["", "", "+1 ", "+49 ", "1-"]) + phone(AREA_SHAPES)),
+        (3, lambda: phone(PHONE_SHAPES)),
+        (3, lambda: phone(PHONE_SHAPES)),
+        (LOOSE, lambda: phone(LOOSE_SHAPES)),
     ]
+    count = lambda: rng.choice(_CUE_WORDS[COUNT].split())
     decoy = [
         lambda: digits(rng.randrange(1, 6)), lambda: f"20{digits(2)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}", lambda: card(False), lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: ip(rng.randrange(4)),
         lambda: digits(rng.randrange(7, 22)), lambda: f"{word()}{digits(3)}", lambda: f"@{word()}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"${digits(3)},{digits(3)}.{digits(2)}", lambda: f"{digits(4)} {digits(4)}", lambda: f"{digits(5)}-{digits(4)}-{digits(2)}",
         lambda: " ".join([rng.choice("abxyzq") + digits(1)] * rng.randrange(2, 9)), lambda: " ".join(word()[:2] + digits(rng.randrange(1, 3)) for _ in range(rng.randrange(2, 9))), lambda: " ".join(digits(rng.randrange(1, 4)) for _ in range(rng.randrange(2, 9))),
         lambda: f"v{digits(1)}.{digits(1)}.{digits(2)}", lambda: f"({digits(1)}) ({digits(1)})", lambda: f"{digits(2)}% {digits(2)}%", lambda: f"20{digits(2)} 20{digits(2)} 20{digits(2)}", lambda: f"{digits(2)}/{digits(2)}/20{digits(2)} {digits(2)}:{digits(2)}", lambda: f"{word()}@{word()}",
+        lambda: f"{count()} {phone(LOOSE_SHAPES)}", lambda: f"{count()} {phone(PHONE_SHAPES)}", lambda: f"{count()} {phone('###-###-####|### ### ####|###.###.####')}", lambda: phone("0##-###-####|1## ### ####|0## ### ####"),
+        lambda: phone(LOOSE_SHAPES), lambda: f"{phone(LOOSE_SHAPES)} {phone(LOOSE_SHAPES)}", lambda: f"{digits(3)} {phone(LOOSE_SHAPES)}", lambda: f"{phone('0Z ## ## ## ##|02# #### ####|0Z# #######')} {digits(2)}", lambda: f"{digits(2)} {phone('0Z ## ## ## ##|0Z# #######')}",
+        lambda: " ".join(digits(rng.randrange(2, 5)) for _ in range(rng.randrange(3, 12))), lambda: f"97{rng.choice('89')}-{digits(1)}-{digits(3)}-{digits(5)}-{digits(1)}",
     ]
     text, gold = "", []
     for _ in range(rng.randrange(2, 6)):
         text += word() + " "
         k, make = rng.choice(entity) if rng.random() < 0.45 else (OTHER, rng.choice(decoy))
-        if k < OTHER and rng.random() < 0.3:
+        loose, k = k == LOOSE, min(k, LOOSE - 2) if k == LOOSE else k
+        if loose or k < OTHER and rng.random() < 0.3:
             text += rng.choice([c for c, v in CUES.items() if v == {0: 2, 1: 3, 2: 1, 3: 0}[k]]) + rng.choice([" ", ": "])
         body = make()
         if k < OTHER:
@@ -266,39 +311,23 @@ def trained(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) ->
                 at = where[s][1]
             data.append((where, rows, len(chunks), right))
     kinds = OTHER + 1
+    groups = [_stacked([d for d in data if d[2] == n], n) for n in sorted({d[2] for d in data})]
     weights, follow = np.zeros((kinds, FEATURES)), np.zeros((kinds, kinds))
     pace_w, pace_f = np.full_like(weights, 1e-6), np.full_like(follow, 1e-6)
+    seen_w, seen_f = np.zeros_like(weights), np.zeros_like(follow)
+    for _, rows, _, right in data:
+        for k, (s, y) in enumerate(right):
+            seen_w[y] += rows[s]
+            if k:
+                seen_f[right[k - 1][1], y] += 1
     for _ in range(epochs):
-        grad_w, grad_f = -0.05 * weights, -0.05 * follow
-        for where, rows, n, right in data:
-            scores = rows @ weights.T
-            total = _lattice(where, scores, n, follow, False)
-            # Backward sums, from the end.
-            back = np.full((n + 1, kinds), -np.inf)
-            back[n] = 0
-            for i in range(n - 1, 0, -1):
-                for s, (a, j, _, _) in enumerate(where):
-                    if a == i:
-                        tail = scores[s] + back[j]
-                        if j - i > 1:
-                            tail = np.where(np.arange(kinds) == OTHER, -np.inf, tail)
-                        back[i] = np.logaddexp(back[i], np.logaddexp.reduce(follow + tail[None, :], axis=1))
-            z = np.logaddexp.reduce(total[n])
-            for s, (i, j, _, _) in enumerate(where):
-                own = scores[s] + back[j] - z
-                if j - i > 1:
-                    own = np.where(np.arange(kinds) == OTHER, -np.inf, own)
-                if i:
-                    pair = np.exp(total[i][:, None] + follow + own[None, :])
-                    grad_f -= pair
-                    here = pair.sum(axis=0)
-                else:
-                    here = np.exp(own)
-                grad_w -= here[:, None] * rows[s][None, :]
-            for k, (s, y) in enumerate(right):
-                grad_w[y] += rows[s]
-                if k:
-                    grad_f[right[k - 1][1], y] += 1
+        grad_w, grad_f = seen_w - 0.05 * weights, seen_f - 0.05 * follow
+        for n, rows, place in groups:
+            scores = np.full((place[-1], kinds), -np.inf)
+            scores[place[0]] = rows @ weights.T
+            single, pair = _expected(scores.reshape(*place[1], kinds), n, follow)
+            grad_w -= single.reshape(-1, kinds)[place[0]].T @ rows
+            grad_f -= pair
         pace_w += grad_w**2
         pace_f += grad_f**2
         weights += 1.0 * grad_w / np.sqrt(pace_w)
@@ -306,6 +335,44 @@ def trained(sentences: int = SENTENCES, epochs: int = EPOCHS, seed: int = 11) ->
     return weights, follow
 
 
+def _stacked(runs: list, n: int) -> tuple:
+    """Runs of ``n`` chunks as one table of features, and where its rows lie in (run, first chunk, length)."""
+    most = min(n, MOST_CHUNKS)
+    at = [(r * n + i) * most + j - i - 1 for r, (where, *_) in enumerate(runs) for i, j, _, _ in where]
+    return n, np.concatenate([rows for _, rows, *_ in runs]), (np.array(at), (len(runs), n, most), len(runs) * n * most)
+
+
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+
+def _expected(scores: np.ndarray, n: int, follow: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of labelled segments (run, first chunk, length, kind) and of one kind after another."""
+    runs, _, most, kinds = scores.shape
+    scores = scores.copy()
+    scores[:, :, 1:, OTHER] = -np.inf
+    total, into = np.full((runs, n + 1, kinds), -np.inf), np.zeros((runs, n, kinds))
+    for j in range(1, n + 1):
+        ends = [into[:, j - k] + scores[:, j - k, k - 1] for k in range(1, min(most, j) + 1)]
+        total[:, j] = _sum(np.stack(ends), 0)
+        if j < n:
+            into[:, j] = _sum(total[:, j, :, None] + follow, 1)
+    back, tail = np.full((runs, n + 1, kinds), -np.inf), np.full_like(scores, -np.inf)
+    back[:, n] = 0
+    for i in range(n - 1, -1, -1):
+        for k in range(1, min(most, n - i) + 1):
+            tail[:, i, k - 1] = scores[:, i, k - 1] + back[:, i + k]
+        back[:, i] = _sum(follow + _sum(tail[:, i], 1)[:, None, :], 2)
+    z = _sum(total[:, n], 1)
+    single = np.exp(into[:, :, None] + tail - z[:, None, None, None])
+    starts = _sum(tail[:, 1:], 2) - z[:, None, None]
+    pair = np.exp(total[:, 1:n, :, None] + follow + starts[:, :, None, :]).sum(axis=(0, 1))
+    return single, pair
+
+
 def islands(text: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
     """Runs of chunks that may hold an entity, and the word before each run.
 

@@ -157,6 +157,87 @@ def test_pii_precision_and_recall_on_new_sentences():
     assert right / found > 0.98 and right / there > 0.98
 
 
+def _filled(rng, shape):
+    """A digit for each #."""
+    return "".join(rng.choice("0123456789") if c == "#" else c for c in shape)
+
+
+def test_pii_on_sentences_of_another_make():
+    """Templates that share nothing with the training sentences: numbers of five countries between tables and labels."""
+    entities = [
+        ("phone", "You can reach the office on {} after nine.", ["212-6##-####", "(415) 7##-####", "646.9##.####", "(03#) 2##-####"]),
+        ("phone", "Bitte Anruf unter {} oder per Brief.", ["030 2######", "089/4######", "0711-6#####", "0221 5#######"]),
+        ("phone", "Vous pouvez joindre le bureau au {} le matin", ["01 4# ## ## ##", "06 1# ## ## ##", "06.2#.##.##.##"]),
+        ("phone", "Ring the shop, tel {} please", ["020 7### ####", "0161 4## ####", "07### ######", "01### ######"]),
+        ("phone", "Llame al teléfono {} por la tarde", ["612 ### ###", "91# ## ## ##"]),
+        ("email", "Write to {} soon", ["anna##(at)office.org", "b.klein [at] haus.de", "jo (at) mail (dot) shop (dot) com", "k#(at) post (dot) net"]),
+    ]
+    plain = [
+        ("Table 4 shows {} in the last rows", ["100 200 3000 400 500 6000", "2## 3## 4### 5## 6## 7###", "06 12 34 56 78 9# ##", "1## 2## 3##"]),
+        ("The order {} was shipped", ["123-456-7890", "2##-6##-####", "030 2######", "0161 4## ####"]),
+        ("We sell sizes {} only", ["2## 3## 4###", "612 ### ###", "91# ## ## ##"]),
+        ("with ids {} on file", ["123 456 7890 123 456 7891", "2## 4## ####"]),
+        ("It took {} to finish", ["2## 3## 4### steps", "1#.## seconds", "20## 20## 20## years", "### ### ### bytes", "1## ### ####"]),
+        ("Published 2019-0#-1# as ISBN {}", ["978-0-30#-#####-#", "979-1-23#-#####-#"]),
+        ("version {} is out", ["1#.2#.3#", "20##.0#.1#", "v#.#.## (####)"]),
+    ]
+    field, rng = pii.Field(*pii.trained()), random.Random(77)
+    right = found = there = 0
+    for _ in range(60):
+        for kind, frame, shapes in entities:
+            body = _filled(rng, rng.choice(shapes))
+            text = frame.format(body)
+            got = [(text[a:b], pii.KINDS[k]) for a, k, b in field.spans(text)]
+            right, found, there = right + ((body, kind) in got), found + len(got), there + 1
+        for frame, shapes in plain:
+            found += len(field.spans(_filled(rng, frame.format(rng.choice(shapes)))))
+    assert right / found >= 0.97 and right / there >= 0.97, (right, found, there)
+
+
+@pytest.mark.parametrize("text", ["table 100 200 3000 400 500 6000", "order 123-456-7890 shipped", "sizes 212 310 4500", "ids 123 456 7890 123 456 7891"])
+def test_pii_leaves_columns_of_numbers(text):
+    assert pii.Field(*pii.trained()).spans(text) == []
+
+
+@pytest.mark.parametrize("number", ["tel 020 7946 0958", "06 12 34 56 78", "030 1234567", "llame 612 345 678"])
+def test_pii_phones_of_several_countries(number):
+    text = f"so {number} it is"
+    want = number.split(" ", 1)[1] if number[0].isalpha() else number
+    assert [(text[a:b], pii.KINDS[k]) for a, k, b in pii.Field(*pii.trained()).spans(text)] == [(want, "phone")]
+
+
+def test_pii_expected_counts_are_those_of_all_segmentations():
+    """The stacked sums of the training hold against the sum over every labelled segmentation."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    rng, kinds = np.random.default_rng(5), pii.OTHER + 1
+    for n in (1, 2, 3):
+        scores, follow = rng.normal(size=(2, n, n, kinds)), rng.normal(size=(kinds, kinds))
+        for i in range(n):
+            scores[:, i, n - i :] = -np.inf
+        single, pair = pii._expected(scores, n, follow)
+        want_single, want_pair = np.zeros_like(single), np.zeros_like(pair)
+        for r in range(2):
+            ways = []
+            for cuts in itertools.product([0, 1], repeat=n - 1):
+                ends = [i + 1 for i, c in enumerate(cuts) if c] + [n]
+                parts = list(zip([0, *ends], ends))
+                for labels in itertools.product(range(kinds), repeat=len(parts)):
+                    if all(y < pii.OTHER or b == a + 1 for y, (a, b) in zip(labels, parts)):
+                        weight = sum(scores[r, a, b - a - 1, y] for y, (a, b) in zip(labels, parts)) + sum(follow[p] for p in zip(labels, labels[1:]))
+                        ways.append((math.exp(weight), labels, parts))
+            z = sum(x for x, _, _ in ways)
+            for x, labels, parts in ways:
+                for y, (a, b) in zip(labels, parts):
+                    want_single[r, a, b - a - 1, y] += x / z
+                for p in zip(labels, labels[1:]):
+                    want_pair[p] += x / z
+        assert np.allclose(single, want_single) and np.allclose(pair, want_pair)
+
+
 @pytest.mark.parametrize("address", ["joe (at) foo (dot) com", "joe [at] foo [dot] org", "joe(at) foo(dot) com", "joe ( at ) foo.com"])
 def test_pii_field_finds_spaced_marks(address):
     w, f = pii.trained()
