@@ -8,6 +8,10 @@ word numbers, and these lead back to code points of the text.
 The automaton's patterns are anchors: an item's words in pieces of ``ANCHOR``, one after another. Any window of ten
 words holds a whole piece, so where a piece occurs, the words beside it are held against the item's own, and what
 agrees over a whole window is hit. A benchmark of n words thus needs n nodes, a tenth of what its windows would need.
+An anchor that more than ``CROWDED`` places have (items made from one template) is replaced by longer ones: for each
+place it can have in a window, the words before it and as many after it as it takes until few places are left, or the
+whole window, which then stands for all items that have it. So a place in a text is held against ``CROWDED`` places for
+each length of anchor, however many items begin alike; only items that are found cost a step each, once a document.
 One task builds the automaton and writes it to the shared folder; each Python worker reads it once. It is one automaton
 at any size, and documents are read once and never shuffled; a worker's memory must hold it, with some 120 bytes for
 each word of the benchmark's different items (the building task 300: 0.7 GB for 20 MB of text).
@@ -42,6 +46,8 @@ from jobloom.llm.base import new_path, slices, table, text_of
 WINDOW = 10
 #: Words of an anchor: any window holds one that starts at a multiple of it.
 ANCHOR = (WINDOW + 1) // 2
+#: Places that an anchor may have in the benchmark before it is made longer.
+CROWDED = 16
 #: A symbol is so many characters, one of each of as many alphabets of this size: nodes with few children are fast.
 CHARS, LETTERS = 3, 128
 #: Words that have a symbol of their own; further ones share symbols and are told apart when words are compared.
@@ -72,7 +78,7 @@ class Automaton:
                 line = "".join(map(self._symbol, found))
                 owners.setdefault(self._codes(found, line).tobytes(), set()).add(item_id)
         self.owners = list(owners.values())
-        flat, anchors = array("i"), [array("i") for _ in range(4)]
+        flat, anchors, depth = array("i"), [array("i") for _ in range(4)], array("i")
         for sequence, packed in enumerate(owners):
             own = np.frombuffer(packed, dtype=np.int32)
             line = [self._spelled(int(n)) for n in own]
@@ -81,22 +87,69 @@ class Automaton:
             for at in range(0, len(own) - size + 1, size):
                 key = "".join(line[at : at + size])
                 # Anchors with one key are a chain, the last of them in the tree.
-                row = (len(flat) + at, self.tree.get(key, -1), sequence, size)
-                self.tree.add_word(key, len(anchors[0]))
-                for column, value in zip(anchors, row, strict=True):
-                    column.append(value)
+                depth.append(1 + (depth[before] if (before := self.tree.get(key, -1)) >= 0 else 0))
+                self._add(anchors, key, len(flat) + at, sequence, size)
             flat.frombytes(own.tobytes())
         self.flat = np.array(flat, dtype=np.int32)
-        self.place, self.before, self.sequence, self.size = (np.array(c, dtype=np.int32) for c in anchors)
         sizes = [len(packed) // 4 for packed in owners]
         self.stops = np.cumsum(sizes, dtype=np.int64)
         self.starts = self.stops - np.array(sizes, dtype=np.int64)
+        self.groups: list[np.ndarray] = []  # sequences that share a window, by the number that its row has
+        self._thin(anchors, depth)
+        self.place, self.before, self.sequence, self.size = (np.array(c, dtype=np.int32) for c in anchors)
         if len(self.place):
             self.tree.make_automaton()
         else:
             self.tree = None
         self.chains: dict[int, np.ndarray] = {}
 
+    def _add(self, anchors: list[array], key: str, place: int, sequence: int, size: int) -> None:
+        row = (place, self.tree.get(key, -1), sequence, size)
+        self.tree.add_word(key, len(anchors[0]))
+        for column, value in zip(anchors, row, strict=True):
+            column.append(value)
+
+    def _thin(self, anchors: list[array], depth: array) -> None:
+        """Longer anchors in place of those that too many places have."""
+        crowded = [(key, last) for key, last in self.tree.items() if depth[last] > CROWDED and len(key) == ANCHOR * CHARS]
+        windows: dict[bytes, list[np.ndarray]] = {}
+        for key, last in crowded:
+            rows = []
+            while last >= 0:
+                rows.append((anchors[0][last], anchors[2][last]))
+                last = anchors[1][last]
+            self.tree.remove_word(key)
+            place, sequence = np.array(rows, dtype=np.int64).T
+            whole = self.stops[sequence] - self.starts[sequence] < WINDOW
+            for at, own in zip(place[whole].tolist(), sequence[whole].tolist(), strict=True):
+                self._add(anchors, key, at, own, ANCHOR)
+            for ahead in range(WINDOW - ANCHOR + 1):
+                first = place - ahead
+                fits = ~whole & (first >= self.starts[sequence]) & (first + WINDOW <= self.stops[sequence])
+                first, own = first[fits], sequence[fits]
+                for size in range(ahead + ANCHOR, WINDOW + 1):
+                    if not len(first):
+                        break
+                    line = np.ascontiguousarray(self.flat[first[:, None] + np.arange(size)])
+                    _, group, count = np.unique(line.view(f"V{4 * size}").ravel(), return_inverse=True, return_counts=True)
+                    if size == WINDOW:
+                        order = np.argsort(group, kind="stable")
+                        for part in np.split(order, np.cumsum(count)[:-1]):
+                            windows.setdefault(line[part[0]].tobytes(), []).append(np.stack([first[part], own[part]]))
+                        break
+                    few = count[group] <= CROWDED
+                    for at, mine, codes in zip(first[few].tolist(), own[few].tolist(), line[few].tolist(), strict=True):
+                        self._add(anchors, "".join(map(self._spelled, codes)), at, mine, size)
+                    first, own = first[~few], own[~few]
+        known: dict[bytes, int] = {}
+        for packed, parts in windows.items():
+            owners = np.unique(np.concatenate([p[1] for p in parts])).astype(np.int32)
+            number = known.setdefault(owners.tobytes(), len(known))
+            if number == len(self.groups):
+                self.groups.append(owners)
+            key = "".join(map(self._spelled, np.frombuffer(packed, dtype=np.int32).tolist()))
+            self._add(anchors, key, int(parts[0][0, 0]), number, WINDOW)
+
     @staticmethod
     def _spelled(number: int) -> str:
         number, out = (number - 1) % SYMBOLS, []
@@ -146,12 +199,19 @@ class Automaton:
         # Foreign words on both sides, so that no place beside an anchor is outside.
         codes = np.zeros(len(found) + 2 * WINDOW, dtype=np.int32)
         codes[WINDOW:-WINDOW] = self._codes(found, line)
-        hit, sequences = [], set()
+        hit, sequences, groups = [], set(), set()
         for end, anchor in met:
             chain = self._chain(anchor)
             size = int(self.size[anchor])
             end = end // CHARS
             start = end + 1 - size
+            if size == WINDOW:
+                window = codes[start + WINDOW : end + 1 + WINDOW]
+                for row in chain.tolist():
+                    if (self.flat[self.place[row] : self.place[row] + WINDOW] == window).all():
+                        hit.append((start, end + 1))
+                        groups.add(int(self.sequence[row]))
+                continue
             beside = WINDOW - size
             offsets = np.arange(-beside, WINDOW)
             own, place = self.sequence[chain], self.place[chain, None] + offsets
@@ -165,6 +225,8 @@ class Automaton:
                 left, right = np.where(whole, 0, left)[good], np.where(whole, 0, right)[good]
                 hit.append((start - int(left.max()), end + 1 + int(right.max())))
                 sequences.update(own[good].tolist())
+        for group in groups:
+            sequences.update(self.groups[group].tolist())
         runs: list[tuple[int, int]] = []
         for a, b in sorted(hit):
             if runs and a <= runs[-1][1]:

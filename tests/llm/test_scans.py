@@ -386,10 +386,12 @@ def test_decontamination_against_scan(spark):
     assert left.columns == docs.columns and left.count() == sum(not r.contaminated for r in got)
 
 
+@pytest.mark.parametrize("crowded", [decontamination.CROWDED, 1, 3])
 @pytest.mark.parametrize("symbols", [decontamination.SYMBOLS, 2, 100])
-def test_automaton_against_scan(monkeypatch, symbols):
+def test_automaton_against_scan(monkeypatch, symbols, crowded):
     """Also with words that share symbols, and with anchors of many items."""
     monkeypatch.setattr(decontamination, "SYMBOLS", symbols)
+    monkeypatch.setattr(decontamination, "CROWDED", crowded)
     rng = random.Random(symbols)
     for vocabulary in (2, 5, 40):
         word = lambda: rng.choice("abcdefgh0é") + str(rng.randrange(vocabulary))  # noqa: B023, E731
@@ -405,6 +407,30 @@ def test_automaton_against_scan(monkeypatch, symbols):
             assert (sum(b - a for a, b in runs), len(ids - {None}), decontamination._line({str(i) for i in ids if i is not None})) == slow_hits(text, items)[1:4]
 
 
+@pytest.mark.parametrize("n", [200, 5000])
+def test_items_of_one_template(n):
+    """However many items begin alike, a place in a text is held against few of them."""
+    head, tail = [f"t{i}" for i in range(23)], [f"u{i}" for i in range(12)]
+    items = [(i, " ".join([*head, *(f"w{i}x{j}" for j in range(15)), *tail])) for i in range(n)]
+    made = pickle.loads(pickle.dumps(decontamination.Automaton(items)))
+    assert max(len(made._chain(row)) for _, row in made.tree.items()) <= 2 * decontamination.CROWDED
+    few = items[:40]
+    for text, want_ids in (
+        (" ".join(head[:9]), set()),
+        (" ".join([*head[13:], "w7x0", "zz"]), {i for i, _ in items}),
+        (" ".join([*head[14:], "w7x0", "zz"]), {7}),
+        (" ".join([*head[15:], "w7x0", "w7x1"]), {7}),
+        (" ".join([*head[20:], *(f"w7x{j}" for j in range(7))]), {7}),
+        (" ".join([*(f"w9x{j}" for j in range(8, 15)), *tail[:3]]), {9}),
+        (" ".join(["zz", *tail[2:], "zz"]), {i for i, _ in items}),
+        (" ".join(["zz", *tail[3:], "zz"]), set()),
+        (items[3][1], {i for i, _ in items}),
+    ):
+        runs, ids = made.scan(decontamination.words(text))
+        assert ids == want_ids, text
+        assert sum(b - a for a, b in runs) == slow_hits(text, few)[1], text
+
+
 def test_one_automaton_and_one_scan(spark):
     """Of a benchmark of any size: the documents are read once and not shuffled."""
     docs = spark.range(2000).selectExpr("id as doc_id", "concat('w', id, ' x y z') as text")
