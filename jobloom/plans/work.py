@@ -246,7 +246,7 @@ def st12_timeouts(t: Tables) -> DataFrame:
     starts = t.jobs.filter("started_at is not null").select(F.col("id").alias("job_id"), F.col("started_at").alias("at"), F.lit("running").alias("status"))
     ends = t.jobs.filter("finished_at is not null").select(F.col("id").alias("job_id"), F.col("finished_at").alias("at"), "status")
     path = new_folder(t.spark, "states")
-    starts.unionByName(ends).orderBy("job_id", "at").write.parquet(path)
+    starts.unionByName(ends).write.parquet(path)
     stream = t.spark.readStream.schema("job_id long, at timestamp_ntz, status string").parquet(path)
     found = streams.drained(timers.attempts_timed_out(stream, 1800), new_folder(t.spark, "timed"))
     return found.select("job_id", F.col("timed_out_at").cast("timestamp_ntz").alias("timed_out_at"))

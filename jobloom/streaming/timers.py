@@ -11,6 +11,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIMED_OUT = "job_id long, started_at timestamp, timed_out_at timestamp"
+_FOUND = ["job_id", "started_at", "timed_out_at"]
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -30,25 +31,43 @@ class _Watch(StatefulProcessor):
         self.started = handle.getValueState("started", "at long")
 
     def _due(self, us: int) -> int:
-        """The timer's millisecond, rounded up."""
-        return -(-us // 1000) + self.limit
+        """The timer's millisecond: the clock must be beyond it, so it is the last one before the moment, rounded up."""
+        return -(-us // 1000) + self.limit - 1
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # A key's rows come in any order; only a start that is left open needs the state.
+        moments: dict[int, set[bool]] = {}
         for part in rows:
             for at, status in zip(part["us"], part["status"], strict=True):
-                if self.started.exists():
-                    self.handle.deleteTimer(self._due(self.started.get()[0]))
-                    self.started.clear()
-                if status == "running":
-                    self.started.update((int(at),))
-                    self.handle.registerTimer(self._due(int(at)))
-        return iter(())
+                moments.setdefault(int(at), set()).add(status == "running")
+        before = now = self.started.get()[0] if self.started.exists() else None
+        late = []
+        for at in sorted(moments):
+            if now is not None and at > now + self.limit * 1000:
+                late.append(self._found(key, now))
+                now = None
+            if moments[at] == {True, False}:
+                # The end of an attempt and the start of the next one, or an attempt that took no time.
+                now = at if now is not None else None
+            else:
+                now = at if True in moments[at] else None
+        if now != before:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+                self.started.clear()
+            if now is not None:
+                self.started.update((now,))
+                self.handle.registerTimer(self._due(now))
+        return iter([pd.DataFrame(late, columns=_FOUND)] if late else [])
+
+    def _found(self, key, at: int) -> tuple:
+        return int(key[0]), pd.Timestamp(at, unit="us", tz="UTC"), pd.Timestamp(at + self.limit * 1000, unit="us", tz="UTC")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.started.exists():
             at = self.started.get()[0]
             self.started.clear()
-            yield pd.DataFrame([(int(key[0]), pd.Timestamp(at, unit="us", tz="UTC"), pd.Timestamp(at + self.limit * 1000, unit="us", tz="UTC"))], columns=["job_id", "started_at", "timed_out_at"])
+            yield pd.DataFrame([self._found(key, at)], columns=_FOUND)
 
     def close(self) -> None:
         pass
@@ -56,8 +75,9 @@ class _Watch(StatefulProcessor):
 
 def attempts_timed_out(changes: DataFrame, seconds: float, late: str = "0 seconds") -> DataFrame:
     """Of changes of state (job_id, at, status), jobs still running ``seconds`` after their start, as soon as the stream's
-    clock (its watermark) has passed that moment; no further row of the job is needed. Rows of a job come in the order
-    of time within a batch."""
+    clock (its watermark, in milliseconds) has come to that moment; no further row of the job is needed. Rows of a job may come
+    in any order within a batch, and one that lies beyond the moment shows the timeout too. Of an end and a start at one moment the end
+    comes first if an attempt was running, else last."""
     with_state_store(changes.sparkSession)
     rows = changes.select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "status").withWatermark("at", late)
     return rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=_Watch(seconds), outputStructType=TIMED_OUT, outputMode="append", timeMode="EventTime")

@@ -99,6 +99,16 @@ def test_timeouts_fire_without_a_row_of_the_job(spark, tmp_path):
     assert sorted(r.job_id for r in again.collect()) == [1, 3, 4]
 
 
+def test_timeouts_do_not_depend_on_the_order_of_rows_in_a_batch(spark, tmp_path):
+    at = lambda s: T + timedelta(seconds=s)
+    schema = "job_id long, at timestamp, status string"
+    # 1 ends before its row of the start, 2 takes no time, 3 ends too late, 4 starts again when it ends, 5 is due with the last row.
+    rows = [(1, at(5), "succeeded"), (1, at(1), "running"), (2, at(1), "failed"), (2, at(1), "running"), (3, at(30), "succeeded"), (3, at(1), "running"), (4, at(9), "running"), (4, at(9), "failed"), (4, at(1), "running"), (5, at(90), "running"), (9, at(100), "pending")]
+    stream = lines(spark, str(tmp_path / "in"), schema, [rows])
+    found = streams.drained(timers.attempts_timed_out(stream, 10), str(tmp_path / "o"))
+    assert sorted((r.job_id, r.started_at) for r in found.collect()) == [(3, at(1)), (4, at(9)), (5, at(90))]
+
+
 def test_warnings_come_once(spark, tmp_path):
     stream = lines(spark, str(tmp_path / "in"), "key string, at timestamp", [[("a", T), ("b", T)], [("a", T), ("a", T)]])
     got = streams.drained(timers.warned_once(stream, 3600), str(tmp_path / "o")).collect()
