@@ -138,3 +138,21 @@ def test_keyed_reservations(spark):
     df = spark.createDataFrame([("a", at(0)), ("a", at(50)), ("b", at(40)), ("c", at(55)), ("bad key", at(59)), ("old", at(1)), (None, at(3))], "key string, ts timestamp_ntz")
     got = {r.key: (r.name, r.ok, r.evicted) for r in ratelimit.keyed_reservations(df, "u", 2, 30 * 60).collect()}
     assert got == {"a": ("u:a", True, False), "b": ("u:b", False, False), "c": ("u:c", True, False), "bad key": (None, False, False), "old": ("u:old", False, True), None: (None, False, True)}
+
+
+def test_schedules_of_one_kind_are_worked_out_once(monkeypatch):
+    import pandas as pd
+
+    calls = []
+    monkeypatch.setattr(cron, "next_fires", lambda *a, real=cron.next_fires: calls.append(a) or real(*a))
+    cron._fires_of.cache_clear()
+    cron._skipped_of.cache_clear()
+    n, at = 300, pd.Timestamp("2024-01-20", tz="UTC")
+    exprs = pd.Series(["0 6 * * *", "not a cron", "*/15 * * * *"] * n)
+    column = lambda x: pd.Series([x] * 3 * n)
+    got = cron._next_udf.func(exprs, column("Europe/Berlin"), column(at), column("skip"))
+    assert [x and [t.isoformat() for t in x] for x in got[:3]] == [["2024-01-20T05:00:00+00:00"], None, ["2024-01-20T00:15:00+00:00"]]
+    assert got[3:6].tolist() == got[:3].tolist() and len(got) == 3 * n and len(calls) == 3
+    calls.clear()
+    skips = cron._skipped_udf.func(exprs, column("Europe/Berlin"), column(at - pd.Timedelta("1h")), column(at))
+    assert [None if x is pd.NaT else x.isoformat() for x in skips[:3]] == ["2024-01-20T05:00:00+00:00", None, "2024-01-20T00:15:00+00:00"] and len(calls) <= 8
