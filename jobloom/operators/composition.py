@@ -3,12 +3,14 @@
 Jobs that name a common reservation or limit decide about one another, and so do those linked through others. Such a
 group of names is one ordered sequence: its jobs are sorted by Spark and streamed through Python with the group's
 states only. A group that rests until every limit is fresh and every slot free is cut there, and its pieces are
-replayed by different tasks.
+replayed by different tasks. A sequence that never rests is replayed in turns of bounded size, one after another.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +20,15 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import graph, ratelimit
 from jobloom.operators.sequences import with_pieces
+from jobloom.sources.shared import written
 
 #: Seconds to wait for a slot whose holder may take any time.
 SLOT_WAIT = 5.0
 DECIDED = "job_id long, allowed boolean, denied_by string, source string, retry_after double"
+_DECIDED = ["job_id", "allowed", "denied_by", "source", "retry_after"]
+_COLUMNS = [*_DECIDED, "group", "piece", "state"]
+#: Rows of a sequence that one task sorts and replays.
+MOST_ROWS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -100,6 +107,10 @@ class Book:
             taken.append(("limit", name, before))
         return True, None, None, None
 
+    def at_rest(self, us: int | None) -> tuple[dict, dict]:
+        """(slots that are held after ``us``, states): all that later jobs depend on."""
+        return {name: left for name, held in self.held.items() if (left := [h for h in held if us is None or h[0] > us])}, self.states
+
 
 def _listed(names) -> list[str]:
     return [x for x in names if x is not None] if names is not None else []
@@ -111,13 +122,14 @@ def _names(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("_names", F.concat(tagged("reservations", "r:"), tagged("limits", "l:")))
 
 
-def all_or_nothing(jobs: DataFrame, reservations: dict[str, int], limits: dict[str, Limit], most_hold_us: int | None = None) -> DataFrame:
+def all_or_nothing(jobs: DataFrame, reservations: dict[str, int], limits: dict[str, Limit], most_hold_us: int | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """(job_id, allowed, denied_by, source, retry_after) of jobs (job_id, us, reservations, limits, hold_us).
 
     Jobs are taken by ``us``, then id. Reservations come first, in the job's order, then limits in theirs. A slot is
     free ``hold_us`` after it was taken. ``name:key`` is a reservation of its own with the places of ``name``. A name
     that nobody has set up denies, with source ``unknown``; a job that asks for nothing is let through. Null lists are empty ones.
     ``most_hold_us`` is a bound on ``hold_us``; with it, and if all limits get fresh again, groups are cut at rests.
+    A sequence of more than ``most_rows`` rows is replayed in turns, which pass its state on.
     """
     named = _names(jobs)
     first = F.get("_names", 0)
@@ -131,15 +143,64 @@ def all_or_nothing(jobs: DataFrame, reservations: dict[str, int], limits: dict[s
     else:
         met = with_pieces(met, ["group"], max(1, most_hold_us + 1, *(int(r * 1e6) + 1 for r in rests)))
 
+    met = written(met.select("group", "piece", "job_id", "us", "reservations", "limits", "hold_us"), "composed")
+    long = met.groupBy("group", "piece").agg(F.count("*").alias("n")).filter(F.col("n") > most_rows).select("group", "piece", "n").persist()
+    try:
+        rows = long.agg(F.sum("n")).first()[0] or 0
+        if not rows:
+            return _decided(met, reservations, limits).select(*_DECIDED)
+        names = written(long.select("group", "piece"), "composed-long")
+    finally:
+        long.unpersist()
+    # There are no more than rows / most_rows of the long ones.
+    short = _decided(met.join(F.broadcast(names), ["group", "piece"], "left_anti"), reservations, limits).select(*_DECIDED)
+    return short.unionByName(_in_turns(met.join(F.broadcast(names), ["group", "piece"], "left_semi"), rows, reservations, limits, most_rows))
+
+
+def _decided(rows: DataFrame, reservations: dict[str, int], limits: dict[str, Limit], states: DataFrame | None = None, last: bool = True) -> DataFrame:
+    """Decisions on the rows of each sequence, from its state if there is one; unless it is the ``last`` turn, also a row with each
+    sequence's state after them."""
+
+    # No nulls among whole numbers, in either direction: pandas would make them floats.
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, book = None, None
+        here, book, now = None, None, None
+
+        def ended() -> list[tuple]:
+            return [] if last or here is None else [(0, *[None] * 4, *here, pickle.dumps((book.at_rest(now), now)))]
+
         for rows in batches:
             out = []
-            for group, piece, job, us, res, lim, hold in zip(*(rows[c] for c in ("group", "piece", "job_id", "us", "reservations", "limits", "hold_us")), strict=True):
+            for group, piece, job, us, res, lim, hold, state in zip(*(rows[c] for c in ("group", "piece", "job_id", "us", "reservations", "limits", "hold_us", "state")), strict=True):
                 if (group, piece) != here:
-                    here, book = (group, piece), Book(reservations, limits)
-                out.append((job, *book.decide(int(job), int(us), _listed(res), _listed(lim), int(hold))))
-            yield pd.DataFrame(out, columns=["job_id", "allowed", "denied_by", "source", "retry_after"]).astype({"retry_after": float})
-
-    dealt = met.select("group", "piece", "job_id", "us", "reservations", "limits", "hold_us").repartition("group", "piece").sortWithinPartitions("group", "piece", "us", "job_id")
-    return dealt.mapInPandas(run, DECIDED)
+                    out += ended()
+                    here, book, now = (group, piece), Book(reservations, limits), None
+                if state is not None:  # comes before the sequence's rows
+                    (book.held, book.states), now = pickle.loads(state)
+                    continue
+                now = int(us)
+                out.append((int(job), *book.decide(int(job), now, _listed(res), _listed(lim), int(hold)), None, 0, None))
+            yield pd.DataFrame(out, columns=_COLUMNS).astype({"retry_after": float})
+        if here is not None and not last:
+            yield pd.DataFrame(ended(), columns=_COLUMNS).astype({"retry_after": float})
+
+    given = rows.withColumn("state", F.lit(None).cast("binary"))
+    if states is not None:
+        given = given.unionByName(states, allowMissingColumns=True)
+    return given.repartition("group", "piece").sortWithinPartitions("group", "piece", F.col("state").isNull(), "us", "job_id").mapInPandas(run, f"{DECIDED}, group string, piece long, state binary")
+
+
+def _in_turns(met: DataFrame, rows: int, reservations: dict[str, int], limits: dict[str, Limit], most_rows: int) -> DataFrame:
+    """Decisions on sequences that are too long for one task: time is cut into turns of some ``most_rows`` rows, which are taken one
+    after another, each from the states that the one before left. So no task sorts or holds more than a turn's rows,
+    and those of a single moment."""
+    turns = -(-rows // most_rows)
+    cuts = sorted(set(met.agg(F.percentile_approx("us", [k / turns for k in range(1, turns)], 100 * turns)).first()[0]))
+    ordered = written(met.repartitionByRange(4 * turns, "us"), "composed-turns")
+    found, states = [], None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        here = ordered if low is None else ordered.filter(F.col("us") > low)
+        here = here if high is None else here.filter(F.col("us") <= high)
+        out = written(_decided(here, reservations, limits, states, high is None), "composed-turn")
+        states = out.filter("state is not null").select("group", "piece", "state", *[F.lit(0).cast("long").alias(c) for c in ("job_id", "us", "hold_us")])
+        found.append(out.filter("state is null").select(*_DECIDED))
+    return functools.reduce(DataFrame.unionByName, found)

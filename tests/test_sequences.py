@@ -184,6 +184,28 @@ def test_composition_follows_the_rules(spark, seed, holds):
     assert all(r.allowed == (r.denied_by is None) and (r.retry_after is None) == r.allowed for r in got.values())
 
 
+def test_long_sequences_are_replayed_in_turns(spark, monkeypatch):
+    rng = random.Random(4)
+    limits = {"api": ("tokens", 3.0, 0.25), "log": ("window", 5, 16.0), "pace": ("gcra", 4, 8.0)}
+    # Two long groups and forty short ones; ids beyond the whole numbers that a float holds.
+    rows = [(2**60 + i, rng.randrange(900) * 1_000_000, [rng.choice(["r1", f"seat:{i % 3}"])] if i % 3 else [f"own:{i}"] if i % 5 else ["r2"], ["api", "log"] if i % 3 else ["pace"] if i % 5 == 0 else [], rng.choice([4, 60]) * 1_000_000) for i in range(600)]
+    places = {"r1": 2, "r2": 1, "seat": 1, "own": 1}
+    book, want = Rules(places, limits), {}
+    for i, us, res, lim, hold in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = book.ask(us, res, lim, hold)
+    sizes, real = [], composition._decided
+
+    def counted(given, *rest):
+        sizes.append(given.groupBy("group").count().agg(F.max("count")).first()[0])
+        return real(given, *rest)
+
+    monkeypatch.setattr(composition, "_decided", counted)
+    df = spark.createDataFrame(rows, "job_id long, us long, reservations array<string>, limits array<string>, hold_us long").repartition(4)
+    got = composition.all_or_nothing(df, places, {k: Limit(*v) for k, v in limits.items()}, most_rows=35).collect()
+    assert len(got) == 600 and {r.job_id: r.denied_by for r in got} == want and len(set(want.values())) > 4
+    assert len(sizes) > 10 and max(sizes) <= 80
+
+
 def test_a_shared_limit_counts_once(spark):
     rows = [(i, i, [f"r{i}"], ["api"], 10) for i in range(3)] + [(9, 5, None, None, 1), (10, 6, [None], [], 1), (11, 7, ["nobody"], [], 1), (12, 8, [], ["nothing"], 1)]
     df = spark.createDataFrame(rows, "job_id long, us long, reservations array<string>, limits array<string>, hold_us long")
