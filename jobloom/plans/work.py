@@ -100,6 +100,9 @@ def _denied(t: Tables) -> DataFrame:
 
 # Progress
 
+#: Rows of a source's table for each file that a stream of three batches takes at a time.
+FILE_ROWS = 1_000_000
+
 # Lines of an order are updates of the job with its number; every fifth comes from a worker that doesn't own the job.
 _UPDATES = """select l.l_orderkey as job_id, case when l.l_linenumber % 5 = 4 then -1 else j.locked_by_worker end as worker_id, l.l_linenumber as turn, cast(l.l_linenumber as bigint) as delta,
   concat('{"l', cast(l.l_linenumber % 3 as varchar(9)), '": ', cast(cast(l.l_quantity as int) as varchar(9)), ', "last": "', cast(l.l_linenumber as varchar(9)), '"}') as state from lineitem l join jobs j on l.l_orderkey = j.id"""
@@ -122,8 +125,9 @@ query("dml30_flush_progress", _FLUSHED)(lambda t: transitions.flush_progress(_jo
 def dml30_stream(t: Tables) -> DataFrame:
     """The same from a stream of files, of which the last batch comes twice and older batches have been compacted."""
     source, log = new_folder(t.spark, "updates"), progress.Ledger(t.spark, new_folder(t.spark, "ledger"))
-    t.sql(_UPDATES).repartitionByRange(3, "turn").write.parquet(source)
-    stream = t.spark.readStream.schema(progress.REPORTS).option("maxFilesPerTrigger", 1).parquet(source)
+    each = -(-t.base("lineitem").count() // FILE_ROWS) or 1
+    t.sql(_UPDATES).repartition(3 * each, "job_id", "turn").write.parquet(source)
+    stream = t.spark.readStream.schema(progress.REPORTS).option("maxFilesPerTrigger", each).parquet(source)
     log.follow(stream, new_folder(t.spark, "flush"))
     last = max(log.batches())
     log.compact()

@@ -42,7 +42,8 @@ class Ledger:
     def add(self, reports: DataFrame, number: int) -> None:
         """Reports (job_id, worker_id, turn, delta, state) of batch ``number``; one that was folded already is left out."""
         if number > self.covered():
-            folded_parts(progress_parts(reports)).write.mode("overwrite").parquet(f"{self.path}/batches/n={number}")
+            # Dealt before the parts are made: a task that reads a large file would sort all parts of it.
+            folded_parts(progress_parts(reports.repartition("job_id", "worker_id"))).write.mode("overwrite").parquet(f"{self.path}/batches/n={number}")
 
     def follow(self, stream: DataFrame, checkpoint: str) -> None:
         """Take all that is there now; call it again for what came since."""

@@ -163,3 +163,12 @@ def test_snoozes_count(spark):
     assert {r.id: json.loads(r.metadata) for r in kept.collect()} == {r.id: json.loads(r.metadata) for r in df.collect()}
     noted = transitions.snooze(df, NOW, 1.0, metadata='{"why": 1}', count=True).rows.filter("id = 0").first()
     assert json.loads(noted.metadata)["why"] == 1 and "snooze_count" in json.loads(noted.metadata)
+
+
+def test_reports_are_dealt_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    from jobloom.streaming import progress
+
+    spread = []
+    monkeypatch.setattr(progress, "progress_parts", lambda df, real=progress.progress_parts: spread.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    Ledger(spark, str(tmp_path / "l")).add(spark.createDataFrame([(1, 1, 1, 1, "{}")], REPORTS), 0)
+    assert "RepartitionByExpression [job_id" in spread[0]
