@@ -9,6 +9,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ PROGRESS = "job_id long, seq int, status string, detail string, terminal boolean
 _COLUMNS = ["job_id", "seq", "status", "detail", "terminal"]
 #: Seconds after its last row that a job's state is kept. A row that comes later still counts as the job's first.
 IDLE = 86_400
+#: Decisions that a task holds as Python objects.
+SLICE = 10_000
 
 
 def file_source(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -204,12 +207,19 @@ def limited(stream: DataFrame, step: Callable[[object, float], tuple]) -> DataFr
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = pickle.loads(state.get[0]) if state.exists else None
-        rows, out = pd.concat(list(batches)).sort_values(["us", "request_id"]), []
-        for us, request in zip(rows["us"], rows["request_id"], strict=True):
-            held, ok, level, wait = step(held, us / 1e6)
-            out.append((key[0], request, ok, level, wait))
-        state.update((pickle.dumps(held),))
-        yield pd.DataFrame(out, columns=["bucket", "request_id", "allowed", "level", "retry_after"]).astype({"level": float, "retry_after": float})
+        # Two numbers are all that is kept of a request until it is decided.
+        whole = [(rows["us"].to_numpy(copy=True), rows["request_id"].to_numpy(copy=True)) for rows in batches]
+        us, requests = (np.concatenate(x) for x in zip(*whole, strict=True))
+        del whole
+        order = np.lexsort((requests, us))
+        for at in range(0, len(order), SLICE):
+            part, out = order[at : at + SLICE], []
+            for moment_us, request in zip(us[part].tolist(), requests[part].tolist(), strict=True):
+                held, ok, level, wait = step(held, moment_us / 1e6)
+                out.append((key[0], request, ok, level, wait))
+            if at + SLICE >= len(order):
+                state.update((pickle.dumps(held),))
+            yield pd.DataFrame(out, columns=["bucket", "request_id", "allowed", "level", "retry_after"]).astype({"level": float, "retry_after": float})
 
     source = stream.select("bucket", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "request_id")
     return source.groupBy("bucket").applyInPandasWithState(run, DECISIONS, "data binary", "append", GroupStateTimeout.NoTimeout)

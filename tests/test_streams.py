@@ -108,3 +108,35 @@ def test_limits_keep_their_state_between_batches(spark, folders, name):
     want = ratelimit.replayed(rows, step)
     pick = lambda df: sorted((r.request_id, r.allowed) for r in df.collect())
     assert pick(got) == pick(want) and {a for _, a in pick(got)} == {True, False}
+
+
+def test_limits_hand_out_decisions_in_slices():
+    import pickle
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    made = []
+
+    class Stream:
+        def select(self, *_):
+            return self
+
+        groupBy = select
+
+        def applyInPandasWithState(self, run, *_):
+            made.append(run)
+
+    step = lambda s, at: ((s or 0) + 1, True, float((s or 0) + 1), None)
+    real, streams.F = streams.F, SimpleNamespace(unix_micros=lambda c: SimpleNamespace(alias=lambda n: None), col=lambda c: SimpleNamespace(cast=lambda kind: None))
+    try:
+        streams.limited(Stream(), step)
+    finally:
+        streams.F = real
+    n, kept = 25_001, []
+    rows = pd.DataFrame({"us": range(n, 0, -1), "request_id": [2**60 + k for k in range(n)]})
+    state = SimpleNamespace(exists=False, update=kept.append)
+    got = list(made[0](("b",), iter([rows[:9], rows[9:]]), state))
+    assert [len(x) for x in got] == [10_000, 10_000, 5_001] and [pickle.loads(x[0]) for x in kept] == [n]
+    whole = pd.concat(got)
+    assert whole["request_id"].tolist() == [2**60 + k for k in reversed(range(n))] and whole["level"].tolist() == [float(k + 1) for k in range(n)]
