@@ -216,11 +216,13 @@ def _changes(t: Tables) -> DataFrame:
     return t.job_events.select("id", F.concat(F.lit("job:"), F.col("job_id").cast("string")).alias("channel"), F.col("to_state").alias("payload"))
 
 
-def _logged(t: Tables, rows: DataFrame, files: int = 2) -> tuple[str, object, str]:
-    """A log with the first part of the rows, the stream behind it and its checkpoint."""
+def _logged(t: Tables, rows: DataFrame, batches: int = 2) -> tuple[str, object, str]:
+    """A log with the rows in so many batches, the stream behind it and its checkpoint."""
     source, log, state = (new_folder(t.spark, label) for label in ("changes", "log", "publish"))
-    rows.repartition(files).write.parquet(source)
-    stream = t.spark.readStream.schema(event_log.EVENT).option("maxFilesPerTrigger", 1).parquet(source)
+    # As many files as tasks have written, so that these and the log's writers share the work.
+    rows.write.parquet(source)
+    each = max(1, -(-len(t.spark.read.schema(event_log.EVENT).parquet(source).inputFiles()) // batches))
+    stream = t.spark.readStream.schema(event_log.EVENT).option("maxFilesPerTrigger", each).parquet(source)
     event_log.publish(stream, log, state)
     return log, stream, state
 

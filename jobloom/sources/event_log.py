@@ -8,19 +8,24 @@ position they had and try again after a pause that doubles. One stream writes to
 
 from __future__ import annotations
 
+import contextlib
 import json
 import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 EVENT = "id long, channel string, payload string"
 SCHEMA = f"position long, {EVENT}"
+#: Columns of a file of rows, an Arrow stream.
+_STORED = pa.schema([("id", pa.int64()), ("channel", pa.string()), ("payload", pa.string())])
 FIRST_PAUSE, LONGEST_PAUSE = 0.5, 60.0
 #: Rows that a reading task takes, in whole files.
 TASK_ROWS = 100_000
@@ -90,18 +95,24 @@ class Files(InputPartition):
         self.files, self.start, self.end = files, start, end
 
 
-class _Writer(DataSourceStreamWriter):
+class _Writer(DataSourceStreamArrowWriter):
     def __init__(self, path: str) -> None:
         self.path = path
         Log(path).make()
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage:
-        lines = [json.dumps([r["id"], r["channel"], r["payload"]]) for r in iterator]
-        name = f"{uuid.uuid4().hex}.jsonl"
-        if lines:
-            log = Log(self.path)
-            log.write(f"{log.path}/rows/{name}", "\n".join(lines).encode())
-        return Wrote(name, len(lines))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        name, rows = f"{uuid.uuid4().hex}.arrow", 0
+        log = Log(self.path)
+        with contextlib.ExitStack() as stack:
+            out = None
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                if out is None:
+                    out = stack.enter_context(pa.ipc.new_stream(stack.enter_context(log.fs.open_output_stream(f"{log.path}/rows/{name}")), _STORED))
+                out.write_batch(pa.RecordBatch.from_arrays([batch.column(f.name).cast(f.type) for f in _STORED], schema=_STORED))
+                rows += batch.num_rows
+        return Wrote(name, rows)
 
     def commit(self, messages: list, batchId: int) -> None:
         files = [{"name": m.name, "rows": m.rows} for m in messages if m is not None and m.rows]
@@ -111,13 +122,20 @@ class _Writer(DataSourceStreamWriter):
         Log(self.path).drop([m.name for m in messages if m is not None and m.rows])
 
 
-def _rows(path: str, part: Files, after: int, channel: str | None) -> Iterator[tuple]:
+def _rows(path: str, part: Files, after: int, channel: str | None) -> Iterator[pa.RecordBatch]:
     log = Log(path)
     for f in part.files:
-        for k, line in enumerate(log.read(f"{log.path}/rows/{f['name']}").decode().split("\n")):
-            at, (row_id, where, payload) = f["start"] + k, json.loads(line)
-            if part.start <= at < part.end and (row_id is None or row_id > after) and channel in (None, where):
-                yield at, row_id, where, payload
+        at = f["start"]
+        with log.fs.open_input_stream(f"{log.path}/rows/{f['name']}") as data, pa.ipc.open_stream(data) as stored:
+            for batch in stored:
+                place = pa.array(range(at, at + batch.num_rows), type=pa.int64())
+                at += batch.num_rows
+                row_id, where, payload = batch.columns
+                keep = pc.and_(pc.greater_equal(place, part.start), pc.less(place, part.end))
+                keep = pc.and_(keep, pc.fill_null(pc.greater(row_id, after), True))
+                if channel is not None:
+                    keep = pc.and_(keep, pc.fill_null(pc.equal(where, channel), False))
+                yield pa.RecordBatch.from_arrays([place, row_id, where, payload], names=["position", *_STORED.names]).filter(keep)
 
 
 def _parts(manifests: list[dict], start: int, end: int) -> list[Files]:
@@ -154,7 +172,7 @@ class _StreamReader(DataSourceStreamReader):
         self.seen = max(self.seen, end["position"])
         return _parts(Log(self.path).manifests(), start["position"], end["position"])
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _rows(self.path, partition, self.after, self.channel)
 
 
@@ -166,7 +184,7 @@ class _Reader(DataSourceReader):
         found = Log(self.path).manifests()
         return _parts(found, 0, found[-1]["end"] if found else 0) or [Files([], 0, 0)]
 
-    def read(self, partition: Files) -> Iterator[tuple]:
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         return _rows(self.path, partition, self.after, self.channel)
 
 
@@ -189,7 +207,7 @@ class EventLog(DataSource):
     def streamReader(self, schema: StructType) -> DataSourceStreamReader:
         return _StreamReader(*self._options())
 
-    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamArrowWriter:
         return _Writer(self.options["path"])
 
 

@@ -48,6 +48,25 @@ def test_log_loses_and_repeats_nothing(spark, tmp_path):
     assert sorted(r.id for r in after) == [22, 32]
 
 
+def test_log_is_written_and_read_in_arrow_batches(tmp_path):
+    import pyarrow as pa
+
+    log, names = str(tmp_path / "log"), ["position", "id", "channel", "payload"]
+    writer = event_log._Writer(log)
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.array(ids, pa.int64()), pa.array(["a\nb" if (i or 1) % 2 else None for i in ids], pa.string()), pa.array(["\u00fc"] * len(ids), pa.string())], names=names)
+    wrote = [writer.write(iter([batch([1, 2, None]), batch([]), batch([4])])), writer.write(iter([])), writer.write(iter([batch([2**60])]))]
+    assert [w.rows for w in wrote] == [4, 0, 1] and len(os.listdir(f"{log}/rows")) == 2
+    writer.commit(wrote, 0)
+
+    def read(start, end, after, channel):
+        found = [b for p in event_log._parts(event_log.Log(log).manifests(), start, end) for b in event_log._rows(log, p, after, channel)]
+        assert all(isinstance(b, pa.RecordBatch) for b in found)
+        return [(r["position"], r["id"]) for b in found for r in b.to_pylist()]
+
+    assert read(0, 5, -1, None) == [(0, 1), (1, 2), (2, None), (3, 4), (4, 2**60)]
+    assert read(1, 4, 2, None) == [(2, None), (3, 4)] and read(0, 5, 0, "a\nb") == [(0, 1), (2, None)]
+
+
 def test_failed_batches_leave_nothing_and_repeats_count_once(spark, tmp_path):
     log, bad = str(tmp_path / "log"), F.udf(lambda i: 1 // (i - 3), "long")
     stream = lines(spark, str(tmp_path / "in"), EVENT, [[(i, "a", "x") for i in range(8)]])
