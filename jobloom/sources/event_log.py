@@ -38,10 +38,12 @@ class Log:
         self.fs, self.path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
     def manifests(self) -> list[dict]:
-        """In the order of positions. Raises OSError if the log is away."""
+        """In the order of positions, whatever order the folder lists them in; the last one's end is the log's. Raises OSError if
+        the log is away."""
         found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/batches", allow_not_found=False))
         out = [json.loads(self.read(f.path)) for f in found if f.base_name.endswith(".json")]
-        return sorted(out, key=lambda m: m["start"])
+        # A batch without rows starts where the next one does, and comes before it.
+        return sorted(out, key=lambda m: (m["start"], m["end"]))
 
     def make(self) -> None:
         for part in ("batches", "rows"):

@@ -101,6 +101,29 @@ def test_readers_wait_for_a_log_that_is_away(tmp_path, monkeypatch):
     assert reader.latestOffset() == {"position": 5} and reader.pause == 0
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_batches_without_rows_hide_no_others(tmp_path, monkeypatch, backwards):
+    """Folders list files in any order; a batch without rows starts where the next one does."""
+
+    class Folder:
+        def get_file_info(self, wanted):
+            return sorted(local.get_file_info(wanted), key=lambda f: f.path, reverse=backwards)
+
+        def __getattr__(self, name):
+            return getattr(local, name)
+
+    log = event_log.Log(str(tmp_path / "log"))
+    local = log.fs
+    monkeypatch.setattr(event_log.fs, "LocalFileSystem", Folder)
+    log = event_log.Log(log.path)
+    log.make()
+    for batch, rows in enumerate([0, 3, 0, 0, 2]):
+        log.commit(batch, [{"name": str(batch), "rows": rows}] if rows else [])
+    assert [(m["batch"], m["start"], m["end"]) for m in log.manifests() if m["files"]] == [(1, 0, 3), (4, 3, 5)]
+    assert event_log._StreamReader(log.path, -1, None).latestOffset() == {"position": 5}
+    assert sum(p.end for p in event_log._Reader(log.path, -1, None).partitions()) == 5
+
+
 def test_timeouts_fire_without_a_row_of_the_job(spark, tmp_path):
     at = lambda s: T + timedelta(seconds=s)
     schema = "job_id long, at timestamp, status string"
