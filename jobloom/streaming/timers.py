@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TIMED_OUT = "job_id long, started_at timestamp, timed_out_at timestamp"
 _FOUND = ["job_id", "started_at", "timed_out_at"]
+#: Parts into which jobs are dealt: enough for the tasks of a cluster, and for a part of many million jobs to be small.
+PARTS = 4096
 
 
 def with_state_store(spark: SparkSession) -> SparkSession:
@@ -21,66 +24,99 @@ def with_state_store(spark: SparkSession) -> SparkSession:
 
 
 class _Watch(StatefulProcessor):
-    """A timer for each attempt that runs, dropped when it ends."""
+    """The attempts that run, of all jobs of a part, with a timer for the first of them that is due."""
 
     def __init__(self, seconds: float) -> None:
         self.limit = int(seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.started = handle.getValueState("started", "at long")
+        # Jobs and the moments of their starts, in microseconds, as packed numbers of 64 bits.
+        self.running = handle.getValueState("running", "jobs binary, at binary")
 
-    def _due(self, us: int) -> int:
+    def _due(self, us):
         """The timer's millisecond: the clock must be beyond it, so it is the last one before the moment, rounded up."""
         return -(-us // 1000) + self.limit - 1
 
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.running.exists():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        jobs, at = self.running.get()
+        return np.frombuffer(bytes(jobs), np.int64), np.frombuffer(bytes(at), np.int64)
+
+    def _keep(self, jobs: np.ndarray, at: np.ndarray) -> None:
+        if len(jobs):
+            self.running.update((jobs.tobytes(), at.tobytes()))
+        else:
+            self.running.clear()
+
+    def _ordered(self, jobs: np.ndarray, at: np.ndarray, starts: np.ndarray, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Job, moment, and whether there are a start and an end, for each moment of a job; the ``known`` first rows are of the
+        state and come before the job's others."""
+        new = np.arange(len(jobs)) >= known
+        order = np.lexsort((at, new, jobs))
+        jobs, at, new, starts = jobs[order], at[order], new[order], starts[order]
+        first = np.flatnonzero(np.r_[True, (jobs[1:] != jobs[:-1]) | (at[1:] != at[:-1]) | (new[1:] != new[:-1])])
+        return jobs[first], at[first], np.logical_or.reduceat(starts, first), np.logical_or.reduceat(~starts, first)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # A key's rows come in any order; only a start that is left open needs the state.
-        moments: dict[int, set[bool]] = {}
-        for part in rows:
-            for at, status in zip(part["us"], part["status"], strict=True):
-                moments.setdefault(int(at), set()).add(status == "running")
-        before = now = self.started.get()[0] if self.started.exists() else None
-        late = []
-        for at in sorted(moments):
-            if now is not None and at > now + self.limit * 1000:
-                late.append(self._found(key, now))
-                now = None
-            if moments[at] == {True, False}:
-                # The end of an attempt and the start of the next one, or an attempt that took no time.
-                now = at if now is not None else None
-            else:
-                now = at if True in moments[at] else None
-        if now != before:
+        known = self._known()
+        parts = [(p["job_id"].to_numpy(np.int64), p["us"].to_numpy(np.int64), p["running"].to_numpy(bool)) for p in rows]
+        jobs, at, starts = (np.concatenate(c) for c in zip((*known, np.ones(len(known[0]), bool)), *parts, strict=True))
+        jobs, at, start, end = self._ordered(jobs, at, starts, len(known[0]))
+        same = np.r_[False, jobs[1:] == jobs[:-1]]
+        in_time = np.r_[False, at[1:] <= at[:-1] + self.limit * 1000]
+        # The end of an attempt and the start of the next one if an attempt was running, else one that took no time.
+        after = start & end & same & in_time
+        said = np.maximum.accumulate(np.where(after, 0, np.arange(len(jobs))))
+        runs = (start & ~end)[said]
+        late = np.flatnonzero(runs[:-1] & same[1:] & ~in_time[1:])
+        left = runs & np.r_[~same[1:], True]
+        self._keep(jobs[left], at[left])
+        self._timer(known[1], at[left])
+        return iter([self._found(jobs[late], at[late])] if len(late) else [])
+
+    def _timer(self, before: np.ndarray, now: np.ndarray) -> None:
+        before, now = (self._due(int(x.min())) if len(x) else None for x in (before, now))
+        if before != now:
             if before is not None:
-                self.handle.deleteTimer(self._due(before))
-                self.started.clear()
+                self.handle.deleteTimer(before)
             if now is not None:
-                self.started.update((now,))
-                self.handle.registerTimer(self._due(now))
-        return iter([pd.DataFrame(late, columns=_FOUND)] if late else [])
+                self.handle.registerTimer(now)
 
-    def _found(self, key, at: int) -> tuple:
-        return int(key[0]), pd.Timestamp(at, unit="us", tz="UTC"), pd.Timestamp(at + self.limit * 1000, unit="us", tz="UTC")
+    def _found(self, jobs: np.ndarray, at: np.ndarray) -> pd.DataFrame:
+        moments = [pd.DatetimeIndex(x.view("datetime64[us]"), tz="UTC") for x in (at, at + self.limit * 1000)]
+        return pd.DataFrame(dict(zip(_FOUND, (jobs, *moments), strict=True)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.started.exists():
-            at = self.started.get()[0]
-            self.started.clear()
-            yield pd.DataFrame([self._found(key, at)], columns=_FOUND)
+        jobs, at = self._known()
+        beyond = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1)
+        gone = self._due(at) <= beyond
+        self._keep(jobs[~gone], at[~gone])
+        if not gone.all():
+            self.handle.registerTimer(self._due(int(at[~gone].min())))
+        if gone.any():
+            yield self._found(jobs[gone], at[gone])
 
     def close(self) -> None:
         pass
 
 
-def attempts_timed_out(changes: DataFrame, seconds: float, late: str = "0 seconds") -> DataFrame:
+def attempts_timed_out(changes: DataFrame, seconds: float, late: str = "0 seconds", parts: int = PARTS) -> DataFrame:
     """Of changes of state (job_id, at, status), jobs still running ``seconds`` after their start, as soon as the stream's
     clock (its watermark, in milliseconds) has come to that moment; no further row of the job is needed. Rows of a job may come
     in any order within a batch, and one that lies beyond the moment shows the timeout too. Of an end and a start at one moment the end
-    comes first if an attempt was running, else last."""
+    comes first if an attempt was running, else last. Rows without a job or moment say nothing.
+
+    A state and a timer for each job would cost several calls between Python and the store for each. So jobs are dealt into
+    ``parts`` by hash, and a part's running attempts are one state; a task holds one part's rows of a batch at a time. A stream
+    keeps its number of parts for as long as it keeps its checkpoint."""
     with_state_store(changes.sparkSession)
-    rows = changes.select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"), "status").withWatermark("at", late)
-    return rows.groupBy("job_id").transformWithStateInPandas(statefulProcessor=_Watch(seconds), outputStructType=TIMED_OUT, outputMode="append", timeMode="EventTime")
+    rows = changes.filter("job_id is not null and at is not null").select(
+        F.pmod(F.xxhash64("job_id"), F.lit(parts)).alias("part"), F.col("job_id").cast("long").alias("job_id"), F.col("at").cast("timestamp").alias("at"),
+        F.unix_micros(F.col("at").cast("timestamp")).alias("us"), F.col("status").eqNullSafe("running").alias("running"),
+    ).withWatermark("at", late)
+    return rows.groupBy("part").transformWithStateInPandas(statefulProcessor=_Watch(seconds), outputStructType=TIMED_OUT, outputMode="append", timeMode="EventTime")
 
 
 class _Once(StatefulProcessor):

@@ -6,7 +6,9 @@ import random
 import shutil
 import time
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,94 @@ def test_timeouts_do_not_depend_on_the_order_of_rows_in_a_batch(spark, tmp_path)
     assert sorted((r.job_id, r.started_at) for r in found.collect()) == [(3, at(1)), (4, at(9)), (5, at(90))]
 
 
+class Store:
+    """A part's state and timers as a processor sees them; counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def replayed(batches, clocks, limit):
+    """Timeouts (job, start) by one job after the other."""
+    running, found = {}, []
+    for rows, clock in zip(batches, clocks, strict=True):
+        for job in {r[0] for r in rows}:
+            now = running.pop(job, None)
+            for at in sorted({r[1] for r in rows if r[0] == job}):
+                said = {r[2] for r in rows if r[:2] == (job, at)}
+                if now is not None and at > now + limit:
+                    found.append((job, now))
+                    now = None
+                now = at if said == {True} or len(said) == 2 and now is not None else None
+            if now is not None:
+                running[job] = now
+        gone = [j for j, at in running.items() if -(-(at + limit) // 1000) <= clock]
+        found += [(j, running.pop(j)) for j in gone]
+    return sorted(found), running
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_a_part_of_jobs_times_out_as_each_job_does(seed):
+    rng, limit = random.Random(seed), 10_000
+    batches = [[(rng.randrange(12) - 3, 500 * rng.randrange(20 * b, 20 * b + 90) + rng.randrange(2), rng.random() < 0.6) for _ in range(rng.randrange(1, 40))] for b in range(6)]
+    clocks = [10 * b + 5 for b in range(6)]
+    watch, store, got = timers._Watch(limit / 1e6), Store(), []
+    watch.init(store)
+    for rows, clock in zip(batches, clocks, strict=True):
+        chunks = [rows[: len(rows) // 2], rows[len(rows) // 2 :]]
+        out = list(watch.handleInputRows((0,), (pd.DataFrame(c, columns=["job_id", "us", "running"]) for c in chunks if c), None))
+        for due in [t for t in store.timers if t < clock]:
+            out += watch.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: clock), SimpleNamespace(getExpiryTimeInMs=lambda: due))
+            store.timers.remove(due)
+        got += [(int(r.job_id), round(r.started_at.timestamp() * 1e6)) for d in out for r in d.itertuples()]
+        assert all((d.timed_out_at - d.started_at == timedelta(microseconds=limit)).all() for d in out)
+    want, running = replayed(batches, clocks, limit)
+    assert sorted(got) == want and len(store.timers) == min(1, len(running))
+    assert dict(zip(*(x.tolist() for x in watch._known()), strict=True)) == running
+
+
+def test_calls_of_the_state_do_not_grow_with_the_jobs(spark, tmp_path):
+    watch, store = timers._Watch(10), Store()
+    watch.init(store)
+    jobs = list(range(50_000))
+    list(watch.handleInputRows((0,), iter([pd.DataFrame({"job_id": jobs, "us": jobs, "running": True})]), None))
+    due = store.timers.pop()
+    (found,) = watch.handleExpiredTimer((0,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10_060), SimpleNamespace(getExpiryTimeInMs=lambda: due))
+    assert len(found) == 50_000 and store.calls < 20 and store.value is None
+    at = lambda s: T + timedelta(seconds=s)
+    stream = lines(spark, str(tmp_path / "in"), "job_id long, at timestamp, status string", [[(j, at(j % 5), "running") for j in range(300)] + [(None, at(1), "running"), (7, None, "running")], [(j, at(9), None if j % 2 else "failed") for j in range(200)], [(-1, at(50), "pending")]])
+    found = timers.attempts_timed_out(stream, 10, parts=3)
+    query = found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option("path", str(tmp_path / "o")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3 * 4
+    assert sorted(r.job_id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == list(range(200, 300))
+
+
 def test_warnings_come_once(spark, tmp_path):
     stream = lines(spark, str(tmp_path / "in"), "key string, at timestamp", [[("a", T), ("b", T)], [("a", T), ("a", T)]])
     got = streams.drained(timers.warned_once(stream, 3600), str(tmp_path / "o")).collect()
